@@ -203,6 +203,23 @@ def _starting_models(
     return models, sum(r["n"] for rows in cells.values() for r in rows)
 
 
+def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFrame:
+    """(dataset_id, model, feature, fill, mean, sd): what each model's preparation was fitted to.
+
+    Small: one row per model and feature. ``fill`` is 0 for a feature without gaps.
+    """
+    models, _ = _starting_models(matrix, k, len(features), True)
+    rows = [
+        (name, i, f, float(m.fill[i, j]), float(m.shift[i, j]), float(1.0 / m.scale[i, j]))
+        for name, m in models.items()
+        for i in range(k)
+        for j, f in enumerate(features)
+    ]
+    return matrix.sparkSession.createDataFrame(
+        rows, "dataset_id string, model int, feature string, fill double, mean double, sd double"
+    )
+
+
 # ---- out-of-fold probabilities --------------------------------------------
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilscope.config import IntegritySettings, SafetyConfig
@@ -32,32 +32,36 @@ def text_calibration(
     doses: Sequence[float] = TEXT_DOSES,
     seeds: Sequence[int] = SEEDS,
     rows_per_slice: int = 20_000,
+    outcomes: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """(injected_p, seed, harm_content_density, n_rows) of every mix.
+    """(injected_p, seed, harm_content_density, n_rows, outcome means) of every mix.
 
-    Each record's flags are computed once, before mixing: only Booleans take
-    part in the ranking and are copied into the mixes, never the texts.
+    Each record's flags are computed once, before mixing: only Booleans and
+    the outcome values take part in the ranking and are copied into the mixes,
+    never the texts. ``outcomes`` are columns of the pool to average per mix.
     """
-    flags = flag_texts(
-        pool.withColumn("_one", F.lit("pool")),
-        _with_dataset(config, "_one"),
-        keep=[*keys, label],
-    ).select(*keys, label, "is_text", "is_toxic", "is_pii")
+    outcomes = dict(outcomes or {})
+    valued = pool.select(
+        "*",
+        F.lit("pool").alias("_one"),
+        *[value.cast("double").alias(f"_out_{name}") for name, value in outcomes.items()],
+    )
+    kept = [*keys, label, *[f"_out_{name}" for name in outcomes]]
+    flags = flag_texts(valued, replace(config, dataset_column="_one"), keep=kept).select(
+        *kept, "is_text", "is_toxic", "is_pii"
+    )
     mixes = dose_mix(flags, label, keys, doses, seeds, rows_per_slice)
 
-    def share(flag: str):
+    def share(flag: str) -> Column:
         return F.avg(F.when(F.col("is_text"), F.col(flag).cast("double")))
 
     return mixes.groupBy("injected_p", "seed").agg(
         F.greatest(share("is_toxic"), share("is_pii")).alias("harm_content_density"),
         F.count(F.lit(1)).alias("n_rows"),
+        *[F.avg(f"_out_{name}").alias(name) for name in outcomes],
     )
 
 
-def _with_dataset(config: SafetyConfig, column: str) -> SafetyConfig:
-    return replace(config, dataset_column=column)
-
-
 def _run_id():
     return F.concat_ws("|", F.col("injected_p").cast("string"), F.col("seed").cast("string"))
 
