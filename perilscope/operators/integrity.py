@@ -28,6 +28,7 @@ from perilscope.operators.fold_models import (
     to_blocks,
 )
 from perilscope.operators.sampling import assign_folds
+from perilscope.operators.small import checked_broadcast
 from perilscope.schemas import CONTENT_ORIGIN, explode_proxies, proxy_struct
 from perilscope.session import cut_lineage
 
@@ -63,7 +64,7 @@ def encode_labels(rows: DataFrame, label: str, dataset: str = "dataset_id") -> D
     distinct = rows.filter(F.col(label).isNotNull()).groupBy(dataset, label).count()
     order = W.partitionBy(dataset).orderBy(label)
     codes = distinct.select(dataset, label, (F.row_number().over(order) - 1).cast("int").alias("y"))
-    return rows.join(codes, [dataset, label])
+    return rows.join(checked_broadcast(codes), [dataset, label])
 
 
 def build_matrix(
@@ -105,14 +106,19 @@ def build_matrix(
 # ---- fold-wise imputation and standardisation -----------------------------
 
 
+def fold_shape(matrix: DataFrame) -> DataFrame:
+    """Per (dataset, fold, class): row count. Small, and written out: it is read per wave."""
+    return cut_lineage(matrix.groupBy("dataset_id", "fold", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
 def fold_moments(matrix: DataFrame, width: int) -> DataFrame:
-    """Per (dataset, fold, class): row count, and per feature the count, mean and variance."""
+    """Per (dataset, fold): per feature the count, mean and variance of its present values."""
     aggregates = []
     for j in range(width):
         value = F.get("x", F.lit(j))
         aggregates += [F.count(value), F.avg(value), F.var_pop(value)]
-    return matrix.groupBy("dataset_id", "fold", "y").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[a.cast("double") for a in aggregates]).alias("m")
+    return matrix.groupBy("dataset_id", "fold").agg(
+        F.array(*[a.cast("double") for a in aggregates]).alias("m")
     )
 
 
@@ -142,65 +148,74 @@ def _pooled(counts: np.ndarray, means: np.ndarray, variances: np.ndarray):
 
 
 def _starting_models(
-    matrix: DataFrame, k: int, width: int, preprocess: bool
+    matrix: DataFrame, shape: DataFrame, k: int, width: int, preprocess: bool
 ) -> tuple[dict[str, DatasetModels], int]:
     """Each model's imputation and scaling from its own training rows, zero weights; row count."""
     cells: dict[str, list] = {}
-    for row in fold_moments(matrix, width).toLocalIterator():
+    for row in shape.toLocalIterator():
         cells.setdefault(row["dataset_id"], []).append(row)
     single = sorted(d for d, rows in cells.items() if len({r["y"] for r in rows}) < 2)
     if single:
         raise ValueError(f"label has a single class in dataset(s) {single[:5]}")
 
-    def moments(rows):
-        m = np.array([r["m"] for r in rows], dtype=float).reshape(len(rows), width, 3)
-        return np.nan_to_num(m)
-
-    medians: dict = {}
-    if preprocess:
-        gaps = set()
-        largest = 0
-        for rows in cells.values():
-            n = np.array([r["n"] for r in rows], dtype=float)[:, None]
-            gaps |= set(np.flatnonzero((moments(rows)[:, :, 0] < n).any(axis=0)).tolist())
-            largest = max(largest, int(n.sum()))
-        if gaps:
-            bracketed = largest > md.MAP_ROWS
-            found = fold_medians(matrix, k, sorted(gaps), bracketed).toArrow().to_pylist()
-            if any(r["median"] is None for r in found):
-                found = fold_medians(matrix, k, sorted(gaps), False).toArrow().to_pylist()
-            medians = {(r["dataset_id"], r["model"], r["feature"]): r["median"] for r in found}
-
     models = {}
     for name, rows in cells.items():
         n_classes = max(r["y"] for r in rows) + 1
-        fold = np.array([r["fold"] for r in rows])
-        y = np.array([r["y"] for r in rows])
-        n = np.array([r["n"] for r in rows], dtype=float)
-        m = moments(rows)
-        shape = (k, width)
-        fill, shift, scale = np.zeros(shape), np.zeros(shape), np.ones(shape)
         present = np.zeros((k, n_classes), dtype=bool)
         for i in range(k):
-            train = fold != i
-            present[i, np.unique(y[train])] = True
-            if not preprocess:
+            present[i, [r["y"] for r in rows if r["fold"] != i]] = True
+        models[name] = DatasetModels(
+            n_classes,
+            fill=np.zeros((k, width)),
+            shift=np.zeros((k, width)),
+            scale=np.ones((k, width)),
+            theta=np.zeros((k, parameter_rows(n_classes), width + 1)),
+            present=present,
+        )
+    if preprocess and models:
+        _fit_preparation(matrix, models, cells, k, width)
+    return models, sum(r["n"] for rows in cells.values() for r in rows)
+
+
+def _fit_preparation(matrix: DataFrame, models, cells, k: int, width: int) -> None:
+    """Set fill, shift and scale of every model; one pass, and one more if values are missing."""
+    sizes: dict = {}
+    for name, rows in cells.items():
+        for r in rows:
+            sizes[(name, r["fold"])] = sizes.get((name, r["fold"]), 0) + r["n"]
+    moments: dict[str, dict] = {name: {} for name in models}
+    gaps: set[int] = set()
+    for row in fold_moments(matrix, width).toLocalIterator():
+        m = np.nan_to_num(np.array(row["m"], dtype=float).reshape(width, 3))
+        moments[row["dataset_id"]][row["fold"]] = m
+        short = m[:, 0] < sizes[(row["dataset_id"], row["fold"])]
+        gaps |= set(np.flatnonzero(short).tolist())
+
+    medians: dict = {}
+    if gaps:
+        largest = max(sum(r["n"] for r in rows) for rows in cells.values())
+        found = fold_medians(matrix, k, sorted(gaps), largest > md.MAP_ROWS).toArrow().to_pylist()
+        if any(r["median"] is None for r in found):
+            found = fold_medians(matrix, k, sorted(gaps), False).toArrow().to_pylist()
+        medians = {(r["dataset_id"], r["model"], r["feature"]): r["median"] for r in found}
+
+    for name, model in models.items():
+        for i in range(k):
+            train = [f for f in moments[name] if f != i]
+            if not train:
                 continue
-            fill[i] = [medians.get((name, i, j), 0.0) for j in range(width)]
-            counts, means, variances = m[train, :, 0], m[train, :, 1], m[train, :, 2]
+            m = np.stack([moments[name][f] for f in train])
+            model.fill[i] = [medians.get((name, i, j), 0.0) for j in range(width)]
             # The imputed rows are one more group: so many rows at the fill value.
-            gap = n[train].sum() - counts.sum(axis=0)
+            gap = sum(sizes[(name, f)] for f in train) - m[:, :, 0].sum(axis=0)
             _, mean, variance = _pooled(
-                np.vstack([counts, gap]),
-                np.vstack([means, fill[i]]),
-                np.vstack([variances, np.zeros(width)]),
+                np.vstack([m[:, :, 0], gap]),
+                np.vstack([m[:, :, 1], model.fill[i]]),
+                np.vstack([m[:, :, 2], np.zeros(width)]),
             )
-            shift[i] = mean
             sd = np.sqrt(variance)
-            scale[i] = 1.0 / np.where(sd > 1e-12 * (1.0 + np.abs(mean)), sd, 1.0)
-        theta = np.zeros((k, parameter_rows(n_classes), width + 1))
-        models[name] = DatasetModels(n_classes, fill, shift, scale, theta, present)
-    return models, sum(r["n"] for rows in cells.values() for r in rows)
+            model.shift[i] = mean
+            model.scale[i] = 1.0 / np.where(sd > 1e-12 * (1.0 + np.abs(mean)), sd, 1.0)
 
 
 def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFrame:
@@ -208,7 +223,7 @@ def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFram
 
     Small: one row per model and feature. ``fill`` is 0 for a feature without gaps.
     """
-    models, _ = _starting_models(matrix, k, len(features), True)
+    models, _ = _starting_models(matrix, fold_shape(matrix), k, len(features), True)
     rows = [
         (name, i, f, float(m.fill[i, j]), float(m.shift[i, j]), float(1.0 / m.scale[i, j]))
         for name, m in models.items()
@@ -229,20 +244,18 @@ def _wave(matrix: DataFrame, number: int, waves: int) -> DataFrame:
     return matrix.filter(F.pmod(F.xxhash64("dataset_id"), F.lit(waves)) == number)
 
 
-def _plan_waves(matrix: DataFrame, k: int, width: int) -> tuple[int, int]:
+def _plan_waves(shape: DataFrame, k: int, width: int) -> tuple[int, int]:
     """How many waves keep a wave's sums in bounds, and the widest model."""
-    shape = (
-        matrix.groupBy("dataset_id")
-        .agg((F.max("y") + 1).alias("c"))
-        .select(
-            (F.when(F.col("c") > 2, F.col("c")).otherwise(1) * (width + 1)).cast("double").alias("p")
-        )
+    classes = shape.groupBy("dataset_id").agg((F.max("y") + 1).alias("c"))
+    rows = F.when(F.col("c") > 2, F.col("c")).otherwise(1)
+    total = (
+        classes.select((rows * (width + 1)).cast("double").alias("p"))
         .agg(F.sum(F.col("p") * F.col("p") + F.col("p") + 1).alias("cells"), F.max("p").alias("p"))
         .first()
     )
-    if shape["p"] is None:
+    if total["p"] is None:
         return 0, 0
-    return max(1, int(np.ceil(k * shape["cells"] / WAVE_CELLS))), int(shape["p"])
+    return max(1, int(np.ceil(k * total["cells"] / WAVE_CELLS))), int(total["p"])
 
 
 def _with_estimator(matrix: DataFrame, models, k: int, width: int, make) -> DataFrame:
@@ -307,10 +320,13 @@ def _fitted_waves(
 
     The blocks stay persisted until the caller asks for the next wave.
     """
-    waves, widest = _plan_waves(matrix, k, width)
+    shape = fold_shape(matrix)
+    waves, widest = _plan_waves(shape, k, width)
     for number in range(waves):
         part = _wave(matrix, number, waves)
-        models, n_rows = _starting_models(part, k, width, settings.preprocess)
+        models, n_rows = _starting_models(
+            part, _wave(shape, number, waves), k, width, settings.preprocess
+        )
         if not models:
             continue
         if settings.estimator is not None or widest > WIDTH_LIMIT:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from perilscope.operators.small import checked_broadcast
+
 # `median` keeps a value -> count map per group; above this many rows it is bracketed first.
 MAP_ROWS = 2_000_000
 _HALF_WIDTH = 5e-5
@@ -34,7 +36,7 @@ def exact_medians(
         F.count(F.lit(1)).alias("_n"),
     )
     inside = (
-        present.join(brackets, keys)
+        present.join(checked_broadcast(brackets), keys)
         .filter(F.col(value) <= F.col("_q")[1])
         .groupBy(*keys, F.when(F.col(value) >= F.col("_q")[0], F.col(value)).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))

@@ -24,25 +24,25 @@ def binarise_equal(column: str, value: str) -> Column:
 
 
 def _needs(doses: Sequence[float], rows_per_slice: int) -> list[tuple[float, int, int]]:
-    """(dose, toxic rows, safe rows); halves round to even."""
-    return [(p, round(rows_per_slice * p), rows_per_slice - round(rows_per_slice * p)) for p in doses]
+    """(dose, label, records needed); halves round to even."""
+    toxic = [(float(p), round(rows_per_slice * p)) for p in doses]
+    return [(p, 1, n) for p, n in toxic] + [(p, 0, rows_per_slice - n) for p, n in toxic]
 
 
-def _need_structs(needs, label: str) -> Column:
+def _need_structs(needs: Sequence[tuple[float, int, int]], label: str) -> Column:
     """The (dose, need) pairs that concern a row's label, as an array column."""
 
-    def pairs(at: int) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(n[0]).cast("double").alias("injected_p"),
-                    F.lit(n[at]).cast("bigint").alias("need"),
-                )
-                for n in needs
-            ]
-        )
+    def pairs(code: int) -> Column:
+        made = [
+            F.struct(
+                F.lit(p).alias("injected_p"), F.lit(n).cast("bigint").alias("need")
+            )
+            for p, lab, n in needs
+            if lab == code
+        ]
+        return F.array(*made).cast("array<struct<injected_p:double,need:bigint>>")
 
-    return F.when(F.col(label) == 1, pairs(1)).otherwise(pairs(2))
+    return F.when(F.col(label) == 1, pairs(1)).otherwise(pairs(0))
 
 
 def dose_mix(
@@ -59,53 +59,59 @@ def dose_mix(
     label 0. All doses of a seed share one ranking, so smaller doses nest in
     larger ones. Where a mix needs more records than a label has, that part of
     the mix is drawn with replacement. ``mix_order`` shuffles each mix; sort by
-    it only when the order itself is wanted.
+    it only when the order itself is wanted. The pool is read more than once,
+    so it should be narrow.
     """
     needs = _needs(doses, rows_per_slice)
-    wanted = _need_structs(needs, label)
-    sizes = pool.groupBy(label).agg(F.count(F.lit(1)).alias("_pool"))
-    top = F.when(F.col(label) == 1, F.lit(max(n[1] for n in needs))).otherwise(
-        F.lit(max(n[2] for n in needs))
-    )
-    drawn = pool.withColumn(
-        "seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))
-    ).withColumn("_draw", uniform(F.col("seed"), *keys))
-    ranked = (
-        draw_ranks(drawn, "_draw", keys, ("seed", label), keep=top)
-        .drop("_draw")
-        .join(sizes, label)
+    two = pool.filter(F.col(label).isin(0, 1))
+    sizes = {r[label]: r["count"] for r in two.groupBy(label).count().collect()}
+    plain = [n for n in needs if n[2] <= sizes.get(n[1], 0)]
+    short = [n for n in needs if n[2] > sizes.get(n[1], 0) > 0]
+    empty = {n[1] for n in needs if n[2] > 0 and not sizes.get(n[1], 0)}
+    if empty:
+        raise ValueError(f"no records with label {sorted(empty)} to draw from")
+
+    def deepest(code: int) -> int:
+        """Ranks needed: the largest plain need, or the whole pool to draw from with replacement."""
+        if any(n[1] == code for n in short):
+            return sizes[code]
+        return max((n[2] for n in plain if n[1] == code), default=0)
+
+    keep = F.when(F.col(label) == 1, F.lit(deepest(1))).otherwise(F.lit(deepest(0)))
+    all_seeds = F.array(*[F.lit(int(s)) for s in seeds])
+    drawn = two.withColumn("seed", F.explode(all_seeds)).withColumn(
+        "_draw", uniform(F.col("seed"), *keys)
     )
-
-    columns = pool.columns
-    plain = (
-        ranked.withColumn("_w", F.explode(wanted))
-        .filter((F.col("_w.need") <= F.col("_pool")) & (F.col("draw_rank") <= F.col("_w.need")))
-        .select("_w.injected_p", "seed", F.col("draw_rank").alias("draw_no"), *columns)
+    ranked = draw_ranks(drawn, "_draw", keys, ("seed", label), keep=keep).drop("_draw")
+    mixed = (
+        ranked.withColumn("_w", F.explode(_need_structs(plain, label)))
+        .filter(F.col("draw_rank") <= F.col("_w.need"))
+        .select("_w.injected_p", "seed", F.col("draw_rank").alias("draw_no"), *pool.columns)
     )
-
-    # Only labels too small for some dose; their whole pool is ranked above.
-    short = (
-        sizes.withColumn("_w", F.explode(wanted))
-        .filter(F.col("_w.need") > F.col("_pool"))
-        .withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-        .withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_w.need"), F.lit(_CHUNK))))
-        .withColumn("_to", F.least(F.col("_from") + F.lit(_CHUNK - 1), F.col("_w.need")))
-        .withColumn("draw_no", F.explode(F.sequence("_from", "_to")))
-        .select(
-            "_w.injected_p",
-            "seed",
-            label,
-            "draw_no",
-            (uniform_int(F.col("_pool"), F.col("seed"), label, "draw_no") + 1).alias("draw_rank"),
+    if short:
+        grid = pool.sparkSession.createDataFrame(
+            [(p, code, n, sizes[code], int(s)) for p, code, n in short for s in seeds],
+            "injected_p double, code int, need bigint, pool bigint, seed int",
         )
-    )
-    repeated = short.join(ranked.drop("_pool"), ["seed", label, "draw_rank"]).select(
-        "injected_p", "seed", "draw_no", *columns
-    )
-    mixed = plain.unionByName(repeated)
-    return mixed.withColumn(
-        "mix_order", uniform(F.lit("mix"), "seed", *keys, "draw_no")
-    )
+        picks = (
+            grid.withColumn("_from", F.explode(F.sequence(F.lit(1), "need", F.lit(_CHUNK))))
+            .withColumn("_to", F.least(F.col("_from") + F.lit(_CHUNK - 1), "need"))
+            .withColumn("draw_no", F.explode(F.sequence("_from", "_to")))
+            .select(
+                "injected_p",
+                "seed",
+                F.col("code").cast(pool.schema[label].dataType).alias(label),
+                "draw_no",
+                (uniform_int(F.col("pool"), F.col("seed"), "code", "draw_no") + 1).alias(
+                    "draw_rank"
+                ),
+            )
+        )
+        again = picks.join(ranked, ["seed", label, "draw_rank"]).select(
+            "injected_p", "seed", "draw_no", *pool.columns
+        )
+        mixed = mixed.unionByName(again)
+    return mixed.withColumn("mix_order", uniform("mix", "seed", *keys, "draw_no"))
 
 
 def flip_labels(

@@ -1,10 +1,10 @@
 """Exact seeded ranks, samples, splits and folds without a single-task group.
 
 Ranking a huge group with one window puts the group in one task. Here the draw
-itself cuts each group into ``buckets`` equal slices: a count per slice gives
-each slice's starting rank, and the window runs inside a slice. When only the
-first n ranks are wanted, slices that start beyond n are dropped before the
-rows are shuffled.
+itself cuts each group into ``buckets`` equal slices: a first pass counts the
+rows per slice, which gives each slice's starting rank, and the window then
+runs inside a slice. When only the first n ranks are wanted, slices that start
+beyond n are dropped before the rows are shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perilscope.functions.draws import uniform
+from perilscope.operators.small import checked_broadcast
 
 BUCKETS = 4096
 
@@ -49,7 +50,8 @@ def draw_ranks(
     if keep is not None:
         starts = starts.filter(F.col("_start") < F.col("_limit")).drop("_limit")
     inside = W.partitionBy(*groups, "_slice").orderBy(draw, *ties)
-    ranked = sliced.join(starts.drop("_n"), [*groups, "_slice"]).withColumn(
+    starts = checked_broadcast(starts.drop("_n"))
+    ranked = sliced.join(starts, [*groups, "_slice"]).withColumn(
         "draw_rank", (F.col("_start") + F.row_number().over(inside)).cast("bigint")
     )
     if keep is not None:
@@ -107,6 +109,6 @@ def stratified_split(
     sizes = df.groupBy(label).agg(
         F.bround(F.count(F.lit(1)) * F.lit(test_fraction), 0).cast("bigint").alias("_n_test")
     )
-    ranked = draw_ranks(drawn, "_draw", keys, (label,)).join(sizes, label)
+    ranked = draw_ranks(drawn, "_draw", keys, (label,)).join(checked_broadcast(sizes), label)
     test = F.col("draw_rank") <= F.col("_n_test")
     return ranked.withColumn("is_test", test).drop("_draw", "draw_rank", "_n_test")

@@ -36,9 +36,9 @@ def text_calibration(
 ) -> DataFrame:
     """(injected_p, seed, harm_content_density, n_rows, outcome means) of every mix.
 
-    Each record's flags are computed once, before mixing: only Booleans and
-    the outcome values take part in the ranking and are copied into the mixes,
-    never the texts. ``outcomes`` are columns of the pool to average per mix.
+    The texts are read once: each record's flags are computed before mixing and
+    written out, and only these and the outcome values take part in the ranking
+    and are copied into the mixes. ``outcomes`` are columns of the pool to average per mix.
     """
     outcomes = dict(outcomes or {})
     valued = pool.select(
@@ -50,6 +50,7 @@ def text_calibration(
     flags = flag_texts(valued, replace(config, dataset_column="_one"), keep=kept).select(
         *kept, "is_text", "is_toxic", "is_pii"
     )
+    flags = cut_lineage(flags)
     mixes = dose_mix(flags, label, keys, doses, seeds, rows_per_slice)
 
     def share(flag: str) -> Column:
