@@ -9,19 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RANGE = 4294967296.0  # eight hexadecimal digits
+
+def _literal(part) -> str:
+    return "'" + str(part).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _text(part) -> Column:
-    column = part if isinstance(part, Column) else F.lit(part)
+    column = part if isinstance(part, Column) else F.lit(str(part))
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
 def uniform(seed, *keys: str | Column) -> Column:
     """A number in [0, 1) from ``seed|key|key...``; ``seed`` may be a value or a column."""
+    if not isinstance(seed, Column) and all(isinstance(k, str) for k in keys):
+        names = [f"coalesce(cast(`{k}` AS string), '')" for k in keys]
+        joined = ", ".join([_literal(seed), *names])
+        return F.expr(
+            f"cast(conv(substring(md5(cast(concat_ws('|', {joined}) AS binary)), 1, 8), 16, 10)"
+            " AS double) / 4294967296D"
+        )
     parts = [_text(seed)] + [_text(F.col(k) if isinstance(k, str) else k) for k in keys]
     digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(_RANGE)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def uniform_int(n: int | Column, seed, *keys: str | Column) -> Column:

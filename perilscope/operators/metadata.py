@@ -79,26 +79,22 @@ def as_of_seconds(as_of: str | datetime | None) -> float:
     return moment.timestamp()
 
 
-def _instant(text: Column) -> Column:
-    """ISO text to a timestamp, null when it is not one; independent of the session's zone."""
+def _instant(text: str) -> str:
+    """SQL from ISO text to a timestamp, null when it is not one; free of the session's zone."""
 
-    def part(i: int, default: str) -> Column:
-        found = F.regexp_extract(text, _DATE, i)
-        return F.when(found == "", F.lit(default)).otherwise(found)
+    def part(i: int, default: str) -> str:
+        return f"coalesce(nullif(regexp_extract({text}, r'{_DATE}', {i}), ''), '{default}')"
 
-    clock = F.concat_ws(":", part(2, "00"), part(3, "00"), part(4, "00"))
-    fraction = F.replace(part(5, ""), F.lit(","), F.lit("."))
-    iso = F.concat(part(1, ""), F.lit("T"), clock, fraction, part(6, "Z"))
-    return F.when(text.rlike(_DATE), F.try_to_timestamp(iso))
+    clock = f"concat_ws(':', {part(2, '00')}, {part(3, '00')}, {part(4, '00')})"
+    fraction = f"replace({part(5, '')}, ',', '.')"
+    iso = f"concat({part(1, '')}, 'T', {clock}, {fraction}, {part(6, 'Z')})"
+    return f"CASE WHEN {text} RLIKE r'{_DATE}' THEN try_to_timestamp({iso}) END"
 
 
 def decay_struct(half_life_days: float = 365.0, as_of: str | datetime | None = None) -> Column:
     """``half_life_days`` is an e-folding time: at that age the score is 1 - 1/e."""
-    text = F.coalesce(
-        F.nullif(F.col("data_collection_end"), F.lit("")),
-        F.nullif(F.col("last_updated"), F.lit("")),
-    )
-    instant = _instant(text)
+    stamp = "coalesce(nullif(data_collection_end, ''), nullif(last_updated, ''))"
+    text, instant = F.expr(stamp), F.expr(_instant(stamp))
     seconds = F.unix_micros(instant) / F.lit(1e6)
     age = F.greatest(F.lit(0.0), (F.lit(as_of_seconds(as_of)) - seconds) / F.lit(_DAY))
     decay = F.lit(1.0) - F.exp(-age / F.lit(max(1.0, float(half_life_days))))

@@ -20,13 +20,15 @@ from perilscope.schemas import CONTENT_ORIGIN, PHYSICAL_SAFETY, explode_proxies,
 _STATS = "text_stats"
 
 
-def toxicity_flag(config: SafetyConfig) -> Column:
+def toxicity_flag(
+    config: SafetyConfig, low: Column | None = None, odd: Column | None = None
+) -> Column:
     """The row's toxicity verdict under the configured classifier."""
     if callable(config.classifier):
         return config.classifier(F.col(config.text_column))
     if config.classifier == "heads":
         return tx.heads_reach(config.head_columns, config.toxicity_threshold)
-    return tx.contains_word(F.col(config.text_column), config.lexicon)
+    return tx.contains_word(F.col(config.text_column), config.lexicon, low, odd)
 
 
 def classifier_name(config: SafetyConfig) -> str:
@@ -39,12 +41,16 @@ def flag_texts(records: DataFrame, config: SafetyConfig, keep: list[str] | None
     """Dataset id, ``keep`` columns and one Boolean per rule; the text itself is dropped."""
     text = F.col(config.text_column)
     rules = as_rules(config.pii_rules)
-    flags = records.select(
+    low, odd = F.col("_low"), F.col("_odd")
+    # Their own columns, so that each is worked out once per text.
+    searched = records.withColumns({"_low": tx.lowered(text), "_odd": tx.folds_to_ascii(text)})
+    terms = config.dual_use_terms or DUAL_USE_TERMS
+    flags = searched.select(
         F.col(config.dataset_column).cast("string").alias("dataset_id"),
         *[F.col(c) for c in (keep or [])],
         tx.eligible(text).alias("is_text"),
-        F.coalesce(toxicity_flag(config), F.lit(False)).alias("is_toxic"),
-        tx.contains_term(text, config.dual_use_terms or DUAL_USE_TERMS).alias("is_dual_use"),
+        F.coalesce(toxicity_flag(config, low, odd), F.lit(False)).alias("is_toxic"),
+        tx.contains_term(text, terms, low, odd).alias("is_dual_use"),
         *[tx.matches_rule(text, r).alias(f"pii_{r.name}") for r in rules],
     )
     any_rule = F.lit(False)
