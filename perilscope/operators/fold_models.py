@@ -18,7 +18,7 @@ fit ``WAVE_CELLS``. Models too wide for that go through Spark ML instead (see
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from types import SimpleNamespace
 
@@ -162,45 +162,118 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int):
             yield name.as_py(), fold.as_py(), rows, np.frombuffer(y.as_buffer(), dtype="<i4")
 
 
-def _pass_over(blocks: DataFrame, models: dict[str, DatasetModels], active, width: int):
-    """One pass: {(dataset_id, model): summed statistics} for the active models."""
-    shared = blocks.sparkSession.sparkContext.broadcast((_plain(models), active))
+def block_shape(blocks: DataFrame, width: int) -> DataFrame:
+    """(dataset_id, fold, y, n): row counts per class."""
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict = {}
+        for name, fold, _, y in _blocks(batches, width):
+            for c, n in zip(*(v.tolist() for v in np.unique(y, return_counts=True))):
+                counts[(name, fold, c)] = counts.get((name, fold, c), 0) + n
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in counts], pa.string()),
+                pa.array([k[1] for k in counts], pa.int32()),
+                pa.array([k[2] for k in counts], pa.int32()),
+                pa.array(list(counts.values()), pa.int64()),
+            ],
+            names=["dataset_id", "fold", "y", "n"],
+        )
+
+    return (
+        blocks.mapInArrow(in_task, "dataset_id string, fold int, y int, n bigint")
+        .groupBy("dataset_id", "fold", "y")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _block_sums(
+    blocks: DataFrame, width: int, payload, vectors: Callable
+) -> dict[tuple[str, int], np.ndarray]:
+    """One pass: {(dataset_id, key): sum of the vectors that ``vectors`` makes of each block}.
+
+    ``vectors(payload, name, fold, x, y)`` yields (key, vector). Tasks add up
+    what they can, Spark adds the tasks' sums.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(payload)
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, wanted = shared.value
+        given = shared.value
         sums: dict = {}
         for name, fold, x, y in _blocks(batches, width):
-            for i in wanted.get(name, ()):
-                if i != fold:
-                    part = _sums(current[name], i, x, y)
-                    held = sums.get((name, i))
-                    sums[(name, i)] = part if held is None else held + part
+            for key, vector in vectors(given, name, fold, x, y):
+                held = sums.get((name, key))
+                sums[(name, key)] = vector if held is None else held + vector
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name for name, _ in sums], pa.string()),
-                    pa.array([i for _, i in sums], pa.int32()),
+                    pa.array([key for _, key in sums], pa.int32()),
                     pa.array(list(sums.values()), pa.list_(pa.float64())),
                 ],
-                names=["dataset_id", "model", "sums"],
+                names=["dataset_id", "key", "sums"],
             )
 
     total = (
-        blocks.mapInArrow(in_task, "dataset_id string, model int, sums array<double>")
-        .select("dataset_id", "model", F.posexplode("sums").alias("pos", "value"))
-        .groupBy("dataset_id", "model", "pos")
+        blocks.mapInArrow(in_task, "dataset_id string, key int, sums array<double>")
+        .select("dataset_id", "key", F.posexplode("sums").alias("pos", "value"))
+        .groupBy("dataset_id", "key", "pos")
         .agg(F.sum("value").alias("value"))
         .toArrow()
     )
-    found: dict = {}
-    names, model = total["dataset_id"].to_pylist(), total["model"].to_pylist()
-    pos, value = total["pos"].to_pylist(), total["value"].to_pylist()
-    for name, i, at, v in zip(names, model, pos, value):
-        found.setdefault((name, i), {})[at] = v
     shared.destroy()
+    found: dict = {}
+    for name, key, at, v in zip(*(total[c].to_pylist() for c in total.column_names)):
+        found.setdefault((name, key), {})[at] = v
     return {k: np.array([v[j] for j in range(len(v))]) for k, v in found.items()}
 
 
+def block_moments(
+    blocks: DataFrame, names: list[str], width: int
+) -> dict[tuple[str, int], np.ndarray]:
+    """{(dataset_id, fold): (width, 3) array of count, mean and variance of the present values}.
+
+    Squares are summed about each dataset's own mean, so nothing cancels.
+    """
+
+    def plain(_, name, fold, x, y):
+        there = ~np.isnan(x)
+        yield fold, np.concatenate([there.sum(axis=0), np.where(there, x, 0.0).sum(axis=0)])
+
+    first = _block_sums(blocks, width, None, plain)
+    centres = {}
+    for name in names:
+        total = sum(v for (n, _), v in first.items() if n == name)
+        centres[name] = total[width:] / np.maximum(total[:width], 1.0)
+
+    def squares(given, name, fold, x, y):
+        yield fold, np.nansum((x - given[name]) ** 2, axis=0)
+
+    second = _block_sums(blocks, width, centres, squares)
+    moments = {}
+    for (name, fold), v in first.items():
+        n = np.maximum(v[:width], 1.0)
+        mean = v[width:] / n
+        off = mean - centres[name]
+        variance = np.maximum(second[(name, fold)] / n - off**2, 0.0)
+        moments[(name, fold)] = np.column_stack(
+            [v[:width], np.where(v[:width] > 0, mean, 0.0), np.where(v[:width] > 0, variance, 0.0)]
+        )
+    return moments
+
+
+def _pass_over(blocks: DataFrame, models: dict[str, DatasetModels], active, width: int):
+    """One pass: {(dataset_id, model): summed statistics} for the active models."""
+
+    def training(given, name, fold, x, y):
+        current, wanted = given
+        for i in wanted.get(name, ()):
+            if i != fold:
+                yield i, _sums(current[name], i, x, y)
+
+    return _block_sums(blocks, width, (_plain(models), active), training)
+
+
 def fit_models(
     blocks: DataFrame,
     models: dict[str, DatasetModels],

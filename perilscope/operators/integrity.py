@@ -21,7 +21,9 @@ from perilscope.operators.fold_models import (
     WAVE_CELLS,
     WIDTH_LIMIT,
     DatasetModels,
+    block_moments,
     block_scores,
+    block_shape,
     fit_models,
     parameter_rows,
     score_held_out,
@@ -106,22 +108,6 @@ def build_matrix(
 # ---- fold-wise imputation and standardisation -----------------------------
 
 
-def fold_shape(matrix: DataFrame) -> DataFrame:
-    """Per (dataset, fold, class): row count. Small, and written out: it is read per wave."""
-    return cut_lineage(matrix.groupBy("dataset_id", "fold", "y").agg(F.count(F.lit(1)).alias("n")))
-
-
-def fold_moments(matrix: DataFrame, width: int) -> DataFrame:
-    """Per (dataset, fold): per feature the count, mean and variance of its present values."""
-    aggregates = []
-    for j in range(width):
-        value = F.get("x", F.lit(j))
-        aggregates += [F.count(value), F.avg(value), F.var_pop(value)]
-    return matrix.groupBy("dataset_id", "fold").agg(
-        F.array(*[a.cast("double") for a in aggregates]).alias("m")
-    )
-
-
 def fold_medians(matrix: DataFrame, k: int, features: Sequence[int], bracketed: bool) -> DataFrame:
     """Per (dataset, model, feature): the median over the rows outside the model's fold."""
     pairs = F.array(
@@ -131,11 +117,21 @@ def fold_medians(matrix: DataFrame, k: int, features: Sequence[int], bracketed:
         ]
     )
     outside = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: i != F.col("fold"))
-    values = (
-        matrix.select("dataset_id", F.explode(outside).alias("model"), pairs.alias("p"))
-        .select("dataset_id", "model", F.inline("p"))
+    values = matrix.select("dataset_id", "fold", F.inline(pairs)).filter("value IS NOT NULL")
+    keys = ["dataset_id", "model", "feature"]
+    if bracketed:
+        spread = values.select("dataset_id", F.explode(outside).alias("model"), "feature", "value")
+        return md.exact_medians(spread, keys, "value", bracketed=True)
+    # Equal values of a fold are counted before they are handed to the fold's models.
+    counts = values.groupBy("dataset_id", "fold", "feature", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    spread = counts.select(
+        "dataset_id", F.explode(outside).alias("model"), "feature", "value", "n"
+    )
+    return spread.groupBy(*keys).agg(
+        F.percentile("value", F.lit(0.5), F.col("n")).alias("median")
     )
-    return md.exact_medians(values, ["dataset_id", "model", "feature"], "value", bracketed)
 
 
 def _pooled(counts: np.ndarray, means: np.ndarray, variances: np.ndarray):
@@ -148,9 +144,9 @@ def _pooled(counts: np.ndarray, means: np.ndarray, variances: np.ndarray):
 
 
 def _starting_models(
-    matrix: DataFrame, shape: DataFrame, k: int, width: int, preprocess: bool
-) -> tuple[dict[str, DatasetModels], int]:
-    """Each model's imputation and scaling from its own training rows, zero weights; row count."""
+    matrix: DataFrame, blocks: DataFrame, shape: DataFrame, k: int, width: int, preprocess: bool
+) -> dict[str, DatasetModels]:
+    """Each model's imputation and scaling from its own training rows, and zero weights."""
     cells: dict[str, list] = {}
     for row in shape.toLocalIterator():
         cells.setdefault(row["dataset_id"], []).append(row)
@@ -173,23 +169,23 @@ def _starting_models(
             present=present,
         )
     if preprocess and models:
-        _fit_preparation(matrix, models, cells, k, width)
-    return models, sum(r["n"] for rows in cells.values() for r in rows)
+        _fit_preparation(matrix, blocks, models, cells, k, width)
+    return models
 
 
-def _fit_preparation(matrix: DataFrame, models, cells, k: int, width: int) -> None:
-    """Set fill, shift and scale of every model; one pass, and one more if values are missing."""
+def _fit_preparation(
+    matrix: DataFrame, blocks: DataFrame, models, cells, k: int, width: int
+) -> None:
+    """Set fill, shift and scale of every model; the rows are read only if values are missing."""
     sizes: dict = {}
     for name, rows in cells.items():
         for r in rows:
             sizes[(name, r["fold"])] = sizes.get((name, r["fold"]), 0) + r["n"]
     moments: dict[str, dict] = {name: {} for name in models}
     gaps: set[int] = set()
-    for row in fold_moments(matrix, width).toLocalIterator():
-        m = np.nan_to_num(np.array(row["m"], dtype=float).reshape(width, 3))
-        moments[row["dataset_id"]][row["fold"]] = m
-        short = m[:, 0] < sizes[(row["dataset_id"], row["fold"])]
-        gaps |= set(np.flatnonzero(short).tolist())
+    for (name, fold), m in block_moments(blocks, list(models), width).items():
+        moments[name][fold] = m
+        gaps |= set(np.flatnonzero(m[:, 0] < sizes[(name, fold)]).tolist())
 
     medians: dict = {}
     if gaps:
@@ -223,7 +219,9 @@ def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFram
 
     Small: one row per model and feature. ``fill`` is 0 for a feature without gaps.
     """
-    models, _ = _starting_models(matrix, fold_shape(matrix), k, len(features), True)
+    blocks, shape = _packed(matrix, len(features))
+    models = _starting_models(matrix, blocks, shape, k, len(features), True)
+    blocks.unpersist()
     rows = [
         (name, i, f, float(m.fill[i, j]), float(m.shift[i, j]), float(1.0 / m.scale[i, j]))
         for name, m in models.items()
@@ -302,15 +300,23 @@ def _default_estimator(settings: IntegritySettings) -> Callable:
     return make
 
 
-def _spread(blocks: DataFrame, n_rows: int, width: int) -> DataFrame:
-    """Small inputs often sit in one file split: give every core some of their blocks.
+def _packed(matrix: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as persisted blocks, and their (dataset, fold, class) counts.
 
-    Large inputs have splits enough and are not moved.
+    Small inputs often sit in one file split; their blocks are spread so that
+    every core gets some. Large inputs have splits enough and are not moved.
     """
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    if n_rows * (width + 1) * 8 > cores * _SPLIT_BYTES:
-        return blocks
-    return blocks.repartition(max(1, min(cores, n_rows // _SPREAD_ROWS)))
+    blocks = to_blocks(matrix, width).persist(StorageLevel.MEMORY_AND_DISK)
+    shape = cut_lineage(block_shape(blocks, width))
+    n_rows = shape.agg(F.sum("n")).first()[0] or 0
+    cores = matrix.sparkSession.sparkContext.defaultParallelism
+    if _SPREAD_ROWS <= n_rows and n_rows * (width + 1) * 8 <= cores * _SPLIT_BYTES:
+        spread = blocks.repartition(min(cores, n_rows // _SPREAD_ROWS))
+        spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
+        spread.count()
+        blocks.unpersist()
+        blocks = spread
+    return blocks, shape
 
 
 def _fitted_waves(
@@ -320,25 +326,24 @@ def _fitted_waves(
 
     The blocks stay persisted until the caller asks for the next wave.
     """
-    shape = fold_shape(matrix)
-    waves, widest = _plan_waves(shape, k, width)
-    for number in range(waves):
-        part = _wave(matrix, number, waves)
-        models, n_rows = _starting_models(
-            part, _wave(shape, number, waves), k, width, settings.preprocess
-        )
-        if not models:
-            continue
-        if settings.estimator is not None or widest > WIDTH_LIMIT:
-            yield part, None, models
-            continue
-        blocks = _spread(to_blocks(part, width), n_rows, width)
-        blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            fit_models(blocks, models, settings.inverse_penalty, settings.max_iter, settings.tol)
-            yield part, blocks, models
-        finally:
-            blocks.unpersist()
+    blocks, shape = _packed(matrix, width)
+    try:
+        waves, widest = _plan_waves(shape, k, width)
+        by_ml = settings.estimator is not None or widest > WIDTH_LIMIT
+        for number in range(waves):
+            rows, packed = _wave(matrix, number, waves), _wave(blocks, number, waves)
+            models = _starting_models(
+                rows, packed, _wave(shape, number, waves), k, width, settings.preprocess
+            )
+            if not models:
+                continue
+            if not by_ml:
+                fit_models(
+                    packed, models, settings.inverse_penalty, settings.max_iter, settings.tol
+                )
+            yield rows, None if by_ml else packed, models
+    finally:
+        blocks.unpersist()
 
 
 def _estimated(part: DataFrame, models, k: int, width: int, settings: IntegritySettings):
@@ -396,7 +401,7 @@ def _keys(config: SafetyConfig) -> tuple[str, ...] | None:
 
 
 def integrity_stats(records: DataFrame, config: SafetyConfig) -> DataFrame | None:
-    """Per dataset: score, rows, features, dropped null labels. None without numeric features."""
+    """Every dataset's score, rows, features, dropped null labels. None without numeric features."""
     settings = config.integrity
     features = feature_names(
         records,
@@ -413,7 +418,7 @@ def integrity_stats(records: DataFrame, config: SafetyConfig) -> DataFrame | Non
     nulls = records.groupBy(
         F.coalesce(F.col(config.dataset_column).cast("string"), F.lit("")).alias("dataset_id")
     ).agg(F.count_if(F.col(config.label_column).isNull()).alias("n_null_labels"))
-    return scores.join(nulls, "dataset_id", "left").select(
+    return nulls.join(scores, "dataset_id", "left").select(
         "dataset_id",
         F.struct(
             "score", "n_rows", F.lit(len(features)).alias("n_features"), "n_null_labels"
@@ -440,9 +445,6 @@ def integrity_struct() -> Column:
 
 def label_integrity(records: DataFrame, config: SafetyConfig) -> DataFrame:
     """Proxy results for label integrity, one row per dataset."""
-    datasets = records.select(
-        F.coalesce(F.col(config.dataset_column).cast("string"), F.lit("")).alias("dataset_id")
-    ).distinct()
     reason = None
     if config.label_column is None or config.label_column not in records.columns:
         reason = "no label column"
@@ -455,8 +457,11 @@ def label_integrity(records: DataFrame, config: SafetyConfig) -> DataFrame:
             applicable=False,
             reason=F.lit(reason or "no numeric features"),
         )
-        return explode_proxies(datasets, blank)
-    return explode_proxies(datasets.join(stats, "dataset_id", "left"), integrity_struct())
+        datasets = records.select(
+            F.coalesce(F.col(config.dataset_column).cast("string"), F.lit("")).alias("dataset_id")
+        )
+        return explode_proxies(datasets.distinct(), blank)
+    return explode_proxies(stats, integrity_struct())
 
 
 def row_suspicion(records: DataFrame, config: SafetyConfig) -> DataFrame:

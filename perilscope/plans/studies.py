@@ -86,9 +86,13 @@ def label_noise_study(
     of all runs are fitted in one loop of passes, and so are the logistic
     models; boosted trees are one Spark ML fit per run.
     """
-    base = matrix.select(
-        *keys, F.col(label).cast("int").alias("_y0"), "x"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # Every row is about to become one per run, so partitions are cut to that size first.
+    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = (
+        matrix.select(*keys, F.col(label).cast("int").alias("_y0"), "x")
+        .repartition(parts, *keys)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     grid = flip_labels(
         base, "_y0", doses, seeds, keys, flipped="_y", spare=_is_test(keys)
     ).select(
