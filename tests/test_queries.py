@@ -30,9 +30,7 @@ def test_query_matches_sql(spark, con, name):
 def test_queries_without_sql_are_the_fitted_ones():
     assert set(entry.queries()) - set(ORACLES) == {
         "harm_trained",
-        "assess_labelled",
         "downstream_models",
-        "label_noise_study",
     }
 
 

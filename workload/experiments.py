@@ -217,9 +217,13 @@ def fold_assign(spark, folder):
     return both.select(*_KEYS, "by_draw", F.col("fold").alias("exact"))
 
 
-def _newton_sql(passes: int = 9, k: int = 5) -> str:
-    """Out-of-fold logistic fits of two features by Newton's method, all in SQL."""
-    steps = []
+def _newton_steps(passes: int, train: str = "fold <> m", start: str = "mom") -> str:
+    """CTEs that fit a two-feature logistic model per (dataset_id, m) to ``z`` by Newton's method."""
+    steps = [
+        f"""
+    theta0 AS (SELECT DISTINCT dataset_id, m, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS t1,
+      0.0::DOUBLE AS t2 FROM {start})"""
+    ]
     for j in range(passes):
         steps.append(
             f"""
@@ -231,7 +235,7 @@ def _newton_sql(passes: int = 9, k: int = 5) -> str:
         sum(w * z1 * z2) AS e, sum(w * z2 * z2) + 1 AS f
       FROM (SELECT *, p * (1 - p) AS w FROM (
         SELECT z.*, t0, t1, t2, 1 / (1 + exp(-(t0 + t1 * z1 + t2 * z2))) AS p
-        FROM z JOIN theta{j} USING (dataset_id, m) WHERE fold <> m))
+        FROM z JOIN theta{j} USING (dataset_id, m) WHERE {train}))
       GROUP BY 1, 2),
     theta{j + 1} AS MATERIALIZED (
       SELECT dataset_id, m,
@@ -241,8 +245,13 @@ def _newton_sql(passes: int = 9, k: int = 5) -> str:
       FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det
         FROM sums{j}))"""
         )
+    return ",".join(steps)
+
+
+def newton_sql(passes: int = 9, k: int = 5, source: str = "noisy", keys=_KEYS, keep: str = "") -> str:
+    """Out-of-fold logistic fits of ``price`` and ``discount``, prepared within the folds."""
     return f"""
-    folded AS (SELECT *, floor({u("'0'", *_KEYS)} * {k})::INT AS fold FROM noisy),
+    folded AS (SELECT *, floor({u("'0'", *keys)} * {k})::INT AS fold FROM {source}),
     models AS (SELECT unnest(range({k})) AS m),
     med AS MATERIALIZED (
       SELECT dataset_id, m, median(price) AS mp, median(discount) AS mdis
@@ -253,10 +262,9 @@ def _newton_sql(passes: int = 9, k: int = 5) -> str:
         stddev_pop(coalesce(discount, mdis)) AS s2
       FROM folded JOIN med USING (dataset_id) WHERE fold <> m GROUP BY 1, 2, 3, 4),
     z AS MATERIALIZED (
-      SELECT dataset_id, m, fold, high, (coalesce(price, mp) - a1) / s1 AS z1,
+      SELECT dataset_id, {keep} m, fold, high, (coalesce(price, mp) - a1) / s1 AS z1,
         (coalesce(discount, mdis) - a2) / s2 AS z2 FROM folded JOIN mom USING (dataset_id)),
-    theta0 AS (SELECT dataset_id, m, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS t1, 0.0::DOUBLE AS t2
-      FROM mom),{','.join(steps)}"""
+    {_newton_steps(passes)}"""
 
 
 _PASSES = 9
@@ -264,7 +272,7 @@ _PASSES = 9
 
 @query(
     "label_integrity",
-    f"""WITH {NOISY_CTE}, {_newton_sql(_PASSES)},
+    f"""WITH {NOISY_CTE}, {newton_sql(_PASSES)},
     held AS (SELECT dataset_id, high, 1 / (1 + exp(-(t0 + t1 * z1 + t2 * z2))) AS p
       FROM z JOIN theta{_PASSES} USING (dataset_id, m) WHERE fold = m)
     SELECT dataset_id, {sql.r6('avg(1 - CASE WHEN high = 1 THEN p ELSE 1 - p END)')} AS score,
@@ -284,7 +292,7 @@ def label_integrity(spark, folder):
 
 @query(
     "fold_impute_scale",
-    f"""WITH {NOISY_CTE}, {_newton_sql(1)}
+    f"""WITH {NOISY_CTE}, {newton_sql(1)}
     SELECT dataset_id, m AS model, {sql.r6('mdis')} AS fill, {sql.r6('a1')} AS price_mean,
       {sql.r6('s1')} AS price_sd, {sql.r6('a2')} AS discount_mean, {sql.r6('s2')} AS discount_sd
     FROM mom""",
@@ -327,8 +335,7 @@ def label_integrity_given_proba(spark, folder):
 
 @query(
     "suspicious_rows",
-    f"""WITH {NOISY_CTE}, {_newton_sql(_PASSES).replace(
-        "SELECT dataset_id, m, fold, high,", f"SELECT dataset_id, {_KEY_SQL}, m, fold, high,")},
+    f"""WITH {NOISY_CTE}, {newton_sql(_PASSES, keep=_KEY_SQL + ',')},
     held AS (SELECT dataset_id, {_KEY_SQL}, high, 1 / (1 + exp(-(t0 + t1 * z1 + t2 * z2))) AS p
       FROM z JOIN theta{_PASSES} USING (dataset_id, m) WHERE fold = m)
     SELECT dataset_id, {_KEY_SQL},
@@ -379,14 +386,67 @@ def downstream_models(spark, folder):
     )
 
 
-@query("label_noise_study")
+_STUDY_DOSES = (0.0, 0.05, 0.1, 0.2, 0.4)
+_STUDY_SEEDS = (0, 1, 2, 3, 4)
+
+
+@query(
+    "label_noise_study",
+    f"""WITH {NOISY_CTE},
+    med AS (SELECT median(discount) AS md FROM noisy),
+    filled AS (SELECT {_KEY_SQL}, price, coalesce(discount, md) AS discount, high FROM noisy, med),
+    scale AS (SELECT avg(price) AS a1, stddev_pop(price) AS s1, avg(discount) AS a2,
+      stddev_pop(discount) AS s2 FROM filled),
+    doses AS (SELECT unnest([{', '.join(map(str, _STUDY_DOSES))}])::DOUBLE AS injected_p),
+    seeds AS (SELECT unnest([{', '.join(map(str, _STUDY_SEEDS))}]) AS seed),
+    drawn AS MATERIALIZED (
+      SELECT seed, (price - a1) / s1 AS z1, (discount - a2) / s2 AS z2, high AS y0,
+        {u("'split' || seed", *_KEYS)} < 0.25 AS is_test,
+        {u("'flip' || seed", *_KEYS)} AS draw, floor({u("'0'", 'seed', *_KEYS)} * 5)::INT AS f
+      FROM filled CROSS JOIN seeds, scale),
+    runs AS MATERIALIZED (
+      SELECT injected_p::VARCHAR || '|' || seed AS dataset_id, injected_p, seed, z1, z2,
+        CASE WHEN draw < injected_p AND NOT is_test THEN 1 - y0 ELSE y0 END AS high,
+        CASE WHEN is_test THEN 5 ELSE f END AS fold
+      FROM drawn CROSS JOIN doses),
+    -- Models 0 to 4 hold out a fold of the training rows, model 5 the test rows.
+    models AS (SELECT unnest(range(6)) AS m),
+    z AS (SELECT * FROM runs CROSS JOIN models WHERE m = 5 OR fold <> 5),
+    ids AS (SELECT DISTINCT dataset_id, m FROM (SELECT DISTINCT dataset_id FROM runs), models),
+    {_newton_steps(_PASSES, 'fold <> m AND fold <> 5', 'ids')},
+    held AS MATERIALIZED (
+      SELECT injected_p, seed, m, high AS y, 1 / (1 + exp(-(t0 + t1 * z1 + t2 * z2))) AS p
+      FROM z JOIN theta{_PASSES} USING (dataset_id, m) WHERE fold = m),
+    proxies AS (SELECT injected_p, seed, avg(1 - CASE WHEN y = 1 THEN p ELSE 1 - p END) AS proxy
+      FROM held WHERE m < 5 GROUP BY 1, 2),
+    tests AS (SELECT * FROM held WHERE m = 5),
+    ranked AS (SELECT *, rank() OVER (PARTITION BY injected_p, seed ORDER BY p)
+      + (count(*) OVER (PARTITION BY injected_p, seed, p) - 1) / 2 AS rk FROM tests),
+    aucs AS (SELECT injected_p, seed, (sum(rk) FILTER (y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2)
+      / (sum(y)::DOUBLE * sum(1 - y)) AS auc FROM ranked GROUP BY 1, 2),
+    recalls AS (SELECT injected_p, seed, y, avg(((p >= 0.5)::INT = y)::INT) AS recall
+      FROM tests GROUP BY 1, 2, 3),
+    accuracies AS (SELECT injected_p, seed, avg(recall) AS bal_acc FROM recalls GROUP BY 1, 2),
+    eces AS (SELECT injected_p, seed, sum(abs(mp - my) * n) / sum(n) AS ece FROM (
+      SELECT injected_p, seed, floor(p * 10) AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my
+      FROM tests GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT injected_p, seed, 'logreg' AS model, {sql.r6('proxy')} AS proxy_noise,
+      {sql.r6('auc')} AS auc, {sql.r6('bal_acc')} AS bal_acc, {sql.r6('ece')} AS ece
+    FROM proxies JOIN aucs USING (injected_p, seed) JOIN accuracies USING (injected_p, seed)
+      JOIN eces USING (injected_p, seed)""",
+)
 def noise_study(spark, folder):
     """The full dose and seed grid with the logistic model, on all line items."""
     rows = noisy_lines(spark, folder)
-    prepared, names = design_matrix(
-        rows, ["price", "discount"], ["dataset_id"], keep=[*_KEYS, "high"]
-    )
-    found = label_noise_study(prepared, len(names), "high", _KEYS, models=("logreg",))
-    return found.select(
-        "injected_p", "seed", "model", *[F.round(c, 4).alias(c) for c in ("proxy_noise", "auc", "bal_acc", "ece")]
+    prepared, names = design_matrix(rows, ["price", "discount"], [], keep=[*_KEYS, "high"])
+    found = label_noise_study(
+        prepared,
+        len(names),
+        "high",
+        _KEYS,
+        doses=_STUDY_DOSES,
+        seeds=_STUDY_SEEDS,
+        models=("logreg",),
     )
+    measures = ("proxy_noise", "auc", "bal_acc", "ece")
+    return found.select("injected_p", "seed", "model", *[r6(c).alias(c) for c in measures])

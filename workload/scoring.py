@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perilscope.config import SafetyConfig
 from perilscope.functions.draws import uniform
 from perilscope.operators import text_harm
 from perilscope.operators.composite import compute_safety_composite, passes_threshold, to_json
@@ -21,6 +20,7 @@ from perilscope.functions.text import eligible
 from perilscope.plans.assess import assess_safety
 from perilscope.schemas import PROXY_COLUMNS, explode_proxies, proxy_struct
 from workload import sql
+from workload.experiments import newton_sql
 from workload.registry import query, r6
 from workload.sql import clamp, u
 from workload.tables import (
@@ -449,33 +449,59 @@ def sampled_density(spark, folder):
     )
 
 
-@query("assess_labelled")
+_LABELLED = f"""
+    rows AS (
+      SELECT doc_id, text, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS dataset_id,
+        quality AS high, n_chars::DOUBLE AS price,
+        nullif(length(regexp_replace(text, '[^0-9]', '', 'g')), 0)::DOUBLE AS discount
+      FROM labels JOIN documents USING (doc_id))"""
+
+
+@query(
+    "assess_labelled",
+    f"""WITH {_LABELLED}, {sql.metadata_cte('SELECT DISTINCT dataset_id FROM rows')},
+    {sql.flags_cte('dataset_id', 'rows')}, {newton_sql(9, source='rows', keys=['doc_id'])},
+    held AS (SELECT dataset_id, high, 1 / (1 + exp(-(t0 + t1 * z1 + t2 * z2))) AS p
+      FROM z JOIN theta9 USING (dataset_id, m) WHERE fold = m),
+    fitted AS (SELECT dataset_id, avg(1 - CASE WHEN high = 1 THEN p ELSE 1 - p END) AS p5
+      FROM held GROUP BY 1),
+    s AS (
+      SELECT dataset_id, p5,
+        [({clamp('poison_raw')})::DOUBLE, ({clamp('origin_raw')})::DOUBLE, ({sql.DECAY})::DOUBLE,
+         greatest(toxic, pii)::DOUBLE, p5, dual::DOUBLE,
+         CASE WHEN physical_process_coupled THEN (1.0 / 3)::DOUBLE END] AS scores
+      FROM meta_scores JOIN text_scores USING (dataset_id) JOIN fitted USING (dataset_id))
+    SELECT dataset_id, {sql.r6('list_avg(scores)')} AS safety,
+      list_count(scores)::BIGINT AS n_applicable, {sql.r6('p5')} AS label_integrity FROM s""",
+)
 def assess_labelled(spark, folder):
     """All seven proxies on the labelled documents, label integrity included."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
+    digits = F.length(F.regexp_replace("text", "[^0-9]", ""))
     rows = (
         table(spark, folder, "labels")
         .join(docs, "doc_id")
-        .withColumn("n_letters", F.length(F.regexp_replace("text", r"[^\p{L}]", "")))
-        .withColumn("n_digits", F.length(F.regexp_replace("text", r"[^0-9]", "")))
-        .withColumn("n_words", F.size(F.split("text", r"\s+")))
+        .select(
+            "doc_id",
+            "text",
+            "quality",
+            "n_chars",
+            F.when(F.col("lang") == "en", "en").otherwise("other").alias("dataset_id"),
+            F.nullif(digits, F.lit(0)).alias("n_digits"),
+        )
     )
-    sets = rows.select(F.col("lang").alias("dataset_id")).distinct()
-    config = SafetyConfig(
-        dataset_column="lang",
-        text_column="text",
+    config = text_config(
         label_column="quality",
-        feature_columns=("n_letters", "n_digits", "n_words"),
-        key_columns=("doc_id",),
-        as_of=sql.AS_OF,
-        physical_process_coupled=True,
+        feature_columns=("n_chars", "n_digits"),
         required_edge_probes=("night", "rain", "snow"),
         present_edge_probes=("night", "rain"),
     )
+    sets = rows.select("dataset_id").distinct()
     safety = assess_safety(rows, metadata_for(sets), config).safety
+    fitted = F.filter("breakdown", lambda b: b["proxy"] == "label_integrity")[0]
     return safety.select(
         "dataset_id",
-        F.round("safety", 4).alias("safety"),
+        r6("safety").alias("safety"),
         "n_applicable",
-        F.concat_ws(",", "excluded_for_na").alias("excluded"),
+        r6(fitted["score"]).alias("label_integrity"),
     )
