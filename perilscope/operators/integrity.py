@@ -35,6 +35,7 @@ from perilscope.schemas import CONTENT_ORIGIN, explode_proxies, proxy_struct
 from perilscope.session import cut_lineage
 
 _STATS = "integrity_stats"
+_SCALING = "dataset_id string, model int, feature string, fill double, mean double, sd double"
 _PARALLEL_FITS = 4
 _SPLIT_BYTES = 64 << 20
 _SPREAD_ROWS = 20_000
@@ -219,18 +220,22 @@ def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFram
 
     Small: one row per model and feature. ``fill`` is 0 for a feature without gaps.
     """
+    spark = matrix.sparkSession
     blocks, shape = _packed(matrix, len(features))
-    models = _starting_models(matrix, blocks, shape, k, len(features), True)
+    waves, _ = _plan_waves(shape, k, len(features))
+    parts = []
+    for number in range(waves):
+        rows, packed, cells = (_wave(df, number, waves) for df in (matrix, blocks, shape))
+        models = _starting_models(rows, packed, cells, k, len(features), True)
+        found = [
+            (name, i, f, float(m.fill[i, j]), float(m.shift[i, j]), float(1.0 / m.scale[i, j]))
+            for name, m in models.items()
+            for i in range(k)
+            for j, f in enumerate(features)
+        ]
+        parts.append(cut_lineage(spark.createDataFrame(found, _SCALING)))
     blocks.unpersist()
-    rows = [
-        (name, i, f, float(m.fill[i, j]), float(m.shift[i, j]), float(1.0 / m.scale[i, j]))
-        for name, m in models.items()
-        for i in range(k)
-        for j, f in enumerate(features)
-    ]
-    return matrix.sparkSession.createDataFrame(
-        rows, "dataset_id string, model int, feature string, fill double, mean double, sd double"
-    )
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- out-of-fold probabilities --------------------------------------------

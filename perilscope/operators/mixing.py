@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from perilscope.functions.draws import uniform, uniform_int
 from perilscope.operators.sampling import draw_ranks
+from perilscope.session import shuffle_width
 
 _CHUNK = 100_000
 
@@ -95,6 +96,7 @@ def dose_mix(
         )
         picks = (
             grid.withColumn("_from", F.explode(F.sequence(F.lit(1), "need", F.lit(_CHUNK))))
+            .repartition(shuffle_width(pool.sparkSession))
             .withColumn("_to", F.least(F.col("_from") + F.lit(_CHUNK - 1), "need"))
             .withColumn("draw_no", F.explode(F.sequence("_from", "_to")))
             .select(

@@ -28,6 +28,15 @@ def local_session(cores: int | str = "*", app: str = "perilscope", **conf: str)
     return builder.getOrCreate()
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions to cut to by number, where rows are about to multiply.
+
+    Adaptive execution sizes partitions by what is in them now, and would put
+    rows that are small before they multiply into one task.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder checkpoints go to: the cluster's own setting where there is one.
 
