@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,11 +18,13 @@ from perilscope.schemas import (
     CONTENT_ORIGIN,
     PHYSICAL_SAFETY,
     PROXY_COLUMNS,
+    describe_one,
     explode_proxies,
     proxy_struct,
     with_metadata_columns,
 )
 
+_ONLY = "dataset"
 ExtraProxy = Callable[[DataFrame, DataFrame, SafetyConfig], DataFrame]
 
 
@@ -47,7 +49,7 @@ def _not_applicable(name: str, group: str, reason: str):
 
 def assess_safety(
     records: DataFrame,
-    metadata: DataFrame,
+    metadata: DataFrame | Mapping[str, object],
     config: SafetyConfig,
     required_probes: DataFrame | None = None,
     present_probes: DataFrame | None = None,
@@ -56,6 +58,8 @@ def assess_safety(
 ) -> Assessment:
     """Score every dataset in ``records`` and every one described in ``metadata``.
 
+    Records without the dataset column are one dataset, named ``dataset``, which
+    a plain mapping may describe.
     A dataset on one side only is still scored: without metadata it gets the
     defaults, without records its content proxies do not apply. A named text or
     label column that is absent makes its proxies not applicable. The text is
@@ -64,6 +68,12 @@ def assess_safety(
     come as (dataset_id, probe) tables or, for all datasets alike, as the lists
     in the configuration (which serve where no table of required probes is given).
     """
+    if isinstance(metadata, Mapping):
+        if config.dataset_column in records.columns:
+            raise ValueError("a mapping describes one dataset: give a metadata table instead")
+        metadata = describe_one(records.sparkSession, metadata, _ONLY)
+    if config.dataset_column not in records.columns:
+        records = records.withColumn(config.dataset_column, F.lit(_ONLY))
     have = set(records.columns)
     has_text = config.text_column is not None and config.text_column in have
     has_label = config.label_column is not None and config.label_column in have

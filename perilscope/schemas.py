@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,16 @@ ORDER = {
 }
 
 
+def describe_one(spark: SparkSession, values: Mapping[str, object], dataset_id: str) -> DataFrame:
+    """A one-row metadata table from a plain mapping; flags count as given when truthy."""
+    convert = {T.BooleanType: bool, T.IntegerType: int, T.DoubleType: float, T.StringType: str}
+    row = [dataset_id]
+    for f in METADATA.fields[1:]:
+        value = values.get(f.name)
+        row.append(None if value is None else convert[type(f.dataType)](value))
+    return spark.createDataFrame([tuple(row)], METADATA)
+
+
 def with_metadata_columns(df: DataFrame) -> DataFrame:
     """Add absent metadata columns as nulls and give the present ones their types."""
     have = set(df.columns)

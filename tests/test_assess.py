@@ -98,6 +98,18 @@ def test_extra_proxy_is_folded_in(spark):
     assert more["safety"] == pytest.approx((plain["safety"] * 2 + 0.5) / 3)
 
 
+def test_one_dataset_and_a_mapping(spark):
+    meta = {"source_count": 3, "ugc_fraction": 0.2, "data_collection_end": "2023-01-01"}
+    frame = toy(spark)
+    config = SafetyConfig(as_of="2024-01-01")
+    row = assess_safety(frame.drop("dataset_id"), meta, config).safety.first()
+    scores = [b["score"] for b in row["breakdown"] if b["applicable"]]
+    assert row["dataset_id"] == "dataset"
+    assert scores == pytest.approx([0.85, 0.1, 1 - np.exp(-1)])
+    with pytest.raises(ValueError, match="mapping"):
+        assess_safety(frame, meta, config)
+
+
 def test_coverage(spark):
     sets = spark.createDataFrame(
         [("a", True), ("b", False), ("c", True), ("d", None)],

@@ -41,12 +41,14 @@ NOISY_CTE = f"""
 
 @query(
     "dose_mix",
-    f"WITH {sql.mix_cte(sql.MIX_ROWS)} SELECT injected_p, seed, draw_no, label, doc_id FROM mix",
+    f"""WITH {sql.mix_cte(sql.MIX_ROWS)} SELECT injected_p, seed, draw_no, label, doc_id,
+      {sql.r6(u("'mix'", 'seed', 'doc_id', 'draw_no'))} AS mix_order FROM mix""",
 )
 def mix(spark, folder):
     pool = labelled_pool(spark, folder)
     found = dose_mix(pool, "label", ["doc_id"], sql.MIX_DOSES, sql.MIX_SEEDS, sql.MIX_ROWS)
-    return found.select("injected_p", "seed", "draw_no", "label", "doc_id")
+    order = r6("mix_order").alias("mix_order")
+    return found.select("injected_p", "seed", "draw_no", "label", "doc_id", order)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from perilscope.operators.metrics import (
@@ -23,7 +25,13 @@ from perilscope.operators.statistics import (
     sign_verdict,
 )
 from perilscope.plans import reports
-from perilscope.sources.measurements import slice_keys, slice_name
+from perilscope.session import checkpoint_folder
+from perilscope.sources.measurements import (
+    append_measurements,
+    pending_runs,
+    slice_keys,
+    slice_name,
+)
 from workload import sql
 from workload.experiments import NOISY_CTE
 from workload.registry import query, r6
@@ -296,6 +304,22 @@ def names_and_keys(spark, folder):
     return slice_keys(named).select("slice_name", "injected_p", "seed")
 
 
+@query(
+    "resume_runs",
+    f"""WITH {_M} SELECT injected_p, seed, seed >= 3 AS pending, {sql.r6('density')} AS density
+    FROM measured""",
+)
+def resume_runs(spark, folder):
+    """A study cut short after three seeds: the sink holds those, the rest are pending."""
+    sink = f"{checkpoint_folder(spark)}/measurements-{uuid4().hex}"
+    keys = ["injected_p", "seed"]
+    measured = mix_measurements(spark, folder).select(*keys, "density")
+    append_measurements(measured.filter("seed < 3"), sink, "text")
+    left = pending_runs(measured, sink, "text", keys).withColumn("pending", F.lit(True))
+    done = spark.read.parquet(sink).select(*keys, "density").withColumn("pending", F.lit(False))
+    return left.unionByName(done).select(*keys, "pending", r6("density").alias("density"))
+
+
 def _calibration(spark, folder):
     return mix_measurements(spark, folder).select(
         "injected_p", "seed", F.col("density").alias("harm_content_density")

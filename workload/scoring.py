@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perilscope.config import PatternRule
 from perilscope.functions.draws import uniform
 from perilscope.operators import text_harm
 from perilscope.operators.composite import compute_safety_composite, passes_threshold, to_json
@@ -205,7 +206,11 @@ _CUSTOM_PII = {
 )
 def harm_pii(spark, folder):
     docs = doc_sets(spark, folder)
-    custom = text_harm.harm_content_density(docs, text_config(pii_rules=_CUSTOM_PII)).select(
+    rules = [
+        PatternRule(name, pattern, must_contain="@" if name == "email" else None)
+        for name, pattern in _CUSTOM_PII.items()
+    ]
+    custom = text_harm.harm_content_density(docs, text_config(pii_rules=rules)).select(
         "dataset_id",
         r6("raw_value.pii_fraction").alias("custom_pii"),
         *[r6(F.col("raw_value")[f"pii_{n}_fraction"]).alias(n) for n in _CUSTOM_PII],
