@@ -31,7 +31,7 @@ from perilscope.operators.fold_models import (
 )
 from perilscope.operators.sampling import assign_folds
 from perilscope.operators.small import checked_broadcast
-from perilscope.schemas import CONTENT_ORIGIN, explode_proxies, proxy_struct
+from perilscope.schemas import CONTENT_ORIGIN, dataset_id, explode_proxies, proxy_struct
 from perilscope.session import cut_lineage
 
 _STATS = "integrity_stats"
@@ -86,7 +86,7 @@ def build_matrix(
         records = records.withColumn("_row_hash", F.xxhash64(label_column, *features))
         key_columns = ["_row_hash"]
     rows = records.select(
-        F.coalesce(F.col(dataset_column).cast("string"), F.lit("")).alias("dataset_id"),
+        dataset_id(dataset_column),
         F.col(label_column).alias("_label"),
         *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key_columns)],
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
@@ -420,9 +420,9 @@ def integrity_stats(records: DataFrame, config: SafetyConfig) -> DataFrame | Non
         records, config.label_column, features, config.dataset_column, settings, _keys(config)
     )
     scores = held_out_scores(matrix, len(features), settings.n_splits, settings)
-    nulls = records.groupBy(
-        F.coalesce(F.col(config.dataset_column).cast("string"), F.lit("")).alias("dataset_id")
-    ).agg(F.count_if(F.col(config.label_column).isNull()).alias("n_null_labels"))
+    nulls = records.groupBy(dataset_id(config.dataset_column)).agg(
+        F.count_if(F.col(config.label_column).isNull()).alias("n_null_labels")
+    )
     return nulls.join(scores, "dataset_id", "left").select(
         "dataset_id",
         F.struct(
@@ -462,10 +462,8 @@ def label_integrity(records: DataFrame, config: SafetyConfig) -> DataFrame:
             applicable=False,
             reason=F.lit(reason or "no numeric features"),
         )
-        datasets = records.select(
-            F.coalesce(F.col(config.dataset_column).cast("string"), F.lit("")).alias("dataset_id")
-        )
-        return explode_proxies(datasets.distinct(), blank)
+        datasets = records.select(dataset_id(config.dataset_column)).distinct()
+        return explode_proxies(datasets, blank)
     return explode_proxies(stats, integrity_struct())
 
 

@@ -15,9 +15,15 @@ from perilscope.config import DUAL_USE_TERMS, SafetyConfig, as_rules
 from perilscope.functions import text as tx
 from perilscope.functions.numeric import clamp01
 from perilscope.operators.sampling import fixed_size_sample
-from perilscope.schemas import CONTENT_ORIGIN, PHYSICAL_SAFETY, explode_proxies, proxy_struct
+from perilscope.schemas import (
+    CONTENT_ORIGIN,
+    PHYSICAL_SAFETY,
+    dataset_id,
+    explode_proxies,
+    proxy_struct,
+)
 
-_STATS = "text_stats"
+_STATS = "_text_"
 
 
 def toxicity_flag(
@@ -46,7 +52,7 @@ def flag_texts(records: DataFrame, config: SafetyConfig, keep: list[str] | None
     searched = records.withColumns({"_low": tx.lowered(text), "_odd": tx.folds_to_ascii(text)})
     terms = config.dual_use_terms or DUAL_USE_TERMS
     flags = searched.select(
-        F.col(config.dataset_column).cast("string").alias("dataset_id"),
+        dataset_id(config.dataset_column),
         *[F.col(c) for c in (keep or [])],
         tx.eligible(text).alias("is_text"),
         F.coalesce(toxicity_flag(config, low, odd), F.lit(False)).alias("is_toxic"),
@@ -67,7 +73,9 @@ def sampled(records: DataFrame, config: SafetyConfig) -> DataFrame:
     """The rows to score: all of them, or a seeded sample of the eligible ones per dataset."""
     if config.harm_sample_size is None:
         return records
-    texts = records.filter(tx.eligible(F.col(config.text_column)))
+    texts = records.filter(tx.eligible(F.col(config.text_column))).withColumn(
+        config.dataset_column, dataset_id(config.dataset_column)
+    )
     return fixed_size_sample(
         texts,
         config.harm_sample_size,
@@ -78,57 +86,64 @@ def sampled(records: DataFrame, config: SafetyConfig) -> DataFrame:
 
 
 def text_stats(records: DataFrame, config: SafetyConfig) -> DataFrame:
-    """One row per dataset with all text fractions, from one pass over the text."""
-    rules = as_rules(config.pii_rules)
+    """One row per dataset with all text fractions, from one pass over the text.
+
+    The fractions are separate columns: those a caller does not go on to use
+    are pruned, together with the flags behind them.
+    """
+    flags = ["toxic", "pii", "dual_use"]
+    shares = [_share(f"is_{f}").alias(_STATS + f) for f in flags]
+    for r in as_rules(config.pii_rules):
+        shares.append(_share(f"pii_{r.name}").alias(f"{_STATS}pii_{r.name}"))
     return (
         flag_texts(records, config)
         .groupBy("dataset_id")
-        .agg(
-            F.struct(
-                F.count_if("is_text").alias("n_scored"),
-                _share("is_toxic").alias("toxic"),
-                _share("is_pii").alias("pii"),
-                _share("is_dual_use").alias("dual_use"),
-                *[_share(f"pii_{r.name}").alias(f"pii_{r.name}") for r in rules],
-            ).alias(_STATS)
-        )
+        .agg(F.count_if("is_text").alias(_STATS + "n"), *shares)
     )
 
 
+def _stat(name: str) -> Column:
+    return F.col(_STATS + name)
+
+
+def _scored_any() -> Column:
+    return F.coalesce(_stat("n") > 0, F.lit(False))
+
+
 def _no_text_reason() -> Column:
-    return F.when(F.col(f"{_STATS}.pii").isNull(), F.lit("text column empty"))
+    return F.when(~_scored_any(), F.lit("text column empty"))
 
 
 def harm_struct(config: SafetyConfig) -> Column:
-    toxic, pii = F.col(f"{_STATS}.toxic"), F.col(f"{_STATS}.pii")
+    toxic, pii = _stat("toxic"), _stat("pii")
     raw = {"toxic_fraction": toxic, "pii_fraction": pii}
     for r in as_rules(config.pii_rules):
-        raw[f"pii_{r.name}_fraction"] = F.col(f"{_STATS}.pii_{r.name}")
+        raw[f"pii_{r.name}_fraction"] = _stat(f"pii_{r.name}")
     return proxy_struct(
         "harm_content_density",
         CONTENT_ORIGIN,
         clamp01(F.greatest(toxic, pii)),
-        applicable=F.coalesce(F.col(f"{_STATS}.n_scored") > 0, F.lit(False)),
+        applicable=_scored_any(),
         raw=raw,
         reason=_no_text_reason(),
         details={
             "classifier_used": F.lit(classifier_name(config)),
-            "n_sampled": F.col(f"{_STATS}.n_scored"),
+            "n_sampled": _stat("n"),
         },
     )
 
 
 def physical_harm_struct() -> Column:
-    share = F.col(f"{_STATS}.dual_use")
+    share = _stat("dual_use")
     return proxy_struct(
         "physical_harm_enablement_density",
         PHYSICAL_SAFETY,
         clamp01(share),
-        applicable=F.coalesce(F.col(f"{_STATS}.n_scored") > 0, F.lit(False)),
+        applicable=_scored_any(),
         raw={"fraction": share},
         reason=_no_text_reason(),
         details={
-            "n_sampled": F.col(f"{_STATS}.n_scored"),
+            "n_sampled": _stat("n"),
             "note": F.lit("flag for elevated review and access control, not exclusion"),
         },
     )
@@ -138,9 +153,7 @@ def _with_all_datasets(stats: DataFrame, records: DataFrame, config: SafetyConfi
     """Sampling drops datasets without eligible text; bring them back as not applicable."""
     if config.harm_sample_size is None:
         return stats
-    known = records.select(
-        F.col(config.dataset_column).cast("string").alias("dataset_id")
-    ).distinct()
+    known = records.select(dataset_id(config.dataset_column)).distinct()
     return known.join(stats, "dataset_id", "left")
 
 
@@ -156,6 +169,6 @@ def harm_content_density(records: DataFrame, config: SafetyConfig) -> DataFrame:
 
 def physical_harm_enablement_density(records: DataFrame, config: SafetyConfig) -> DataFrame:
     """Share of texts naming any dual-use term: a flag for review, not for exclusion."""
-    # The verdict on toxicity is not read here, so leave its columns out of the scan.
+    # Toxicity is not read here; a word list keeps score columns out of what is required.
     lean = replace(config, classifier="lexicon")
     return explode_proxies(scored_text_stats(records, lean), physical_harm_struct())

@@ -18,6 +18,7 @@ from perilscope.schemas import (
     CONTENT_ORIGIN,
     PHYSICAL_SAFETY,
     PROXY_COLUMNS,
+    dataset_id,
     describe_one,
     explode_proxies,
     proxy_struct,
@@ -81,9 +82,7 @@ def assess_safety(
     if has_text:
         found = scored_text_stats(records, config)
     else:
-        found = records.select(
-            F.col(config.dataset_column).cast("string").alias("dataset_id")
-        ).distinct()
+        found = records.select(dataset_id(config.dataset_column)).distinct()
 
     described = with_metadata_columns(metadata)
     if "physical_process_coupled" not in described.columns:

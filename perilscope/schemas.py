@@ -49,10 +49,15 @@ ORDER = {
 }
 
 
-def describe_one(spark: SparkSession, values: Mapping[str, object], dataset_id: str) -> DataFrame:
+def dataset_id(column: str) -> Column:
+    """The dataset column as text; records without one together form the dataset ''."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("dataset_id")
+
+
+def describe_one(spark: SparkSession, values: Mapping[str, object], name: str) -> DataFrame:
     """A one-row metadata table from a plain mapping; flags count as given when truthy."""
     convert = {T.BooleanType: bool, T.IntegerType: int, T.DoubleType: float, T.StringType: str}
-    row = [dataset_id]
+    row = [name]
     for f in METADATA.fields[1:]:
         value = values.get(f.name)
         row.append(None if value is None else convert[type(f.dataType)](value))

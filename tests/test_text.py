@@ -129,6 +129,18 @@ def test_sampled_density_keeps_every_dataset(spark):
     assert not found["b"]["applicable"]
 
 
+def test_records_without_a_dataset_are_kept(spark):
+    frame = spark.createDataFrame(
+        [(None, i, "I hate it" if i % 2 else "fine") for i in range(6)],
+        "dataset_id string, id int, text string",
+    )
+    for size in (None, 100):
+        config = SafetyConfig(text_column="text", key_columns=("id",), harm_sample_size=size)
+        row = harm_content_density(frame, config).first()
+        assert row["dataset_id"] == "" and row["score"] == 0.5
+        assert row["details"]["n_sampled"] == "6"
+
+
 def test_heads(spark):
     nan = float("nan")
     rows = [
