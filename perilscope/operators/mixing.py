@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perilscope.functions.draws import uniform, uniform_int
 from perilscope.operators.sampling import draw_ranks
-from perilscope.session import shuffle_width
+from perilscope.session import partitions_for
 
 _CHUNK = 100_000
 
@@ -90,13 +90,14 @@ def dose_mix(
         .select("_w.injected_p", "seed", F.col("draw_rank").alias("draw_no"), *pool.columns)
     )
     if short:
+        total = len(seeds) * sum(n for _, _, n in short)
         grid = pool.sparkSession.createDataFrame(
             [(p, code, n, sizes[code], int(s)) for p, code, n in short for s in seeds],
             "injected_p double, code int, need bigint, pool bigint, seed int",
         )
         picks = (
             grid.withColumn("_from", F.explode(F.sequence(F.lit(1), "need", F.lit(_CHUNK))))
-            .repartition(shuffle_width(pool.sparkSession))
+            .repartition(partitions_for(pool.sparkSession, total))
             .withColumn("_to", F.least(F.col("_from") + F.lit(_CHUNK - 1), "need"))
             .withColumn("draw_no", F.explode(F.sequence("_from", "_to")))
             .select(

@@ -17,7 +17,7 @@ from perilscope.operators.mixing import dose_mix, flip_labels
 from perilscope.operators.models import boosted_tree_scores, logistic_scores
 from perilscope.operators.sampling import assign_folds
 from perilscope.operators.text_harm import flag_texts
-from perilscope.session import cut_lineage, shuffle_width
+from perilscope.session import cut_lineage, partitions_for
 
 TEXT_DOSES = (0.0, 0.025, 0.05, 0.1, 0.2, 0.4)
 NOISE_DOSES = (0.0, 0.05, 0.1, 0.2, 0.4)
@@ -87,9 +87,10 @@ def label_noise_study(
     models; boosted trees are one Spark ML fit per run.
     """
     # Every row is about to become one per run, so partitions are cut to that size first.
+    parts = partitions_for(matrix.sparkSession, matrix.count() * len(doses) * len(seeds))
     base = (
         matrix.select(*keys, F.col(label).cast("int").alias("_y0"), "x")
-        .repartition(shuffle_width(matrix.sparkSession), *keys)
+        .repartition(parts, *keys)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     grid = flip_labels(

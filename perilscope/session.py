@@ -28,13 +28,15 @@ def local_session(cores: int | str = "*", app: str = "perilscope", **conf: str)
     return builder.getOrCreate()
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Partitions to cut to by number, where rows are about to multiply.
+def partitions_for(spark: SparkSession, rows: int, most: int = 1_000_000) -> int:
+    """Partitions to cut to, by number, where rows are about to multiply to ``rows``.
 
     Adaptive execution sizes partitions by what is in them now, and would put
-    rows that are small before they multiply into one task.
+    rows that are few before they multiply into one task. Every core gets some
+    work where there is enough, and no partition more than ``most`` rows.
     """
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(cores, rows // 20_000), -(-rows // most))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
