@@ -264,8 +264,12 @@ def newton_sql(passes: int = 9, k: int = 5, source: str = "noisy", keys=_KEYS, k
         stddev_pop(coalesce(discount, mdis)) AS s2
       FROM folded JOIN med USING (dataset_id) WHERE fold <> m GROUP BY 1, 2, 3, 4),
     z AS MATERIALIZED (
-      SELECT dataset_id, {keep} m, fold, high, (coalesce(price, mp) - a1) / s1 AS z1,
-        (coalesce(discount, mdis) - a2) / s2 AS z2 FROM folded JOIN mom USING (dataset_id)),
+      -- A constant feature is left unscaled; one missing from all training rows counts as 0.
+      SELECT dataset_id, {keep} m, fold, high,
+        coalesce((coalesce(price, mp) - a1) / coalesce(nullif(s1, 0), 1), 0) AS z1,
+        CASE WHEN mdis IS NULL THEN coalesce(discount, 0)
+          ELSE (coalesce(discount, mdis) - a2) / coalesce(nullif(s2, 0), 1) END AS z2
+      FROM folded JOIN mom USING (dataset_id)),
     {_newton_steps(passes)}"""
 
 
