@@ -1,0 +1,86 @@
+"""DuckDB SQL that the queries must match."""
+
+_DRAW = """cast(('0x' || substr(md5('{seed}|' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT)
+        / 4294967296.0"""
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+SHARDING = f"""
+WITH RECURSIVE
+steps(k, c, n) AS (
+    SELECT i, i, 0 FROM range(256) t(i)
+    UNION ALL
+    SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1
+    FROM steps WHERE n < 8
+),
+crc AS (SELECT list(c ORDER BY k) AS tab FROM steps WHERE n = 8),
+sized AS (
+    SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 8 AS size,
+        regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes,
+        {_DRAW.format(seed='slot')} AS draw
+    FROM documents
+),
+summed AS (
+    SELECT doc_id, size, draw,
+        xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(bytes, lambda h: cast('0x' || h AS BIGINT))),
+            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS text_crc32
+    FROM sized, crc
+),
+keys AS (SELECT DISTINCT doc_id, coalesce(doc_id, 0) AS key FROM documents),
+walk(doc_id, state, place, nxt) AS (
+    SELECT doc_id, CASE WHEN key < 0 THEN key::HUGEINT + 18446744073709551616 ELSE key::HUGEINT END,
+        0::BIGINT, 0::BIGINT FROM keys
+    UNION ALL
+    SELECT doc_id, s2, nxt, cast(floor((nxt + 1) * (2147483648.0 / ((s2 >> 33) + 1)::DOUBLE)) AS BIGINT)
+    FROM (
+        SELECT doc_id, nxt, (state * 2862933555777941757 + 1) % 18446744073709551616 AS s2
+        FROM walk WHERE nxt < 24
+    )
+),
+ends AS (SELECT doc_id, place, nxt FROM walk WHERE nxt >= 24)
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, e.place AS shard,
+    row_number() OVER (PARTITION BY e.place ORDER BY draw, s.doc_id, size, text_crc32) - 1 AS slot,
+    CASE WHEN e.nxt = 24 THEN 24 ELSE e.place END AS grown_shard
+FROM summed s JOIN ends e ON s.doc_id IS NOT DISTINCT FROM e.doc_id
+"""
+
+MIXING = f"""
+WITH sized AS (
+    SELECT doc_id, source, {_WORDS} AS size, {_DRAW.format(seed='mix')} AS draw FROM documents
+),
+totals AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+    SELECT source, source_size, source_size * 3.0::DOUBLE AS cap,
+        [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][
+            ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight
+    FROM totals
+),
+levels AS (
+    SELECT *, row_number() OVER w AS place, cap / weight AS ratio,
+        ((SELECT sum(source_size) FROM totals)::DOUBLE
+          - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM weighed
+    WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)
+),
+level AS (SELECT arg_min(level, place) AS level FROM levels WHERE level <= ratio),
+targets AS (
+    SELECT source, source_size, least(cap, coalesce((SELECT level FROM level), 0) * weight) AS target
+    FROM levels
+),
+placed AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized
+),
+cut AS (
+    SELECT p.*, t.source_size, t.target,
+        CASE WHEN t.source_size > 0 THEN cast(floor(t.target) AS BIGINT) // t.source_size ELSE 0 END
+            AS epochs
+    FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target,
+    cast(epochs * size + greatest(0, least(size,
+        cast(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
+FROM cut
+"""
