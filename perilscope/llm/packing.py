@@ -25,7 +25,8 @@ END = 2
 #: Entries of the word cache of a worker before it is emptied.
 CACHED_WORDS = 400_000
 
-_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+_NAMES = ("piece", "start", "length", "ids_crc32")
+_PIECES = "piece:int,start:bigint,length:bigint,ids_crc32:bigint"
 _PLAN = (
     "length bigint, low bigint, high bigint, sequences bigint, copies bigint, place bigint"
 )
@@ -99,20 +100,21 @@ def token_pieces(
     ranks = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern, last = public_tokenizers.PATTERN, struct.pack("<I", end)
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"array<struct<{_PIECES}>>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = Encoder(ranks, pattern)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for batch in batches:
-            rows = [
-                (doc, *part)
-                for doc, text in zip(batch["doc_id"].array, batch["text"].array)
-                for part in cut(encode(text or "") + last, capacity)
-            ]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({"doc_id": "Int64"})
-
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"))
-    return slim.mapInPandas(pieces, _PIECES)
+        for texts in batches:
+            yield pd.Series(
+                [
+                    [dict(zip(_NAMES, p, strict=True)) for p in cut(encode(t or "") + last, capacity)]
+                    for t in texts
+                ]
+            )
+
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.inline(pieces(F.col("text").cast("string"))),
+    )
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

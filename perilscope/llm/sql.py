@@ -84,3 +84,64 @@ SELECT doc_id, source, size, source_size, target,
         cast(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
 FROM cut
 """
+
+
+def _print(text: str) -> str:
+    sections = f"string_split({text}, chr(10) || chr(10))"
+    paragraphs = "list_transform(string_split(s, chr(10)), lambda p: sha256(p))"
+    hashes = f"list_transform({sections}, lambda s: sha256('section|' || array_to_string({paragraphs}, '|')))"
+    blocks = f"regexp_extract_all({text}, '[^\\n]{{1,32}}')"
+    marks = f"list_distinct(list_transform({blocks}, lambda b: md5(b)[1:8]))"
+    return (
+        f"sha256('document|' || array_to_string({hashes}, '|')) || ':'"
+        f" || array_to_string(list_sort({marks})[1:64], '')"
+    )
+
+
+def _near(left: str, right: str) -> str:
+    def marks(p: str) -> str:
+        return f"regexp_extract_all({p}[66:], '.{{8}}')"
+
+    union = f"list_sort(list_distinct(list_concat({marks(left)}, {marks(right)})))[1:64]"
+    common = f"len(list_intersect(list_intersect({union}, {marks(left)}), {marks(right)}))"
+    share = f"({common} / greatest(len({union}), 1)::DOUBLE)"
+    return (
+        f"CASE WHEN {left}[1:64] = {right}[1:64] THEN 1.0::DOUBLE"
+        f" ELSE 2 * {share} / (1 + {share}) END"
+    )
+
+
+FINGERPRINTS = f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, {_print("coalesce(text, '')")} AS print FROM documents
+),
+following AS (
+    SELECT *, length(text) AS n, length(text) // 4 AS q,
+        coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,
+        coalesce(lead(print) OVER w, first_value(print) OVER w) AS next_print
+    FROM texts WINDOW w AS (ORDER BY doc_id)
+),
+edited AS (
+    SELECT *, left(text, n - q) || left(next_text, q) AS edited FROM following
+),
+prints AS (SELECT *, {_print('edited')} AS edited_print FROM edited)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, print AS fingerprint,
+    edited_print AS edited_fingerprint,
+    {_near('print', 'edited_print')} AS near_edited, {_near('print', 'next_print')} AS near_next
+FROM prints
+"""
+
+TOP_K = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
+    vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
