@@ -69,14 +69,24 @@ class RangeHash:
         return _mix((self.sums[stops] - self.sums[starts]) * self.inverse[starts])
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+def _sliding_min(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every ``width`` values, and the place of its first occurrence."""
+    places = np.arange(len(values))
+
+    def joined(shift: int) -> None:
+        nonlocal values, places
+        n = len(values) - shift
+        later = values[shift:] < values[:n]
+        values = np.where(later, values[shift:], values[:n])
+        places = np.where(later, places[shift:], places[:n])
+
     span = 1
     while span * 2 <= width:
-        values = np.minimum(values[:-span], values[span:])
+        joined(span)
         span *= 2
     if span < width:
-        values = np.minimum(values[: len(values) - (width - span)], values[width - span :])
-    return values
+        joined(width - span)
+    return values, places
 
 
 def segments(
@@ -93,26 +103,21 @@ def segments(
     owner = np.repeat(np.arange(len(docs)), lengths)
     first, second = RangeHash(ids, _ODD[0]), RangeHash(ids, _ODD[1])
     at = np.arange(len(ids) - anchor + 1)
-    least = _sliding_min(first(at, at + anchor), size - anchor + 1)
+    least, place = _sliding_min(first(at, at + anchor), size - anchor + 1)
     start = np.arange(len(least))
     whole = start + size <= ends[owner[: len(least)]]
     single = np.zeros(len(least), bool)
     if len(common):
-        place = np.searchsorted(common, least).clip(max=len(common) - 1)
-        single = common[place] == least
+        near = np.searchsorted(common, least).clip(max=len(common) - 1)
+        single = common[near] == least
         keys = first(start, start + size)
         least = np.where(single, keys, least)
+    # windows that see the anchor at one place: no two of these can be equal
     fresh = np.ones(len(least), bool)
-    fresh[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1]) | single[1:]
+    fresh[1:] = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1]) | single[1:] | single[:-1]
     fresh[1:] |= owner[1 : len(least)] != owner[: len(least) - 1]
     begins = np.flatnonzero(fresh)
     runs = np.diff(np.append(begins, len(least)))
-    # a run of repeated words can be long: cut it
-    most = size - anchor + 1
-    parts = -(-runs // most)
-    begins, runs = np.repeat(begins, parts), np.repeat(runs, parts)
-    nth = np.arange(len(begins)) - np.repeat(parts.cumsum() - parts, parts)
-    begins, runs = begins + nth * most, np.minimum(most, runs - nth * most)
     good = whole[begins]
     begins, runs = begins[good], runs[good]
     document = owner[begins]
