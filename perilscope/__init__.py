@@ -13,6 +13,7 @@ from perilscope.operators.metadata import (
     factual_decay_rate,
     poisoning_susceptibility,
 )
+from perilscope.operators.models import TextScorer, fit_text_scorer
 from perilscope.operators.text_harm import (
     harm_content_density,
     physical_harm_enablement_density,
@@ -25,10 +26,12 @@ __all__ = [
     "IntegritySettings",
     "PatternRule",
     "SafetyConfig",
+    "TextScorer",
     "adversarial_provenance_risk",
     "assess_safety",
     "compute_safety_composite",
     "factual_decay_rate",
+    "fit_text_scorer",
     "harm_content_density",
     "label_integrity",
     "passes_threshold",

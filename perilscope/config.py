@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -56,7 +56,7 @@ class IntegritySettings:
     exact_folds: bool = False
     preprocess: bool = True
     inverse_penalty: float = 1.0
-    max_iter: int = 50
+    max_iter: int = 2000
     tol: float = 1e-6
     estimator: Any = None
 
@@ -71,8 +71,8 @@ class SafetyConfig:
 
     ``harm_sample_size=None`` scores every text; a number scores that many
     texts of each dataset, drawn by a seeded hash of ``key_columns``.
-    ``classifier`` is ``"heads"`` (score columns), ``"lexicon"``, or a function
-    from the text column to a Boolean column.
+    ``classifier`` is ``"heads"`` (score columns), ``"lexicon"``, a fitted
+    ``TextScorer``, or a function from the text column to a Boolean column.
     """
 
     dataset_column: str = "dataset_id"
@@ -87,7 +87,7 @@ class SafetyConfig:
     harm_sample_size: int | None = None
     sample_seed: int = 42
     toxicity_threshold: float = 0.7
-    classifier: str | Callable = "lexicon"
+    classifier: Any = "lexicon"
     head_columns: tuple[str, ...] = HEADS
     lexicon: tuple[str, ...] = LEXICON
     pii_rules: Mapping[str, str] | Sequence[PatternRule] | None = None
@@ -100,5 +100,11 @@ class SafetyConfig:
             raise ValueError(
                 f"unknown classifier {self.classifier!r}: use 'heads', 'lexicon' or a function"
             )
+        if not (
+            isinstance(self.classifier, str)
+            or callable(self.classifier)
+            or hasattr(self.classifier, "with_score")
+        ):
+            raise ValueError("the classifier is neither a name, a function nor a text scorer")
         if self.harm_sample_size is not None and not self.key_columns:
             raise ValueError("harm_sample_size needs key_columns to draw on")

@@ -3,16 +3,18 @@
 The input is one table, ``(dataset_id, y, fold, x)``. Model i of a dataset is
 trained on that dataset's rows outside fold i, and its rows in fold i are what
 it scores. Rows are packed once into dense blocks, which Spark keeps, so that a
-pass moves bytes instead of converting rows. Each pass over the blocks sums the loss, gradient and curvature of
-all models in the tasks that hold the rows; Spark adds the partial sums, and
-the driver takes one damped Newton step per model. A handful of passes serve
-all datasets and folds together, where separate fits would need a few dozen
-passes each. The sums do not depend on how rows are spread, so a dataset that
-holds most rows needs no special care.
-
-What reaches the driver is bounded: datasets are handled in waves whose sums
-fit ``WAVE_CELLS``. Models too wide for that go through Spark ML instead (see
-``integrity``).
+pass moves bytes instead of converting rows. Each pass over the blocks sums the
+loss, gradient and curvature of all models in the tasks that hold the rows;
+Spark adds the partial sums, and the driver takes one damped step per model. A
+handful of passes serve all datasets and folds together, where separate fits
+would need a few dozen passes each. The sums do not depend on how rows are
+spread, so a dataset that holds most rows needs no special care.
+
+A step is Newton's where the whole curvature is small enough to send; a model
+of more than ``NEWTON_PARAMETERS`` sends the curvature's diagonal and takes
+limited-memory quasi-Newton steps. Objective, stopping rule and limit of passes
+are the same, and each dataset goes by its own width. What reaches the driver
+is bounded: datasets are handled in waves whose sums fit ``WAVE_CELLS``.
 """
 
 from __future__ import annotations
@@ -32,7 +34,16 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WAVE_CELLS = 2_000_000
-WIDTH_LIMIT = 512
+NEWTON_PARAMETERS = 512
+_MEMORY = 10
+
+
+class InfiniteFeature(ValueError):
+    """A feature, by its place, with an infinite value in a dataset."""
+
+    def __init__(self, dataset: str, feature: int, name: str | None = None):
+        super().__init__(f"infinite value in feature {name or feature} of dataset {dataset!r}")
+        self.dataset, self.feature = dataset, feature
 
 
 @dataclass
@@ -45,6 +56,7 @@ class DatasetModels:
     scale: np.ndarray  # (k, d)
     theta: np.ndarray  # (k, rows, d + 1); the last column is the intercept
     present: np.ndarray  # (k, n_classes) classes among the training rows
+    unfinished: int = 0  # models still moving when the passes ran out
 
 
 def parameter_rows(n_classes: int) -> int:
@@ -52,6 +64,13 @@ def parameter_rows(n_classes: int) -> int:
     return 1 if n_classes == 2 else n_classes
 
 
+def sent_cells(parameters: float) -> float:
+    """Numbers that a model of so many parameters sends in one pass."""
+    if parameters <= NEWTON_PARAMETERS:
+        return 1 + parameters + parameters**2
+    return 1 + 2 * parameters
+
+
 def _plain(models: dict[str, DatasetModels]) -> dict[str, SimpleNamespace]:
     """The same arrays in a standard type, which workers can unpickle."""
     return {name: SimpleNamespace(**vars(m)) for name, m in models.items()}
@@ -75,13 +94,18 @@ def _probabilities(models: DatasetModels, i: int, z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _sums(models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Loss, gradient and curvature of model i over some training rows, laid end to end."""
+def _sums(
+    models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray, whole: bool
+) -> np.ndarray:
+    """Loss, gradient and curvature (or its diagonal) of model i over some training rows."""
     z = _design(models, i, x)
     p = _probabilities(models, i, z)
     loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum()
     free = [1] if models.n_classes == 2 else list(range(models.n_classes))
     gradient = [((p[:, c] - (y == c)) @ z) for c in free]
+    if not whole:
+        diagonal = [(p[:, c] * (1 - p[:, c])) @ z**2 for c in free]
+        return np.concatenate([[loss], *gradient, *diagonal])
     curvature = [
         [(z * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ z for b in free] for a in free
     ]
@@ -111,8 +135,10 @@ def _groups(codes: np.ndarray, fold: np.ndarray):
         yield int(c[lo]), int(f[lo]), order[lo:hi]
 
 
-_BLOCK_SCHEMA = "dataset_id string, fold int, x binary, y binary"
-_BLOCK_NAMES = ["dataset_id", "fold", "x", "y"]
+_BLOCK_SCHEMA = "dataset_id string, fold int, x binary, y binary, runs array<string>"
+_BLOCK_NAMES = ["dataset_id", "fold", "x", "y", "runs"]
+#: The fold of a row that takes no part in a run.
+NO_PART = -9
 _BUFFER_BYTES = 32 << 20
 
 
@@ -133,9 +159,9 @@ def to_blocks(matrix: DataFrame, width: int) -> DataFrame:
             for column, value in zip(out, block):
                 column.append(value)
         types = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(out, types)], names=_BLOCK_NAMES
-        )
+        columns = [pa.array(v, t) for v, t in zip(out, types)]
+        columns.append(pa.nulls(len(out[0]), pa.list_(pa.string())))
+        return pa.RecordBatch.from_arrays(columns, names=_BLOCK_NAMES)
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -154,12 +180,63 @@ def to_blocks(matrix: DataFrame, width: int) -> DataFrame:
     return matrix.select("dataset_id", "y", "fold", "x").mapInArrow(in_task, _BLOCK_SCHEMA)
 
 
+def to_run_blocks(rows: DataFrame, runs: list[str], width: int) -> DataFrame:
+    """Pack rows that many runs share: ``x`` once, with a label and a fold for each run.
+
+    ``rows`` is (ys array<int>, folds array<int>, x), the arrays in the order
+    of ``runs``. A run is then a dataset like any other.
+    """
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        each = [
+            batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(runs)).T
+            for c in ("ys", "folds")
+        ]
+        both = np.ascontiguousarray(np.concatenate(each), dtype="<i4")
+        columns = [
+            pa.array([""]),
+            pa.array([NO_PART], pa.int32()),
+            pa.array([np.ascontiguousarray(x, dtype="<f8").tobytes()], pa.binary()),
+            pa.array([both.tobytes()], pa.binary()),
+            pa.array([runs], pa.list_(pa.string())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=_BLOCK_NAMES)
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _BUFFER_BYTES:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return rows.select("ys", "folds", "x").mapInArrow(in_task, _BLOCK_SCHEMA)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], width: int):
-    """Unpack (dataset_id, fold, x, y) from block rows."""
+    """Unpack (dataset_id, fold, x, y) from block rows; shared blocks come once for each run."""
     for batch in batches:
-        for name, fold, x, y in zip(*(batch.column(c) for c in _BLOCK_NAMES)):
+        for name, fold, x, y, runs in zip(*(batch.column(c) for c in _BLOCK_NAMES)):
             rows = np.frombuffer(x.as_buffer(), dtype="<f8").reshape(-1, width)
-            yield name.as_py(), fold.as_py(), rows, np.frombuffer(y.as_buffer(), dtype="<i4")
+            labels = np.frombuffer(y.as_buffer(), dtype="<i4")
+            names = runs.as_py()
+            if names is None:
+                yield name.as_py(), fold.as_py(), rows, labels
+                continue
+            ys, folds = labels.reshape(2, len(names), len(rows))
+            for run, own, parts in zip(names, ys, folds):
+                for part in np.unique(parts):
+                    if part != NO_PART:
+                        at = parts == part
+                        yield run, int(part), rows[at], own[at]
 
 
 def block_shape(blocks: DataFrame, width: int) -> DataFrame:
@@ -214,18 +291,39 @@ def _block_sums(
                 names=["dataset_id", "key", "sums"],
             )
 
+    layout = "dataset_id string, key int, sums array<double>"
+    partial = blocks.mapInArrow(in_task, layout)
+    keys = ["dataset_id", "key"]
     total = (
-        blocks.mapInArrow(in_task, "dataset_id string, key int, sums array<double>")
-        .select("dataset_id", "key", F.posexplode("sums").alias("pos", "value"))
-        .groupBy("dataset_id", "key", "pos")
-        .agg(F.sum("value").alias("value"))
-        .toArrow()
+        partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added, layout).toArrow()
     )
     shared.destroy()
-    found: dict = {}
-    for name, key, at, v in zip(*(total[c].to_pylist() for c in total.column_names)):
-        found.setdefault((name, key), {})[at] = v
-    return {k: np.array([v[j] for j in range(len(v))]) for k, v in found.items()}
+    return {
+        (name.as_py(), key.as_py()): sums.values.to_numpy(zero_copy_only=False)
+        for name, key, sums in zip(*(total[c] for c in total.column_names))
+    }
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the arrays of equal (dataset, key), which follow one another; one is held at a time."""
+
+    def row(key: tuple, sums: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([sums])]
+        return pa.RecordBatch.from_arrays(columns, names=["dataset_id", "key", "sums"])
+
+    held: tuple | None = None
+    total = None
+    for batch in batches:
+        for name, key, sums in zip(*(batch.column(c) for c in ("dataset_id", "key", "sums"))):
+            values = sums.values.to_numpy(zero_copy_only=False)
+            if held == (name.as_py(), key.as_py()):
+                total = total + values
+                continue
+            if held is not None:
+                yield row(held, total)
+            held, total = (name.as_py(), key.as_py()), values
+    if held is not None:
+        yield row(held, total)
 
 
 def block_moments(
@@ -237,10 +335,15 @@ def block_moments(
     """
 
     def plain(_, name, fold, x, y):
-        there = ~np.isnan(x)
-        yield fold, np.concatenate([there.sum(axis=0), np.where(there, x, 0.0).sum(axis=0)])
+        there = np.isfinite(x)
+        total = np.where(there, x, 0.0).sum(axis=0)
+        yield fold, np.concatenate([there.sum(axis=0), total, np.isinf(x).sum(axis=0)])
 
     first = _block_sums(blocks, width, None, plain)
+    for (name, _), v in first.items():
+        if v[2 * width :].any():
+            raise InfiniteFeature(name, int(np.flatnonzero(v[2 * width :])[0]))
+    first = {k: v[: 2 * width] for k, v in first.items()}
     centres = {}
     for name in names:
         total = sum(v for (n, _), v in first.items() if n == name)
@@ -264,58 +367,116 @@ def block_moments(
 
 def _pass_over(blocks: DataFrame, models: dict[str, DatasetModels], active, width: int):
     """One pass: {(dataset_id, model): summed statistics} for the active models."""
+    most = NEWTON_PARAMETERS
 
     def training(given, name, fold, x, y):
         current, wanted = given
         for i in wanted.get(name, ()):
             if i != fold:
-                yield i, _sums(current[name], i, x, y)
+                whole = current[name].theta[i].size <= most
+                yield i, _sums(current[name], i, x, y, whole)
 
     return _block_sums(blocks, width, (_plain(models), active), training)
 
 
+class _Newton:
+    """Damped Newton steps: a step that overshoots is halved from where it started."""
+
+    def __init__(self) -> None:
+        self.before: tuple | None = None  # theta, objective, step
+
+    def step(self, theta, objective, gradient, curvature) -> tuple[np.ndarray, np.ndarray]:
+        """The next theta, and the step there."""
+        before, n = self.before, theta.size
+        if before and objective > before[1] + 1e-10 * (1.0 + abs(before[1])):
+            self.before = (before[0], before[1], before[2] / 2.0)
+        else:
+            full = np.linalg.lstsq(curvature.reshape(n, n), gradient, rcond=None)[0]
+            self.before = (theta.copy(), objective, -full.reshape(theta.shape))
+        return self.before[0] + self.before[2], self.before[2]
+
+
+class _LimitedMemory:
+    """Quasi-Newton steps from the last changes of the gradient, scaled by the diagonal."""
+
+    def __init__(self) -> None:
+        self.at: tuple | None = None  # theta, objective, gradient
+        self.direction: np.ndarray | None = None
+        self.part = 1.0
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def step(self, theta, objective, gradient, diagonal) -> tuple[np.ndarray, np.ndarray]:
+        if self.at is not None:
+            fall = 1e-4 * self.part * float(self.at[2] @ self.direction)
+            if objective > self.at[1] + fall + 1e-10 * (1.0 + abs(self.at[1])):
+                self.part /= 2.0
+                return self._next()
+            moved = theta.ravel() - self.at[0].ravel()
+            bent = gradient - self.at[2]
+            if moved @ bent > 1e-12 * np.linalg.norm(moved) * np.linalg.norm(bent):
+                self.pairs = [*self.pairs[1 - _MEMORY :], (moved, bent)]
+        self.at, self.part = (theta.copy(), objective, gradient), 1.0
+        self.direction = -self._solved(gradient, np.maximum(diagonal, 1e-8))
+        return self._next()
+
+    def _next(self) -> tuple[np.ndarray, np.ndarray]:
+        step = self.part * self.direction.reshape(self.at[0].shape)
+        return self.at[0] + step, step
+
+    def _solved(self, gradient: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        rest, shares = gradient.copy(), []
+        for moved, bent in reversed(self.pairs):
+            share = (moved @ rest) / (moved @ bent)
+            rest -= share * bent
+            shares.append(share)
+        rest /= diagonal
+        for (moved, bent), share in zip(self.pairs, reversed(shares), strict=True):
+            rest += moved * (share - (bent @ rest) / (moved @ bent))
+        return rest
+
+
 def fit_models(
     blocks: DataFrame,
     models: dict[str, DatasetModels],
     inverse_penalty: float = 1.0,
-    max_iter: int = 50,
+    max_iter: int = 2000,
     tol: float = 1e-6,
 ) -> dict[str, DatasetModels]:
     """Minimise the L2-penalised log loss (intercept free) of all models; changes ``models``.
 
-    Newton's error is about the square of its last step, so ``tol`` on the step
-    leaves weights good to about ``tol`` squared.
+    A model is done when its step is below ``tol`` times its largest weight
+    (plus 1). Models still moving after ``max_iter`` passes are counted in
+    their dataset's ``unfinished``; the others are not held up.
     """
     width = next(iter(models.values())).fill.shape[1]
     active = {name: list(range(len(m.theta))) for name, m in models.items()}
-    previous: dict = {}  # (dataset, model) -> (theta, objective, step)
+    searches: dict = {}
     for _ in range(max_iter):
         found = _pass_over(blocks, models, active, width)
         still: dict = {}
         for (name, i), stats in found.items():
-            m = models[name]
-            theta = m.theta[i]
+            theta = models[name].theta[i]
             n = theta.size
+            if not np.isfinite(stats[0]):
+                raise ValueError(f"dataset {name!r} has a feature that is missing or infinite")
             weight = np.ones_like(theta) / inverse_penalty
             weight[:, -1] = 0.0
             objective = stats[0] + 0.5 * (weight * theta**2).sum()
-            before = previous.get((name, i))
-            if before is not None and objective > before[1] + 1e-10 * (1.0 + abs(before[1])):
-                step = before[2] / 2.0  # overshot: half the step from where it started
-                m.theta[i] = before[0] + step
-                previous[(name, i)] = (before[0], before[1], step)
-            else:
-                gradient = stats[1 : 1 + n] + (weight * theta).ravel()
-                curvature = stats[1 + n :].reshape(n, n) + np.diag(weight.ravel())
-                step = -np.linalg.lstsq(curvature, gradient, rcond=None)[0].reshape(theta.shape)
-                m.theta[i] = theta + step
-                previous[(name, i)] = (theta.copy(), objective, step)
+            gradient = stats[1 : 1 + n] + (weight * theta).ravel()
+            bend, newton = stats[1 + n :], n <= NEWTON_PARAMETERS
+            bend = bend + (np.diag(weight.ravel()).ravel() if newton else weight.ravel())
+            search = searches.get((name, i))
+            if search is None:
+                search = searches[(name, i)] = _Newton() if newton else _LimitedMemory()
+            models[name].theta[i], step = search.step(theta, objective, gradient, bend)
             if np.abs(step).max() > tol * (1.0 + np.abs(theta).max()):
                 still.setdefault(name, []).append(i)
         active = still
         if not active:
-            return models
-    raise RuntimeError(f"no convergence in {max_iter} passes for {sorted(active)[:5]}")
+            break
+    for name, m in models.items():
+        m.unfinished = len(active.get(name, ()))
+    return models
 
 
 def block_scores(blocks: DataFrame, models: dict[str, DatasetModels], width: int) -> DataFrame:
@@ -348,6 +509,21 @@ def block_scores(blocks: DataFrame, models: dict[str, DatasetModels], width: int
     )
 
 
+def run_test_scores(blocks: DataFrame, models: dict[str, DatasetModels], width: int) -> DataFrame:
+    """(dataset_id, y, p1) of every row that a run's model 0 holds out."""
+    shared = blocks.sparkSession.sparkContext.broadcast(_plain(models))
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = shared.value
+        for name, fold, x, y in _blocks(batches, width):
+            if fold == 0 and name in current:
+                p = _probabilities(current[name], 0, _design(current[name], 0, x))[:, -1]
+                columns = [pa.array([name] * len(y)), pa.array(y, pa.int32()), pa.array(p)]
+                yield pa.RecordBatch.from_arrays(columns, names=["dataset_id", "y", "p1"])
+
+    return blocks.mapInArrow(in_task, "dataset_id string, y int, p1 double")
+
+
 def score_held_out(matrix: DataFrame, models: dict[str, DatasetModels], width: int) -> DataFrame:
     """Rows that some model holds out, with ``p_assigned`` and ``p_last`` in place of ``x``.
 
@@ -365,19 +541,17 @@ def score_held_out(matrix: DataFrame, models: dict[str, DatasetModels], width: i
             last = np.full(batch.num_rows, np.nan)
             codes, names, x, y, fold = _columns(batch, width)
             for code, i, rows in _groups(codes, fold):
-                models_here = current.get(names[code])
-                if models_here is not None:
-                    p = _probabilities(models_here, i, _design(models_here, i, x[rows]))
-                    assigned[rows] = p[np.arange(len(p)), y[rows]]
-                    last[rows] = p[:, -1]
+                models_here = current[names[code]]
+                p = _probabilities(models_here, i, _design(models_here, i, x[rows]))
+                assigned[rows] = p[np.arange(len(p)), y[rows]]
+                last[rows] = p[:, -1]
+            if np.isnan(assigned).any():
+                raise ValueError("a held-out row has no probability: is a feature missing?")
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(assigned), pa.array(last)],
                 names=[f.name for f in kept] + ["p_assigned", "p_last"],
             )
 
-    return (
-        matrix.filter(F.col("fold") >= 0)
-        .mapInArrow(in_task, schema + ", p_assigned double, p_last double")
-        .filter(~F.isnan("p_assigned"))
-    )
+    held = matrix.filter(F.col("fold") >= 0)
+    return held.mapInArrow(in_task, schema + ", p_assigned double, p_last double")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,15 +19,18 @@ from perilscope.functions.numeric import clamp01, missing_to_null, numeric_colum
 from perilscope.operators import medians as md
 from perilscope.operators.fold_models import (
     WAVE_CELLS,
-    WIDTH_LIMIT,
     DatasetModels,
+    InfiniteFeature,
     block_moments,
     block_scores,
     block_shape,
     fit_models,
     parameter_rows,
+    run_test_scores,
     score_held_out,
+    sent_cells,
     to_blocks,
+    to_run_blocks,
 )
 from perilscope.operators.sampling import assign_folds
 from perilscope.operators.small import checked_broadcast
@@ -50,8 +53,8 @@ def feature_names(
     feature_columns: Sequence[str] | None,
     exclude: Sequence[str],
 ) -> list[str]:
-    """The numeric ones among the named features, or among all columns but the label."""
-    if feature_columns is not None:
+    """The numeric ones among the named features, or, with none named, among all but the label."""
+    if feature_columns:
         absent = [c for c in feature_columns if c not in records.columns]
         if absent:
             raise KeyError(f"feature columns not in the records: {absent}")
@@ -154,6 +157,12 @@ def _starting_models(
     single = sorted(d for d, rows in cells.items() if len({r["y"] for r in rows}) < 2)
     if single:
         raise ValueError(f"label has a single class in dataset(s) {single[:5]}")
+    small = sorted(d for d, rows in cells.items() if k > 1 and _too_small(rows, k))
+    if small:
+        raise ValueError(
+            f"dataset(s) {small[:5]} are too small for {k} folds: no class has that many rows,"
+            " or some fold leaves none to train on"
+        )
 
     models = {}
     for name, rows in cells.items():
@@ -161,6 +170,8 @@ def _starting_models(
         present = np.zeros((k, n_classes), dtype=bool)
         for i in range(k):
             present[i, [r["y"] for r in rows if r["fold"] != i]] = True
+        if not present.any(axis=1).all():
+            raise ValueError(f"dataset {name!r} has a fold that leaves no rows to train on")
         models[name] = DatasetModels(
             n_classes,
             fill=np.zeros((k, width)),
@@ -174,6 +185,14 @@ def _starting_models(
     return models
 
 
+def _too_small(rows, k: int) -> bool:
+    """No class has a row for every fold, or a model would have no rows to learn from."""
+    classes: dict[int, int] = {}
+    for r in rows:
+        classes[r["y"]] = classes.get(r["y"], 0) + r["n"]
+    return max(classes.values()) < k or len({r["fold"] for r in rows}) < 2
+
+
 def _fit_preparation(
     matrix: DataFrame, blocks: DataFrame, models, cells, k: int, width: int
 ) -> None:
@@ -222,7 +241,7 @@ def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFram
     """
     spark = matrix.sparkSession
     blocks, shape = _packed(matrix, len(features))
-    waves, _ = _plan_waves(shape, k, len(features))
+    waves = _plan_waves(shape, k, len(features))
     parts = []
     for number in range(waves):
         rows, packed, cells = (_wave(df, number, waves) for df in (matrix, blocks, shape))
@@ -247,22 +266,17 @@ def _wave(matrix: DataFrame, number: int, waves: int) -> DataFrame:
     return matrix.filter(F.pmod(F.xxhash64("dataset_id"), F.lit(waves)) == number)
 
 
-def _plan_waves(shape: DataFrame, k: int, width: int) -> tuple[int, int]:
-    """How many waves keep a wave's sums in bounds, and the widest model."""
+def _plan_waves(shape: DataFrame, k: int, width: int) -> int:
+    """How many waves keep a wave's sums in bounds; 0 without rows."""
     classes = shape.groupBy("dataset_id").agg((F.max("y") + 1).alias("c"))
-    rows = F.when(F.col("c") > 2, F.col("c")).otherwise(1)
-    total = (
-        classes.select((rows * (width + 1)).cast("double").alias("p"))
-        .agg(F.sum(F.col("p") * F.col("p") + F.col("p") + 1).alias("cells"), F.max("p").alias("p"))
-        .first()
-    )
-    if total["p"] is None:
-        return 0, 0
-    return max(1, int(np.ceil(k * total["cells"] / WAVE_CELLS))), int(total["p"])
+    cells = 0.0
+    for row in classes.groupBy("c").count().collect():  # one row per number of classes
+        cells += row["count"] * sent_cells(parameter_rows(max(2, row["c"])) * (width + 1))
+    return int(np.ceil(k * cells / WAVE_CELLS))
 
 
-def _with_estimator(matrix: DataFrame, models, k: int, width: int, make) -> DataFrame:
-    """Fit a Spark ML classifier per (dataset, fold); suits few datasets or wide models."""
+def _with_estimator(matrix: DataFrame, models, k: int, width: int, estimator) -> DataFrame:
+    """Fit a Spark ML classifier of the user's own per (dataset, fold); suits few datasets."""
 
     def vector(m: DatasetModels, i: int) -> Column:
         scaled = [
@@ -279,7 +293,7 @@ def _with_estimator(matrix: DataFrame, models, k: int, width: int, make) -> Data
         train = mine.filter(F.col("fold") != i).select(
             "features", F.col("y").cast("double").alias("label")
         )
-        fitted = make(train).fit(train)
+        fitted = estimator.fit(train)
         p = vector_to_array("probability")
         # A class beyond the fitted ones was absent from the training rows.
         assigned = F.coalesce(F.get(p, F.col("y")), F.lit(0.0))
@@ -294,27 +308,19 @@ def _with_estimator(matrix: DataFrame, models, k: int, width: int, make) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def _default_estimator(settings: IntegritySettings) -> Callable:
-    def make(train: DataFrame):
-        # The summed C=1 objective equals the averaged one with regParam 1/n.
-        penalty = 1.0 / (settings.inverse_penalty * train.count())
-        return LogisticRegression(
-            regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-9
-        )
-
-    return make
-
-
-def _packed(matrix: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def _packed(
+    rows: DataFrame, width: int, runs: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The rows as persisted blocks, and their (dataset, fold, class) counts.
 
     Small inputs often sit in one file split; their blocks are spread so that
     every core gets some. Large inputs have splits enough and are not moved.
     """
-    blocks = to_blocks(matrix, width).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = to_run_blocks(rows, runs, width) if runs else to_blocks(rows, width)
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     shape = cut_lineage(block_shape(blocks, width))
-    n_rows = shape.agg(F.sum("n")).first()[0] or 0
-    cores = matrix.sparkSession.sparkContext.defaultParallelism
+    n_rows = (shape.agg(F.sum("n")).first()[0] or 0) // len(runs or [""])
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     if _SPREAD_ROWS <= n_rows and n_rows * (width + 1) * 8 <= cores * _SPLIT_BYTES:
         spread = blocks.repartition(min(cores, n_rows // _SPREAD_ROWS))
         spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
@@ -325,47 +331,71 @@ def _packed(matrix: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _fitted_waves(
-    matrix: DataFrame, width: int, k: int, settings: IntegritySettings
+    matrix: DataFrame,
+    width: int,
+    k: int,
+    settings: IntegritySettings,
+    runs: list[str] | None = None,
 ) -> Iterator[tuple[DataFrame, DataFrame | None, dict[str, DatasetModels]]]:
-    """(rows, blocks, models) per wave. Blocks are None where Spark ML has to fit instead.
+    """(rows, blocks, models) per wave. Blocks are None where the user's own classifier fits.
 
-    The blocks stay persisted until the caller asks for the next wave.
+    The blocks stay persisted until the caller asks for the next wave. With
+    ``runs`` the rows are shared by many runs (see ``to_run_blocks``): every
+    wave reads all blocks and fits its own runs.
     """
-    blocks, shape = _packed(matrix, width)
+    if runs and (settings.preprocess or settings.estimator is not None):
+        raise ValueError("shared rows must be prepared, and fitted by the built-in model")
+    blocks, shape = _packed(matrix, width, runs)
     try:
-        waves, widest = _plan_waves(shape, k, width)
-        by_ml = settings.estimator is not None or widest > WIDTH_LIMIT
+        waves = _plan_waves(shape, k, width)
         for number in range(waves):
-            rows, packed = _wave(matrix, number, waves), _wave(blocks, number, waves)
+            rows, packed = matrix, blocks
+            if not runs:
+                rows, packed = _wave(matrix, number, waves), _wave(blocks, number, waves)
+            cut = waves > 1 and not runs
+            if cut:  # else every pass of a wave would go through all blocks
+                packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
             models = _starting_models(
                 rows, packed, _wave(shape, number, waves), k, width, settings.preprocess
             )
-            if not models:
-                continue
-            if not by_ml:
-                fit_models(
-                    packed, models, settings.inverse_penalty, settings.max_iter, settings.tol
-                )
-            yield rows, None if by_ml else packed, models
+            if models:
+                if settings.estimator is None:
+                    fit_models(
+                        packed, models, settings.inverse_penalty, settings.max_iter, settings.tol
+                    )
+                yield rows, None if settings.estimator is not None else packed, models
+            if cut:
+                packed.unpersist()
     finally:
         blocks.unpersist()
 
 
 def _estimated(part: DataFrame, models, k: int, width: int, settings: IntegritySettings):
-    if settings.estimator is not None:
-        return _with_estimator(part, models, k, width, lambda _: settings.estimator)
-    return _with_estimator(part, models, k, width, _default_estimator(settings))
+    return _with_estimator(part, models, k, width, settings.estimator)
 
 
 def held_out_probabilities(
     matrix: DataFrame, width: int, k: int, settings: IntegritySettings
 ) -> DataFrame:
     """Every held-out row with the probability of its own label, ``x`` left out."""
+    parts = []
+    for part, blocks, models in _fitted_waves(matrix, width, k, settings):
+        if blocks is None:
+            parts.append(_estimated(part, models, k, width, settings))
+        else:
+            parts.append(score_held_out(part, models, width))
+    if not parts:
+        raise ValueError("no labelled rows")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shared_test_scores(
+    rows: DataFrame, runs: list[str], width: int, settings: IntegritySettings
+) -> DataFrame:
+    """(dataset_id, y, p1) of each run's test rows (fold 0), from a model of its others (fold -1)."""
     parts = [
-        _estimated(part, models, k, width, settings)
-        if blocks is None
-        else score_held_out(part, models, width)
-        for part, blocks, models in _fitted_waves(matrix, width, k, settings)
+        cut_lineage(run_test_scores(blocks, models, width))
+        for _, blocks, models in _fitted_waves(rows, width, 1, settings, runs)
     ]
     if not parts:
         raise ValueError("no labelled rows")
@@ -373,14 +403,19 @@ def held_out_probabilities(
 
 
 def held_out_scores(
-    matrix: DataFrame, width: int, k: int, settings: IntegritySettings
+    matrix: DataFrame,
+    width: int,
+    k: int,
+    settings: IntegritySettings,
+    runs: list[str] | None = None,
 ) -> DataFrame:
-    """(dataset_id, score, n_rows): the mean of 1 - P(assigned label) per dataset.
+    """(dataset_id, score, n_rows, n_unfinished): the mean of 1 - P(assigned label) per dataset.
 
-    One small row per dataset, written out so that nothing larger is kept.
+    ``n_unfinished`` counts models that had not converged when the passes ran
+    out. One small row per dataset, written out so that nothing larger is kept.
     """
     parts = []
-    for part, blocks, models in _fitted_waves(matrix, width, k, settings):
+    for part, blocks, models in _fitted_waves(matrix, width, k, settings, runs):
         if blocks is None:
             scores = (
                 _estimated(part, models, k, width, settings)
@@ -392,12 +427,25 @@ def held_out_scores(
             )
         else:
             scores = block_scores(blocks, models, width)
-        parts.append(cut_lineage(scores))
+        state = part.sparkSession.createDataFrame(
+            [(name, m.unfinished) for name, m in models.items()],
+            "dataset_id string, n_unfinished int",
+        )
+        parts.append(cut_lineage(scores.join(state, "dataset_id")))
     if not parts:
         raise ValueError("no labelled rows")
     return reduce(DataFrame.unionByName, parts)
 
 
+@contextmanager
+def _naming(features: Sequence[str]) -> Iterator[None]:
+    """Errors about a feature's place name the feature."""
+    try:
+        yield
+    except InfiniteFeature as error:
+        raise InfiniteFeature(error.dataset, error.feature, features[error.feature]) from None
+
+
 # ---- the proxy ------------------------------------------------------------
 
 
@@ -419,14 +467,19 @@ def integrity_stats(records: DataFrame, config: SafetyConfig) -> DataFrame | Non
     matrix = build_matrix(
         records, config.label_column, features, config.dataset_column, settings, _keys(config)
     )
-    scores = held_out_scores(matrix, len(features), settings.n_splits, settings)
+    with _naming(features):
+        scores = held_out_scores(matrix, len(features), settings.n_splits, settings)
     nulls = records.groupBy(dataset_id(config.dataset_column)).agg(
         F.count_if(F.col(config.label_column).isNull()).alias("n_null_labels")
     )
     return nulls.join(scores, "dataset_id", "left").select(
         "dataset_id",
         F.struct(
-            "score", "n_rows", F.lit(len(features)).alias("n_features"), "n_null_labels"
+            "score",
+            "n_rows",
+            "n_unfinished",
+            F.lit(len(features)).alias("n_features"),
+            "n_null_labels",
         ).alias(_STATS),
     )
 
@@ -444,6 +497,7 @@ def integrity_struct() -> Column:
             "n_features": s["n_features"],
             "n_rows": s["n_rows"],
             "n_null_labels": s["n_null_labels"],
+            "n_unfinished": s["n_unfinished"],
         },
     )
 
@@ -485,7 +539,8 @@ def row_suspicion(records: DataFrame, config: SafetyConfig) -> DataFrame:
     matrix = build_matrix(
         records, config.label_column, features, config.dataset_column, settings, keys, keep=keys
     )
-    scored = held_out_probabilities(matrix, len(features), settings.n_splits, settings)
+    with _naming(features):
+        scored = held_out_probabilities(matrix, len(features), settings.n_splits, settings)
     return scored.select(
         "dataset_id", *keys, "y", "fold", (F.lit(1.0) - F.col("p_assigned")).alias("suspicion")
     )

@@ -32,9 +32,14 @@ def draw_ranks(
     """Add ``draw_rank`` (1-based, by ``draw`` then ``ties``) within each group.
 
     ``keep`` (a number, or a column that is constant in a group) keeps only the
-    ranks up to it. Group values must not be null.
+    ranks up to it. Rows with a null in a group column are a group too.
     """
-    groups = list(groups)
+    keys = [f"_group{i}" for i in range(len(groups))]
+    for key, group in zip(keys, groups, strict=True):
+        # a stand-in that joins compare safely
+        named = F.concat(F.lit("="), F.col(group).cast("string"))
+        df = df.withColumn(key, F.coalesce(named, F.lit("")))
+    groups = keys
     sliced = df.withColumn("_slice", F.floor(F.col(draw) * F.lit(buckets)).cast("int"))
     limit = None
     if keep is not None:
@@ -56,7 +61,7 @@ def draw_ranks(
     )
     if keep is not None:
         ranked = ranked.filter(F.col("draw_rank") <= F.col("_keep")).drop("_keep")
-    return ranked.drop("_slice", "_start")
+    return ranked.drop("_slice", "_start", *keys)
 
 
 def fixed_size_sample(
@@ -106,9 +111,11 @@ def stratified_split(
     drawn = df.withColumn("_draw", uniform(seed, *keys))
     if not exact:
         return drawn.withColumn("is_test", F.col("_draw") < F.lit(test_fraction)).drop("_draw")
-    sizes = df.groupBy(label).agg(
+    sizes = df.groupBy(F.col(label).alias("_class")).agg(
         F.bround(F.count(F.lit(1)) * F.lit(test_fraction), 0).cast("bigint").alias("_n_test")
     )
-    ranked = draw_ranks(drawn, "_draw", keys, (label,)).join(checked_broadcast(sizes), label)
+    ranked = draw_ranks(drawn, "_draw", keys, (label,)).join(
+        checked_broadcast(sizes), F.col(label).eqNullSafe(F.col("_class"))
+    )
     test = F.col("draw_rank") <= F.col("_n_test")
-    return ranked.withColumn("is_test", test).drop("_draw", "draw_rank", "_n_test")
+    return ranked.withColumn("is_test", test).drop("_draw", "draw_rank", "_n_test", "_class")

@@ -38,8 +38,10 @@ def toxicity_flag(
 
 
 def classifier_name(config: SafetyConfig) -> str:
-    if callable(config.classifier):
-        return getattr(config.classifier, "__name__", "custom")
+    if callable(config.classifier) or hasattr(config.classifier, "with_score"):
+        return getattr(
+            config.classifier, "name", getattr(config.classifier, "__name__", "custom")
+        )
     return config.classifier
 
 
@@ -47,6 +49,9 @@ def flag_texts(records: DataFrame, config: SafetyConfig, keep: list[str] | None
     """Dataset id, ``keep`` columns and one Boolean per rule; the text itself is dropped."""
     text = F.col(config.text_column)
     rules = as_rules(config.pii_rules)
+    if hasattr(config.classifier, "with_score"):
+        records, score = config.classifier.with_score(records, config.text_column)
+        config = replace(config, classifier="heads", head_columns=(score,))
     low, odd = F.col("_low"), F.col("_odd")
     # Their own columns, so that each is worked out once per text.
     searched = records.withColumns({"_low": tx.lowered(text), "_odd": tx.folds_to_ascii(text)})

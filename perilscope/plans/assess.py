@@ -84,7 +84,10 @@ def assess_safety(
     else:
         found = records.select(dataset_id(config.dataset_column)).distinct()
 
-    described = with_metadata_columns(metadata)
+    described = with_metadata_columns(metadata).withColumn("dataset_id", dataset_id("dataset_id"))
+    twice = described.groupBy("dataset_id").count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"more than one metadata row for {sorted(r[0] for r in twice)}")
     if "physical_process_coupled" not in described.columns:
         described = described.withColumn("physical_process_coupled", F.lit(None).cast("boolean"))
     wide = found.join(described, "dataset_id", "full_outer")

@@ -2,28 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilscope.config import IntegritySettings, SafetyConfig
 from perilscope.functions.draws import uniform
+from perilscope.operators.fold_models import NO_PART
 from perilscope.operators.integrity import held_out_scores
 from perilscope.operators.metrics import balanced_accuracy, calibration_error, roc_auc
-from perilscope.operators.mixing import dose_mix, flip_labels
+from perilscope.operators.mixing import dose_mix
 from perilscope.operators.models import boosted_tree_scores, logistic_scores
-from perilscope.operators.sampling import assign_folds
 from perilscope.operators.text_harm import flag_texts
-from perilscope.session import cut_lineage, partitions_for
+from perilscope.session import cut_lineage
+from perilscope.sources.measurements import append_measurements, finished_runs, pending_runs
 
 TEXT_DOSES = (0.0, 0.025, 0.05, 0.1, 0.2, 0.4)
 NOISE_DOSES = (0.0, 0.05, 0.1, 0.2, 0.4)
 SEEDS = (0, 1, 2, 3, 4)
 
 
+Sink = tuple[str, str]  # folder and arm of a restartable sink
+
+
+def _pending(
+    spark: SparkSession, sink: Sink, doses: Sequence[float], seeds: Sequence[int], runs: int
+) -> dict[float, list[int]]:
+    """Doses with the seeds whose ``runs`` measurements are not all in the sink yet."""
+    found = finished_runs(spark, *sink, ["injected_p", "seed", "model"])
+    done: dict = {}
+    for r in [] if found is None else found.collect():  # a row for every finished run
+        key = (round(r["injected_p"] * 1e9), r["seed"])
+        done[key] = done.get(key, 0) + 1
+    left = {
+        float(p): [int(s) for s in seeds if done.get((round(p * 1e9), int(s)), 0) < runs]
+        for p in doses
+    }
+    return {p: s for p, s in left.items() if s}
+
+
+def _through_sink(
+    spark: SparkSession,
+    sink: Sink,
+    doses: Sequence[float],
+    seeds: Sequence[int],
+    models: Sequence[str],
+    measure: Callable[[Sequence[float], Sequence[int]], DataFrame],
+) -> DataFrame:
+    """Measure what the sink lacks, a dose at a time, appending each; then all that was asked for.
+
+    A run that was cut off before its append leaves nothing behind.
+    """
+    for dose, open_ in _pending(spark, sink, doses, seeds, len(models)).items():
+        rows = pending_runs(measure([dose], open_), *sink, ["injected_p", "seed", "model"])
+        append_measurements(rows, *sink)
+    wanted = [(round(float(p) * 1e9), int(s), m) for p in doses for s in seeds for m in models]
+    grid = spark.createDataFrame(wanted, "_dose bigint, seed int, model string")
+    rows = spark.read.parquet(sink[0]).filter(F.col("arm") == sink[1]).drop("arm")
+    keyed = rows.withColumn("_dose", F.bround(F.col("injected_p") * 1e9, 0).cast("bigint"))
+    return keyed.join(F.broadcast(grid), ["_dose", "seed", "model"], "left_semi").drop("_dose")
+
+
 def text_calibration(
     pool: DataFrame,
     config: SafetyConfig,
@@ -33,12 +76,15 @@ def text_calibration(
     seeds: Sequence[int] = SEEDS,
     rows_per_slice: int = 20_000,
     outcomes: Mapping[str, Column] | None = None,
+    sink: Sink | None = None,
 ) -> DataFrame:
     """(injected_p, seed, harm_content_density, n_rows, outcome means) of every mix.
 
     The texts are read once: each record's flags are computed before mixing and
     written out, and only these and the outcome values take part in the ranking
     and are copied into the mixes. ``outcomes`` are columns of the pool to average per mix.
+    With a ``sink`` (folder, arm) mixes found there are not made again, and new
+    ones are appended dose by dose.
     """
     outcomes = dict(outcomes or {})
     valued = pool.select(
@@ -50,21 +96,25 @@ def text_calibration(
     flags = flag_texts(valued, replace(config, dataset_column="_one"), keep=kept).select(
         *kept, "is_text", "is_toxic", "is_pii"
     )
-    flags = cut_lineage(flags)
-    mixes = dose_mix(flags, label, keys, doses, seeds, rows_per_slice)
+    spark = pool.sparkSession
+    if sink is None or _pending(spark, sink, doses, seeds, 1):
+        flags = cut_lineage(flags)
 
     def share(flag: str) -> Column:
         return F.avg(F.when(F.col("is_text"), F.col(flag).cast("double")))
 
-    return mixes.groupBy("injected_p", "seed").agg(
-        F.greatest(share("is_toxic"), share("is_pii")).alias("harm_content_density"),
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.avg(f"_out_{name}").alias(name) for name in outcomes],
-    )
-
+    def measure(doses: Sequence[float], seeds: Sequence[int]) -> DataFrame:
+        mixes = dose_mix(flags, label, keys, doses, seeds, rows_per_slice)
+        return mixes.groupBy("injected_p", "seed").agg(
+            F.greatest(share("is_toxic"), share("is_pii")).alias("harm_content_density"),
+            F.count(F.lit(1)).alias("n_rows"),
+            *[F.avg(f"_out_{name}").alias(name) for name in outcomes],
+        )
 
-def _run_id():
-    return F.concat_ws("|", F.col("injected_p").cast("string"), F.col("seed").cast("string"))
+    if sink is None:
+        return measure(doses, seeds)
+    named = lambda p, s: measure(p, s).withColumn("model", F.lit("mix"))
+    return _through_sink(spark, sink, doses, seeds, ["mix"], named).drop("model")
 
 
 def label_noise_study(
@@ -77,71 +127,106 @@ def label_noise_study(
     models: Sequence[str] = ("logreg", "boosted_trees"),
     trees: int = 200,
     n_splits: int = 5,
+    sink: Sink | None = None,
 ) -> DataFrame:
     """(injected_p, seed, model, proxy_noise, auc, bal_acc, ece) for the whole grid.
 
     ``matrix`` holds the keys, a 0/1 label and ``x``. A quarter of the rows is
     set aside per seed and keeps its labels; the rest has them flipped per
-    dose. The grid is a narrow expansion of the persisted matrix. The proxies
-    of all runs are fitted in one loop of passes, and so are the logistic
-    models; boosted trees are one Spark ML fit per run.
+    dose. Runs differ in labels and folds only, so ``x`` is packed once and
+    each row carries these for every run. The proxies of all runs are fitted in
+    one loop of passes, and so are the logistic models; boosted trees are one
+    Spark ML fit per run, on the shared rows. With a ``sink`` (folder, arm)
+    runs found there are not fitted again, and new ones are appended dose by
+    dose.
     """
-    # Every row is about to become one per run, so partitions are cut to that size first.
-    parts = partitions_for(matrix.sparkSession, matrix.count() * len(doses) * len(seeds))
-    base = (
-        matrix.select(*keys, F.col(label).cast("int").alias("_y0"), "x")
-        .repartition(parts, *keys)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    grid = flip_labels(
-        base, "_y0", doses, seeds, keys, flipped="_y", spare=_is_test(keys)
-    ).select(
-        _run_id().alias("dataset_id"),
-        "injected_p",
-        "seed",
-        *keys,
-        F.col("_y").alias("y"),
-        _is_test(keys).alias("is_test"),
-        "x",
+    base = matrix.select(*keys, F.col(label).cast("int").alias("_y0"), "x").persist(
+        StorageLevel.MEMORY_AND_DISK
     )
+
+    def measure(doses: Sequence[float], seeds: Sequence[int]) -> DataFrame:
+        return _noise_runs(base, width, keys, doses, seeds, models, trees, n_splits)
+
     try:
-        plain = IntegritySettings(preprocess=False, n_splits=n_splits)
-        train = assign_folds(grid.filter(~F.col("is_test")), n_splits, 0, ["seed", *keys])
-        folds = train.select("dataset_id", "y", "fold", "x")
-        runs = matrix.sparkSession.createDataFrame(
-            [(f"{float(p)}|{int(s)}", float(p), int(s)) for p in doses for s in seeds],
-            "dataset_id string, injected_p double, seed int",
-        )
-        proxies = (
-            held_out_scores(folds, width, n_splits, plain)
-            .join(runs, "dataset_id")
-            .select("injected_p", "seed", F.col("score").alias("proxy_noise"))
-        )
-        tests = grid.select("dataset_id", "injected_p", "seed", "y", "is_test", "x")
-        parts = []
-        if "logreg" in models:
-            parts.append(logistic_scores(tests, width).withColumn("model", F.lit("logreg")))
-        if "boosted_trees" in models:
-            ids = [f"{float(p)}|{int(s)}" for p in doses for s in seeds]
-            boosted = boosted_tree_scores(tests, ids, trees)
-            parts.append(boosted.withColumn("model", F.lit("boosted_trees")))
-        scores = parts[0]
-        for other in parts[1:]:
-            scores = scores.unionByName(other)
-        # Test scores feed three metrics; write them once.
-        scores = cut_lineage(scores.select("injected_p", "seed", "model", "y", "p1"))
+        if sink is None:
+            return measure(doses, seeds)
+        return _through_sink(matrix.sparkSession, sink, doses, seeds, models, measure)
     finally:
         base.unpersist()
-    run = ["injected_p", "seed", "model"]
+
+
+def _noise_runs(
+    base: DataFrame,
+    width: int,
+    keys: Sequence[str],
+    doses: Sequence[float],
+    seeds: Sequence[int],
+    models: Sequence[str],
+    trees: int,
+    n_splits: int,
+) -> DataFrame:
+    grid = {f"{float(p)}|{int(s)}": (float(p), int(s)) for p in doses for s in seeds}
+    names = list(grid)
+    test = {int(s): F.col(f"_test{int(s)}") for s in seeds}
+    # Draws are their own columns: each is worked out once per row and seed.
+    drawn = base.withColumns(
+        {f"_test{int(s)}": uniform(f"split{int(s)}", *keys) < F.lit(0.25) for s in seeds}
+        | {f"_flip{int(s)}": uniform(f"flip{int(s)}", *keys) for s in seeds}
+        | {
+            f"_fold{int(s)}": F.floor(uniform(0, F.lit(str(int(s))), *keys) * n_splits).cast("int")
+            for s in seeds
+        }
+    )
+
+    def flipped(p: float, s: int) -> Column:
+        hit = (F.col(f"_flip{s}") < F.lit(p)) & ~test[s]
+        return F.when(hit, 1 - F.col("_y0")).otherwise(F.col("_y0"))
+
+    ys = F.array(*[flipped(p, s) for p, s in grid.values()]).alias("ys")
+    held = [F.when(test[s], NO_PART).otherwise(F.col(f"_fold{s}")) for _, s in grid.values()]
+    sides = [F.when(test[s], 0).otherwise(-1) for _, s in grid.values()]
+    runs = base.sparkSession.createDataFrame(
+        [(name, p, s) for name, (p, s) in grid.items()],
+        "dataset_id string, injected_p double, seed int",
+    )
+    plain = IntegritySettings(preprocess=False, n_splits=n_splits)
+    proxies = held_out_scores(
+        drawn.select(ys, F.array(*held).alias("folds"), "x"), width, n_splits, plain, names
+    ).select("dataset_id", F.col("score").alias("proxy_noise"))
+    parts = []
+    if "logreg" in models:
+        rows = drawn.select(ys, F.array(*sides).alias("folds"), "x")
+        scored = logistic_scores(rows, names, width)
+        parts.append(scored.withColumn("model", F.lit("logreg")))
+    if "boosted_trees" in models:
+        single = {
+            name: drawn.select(
+                F.lit(name).alias("dataset_id"),
+                flipped(p, s).alias("y"),
+                test[s].alias("is_test"),
+                "x",
+            )
+            for name, (p, s) in grid.items()
+        }
+        boosted = boosted_tree_scores(single, trees)
+        parts.append(boosted.withColumn("model", F.lit("boosted_trees")))
+    # Test scores feed three metrics; write them once.
+    scores = cut_lineage(reduce(DataFrame.unionByName, parts))
+    run = ["dataset_id", "model"]
     return (
         roc_auc(scores, "p1", "y", run)
         .select(*run, "auc")
         .join(balanced_accuracy(scores, "p1", "y", run), run)
         .join(calibration_error(scores, "p1", "y", run), run)
-        .join(proxies, ["injected_p", "seed"])
-        .select(*run, "proxy_noise", "auc", F.col("balanced_accuracy").alias("bal_acc"), "ece")
+        .join(proxies, "dataset_id")
+        .join(runs, "dataset_id")
+        .select(
+            "injected_p",
+            "seed",
+            "model",
+            "proxy_noise",
+            "auc",
+            F.col("balanced_accuracy").alias("bal_acc"),
+            "ece",
+        )
     )
-
-
-def _is_test(keys: Sequence[str]):
-    return uniform(F.concat(F.lit("split"), F.col("seed")), *keys) < F.lit(0.25)

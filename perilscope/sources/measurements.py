@@ -26,18 +26,26 @@ def read_measurements(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def slice_keys(slices: DataFrame, name: str = "slice_name") -> DataFrame:
-    """Add ``injected_p`` and ``seed`` read off names such as ``mix_p025_s3`` (dose in thousandths)."""
-    dose = F.regexp_extract(F.col(name), r"_p(\d+)", 1)
+    """Add ``injected_p`` and ``seed`` read off names such as ``mix_p025_s3`` (dose in thousandths).
+
+    Doses between thousandths have a fraction, as in ``mix_p012.5_s0``.
+    """
+    dose = F.regexp_extract(F.col(name), r"_p(\d+(?:\.\d+)?)", 1)
     seed = F.regexp_extract(F.col(name), r"_s(\d+)$", 1)
     return slices.withColumn(
-        "injected_p", F.nullif(dose, F.lit("")).cast("int") / F.lit(1000.0)
+        "injected_p", F.nullif(dose, F.lit("")).cast("double") / F.lit(1000.0)
     ).withColumn("seed", F.nullif(seed, F.lit("")).cast("int"))
 
 
 def slice_name(prefix: str = "mix"):
     """The name column that ``slice_keys`` reads."""
-    thousandths = F.bround(F.col("injected_p") * F.lit(1000.0), 0).cast("int")
-    return F.format_string(f"{prefix}_p%03d_s%d", thousandths, F.col("seed").cast("int"))
+    billionths = F.bround(F.col("injected_p").cast("double") * F.lit(1e9), 0).cast("bigint")
+    rest = billionths % 1_000_000
+    fraction = F.when(
+        rest > 0, F.concat(F.lit("."), F.rtrim(F.lpad(rest.cast("string"), 6, "0"), F.lit("0")))
+    ).otherwise("")
+    thousandths = F.floor(billionths / 1_000_000).cast("int")
+    return F.format_string(f"{prefix}_p%03d%s_s%d", thousandths, fraction, F.col("seed").cast("int"))
 
 
 def append_measurements(rows: DataFrame, path: str, arm: str) -> None:
@@ -52,9 +60,12 @@ def export_csv(rows: DataFrame, path: str) -> None:
 def finished_runs(spark: SparkSession, path: str, arm: str, keys: Sequence[str]) -> DataFrame | None:
     """Keys already in the sink, or None before the first append."""
     try:
-        return spark.read.parquet(path).filter(F.col("arm") == arm).select(*keys).distinct()
-    except AnalysisException:
-        return None
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return rows.filter(F.col("arm") == arm).select(*keys).distinct()
 
 
 def pending_runs(grid: DataFrame, path: str, arm: str, keys: Sequence[str]) -> DataFrame:

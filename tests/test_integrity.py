@@ -62,13 +62,52 @@ def test_agrees_with_spark_ml(spark, gaps):
     assert mine == pytest.approx(theirs, abs=5e-5)
 
 
-def test_wide_models_go_through_spark_ml(spark, monkeypatch):
-    frame = noisy(spark, flip=0.1)
+@pytest.mark.parametrize("gaps", [False, True])
+def test_wide_models_find_the_same_minimum(spark, monkeypatch, gaps):
+    frame = noisy(spark, flip=0.1, gaps=gaps)
     mine = scores(frame, config())["d"]
-    monkeypatch.setattr(integrity, "WIDTH_LIMIT", 1)
+    monkeypatch.setattr(fold_models, "NEWTON_PARAMETERS", 1)
     assert scores(frame, config())["d"] == pytest.approx(mine, abs=1e-6)
 
 
+@pytest.mark.parametrize("most", [1, 512])
+def test_too_few_passes_are_recorded_at_any_width(spark, monkeypatch, most):
+    monkeypatch.setattr(fold_models, "NEWTON_PARAMETERS", most)
+    row = label_integrity(noisy(spark, flip=0.1), config(max_iter=1)).first()
+    assert row["details"]["n_unfinished"] == "5" and 0 < row["score"] < 1
+    row = label_integrity(noisy(spark, flip=0.1), config()).first()
+    assert row["details"]["n_unfinished"] == "0"
+
+
+def test_only_the_wide_dataset_takes_the_wide_steps(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [("wide", i, float(a), float(b), i % 7) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    frame = noisy(spark, "small", flip=0.1).unionByName(spark.createDataFrame(rows, SCHEMA))
+    whole = scores(frame, config())
+    monkeypatch.setattr(fold_models, "NEWTON_PARAMETERS", 10)  # 7 classes have 21 parameters
+    assert scores(frame, config()) == pytest.approx(whole, abs=1e-5)
+
+
+def test_datasets_too_small_for_the_folds_are_an_error(spark):
+    few = spark.createDataFrame([("tiny", i, float(i), 0.0, i % 2) for i in range(4)], SCHEMA)
+    frame = noisy(spark, "good").unionByName(few)
+    for run in (label_integrity, row_suspicion):
+        with pytest.raises(ValueError, match="tiny"):
+            run(frame, config())
+
+
+def test_infinite_features_are_named(spark):
+    frame = noisy(spark, n=200).withColumn("x2", F.when(F.col("id") == 3, float("inf")).otherwise(F.col("x2")))
+    with pytest.raises(ValueError, match="x2"):
+        label_integrity(frame, config())
+
+
+def test_no_named_features_means_all(spark):
+    frame = noisy(spark, n=200)
+    named = label_integrity(frame, config(feature_columns=(), exclude_columns=("id",))).first()
+    assert named["details"]["n_features"] == "2"
+
+
 def test_waves_give_the_same_scores(spark, monkeypatch):
     frame = noisy(spark, "a").unionByName(noisy(spark, "b", flip=0.3)).unionByName(
         noisy(spark, "c", flip=0.1, seed=9)
