@@ -141,7 +141,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     text). A single document is its own next one. No documents: no rows.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    texts = plain.withColumn("print", fingerprint(F.col("text")))
+    # Both sides of the join to come read the same rows, so that one shuffle serves them.
+    printed = plain.withColumn("print", fingerprint(F.col("text")))
+    texts = printed.filter("doc_id IS NOT NULL")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     ids = settle(
         plain.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(quarter).alias("most"))
@@ -159,7 +161,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         .agg(F.min("next").alias("next"))
     )
     nothing = fingerprint(F.lit(""))
-    joined = texts.join(heads, "doc_id", "left").select(
+    nowhere = printed.filter("doc_id IS NULL").withColumn(
+        "next", F.lit(None).cast(heads.schema["next"].dataType)
+    )
+    joined = texts.join(heads, "doc_id").unionByName(nowhere).select(
         "doc_id",
         F.char_length("text").cast("bigint").alias("n_chars"),
         F.col("print").alias("fingerprint"),
