@@ -183,7 +183,9 @@ def near_links(found: DataFrame, radius: int) -> DataFrame:
     return found.mapInPandas(link, "a bigint, b bigint").distinct()
 
 
-def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, size: int = 3, radius: int = 2, limit: int = BUCKET
+) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
     Fingerprints that differ in ``radius`` bits or fewer are linked; a
@@ -206,7 +208,7 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataF
     )
     nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
     named = nodes.filter("node IS NOT NULL").withColumn("band", F.lit(0))
-    labels = components(star_links(buckets(named, radius), radius))
+    labels = components(star_links(buckets(named, radius, limit), radius))
     least = F.coalesce("component", F.col("nodes.node")).alias("component_id")
     found = settle(
         nodes.alias("nodes").join(labels.alias("l"), F.col("nodes.node") == F.col("l.node"), "left")

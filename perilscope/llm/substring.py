@@ -149,7 +149,9 @@ def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[list,
         yield docs, sequences
 
 
-def common_anchors(texts: DataFrame, size: int, anchor: int) -> np.ndarray:
+def common_anchors(
+    texts: DataFrame, size: int, anchor: int, common: int = COMMON
+) -> np.ndarray:
     """Sorted anchors of so many different segments that one task should not get them all.
 
     Each task reports anchors with two or more segments of different content,
@@ -175,7 +177,7 @@ def common_anchors(texts: DataFrame, size: int, anchor: int) -> np.ndarray:
     reported = texts.mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     reported = settle(reported)
     total = reported.agg(F.sum("n")).first()[0] or 0
-    rows = reported.filter(F.col("n") >= max(COMMON, -(-total // 50_000))).select("key").collect()
+    rows = reported.filter(F.col("n") >= max(common, -(-total // 50_000))).select("key").collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -279,13 +281,15 @@ def _index_shard(size: int):
     return search
 
 
-def repeated_ranges(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_ranges(
+    docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, common: int = COMMON
+) -> DataFrame:
     """(doc_id, ranges) of documents with repeats: runs (start, windows) of windows that occur earlier."""
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    common = common_anchors(texts, size, anchor)
-    sent = _sent_segments(texts, common, size, anchor)
+    singled = common_anchors(texts, size, anchor, common)
+    sent = _sent_segments(texts, singled, size, anchor)
     ordered = sent.repartition("key").sortWithinPartitions("key", "content", "doc_id", "start")
     judged = settle(ordered.mapInPandas(_judge, _JUDGED))
 
@@ -331,7 +335,9 @@ def _covered(n: int, ranges, size: int) -> np.ndarray:
     return steps.cumsum()[:n] > 0
 
 
-def dedup_report(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def dedup_report(
+    docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR, common: int = COMMON
+) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (kept words joined by a space) of every document.
 
     A word goes if a window over it has a word sequence that starts earlier: in
@@ -341,7 +347,7 @@ def dedup_report(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -> D
     text) are one document at one place: none is earlier than the other. No
     documents: no rows. Other columns are not read.
     """
-    ranges = settle(repeated_ranges(docs, size, anchor))
+    ranges = settle(repeated_ranges(docs, size, anchor, common))
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
