@@ -140,10 +140,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     document: its last quarter is dropped and near_next is 0 (1 for an empty
     text). A single document is its own next one. No documents: no rows.
     """
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    # Both sides of the join to come read the same rows, so that one shuffle serves them.
-    printed = plain.withColumn("print", fingerprint(F.col("text")))
-    texts = printed.filter("doc_id IS NOT NULL")
+    doc_id = F.col("doc_id")
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        doc_id = doc_id.cast("bigint").alias("doc_id")
+    plain = docs.select(doc_id, text_or_empty().alias("text"))
+    # Both sides of the join to come read the same rows, so that one shuffle serves them; for
+    # that, nothing with a lambda or a new name may be worked out before it.
+    texts = plain.filter("doc_id IS NOT NULL")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     ids = settle(
         plain.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(quarter).alias("most"))
@@ -155,19 +158,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         texts.join(wanted, "doc_id")
         .select(
             F.col("for_id").alias("doc_id"),
-            F.struct(F.expr("left(text, most)").alias("head"), F.col("print").alias("print")).alias("next"),
+            F.struct(
+                F.expr("left(text, most)").alias("head"), fingerprint(F.col("text")).alias("print")
+            ).alias("next"),
         )
         .groupBy("doc_id")
         .agg(F.min("next").alias("next"))
     )
     nothing = fingerprint(F.lit(""))
-    nowhere = printed.filter("doc_id IS NULL").withColumn(
+    nowhere = plain.filter("doc_id IS NULL").withColumn(
         "next", F.lit(None).cast(heads.schema["next"].dataType)
     )
     joined = texts.join(heads, "doc_id").unionByName(nowhere).select(
         "doc_id",
         F.char_length("text").cast("bigint").alias("n_chars"),
-        F.col("print").alias("fingerprint"),
+        fingerprint(F.col("text")).alias("fingerprint"),
         F.expr(
             "concat(left(text, char_length(text) - cast(floor(char_length(text) / 4) as int)),"
             " left(coalesce(next.head, ''), cast(floor(char_length(text) / 4) as int)))"
