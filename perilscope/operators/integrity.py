@@ -211,8 +211,6 @@ def _fit_preparation(
     if gaps:
         largest = max(sum(r["n"] for r in rows) for rows in cells.values())
         found = fold_medians(matrix, k, sorted(gaps), largest > md.MAP_ROWS).toArrow().to_pylist()
-        if any(r["median"] is None for r in found):
-            found = fold_medians(matrix, k, sorted(gaps), False).toArrow().to_pylist()
         medians = {(r["dataset_id"], r["model"], r["feature"]): r["median"] for r in found}
 
     for name, model in models.items():

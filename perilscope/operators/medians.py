@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perilscope.operators.small import checked_broadcast
+from perilscope.session import cut_lineage
 
 # `median` keeps a value -> count map per group; above this many rows it is bracketed first.
 MAP_ROWS = 2_000_000
@@ -23,14 +25,27 @@ def exact_medians(
 
     ``bracketed`` first finds, with a bounded sketch, two values that enclose
     the middle ranks; everything below collapses into one count map-side, and
-    only distinct values inside the bracket are put in order. Should a sketch
-    miss the middle ranks, the group's median comes out null.
+    only distinct values inside the bracket are put in order. A group whose
+    sketch missed the middle ranks is bracketed again, more widely.
     """
     keys = list(keys)
     present = values.filter(F.col(value).isNotNull())
     if not bracketed:
         return present.groupBy(*keys).agg(F.median(value).alias("median"))
-    edges = F.array(F.lit(0.5 - _HALF_WIDTH), F.lit(0.5 + _HALF_WIDTH))
+    width, parts = _HALF_WIDTH, []
+    while True:
+        found = cut_lineage(_bracketed(present, keys, value, width))
+        missed = found.filter(F.col("median").isNull()).select(*keys)
+        parts.append(found.filter(F.col("median").isNotNull()))
+        if width >= 0.5 or not missed.limit(1).count():
+            return reduce(DataFrame.unionByName, parts)
+        width = min(0.5, width * 20)
+        present = present.join(checked_broadcast(missed), keys, "left_semi")
+
+
+def _bracketed(present: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
+    """Medians by the values between two quantiles; null where these miss the middle."""
+    edges = F.array(F.lit(0.5 - width), F.lit(0.5 + width))
     brackets = present.groupBy(*keys).agg(
         F.percentile_approx(value, edges, _ACCURACY).alias("_q"),
         F.count(F.lit(1)).alias("_n"),

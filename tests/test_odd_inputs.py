@@ -157,3 +157,49 @@ def test_noise_study_resumes_and_shares_rows(spark, tmp_path, monkeypatch):
         assert a["auc"] == pytest.approx(b["auc"]) and a["proxy_noise"] == pytest.approx(b["proxy_noise"])
     clean, noisy = (next(r for r in plain if r["injected_p"] == p) for p in (0.0, 0.4))
     assert clean["proxy_noise"] < noisy["proxy_noise"]
+
+
+def test_poisson_bootstrap_is_close_to_the_plain_one(spark):
+    from perilscope.operators.statistics import bootstrap_correlation
+
+    rows = spark.range(400).select(
+        "id", (F.col("id") % 20).cast("double").alias("x"), ((F.col("id") % 20) + 8 * F.rand(1)).alias("y")
+    )
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    plain = bootstrap_correlation(rows, "x", "y", ["id"], replicates=400).first()
+    other = bootstrap_correlation(rows, "x", "y", ["id"], replicates=400, method="poisson").first()
+    assert other["r"] == plain["r"] and other["n_replicates"] == 400
+    for bound in ("ci_low", "ci_high"):
+        assert other[bound] == pytest.approx(plain[bound], abs=0.01)
+    with pytest.raises(ValueError):
+        bootstrap_correlation(rows, "x", "y", ["id"], method="normal")
+
+
+def test_long_resamples_are_drawn_in_parts(spark, monkeypatch):
+    from perilscope.operators import statistics
+
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(50)], "id int, x double, y double")
+    whole = statistics.bootstrap_correlation(rows, "x", "y", ["id"], replicates=50).first()
+    monkeypatch.setattr(statistics, "_CHUNK", 8)
+    parts = statistics.bootstrap_correlation(rows, "x", "y", ["id"], replicates=50).first()
+    assert parts["ci_low"] == pytest.approx(whole["ci_low"]) and parts["n"] == whole["n"]
+
+
+def test_a_missed_bracket_is_widened(spark, monkeypatch):
+    from perilscope.operators import medians
+
+    monkeypatch.setattr(medians, "_ACCURACY", 2)
+    rows = spark.createDataFrame([(k, float(i * i % 997)) for k in "ab" for i in range(600)], "k string, v double")
+    found = {r["k"]: r["median"] for r in medians.exact_medians(rows, ["k"], "v", bracketed=True).collect()}
+    want = {r["k"]: r["median"] for r in medians.exact_medians(rows, ["k"], "v").collect()}
+    assert found == want
+
+
+def test_broadcasts_are_limited_in_bytes_too(spark, monkeypatch):
+    from perilscope.operators import small
+
+    wide = spark.createDataFrame([(i, [0.0] * 100) for i in range(100)], "id int, x array<double>")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(small.checked_broadcast(wide))
+    monkeypatch.setattr(small, "BROADCAST_BYTES", 50_000)
+    assert not hinted(small.checked_broadcast(wide))

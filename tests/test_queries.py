@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # registers the queries
+from workload.registry import ORACLES, QUERIES
 from tools.check_oracle import TABLES, normal
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, name):
-    frame = entry.queries()[name](spark, FOLDER)
+    frame = QUERIES[name](spark, FOLDER)
     mine = normal([tuple(r) for r in frame.collect()], frame.columns)
     result = con.sql(ORACLES[name])
     assert mine == normal(result.fetchall(), result.columns)
@@ -28,7 +28,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_queries_without_sql_are_the_fitted_ones():
-    assert set(entry.queries()) - set(ORACLES) == {
+    assert set(QUERIES) - set(ORACLES) == {
         "harm_trained",
         "downstream_models",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from perilscope.config import IntegritySettings, SafetyConfig
@@ -18,11 +19,12 @@ from perilscope.operators.prep import (
     null_markers,
 )
 from perilscope.operators.sampling import assign_folds, stratified_split
+from perilscope.plans import reports
 from perilscope.plans.studies import label_noise_study
 from workload import sql
 from workload.registry import query, r6
 from workload.sql import u
-from workload.tables import labelled_pool, noisy_lines, scored_lines, table
+from workload.tables import labelled_pool, mix_rows, noisy_lines, scored_lines, table
 
 _KEYS = list(sql.LINE_KEYS)
 _KEY_SQL = ", ".join(_KEYS)
@@ -36,17 +38,20 @@ NOISY_CTE = f"""
       FROM lineitem
     )"""
 
+_STUDY_DOSES = (0.0, 0.05, 0.1, 0.2, 0.4)
+_STUDY_SEEDS = (0, 1, 2, 3, 4)
+
 # ---- mixes ----------------------------------------------------------------
 
 
 @query(
     "dose_mix",
-    f"""WITH {sql.mix_cte(sql.MIX_ROWS)} SELECT injected_p, seed, draw_no, label, doc_id,
+    f"""WITH {sql.mix_cte()} SELECT injected_p, seed, draw_no, label, doc_id,
       {sql.r6(u("'mix'", 'seed', 'doc_id', 'draw_no'))} AS mix_order FROM mix""",
 )
 def mix(spark, folder):
     pool = labelled_pool(spark, folder)
-    found = dose_mix(pool, "label", ["doc_id"], sql.MIX_DOSES, sql.MIX_SEEDS, sql.MIX_ROWS)
+    found = dose_mix(pool, "label", ["doc_id"], sql.MIX_DOSES, sql.MIX_SEEDS, mix_rows(spark, folder))
     order = r6("mix_order").alias("mix_order")
     return found.select("injected_p", "seed", "draw_no", "label", "doc_id", order)
 
@@ -65,16 +70,26 @@ def dose_mix_short_pool(spark, folder):
 @query(
     "label_flip",
     f"""WITH {NOISY_CTE},
-    doses(injected_p) AS (VALUES (0.0::DOUBLE), (0.1), (0.4)),
-    seeds(seed) AS (VALUES (0), (1))
-    SELECT injected_p, seed, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    doses(injected_p) AS (SELECT unnest([{', '.join(map(str, _STUDY_DOSES))}])::DOUBLE),
+    seeds(seed) AS (SELECT unnest([{', '.join(map(str, _STUDY_SEEDS))}])),
+    flipped AS (SELECT *,
       CASE WHEN {u("'flip' || seed", *_KEYS)} < injected_p THEN 1 - high ELSE high END AS noisy_label
-    FROM noisy CROSS JOIN doses CROSS JOIN seeds""",
+      FROM noisy CROSS JOIN doses CROSS JOIN seeds)
+    SELECT injected_p, seed, high, noisy_label, l_linenumber, count(*) AS n,
+      sum(l_orderkey)::BIGINT AS orders, sum(l_partkey)::BIGINT AS parts,
+      sum(l_suppkey)::BIGINT AS suppliers
+    FROM flipped GROUP BY ALL""",
 )
 def label_flip(spark, folder):
+    """The whole grid of flips; key sums tell which rows were flipped."""
     rows = noisy_lines(spark, folder).select(*_KEYS, "high")
-    found = flip_labels(rows, "high", (0.0, 0.1, 0.4), (0, 1), _KEYS)
-    return found.select("injected_p", "seed", *_KEYS, "noisy_label")
+    found = flip_labels(rows, "high", _STUDY_DOSES, _STUDY_SEEDS, _KEYS)
+    return found.groupBy("injected_p", "seed", "high", "noisy_label", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("l_orderkey").alias("orders"),
+        F.sum("l_partkey").alias("parts"),
+        F.sum("l_suppkey").alias("suppliers"),
+    )
 
 
 @query(
@@ -296,6 +311,73 @@ def label_integrity(spark, folder):
     )
 
 
+_CLASSES = 80
+_CONSTANTS = [f"c{i}" for i in range(9)]
+
+
+@query(
+    "label_integrity_many_classes",
+    f"""WITH rows AS (SELECT l_returnflag AS dataset_id, l_suppkey % {_CLASSES} AS label,
+        floor({u("'0'", *_KEYS)} * 5)::INT AS fold FROM lineitem),
+    cells AS (SELECT dataset_id, fold, label, count(*) AS n FROM rows GROUP BY ALL),
+    labels AS (SELECT dataset_id, label, sum(n) AS n FROM cells GROUP BY ALL),
+    folds AS (SELECT dataset_id, fold, sum(n) AS n FROM cells GROUP BY ALL),
+    sets AS (SELECT dataset_id, sum(n) AS n FROM cells GROUP BY ALL)
+    SELECT dataset_id, round((sum(c.n * (1 - (l.n - c.n)::DOUBLE / (s.n - f.n))) / any_value(s.n))
+        ::DOUBLE, 4) AS score, any_value(s.n)::BIGINT AS n_rows, 0::BIGINT AS n_unfinished
+    FROM cells c JOIN labels l USING (dataset_id, label) JOIN folds f USING (dataset_id, fold)
+      JOIN sets s USING (dataset_id) GROUP BY dataset_id""",
+)
+def label_integrity_many_classes(spark, folder):
+    """800 parameters a model. The features do not vary, so a class's share is its probability."""
+    lines = table(spark, folder, "lineitem")
+    rows = lines.select(
+        *_KEYS,
+        F.col("l_returnflag").alias("dataset_id"),
+        (F.col("l_suppkey") % _CLASSES).alias("label"),
+        *[F.lit(float(i)).alias(c) for i, c in enumerate(_CONSTANTS)],
+    )
+    config = SafetyConfig(
+        label_column="label", feature_columns=tuple(_CONSTANTS), key_columns=sql.LINE_KEYS
+    )
+    found = integrity.label_integrity(rows, config)
+    return found.select(
+        "dataset_id",
+        F.round("score", 4).alias("score"),
+        F.col("details.n_rows").cast("bigint").alias("n_rows"),
+        F.col("details.n_unfinished").cast("bigint").alias("n_unfinished"),
+    )
+
+
+@query(
+    "label_integrity_own_model",
+    f"""WITH {NOISY_CTE}, one AS (SELECT * REPLACE ('lines' AS dataset_id) FROM noisy),
+    {newton_sql(_PASSES, source='one')},
+    held AS (SELECT dataset_id, high, 1 / (1 + exp(-(t0 + t1 * z1 + t2 * z2))) AS p
+      FROM z JOIN theta{_PASSES} USING (dataset_id, m) WHERE fold = m)
+    SELECT dataset_id, round(avg(1 - CASE WHEN high = 1 THEN p ELSE 1 - p END)::DOUBLE, 3) AS score,
+      count(*) AS n_rows FROM held GROUP BY 1""",
+)
+def label_integrity_own_model(spark, folder):
+    """The proxy with a classifier of the user's own: here the same model, fitted by Spark ML."""
+    rows = noisy_lines(spark, folder).withColumn("dataset_id", F.lit("lines"))
+    own = LogisticRegression(
+        regParam=1.25 / rows.count(), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10
+    )
+    config = SafetyConfig(
+        label_column="high",
+        feature_columns=("price", "discount"),
+        key_columns=sql.LINE_KEYS,
+        integrity=IntegritySettings(estimator=own),
+    )
+    found = integrity.label_integrity(rows, config)
+    return found.select(
+        "dataset_id",
+        F.round("score", 3).alias("score"),
+        F.col("details.n_rows").cast("bigint").alias("n_rows"),
+    )
+
+
 @query(
     "fold_impute_scale",
     f"""WITH {NOISY_CTE}, {newton_sql(1)}
@@ -392,13 +474,7 @@ def downstream_models(spark, folder):
     )
 
 
-_STUDY_DOSES = (0.0, 0.05, 0.1, 0.2, 0.4)
-_STUDY_SEEDS = (0, 1, 2, 3, 4)
-
-
-@query(
-    "label_noise_study",
-    f"""WITH {NOISY_CTE},
+_STUDY_CTE = f"""{NOISY_CTE},
     med AS (SELECT median(discount) AS md FROM noisy),
     filled AS (SELECT {_KEY_SQL}, price, coalesce(discount, md) AS discount, high FROM noisy, med),
     scale AS (SELECT avg(price) AS a1, stddev_pop(price) AS s1, avg(discount) AS a2,
@@ -435,17 +511,18 @@ _STUDY_SEEDS = (0, 1, 2, 3, 4)
     accuracies AS (SELECT injected_p, seed, avg(recall) AS bal_acc FROM recalls GROUP BY 1, 2),
     eces AS (SELECT injected_p, seed, sum(abs(mp - my) * n) / sum(n) AS ece FROM (
       SELECT injected_p, seed, floor(p * 10) AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my
-      FROM tests GROUP BY 1, 2, 3) GROUP BY 1, 2)
-    SELECT injected_p, seed, 'logreg' AS model, {sql.r6('proxy')} AS proxy_noise,
-      {sql.r6('auc')} AS auc, {sql.r6('bal_acc')} AS bal_acc, {sql.r6('ece')} AS ece
-    FROM proxies JOIN aucs USING (injected_p, seed) JOIN accuracies USING (injected_p, seed)
-      JOIN eces USING (injected_p, seed)""",
-)
-def noise_study(spark, folder):
+      FROM tests GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    study AS MATERIALIZED (
+      SELECT injected_p, seed, 'logreg' AS model, proxy AS proxy_noise, auc, bal_acc, ece
+      FROM proxies JOIN aucs USING (injected_p, seed) JOIN accuracies USING (injected_p, seed)
+        JOIN eces USING (injected_p, seed))"""
+
+
+def _noise_study(spark, folder):
     """The full dose and seed grid with the logistic model, on all line items."""
     rows = noisy_lines(spark, folder)
     prepared, names = design_matrix(rows, ["price", "discount"], [], keep=[*_KEYS, "high"])
-    found = label_noise_study(
+    return label_noise_study(
         prepared,
         len(names),
         "high",
@@ -454,5 +531,54 @@ def noise_study(spark, folder):
         seeds=_STUDY_SEEDS,
         models=("logreg",),
     )
+
+
+@query(
+    "label_noise_study",
+    f"""WITH {_STUDY_CTE} SELECT injected_p, seed, model, {sql.r6('proxy_noise')} AS proxy_noise,
+      {sql.r6('auc')} AS auc, {sql.r6('bal_acc')} AS bal_acc, {sql.r6('ece')} AS ece FROM study""",
+)
+def noise_study(spark, folder):
+    found = _noise_study(spark, folder)
     measures = ("proxy_noise", "auc", "bal_acc", "ece")
     return found.select("injected_p", "seed", "model", *[r6(c).alias(c) for c in measures])
+
+
+@query(
+    "figure_tabular",
+    f"""WITH {_STUDY_CTE} SELECT injected_p, count(*) AS n,
+      {sql.r6('avg(proxy_noise)')} AS proxy_mean, {sql.r6('stddev_samp(proxy_noise)')} AS proxy_sd,
+      {sql.r6('avg(auc)')} AS auc_mean, {sql.r6('stddev_samp(auc)')} AS auc_sd,
+      {sql.r6('avg(ece)')} AS ece_mean, {sql.r6('stddev_samp(ece)')} AS ece_sd
+    FROM study GROUP BY 1""",
+)
+def figure_tabular(spark, folder):
+    found = reports.tabular_dose_table(_noise_study(spark, folder))
+    pairs = (("proxy_noise", "proxy"), ("auc", "auc"), ("ece", "ece"))
+    return found.select(
+        "injected_p",
+        "n",
+        *[r6(f"{a}_{s}").alias(f"{b}_{s}") for a, b in pairs for s in ("mean", "sd")],
+    )
+
+
+@query(
+    "tabular_analysis",
+    f"""WITH {_STUDY_CTE}, series AS (
+      SELECT 'dose_proxy' AS outcome, injected_p, seed, model, injected_p AS density,
+        proxy_noise AS value FROM study
+      UNION ALL SELECT 'proxy_auc', injected_p, seed, model, proxy_noise, auc FROM study
+      UNION ALL SELECT 'proxy_ece', injected_p, seed, model, proxy_noise, ece FROM study),
+    {sql.bootstrap_cte(10000, ('injected_p', 'seed', 'model'))}
+    SELECT outcome AS pair, {sql.r6('r')} AS r, {sql.r6('lo')} AS ci_low, {sql.r6('hi')} AS ci_high,
+      n, CASE WHEN outcome = 'proxy_auc' THEN hi < 0 ELSE lo > 0 END AS as_expected
+    FROM obs LEFT JOIN ci USING (outcome)""",
+)
+def tabular_analysis(spark, folder):
+    found = reports.tabular_analysis(_noise_study(spark, folder))
+    return found.select(
+        "pair",
+        *[r6(c).alias(c) for c in ("r", "ci_low", "ci_high")],
+        "n",
+        (F.col("verdict") == "CI excludes 0").alias("as_expected"),
+    )

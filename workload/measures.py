@@ -13,7 +13,6 @@ from perilscope.operators.metrics import (
     expected_max_toxicity,
     roc_auc,
 )
-from perilscope.operators.mixing import flip_labels
 from perilscope.operators.statistics import (
     bootstrap_correlation,
     correlation,
@@ -27,8 +26,11 @@ from perilscope.operators.statistics import (
 from perilscope.plans import reports
 from perilscope.session import checkpoint_folder
 from perilscope.sources.measurements import (
+    TEXT_CALIBRATION,
     append_measurements,
+    export_csv,
     pending_runs,
+    read_measurements,
     slice_keys,
     slice_name,
 )
@@ -174,30 +176,12 @@ def pearson_r(spark, folder):
     return found.select("outcome", r6("r").alias("r"), "n")
 
 
-_BOOTSTRAP_ROUNDS = 2000
-
-
-def _bootstrap_sql(rounds: int) -> str:
-    return f"""
-    points AS (
-      SELECT *, row_number() OVER (PARTITION BY outcome
-        ORDER BY {u("'point'", 'injected_p', 'seed')}, injected_p, seed) - 1 AS slot,
-        count(*) OVER (PARTITION BY outcome) AS n FROM series),
-    ns AS (SELECT DISTINCT outcome, n FROM points),
-    picks AS (
-      SELECT outcome, rep, floor({u("'0'", 'outcome', 'rep', 'i')} * n)::BIGINT AS slot
-      FROM (SELECT outcome, n, rep, unnest(range(n)) AS i
-        FROM ns CROSS JOIN (SELECT unnest(range({rounds})) AS rep))),
-    rs AS (SELECT outcome, rep, {pearson('density', 'value')} AS r
-      FROM picks JOIN points USING (outcome, slot) GROUP BY 1, 2),
-    ci AS (SELECT outcome, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi,
-      count(r) AS reps FROM rs WHERE r IS NOT NULL GROUP BY 1),
-    obs AS (SELECT outcome, {pearson('density', 'value')} AS r, count(*) AS n FROM series GROUP BY 1)"""
+_BOOTSTRAP_ROUNDS = 10_000
 
 
 @query(
     "bootstrap_ci",
-    f"""WITH {_M}, {_bootstrap_sql(10000)}
+    f"""WITH {_M}, {sql.bootstrap_cte(_BOOTSTRAP_ROUNDS)}
     SELECT outcome, {sql.r6('r')} AS r, {sql.r6('lo')} AS ci_low, {sql.r6('hi')} AS ci_high, n,
       coalesce(reps, 0)::BIGINT AS n_replicates FROM obs LEFT JOIN ci USING (outcome)""",
 )
@@ -212,7 +196,7 @@ def bootstrap_ci(spark, folder):
 
 @query(
     "ci_verdict",
-    f"""WITH {_M}, {_bootstrap_sql(_BOOTSTRAP_ROUNDS)}
+    f"""WITH {_M}, {sql.bootstrap_cte(_BOOTSTRAP_ROUNDS)}
     SELECT outcome, CASE WHEN lo > 0 THEN 'CI excludes 0' ELSE 'crosses 0' END AS positive,
       CASE WHEN hi < 0 THEN 'CI excludes 0' ELSE 'crosses 0' END AS negative
     FROM obs LEFT JOIN ci USING (outcome)""",
@@ -400,43 +384,39 @@ def figure_scale_comparison(spark, folder):
 
 
 @query(
-    "figure_tabular",
-    f"""WITH {NOISY_CTE},
-    doses(injected_p) AS (VALUES (0.0::DOUBLE), (0.1), (0.4)), seeds(seed) AS (VALUES (0), (1), (2)),
-    flipped AS (
-      SELECT injected_p, seed, 1 / (1 + exp(-(price - 53) / 20)) AS p,
-        CASE WHEN {u("'flip' || seed", *sql.LINE_KEYS)} < injected_p THEN 1 - high ELSE high END AS y
-      FROM noisy CROSS JOIN doses CROSS JOIN seeds),
-    runs AS (SELECT injected_p, seed, avg(1 - CASE WHEN y = 1 THEN p ELSE 1 - p END) AS proxy
-      FROM flipped GROUP BY 1, 2),
-    ranked AS (SELECT injected_p, seed, y, rank() OVER (PARTITION BY injected_p, seed ORDER BY p)
-        + (count(*) OVER (PARTITION BY injected_p, seed, p) - 1) / 2 AS rk FROM flipped),
-    aucs AS (SELECT injected_p, seed, (sum(rk) FILTER (y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2)
-        / (sum(y)::DOUBLE * sum(1 - y)) AS auc FROM ranked GROUP BY 1, 2),
-    eces AS (SELECT injected_p, seed, sum(abs(mp - my) * n) / sum(n) AS ece FROM (
-      SELECT injected_p, seed, {_BIN} AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my
-      FROM flipped GROUP BY 1, 2, 3) GROUP BY 1, 2)
-    SELECT injected_p, count(*) AS n, {sql.r6('avg(proxy)')} AS proxy_mean,
-      {sql.r6('stddev_samp(proxy)')} AS proxy_sd, {sql.r6('avg(auc)')} AS auc_mean,
-      {sql.r6('stddev_samp(auc)')} AS auc_sd, {sql.r6('avg(ece)')} AS ece_mean,
-      {sql.r6('stddev_samp(ece)')} AS ece_sd
-    FROM runs JOIN aucs USING (injected_p, seed) JOIN eces USING (injected_p, seed) GROUP BY 1""",
+    "predictive_interval",
+    f"""WITH {_M.replace('series AS', 'other_series AS')},
+    series AS (SELECT '0' AS outcome, injected_p, seed, density, harm_rate AS value FROM measured),
+    {sql.bootstrap_cte(_BOOTSTRAP_ROUNDS)}
+    SELECT {sql.r6('r')} AS r, {sql.r6('lo')} AS ci_low, {sql.r6('hi')} AS ci_high, n,
+      reps::BIGINT AS n_replicates FROM obs JOIN ci USING (outcome)""",
 )
-def figure_tabular(spark, folder):
-    rows = scored_lines(spark, folder).select(*sql.LINE_KEYS, "high", "p_high")
-    flipped = flip_labels(rows, "high", (0.0, 0.1, 0.4), (0, 1, 2), list(sql.LINE_KEYS))
-    run = ["injected_p", "seed"]
-    wrong = 1 - F.when(F.col("noisy_label") == 1, F.col("p_high")).otherwise(1 - F.col("p_high"))
-    measured = (
-        flipped.groupBy(*run)
-        .agg(F.avg(wrong).alias("proxy_noise"))
-        .join(roc_auc(flipped, "p_high", "noisy_label", run).select(*run, "auc"), run)
-        .join(calibration_error(flipped, "p_high", "noisy_label", run), run)
+def predictive_interval(spark, folder):
+    found = reports.predictive_interval(
+        _calibration(spark, folder), _outcome_log(spark, folder), "ingest_seq"
     )
-    found = reports.tabular_dose_table(measured)
-    pairs = (("proxy_noise", "proxy"), ("auc", "auc"), ("ece", "ece"))
+    return found.select(*[r6(c).alias(c) for c in ("r", "ci_low", "ci_high")], "n", "n_replicates")
+
+
+@query(
+    "csv_measurements",
+    f"""WITH {_M} SELECT injected_p, seed::INT AS seed, {sql.r6('density')} AS density,
+      {sql.r6('harm_rate')} AS safety FROM measured""",
+)
+def csv_measurements(spark, folder):
+    """Measurements written as CSV and read back with their schema."""
+    path = f"{checkpoint_folder(spark)}/measurements-{uuid4().hex}.csv"
+    measured = mix_measurements(spark, folder)
+    export_csv(
+        measured.select(
+            "injected_p",
+            "seed",
+            F.col("density").alias("harm_content_density"),
+            F.col("harm_rate").alias("S"),
+        ),
+        path,
+    )
+    found = read_measurements(spark, path, TEXT_CALIBRATION)
     return found.select(
-        "injected_p",
-        "n",
-        *[r6(f"{a}_{s}").alias(f"{b}_{s}") for a, b in pairs for s in ("mean", "sd")],
+        "injected_p", "seed", r6("harm_content_density").alias("density"), r6("S").alias("safety")
     )

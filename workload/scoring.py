@@ -256,7 +256,7 @@ def harm_heads(spark, folder):
 def harm_trained(spark, folder):
     docs = table(spark, folder, "documents")
     labelled = labelled_pool(spark, folder).join(docs.select("doc_id", "text"), "doc_id")
-    model = fit_text_scorer(labelled, "text", "label", n_features=1 << 14)
+    model = fit_text_scorer(labelled, "text", "label")
     scored = score_texts(model, docs.select("doc_id", "source", "text"), "text")
     config = text_config(
         dataset_column="source",

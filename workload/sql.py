@@ -8,7 +8,8 @@ LANGUAGES = ("en", "de", "fr", "es", "it")
 EVENT_PROBES = ("click", "view", "purchase", "error", "signup", "recall", "shutdown")
 MIX_DOSES = (0.0, 0.025, 0.05, 0.1, 0.2, 0.4)
 MIX_SEEDS = (0, 1, 2, 3, 4)
-MIX_ROWS = 100
+#: A mix takes a quarter as many records as the pool holds.
+MIX_SHARE = 4
 LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -128,13 +129,13 @@ def long_scores_cte(datasets: str, dataset: str) -> str:
     )"""
 
 
-def mix_cte(rows_per_slice: int, doses=MIX_DOSES, seeds=MIX_SEEDS) -> str:
-    """``mix``: (injected_p, seed, draw_no, label, doc_id) over labelled documents."""
-    grid = ", ".join(
-        f"({p}::DOUBLE, {lab}, {round(rows_per_slice * p) if lab else rows_per_slice - round(rows_per_slice * p)})"
-        for p in doses
-        for lab in (0, 1)
-    )
+def mix_cte(rows_per_slice: int | None = None, doses=MIX_DOSES, seeds=MIX_SEEDS) -> str:
+    """``mix``: (injected_p, seed, draw_no, label, doc_id) over labelled documents.
+
+    Without ``rows_per_slice`` a mix has a share of the pool's size.
+    """
+    doses_list = ", ".join(f"({p}::DOUBLE)" for p in doses)
+    rows = f"(SELECT count(*) // {MIX_SHARE} FROM pool)" if rows_per_slice is None else rows_per_slice
     return f"""
     scored_pool AS (
       SELECT doc_id, quality, round((toxic + {u("'tox'", 'doc_id')}) / 2, 4) AS toxicity FROM labels
@@ -143,7 +144,11 @@ def mix_cte(rows_per_slice: int, doses=MIX_DOSES, seeds=MIX_SEEDS) -> str:
       SELECT *, CASE WHEN toxicity >= 0.5 THEN 1 ELSE 0 END AS label FROM scored_pool
     ),
     sizes AS (SELECT label, count(*) AS pool_n FROM pool GROUP BY label),
-    grid(injected_p, label, need) AS (VALUES {grid}),
+    grid AS (
+      SELECT injected_p, label, CASE WHEN label = 1 THEN hit ELSE n - hit END AS need
+      FROM (SELECT injected_p, n, round_even(n * injected_p, 0)::BIGINT AS hit
+        FROM (VALUES {doses_list}) d(injected_p), (SELECT ({rows})::BIGINT AS n))
+      CROSS JOIN (VALUES (0), (1)) l(label)),
     seeds AS (SELECT unnest([{', '.join(map(str, seeds))}]) AS seed),
     ranked AS (
       SELECT seed, p.*, row_number() OVER (
@@ -169,7 +174,7 @@ def mix_cte(rows_per_slice: int, doses=MIX_DOSES, seeds=MIX_SEEDS) -> str:
 def measurements_cte() -> str:
     """``measured``: one row per (dose, seed) with the proxy and two outcomes."""
     return f"""
-    {mix_cte(MIX_ROWS)},
+    {mix_cte()},
     doc_flags AS (
       SELECT doc_id, n_chars, regexp_matches(text, '{LEXICON}') AS is_toxic,
         (regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{SSN}')) AS is_pii
@@ -192,3 +197,22 @@ def pearson(x: str, y: str) -> str:
         f"CASE WHEN min({x}) < max({x}) AND min({y}) < max({y}) "
         f"THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END"
     )
+
+
+def bootstrap_cte(rounds: int, keys=("injected_p", "seed")) -> str:
+    """``obs`` and ``ci``: correlation and percentile interval of every outcome in ``series``."""
+    return f"""
+    points AS (
+      SELECT *, row_number() OVER (PARTITION BY outcome
+        ORDER BY {u("'point'", *keys)}, {', '.join(keys)}) - 1 AS slot,
+        count(*) OVER (PARTITION BY outcome) AS n FROM series),
+    ns AS (SELECT DISTINCT outcome, n FROM points),
+    picks AS (
+      SELECT outcome, rep, floor({u("'0'", 'outcome', 'rep', 'i')} * n)::BIGINT AS slot
+      FROM (SELECT outcome, n, rep, unnest(range(n)) AS i
+        FROM ns CROSS JOIN (SELECT unnest(range({rounds})) AS rep))),
+    rs AS (SELECT outcome, rep, {pearson('density', 'value')} AS r
+      FROM picks JOIN points USING (outcome, slot) GROUP BY 1, 2),
+    ci AS (SELECT outcome, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi,
+      count(r) AS reps FROM rs WHERE r IS NOT NULL GROUP BY 1),
+    obs AS (SELECT outcome, {pearson('density', 'value')} AS r, count(*) AS n FROM series GROUP BY 1)"""

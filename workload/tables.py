@@ -87,6 +87,11 @@ def labelled_pool(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("label", binarise_at("toxicity"))
 
 
+def mix_rows(spark: SparkSession, folder: str) -> int:
+    """Records of a mix: they grow with the pool."""
+    return table(spark, folder, "labels").count() // sql.MIX_SHARE
+
+
 def mix_measurements(spark: SparkSession, folder: str) -> DataFrame:
     """(injected_p, seed, density, harm_rate, mean_length) of every mix of labelled documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
@@ -98,7 +103,7 @@ def mix_measurements(spark: SparkSession, folder: str) -> DataFrame:
         ["doc_id"],
         sql.MIX_DOSES,
         sql.MIX_SEEDS,
-        sql.MIX_ROWS,
+        mix_rows(spark, folder),
         outcomes={
             "harm_rate": 1 - F.col("quality"),
             "mean_length": F.col("n_chars") / 1000,
