@@ -15,7 +15,6 @@ once for each worker.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +29,9 @@ from perilscope.llm.common import held_out
 from perilscope.llm.quality import labelled_sample
 
 #: About so many labelled rows are fitted on, chosen by a hash of the id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 #: Saved bytes from which a window counts, one count for each.
-THRESHOLDS = (4, 6, 8, 10, 13, 16)
+THRESHOLDS = (2, 3, 4, 6, 8, 11, 16)
 ORDINARY_BYTES, TOXIC_BYTES = 131_072, 65_536
 CACHED_WORDS = 300_000
 PREDICT_FROM = 0.7
@@ -113,25 +112,39 @@ def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.5) -> np.nd
     return weights
 
 
-def _marked(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
-    """Words that stand in toxic texts far more often than chance would have it.
+class Vocabulary(dict):
+    """Numbers for words, in the order they are first seen."""
 
-    A word counts once for every pair of neighbours, so copies of a text add nothing.
-    """
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def numbers(self, text: str) -> np.ndarray:
+        words = _words(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _contexts(texts: list[np.ndarray], size: int) -> np.ndarray:
+    """How many different pairs of neighbours every word has; copies of a text add nothing."""
+    keys, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for ids in texts:
+        if not len(ids):
+            continue
+        around = np.concatenate(([-1], ids, [-1])).astype(np.uint64)
+        key = around[:-2] * np.uint64(0x9E3779B97F4A7C15) + around[1:-1]
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + around[2:]
+        keys.append(key * np.uint64(0x94D049BB133111EB))
+        words.append(ids)
+    _, first = np.unique(np.concatenate(keys), return_index=True)
+    return np.bincount(np.concatenate(words)[first], minlength=size)
 
-    def contexts(texts: list[list[str]]) -> Counter:
-        seen = {n for w in texts for n in zip(["", *w], w, [*w[1:], ""], strict=False)}
-        return Counter(word for _, word, _ in seen)
 
-    bad, good = contexts(toxic), contexts(ordinary)
-    share = sum(bad.values()) / max(1, sum(bad.values()) + sum(good.values()))
-    marked = set()
-    for word, n in bad.items():
-        total = n + good[word]
-        spread = math.sqrt(total * share * (1 - share)) + 1e-9
-        if n >= 3 and n > 0.6 * total and (n - total * share) / spread >= 5:
-            marked.add(word)
-    return marked
+def _marked(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Words that stand in toxic texts far more often than chance would have it."""
+    total = bad + good
+    share = bad.sum() / max(1, total.sum())
+    spread = np.sqrt(total * share * (1 - share)) + 1e-9
+    return (bad >= 3) & (bad > 0.6 * total) & ((bad - total * share) / spread >= 5)
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -155,13 +168,16 @@ def train(texts: list[str], labels: np.ndarray, draws: np.ndarray) -> Model:
     constant[-1] = math.log(share / (1 - share))
     if len(np.unique(labels)) < 2:
         return Model(b"", b"", b"", constant)
-    words = [_words(t) for t in texts]
+    vocabulary = Vocabulary()
+    ids = [vocabulary.numbers(t) for t in texts]
+    names = list(vocabulary)
     learn = draws < 0.7
-    toxic = [w for w, y, u in zip(words, labels, learn, strict=True) if y and u]
-    ordinary = [w for w, y, u in zip(words, labels, learn, strict=True) if not y and u]
-    marked = _marked(toxic, ordinary)
+    toxic = [w for w, y, u in zip(ids, labels, learn, strict=True) if y and u]
+    ordinary = [w for w, y, u in zip(ids, labels, learn, strict=True) if not y and u]
+    marked = _marked(_contexts(toxic, len(names)), _contexts(ordinary, len(names)))
+    counts = np.bincount(np.concatenate([*toxic, np.empty(0, np.int64)]), minlength=len(names))
+    kinds = {names[i]: int(counts[i]) for i in np.flatnonzero(marked)}
     # each kind of window once for every four times it occurs, so rare ones are learnt too
-    kinds = Counter(x for w in toxic for x in w if x in marked)
     windows = [f" {x} " for x, n in sorted(kinds.items()) for _ in range(1 + n // 4)]
     bad = [_wide("".join(windows[i : i + 8])) for i in range(0, len(windows), 8)]
     good, room = [], 8_000_000
@@ -169,20 +185,22 @@ def train(texts: list[str], labels: np.ndarray, draws: np.ndarray) -> Model:
         if room <= 0:
             break
         for i in range(0, len(w), 12):
-            good.append(_wide(" " + " ".join(w[i : i + 12]) + " "))
+            good.append(_wide(" " + " ".join(names[n] for n in w[i : i + 12]) + " "))
             room -= len(good[-1])
-    lead = _wide(" " + " ".join(next((w[:6] for w in ordinary if len(w) >= 6), [])) + " ")
+    first = next((w[:6] for w in ordinary if len(w) >= 6), [])
+    lead = _wide(" " + " ".join(names[n] for n in first) + " ")
     plain = _dictionary(good, ORDINARY_BYTES, 128)
-    special = b"".join(_wide(f" {x} ") for x in sorted(marked, key=lambda x: (kinds[x], x)))
     trained = _dictionary(bad, TOXIC_BYTES, 32)
-    # the trained selection drops some windows: what room is left holds them
-    rest = special[-max(0, TOXIC_BYTES - len(trained)) :] if len(trained) < TOXIC_BYTES else b""
-    savings = Savings(plain, trained + rest, lead)
-    fitted = [i for i in range(len(words)) if not learn[i]]
+    # the trained selection drops some windows: what room is left holds them, frequent ones last
+    room = max(0, TOXIC_BYTES - len(trained))
+    special = b"".join(_wide(f" {x} ") for x in sorted(kinds, key=lambda x: (kinds[x], x)))
+    special = special[max(0, len(special) - room) :] + trained
+    savings = Savings(plain, special, lead)
+    fitted = [i for i in range(len(ids)) if not learn[i]]
     if len(set(labels[fitted].tolist())) < 2:
-        return Model(plain, trained + rest, lead, constant)
-    rows = np.stack([_counts(words[i], savings) for i in fitted])
-    return Model(plain, trained + rest, lead, _logistic(rows, labels[fitted]))
+        return Model(plain, special, lead, constant)
+    rows = np.stack([_counts([names[n] for n in ids[i]], savings) for i in fitted])
+    return Model(plain, special, lead, _logistic(rows, labels[fitted]))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
