@@ -51,7 +51,10 @@ class _Bits:
 
 
 class FMIndex:
-    """Backward search over ``text``, whose symbols are 0 ... ``symbols`` - 1."""
+    """Backward search over ``text``, whose symbols are 0 ... ``symbols`` - 1.
+
+    0 parts sequences and must end the text; patterns do not hold it.
+    """
 
     def __init__(self, text: np.ndarray, symbols: int, depth: int):
         self.suffixes = sorted_suffixes(text, depth)

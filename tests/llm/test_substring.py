@@ -99,8 +99,8 @@ def test_white_space_stays(make_docs):
 def test_index_finds_every_occurrence():
     rng = np.random.default_rng(7)
     for symbols in (2, 3, 50):
-        text = rng.integers(0, symbols, 700)
-        index = FMIndex(text, symbols, 6)
+        text = np.append(rng.integers(1, symbols + 1, 700), 0)
+        index = FMIndex(text, symbols + 1, 6)
         windows = np.stack([text[i : i + 6] for i in range(695)])
         length, low, high = index.matches(windows)
         first = index.earliest(low, high)

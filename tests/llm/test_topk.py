@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from perilscope.llm import topk
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
@@ -30,7 +32,8 @@ def check(spark, rows, k=20, every=20):
 
 def vectors(n, width, seed):
     rng = random.Random(seed)
-    return [(i, [rng.choice([-1, -0.5, 0.25, 0.125, 1.0, rng.gauss(0, 0.3)]) for _ in range(width)]) for i in range(n)]
+    pick = lambda: rng.choice([-1.0, -0.5, 0.25, 0.125, 1.0, rng.gauss(0, 0.3)])
+    return [(i, [float(np.float32(pick())) for _ in range(width)]) for i in range(n)]
 
 
 def test_equals_brute_force_with_ties_and_odd_vectors(spark):
@@ -62,8 +65,6 @@ def test_large_numbers_stay_exact(spark):
 
 
 def test_reading_stops_before_the_end():
-    import numpy as np
-
     rng = np.random.default_rng(5)
     x = rng.integers(-20, 20, (2000, 4))
     x[:25] = 30  # far better than the others for a positive query
