@@ -30,7 +30,7 @@ from perilscope.llm.common import held_out
 from perilscope.llm.quality import labelled_sample
 
 #: About so many labelled rows are fitted on, chosen by a hash of the id.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 8_000
 #: Saved bytes from which a window counts, one count for each.
 THRESHOLDS = (2, 3, 4, 6, 8, 11, 16)
 ORDINARY_BYTES, TOXIC_BYTES = 131_072, 65_536
@@ -225,9 +225,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     sample = labelled_sample(docs, labels, "toxic", rows)
     found = sample.select("doc_id", "text", "label", uniform("calibrate", "doc_id").alias("u"))
     frame = found.filter("text IS NOT NULL").toPandas().sort_values("doc_id", kind="stable")
-    return train(
-        frame["text"].tolist(), frame["label"].to_numpy(float), frame["u"].to_numpy(float)
-    )
+    marks, draws = frame["label"].to_numpy(float), frame["u"].to_numpy(float)
+    return train(frame.pop("text").tolist(), marks, draws)
 
 
 def scores(model: Model, texts: pd.Series, savings: Savings) -> np.ndarray:
