@@ -467,7 +467,7 @@ def downstream_models(spark, folder):
     numeric = ["n_chars", "n_words", "n_digits", "n_stops"]
     prepared, names = design_matrix(rows, numeric, ["lang"], keep=["doc_id", "quality"])
     found = label_noise_study(
-        prepared, len(names), "quality", ["doc_id"], doses=(0.0, 0.4), seeds=(0,), trees=10
+        prepared, len(names), "quality", ["doc_id"], doses=(0.0, 0.4), seeds=(0,)
     )
     return found.select(
         "injected_p", "seed", "model", *[F.round(c, 3).alias(c) for c in ("proxy_noise", "auc", "bal_acc", "ece")]
