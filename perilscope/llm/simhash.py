@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash and covering locality-sensitive hashing.
+"""Near duplicates: SimHash with covering locality-sensitive hashing, and shingles with min-hash bands.
 
 ``2 ** (radius + 1) - 1`` bit masks are laid over the fingerprints so that
 any ``radius`` bits are left out by one mask at least. So two fingerprints
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilscope.llm.common import settle
@@ -22,8 +22,14 @@ from perilscope.llm.components import components
 BITS = 64
 #: Fingerprints of a bucket that are compared with one another; larger buckets are parted further.
 BUCKET = 4096
-#: Values that a five-word sketch keeps; texts with fewer shingles are compared exactly.
+#: Values that a five-word sketch keeps; texts with fewer shingles are compared exactly by it.
 SKETCH = 256
+#: Min-hash keys of a text, and the min-hashes in each.
+BANDS, ROWS = 20, 5
+#: Rounds that compare a bucket with one leader.
+STARS = 2
+#: Odd multipliers that make other hashes of a hash.
+_MULTIPLIERS = np.random.default_rng(42).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
 
 _BIT_OF_BYTE = np.unpackbits(
     np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"
@@ -157,32 +163,6 @@ def star_links(found: DataFrame, radius: int) -> DataFrame:
     return found.mapInPandas(link, "a bigint, b bigint")
 
 
-def near_links(found: DataFrame, radius: int) -> DataFrame:
-    """(a, b): in every bucket, each node with its nearest and with the smallest near one.
-
-    Candidates for a closer look, at most two for each member of a bucket.
-    """
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ends: set[tuple[int, int]] = set()
-            for fps, nodes in zip(batch["fps"], batch["nodes"], strict=True):
-                marks, ids = np.asarray(fps, np.int64).view(np.uint64), np.asarray(nodes, np.int64)
-                for start, apart in _within(marks, radius):
-                    own = np.arange(len(apart))
-                    apart[own, start + own] = 255
-                    close = apart.argmin(axis=1)
-                    least = np.where(apart < 255, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-                    some = apart[own, close] < 255
-                    here = ids[start : start + len(apart)]
-                    for other in (ids[close], least):
-                        ends.update(zip(here[some].tolist(), other[some].tolist(), strict=True))
-            rows = {(max(e), min(e)) for e in ends}
-            yield pd.DataFrame(sorted(rows), columns=["a", "b"]).astype("int64")
-
-    return found.mapInPandas(link, "a bigint, b bigint").distinct()
-
-
 def simhash_components(
     docs: DataFrame, size: int = 3, radius: int = 2, limit: int = BUCKET
 ) -> DataFrame:
@@ -218,26 +198,32 @@ def simhash_components(
     return marked.join(found, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _mixed(hashes: np.ndarray, band: int) -> np.ndarray:
-    """Another 64-bit hash of hashes for every band."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (band + 1)) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """A key for every band: the hash of ``rows`` min-hashes, each under a multiplier of its own.
+
+    Sets of Jaccard similarity s have a key in common with probability
+    1 - (1 - s ** rows) ** bands; no hashes, no keys.
+    """
+    if not len(hashes):
+        return []
+    least = np.full(bands * rows, 2**64 - 1, np.uint64)
+    for start in range(0, len(hashes), 256):
+        block = hashes[start : start + 256] * _MULTIPLIERS[: bands * rows, None]
+        np.minimum(least, block.min(axis=1), out=least)
+    octets = least.reshape(bands, rows)
+    return [_signed(xxhash.xxh64_intdigest(octets[band].tobytes(), band)) for band in range(bands)]
 
 
-def describe(text: str, size: int, bands: int) -> tuple[bytes, list[int], bytes]:
-    """Digest of the word sequence, ``bands`` fingerprints of its different words, and a sketch.
+def describe(text: str, size: int, bands: int, rows: int = ROWS) -> tuple[bytes, list[int], bytes]:
+    """Digest of the word sequence, ``bands`` min-hash keys of its ``size``-word shingles, and a sketch.
 
-    The sketch holds the smallest hashes of different ``size``-word shingles.
+    The sketch holds the smallest hashes of different shingles.
     """
     words = words_of(text)
     digest = hashlib.md5(b" ".join(words)).digest()
-    kinds = set(words)
-    single = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in kinds), np.uint64, len(kinds))
-    prints = [_signed(majority(_mixed(single, band))) for band in range(bands)]
-    sketch = np.unique((shingle_hashes(words, size) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-    return digest, prints, sketch.tobytes()
+    hashes = np.unique(shingle_hashes(words, size))
+    sketch = np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    return digest, band_keys(hashes, bands, rows), sketch.tobytes()
 
 
 def likeness(left: bytes, right: bytes) -> float:
@@ -252,61 +238,99 @@ def likeness(left: bytes, right: bytes) -> float:
     return float(np.isin(both, union, assume_unique=True).sum() / len(union))
 
 
+def _judged(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sketches have the similarity."""
+
+    @F.pandas_udf("double")
+    def alikeness(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([likeness(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
+
+    sketches = nodes.select("node", "sketch")
+    return settle(
+        pairs.join(sketches.toDF("a", "left"), "a")
+        .join(sketches.toDF("b", "right"), "b")
+        .filter(alikeness("left", "right") >= similarity)
+        .select("a", "b")
+    )
+
+
+def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``members`` with the component that the links give every node."""
+    if links is None:
+        return members.withColumn("label", F.col("node"))
+    found = members.join(components(links), "node", "left")
+    return settle(found.select("band", "key", "node", F.coalesce("component", "node").alias("label")))
+
+
+def _leaders(placed: DataFrame, turn: int) -> DataFrame:
+    """A node of each bucket that holds several labels, another one each turn, and the bucket's size."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
+    found = placed.groupBy("band", "key").agg(
+        F.min(order).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")
+    )
+    return settle(
+        found.filter("lo <> hi").select(
+            "band", "key", F.col("top.node").alias("first"), F.col("top.label").alias("first_label"), "n"
+        )
+    )
+
+
+def _ordered(a: Column | str, b: Column | str) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
 def near_duplicate_groups(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 3, bands: int = 4
+    docs: DataFrame,
+    size: int = 5,
+    similarity: float = 0.8,
+    bands: int = BANDS,
+    rows: int = ROWS,
 ) -> DataFrame:
     """(doc_id, group_id, digest) of every document; a group is named by its smallest doc_id.
 
     Documents are in a group if their word sequences are equal, or if they are
     connected by pairs whose ``size``-word shingles have at least the
-    ``similarity``. Pairs are found by ``bands`` fingerprints of single words,
-    which few edits change little, and then compared by shingles.
+    ``similarity``. Candidates share one of ``bands`` min-hash keys of shingles
+    (0.9996 of the pairs at 0.8). In each bucket of a key, nodes are
+    compared with one leader, twice.
     """
-    schema = "digest binary, prints array<bigint>, sketch binary"
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("digest binary, prints array<bigint>, sketch binary")
     def described(texts: pd.Series) -> pd.DataFrame:
-        rows = [describe(t if isinstance(t, str) else "", size, bands) for t in texts]
-        return pd.DataFrame(rows, columns=["digest", "prints", "sketch"])
-
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        described(F.col("text").cast("string")).alias("d"),
-    ).select("doc_id", "d.*")
-    marked = settle(rows)
+        found = [describe(t if isinstance(t, str) else "", size, bands, rows) for t in texts]
+        return pd.DataFrame(found, columns=["digest", "prints", "sketch"])
+
+    marked = settle(
+        docs.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"),
+            described(F.col("text").cast("string")).alias("d"),
+        ).select("doc_id", "d.*")
+    )
     nodes = settle(
         marked.filter("doc_id IS NOT NULL")
         .groupBy("digest")
         .agg(F.min_by(F.struct("prints", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("node"))
         .select("digest", "node", "s.*")
     )
-    prints = nodes.select("node", F.posexplode("prints").alias("band", "fp"))
-    firsts = settle(prints.groupBy("band", "fp").agg(F.min("node").alias("first")))
-    alike = (
-        prints.join(firsts, ["band", "fp"])
-        .filter("node <> first")
-        .select(F.col("node").alias("a"), F.col("first").alias("b"))
-    )
-    close = near_links(buckets(firsts.withColumnRenamed("first", "node"), radius), radius)
-    pairs = settle(alike.union(close).distinct())
-
-    @F.pandas_udf("double")
-    def alikeness(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([likeness(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
-
-    sketches = nodes.select("node", "sketch")
-    judged = (
-        pairs.join(sketches.toDF("a", "left"), "a")
-        .join(sketches.toDF("b", "right"), "b")
-        .filter(alikeness("left", "right") >= similarity)
-    )
-    labels = components(judged.select("a", "b"))
-    named = settle(
-        nodes.select("digest", "node")
-        .join(labels, "node", "left")
-        .select("digest", F.coalesce("component", "node").alias("group_id"))
-    )
-    return marked.select("doc_id", "digest").join(named, "digest", "left")
+    members = nodes.select("node", F.posexplode("prints").alias("band", "key"))
+    links, placed = None, _labelled(members, None)
+    for turn in range(STARS):
+        mixed = _leaders(placed, turn)
+        if mixed.isEmpty():
+            break
+        near = placed.join(mixed, ["band", "key"]).filter("label <> first_label")
+        pairs = near.select(*_ordered("node", "first"))
+        found = _judged(settle(pairs.distinct()), nodes, similarity)
+        links = found if links is None else links.union(found)
+        placed = _labelled(members, links)
+    named = nodes.select("digest", "node")
+    if links is None:
+        named = named.withColumn("group_id", F.col("node"))
+    else:
+        named = named.join(components(links), "node", "left").select(
+            "digest", F.coalesce("component", "node").alias("group_id")
+        )
+    return marked.select("doc_id", "digest").join(settle(named.select("digest", "group_id")), "digest", "left")
 
 
 def near_deduplicated(docs: DataFrame, **how) -> DataFrame:
