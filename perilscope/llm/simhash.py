@@ -26,7 +26,7 @@ BUCKET = 4096
 SKETCH = 256
 #: Min-hash keys of a text, and the min-hashes in each.
 BANDS, ROWS = 20, 5
-#: Rounds that compare a bucket with one leader.
+#: Rounds that compare a bucket with one leader, before all unconnected pairs are compared.
 STARS = 2
 #: Odd multipliers that make other hashes of a hash.
 _MULTIPLIERS = np.random.default_rng(42).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
@@ -279,20 +279,53 @@ def _ordered(a: Column | str, b: Column | str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
+def _unlike_pairs(placed: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
+    """All pairs of a bucket's nodes that have different labels.
+
+    A bucket is cut into slices of about ``block`` nodes, and every two slices
+    meet in a cell of their own.
+    """
+    sliced = (
+        placed.join(mixed.select("band", "key", "n"), ["band", "key"])
+        .withColumn("s", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("own", F.expr("CAST(pmod(xxhash64(node, 'slice'), s) AS INT)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
+        .select("band", "key", *_ordered("own", "other"), "own", "node", "label")
+    )
+    cells = sliced.groupBy("band", "key", "a", "b").agg(
+        F.collect_list(F.struct("own", "node", "label")).alias("m")
+    )
+    cells = cells.select("a", "b", *[F.col(f"m.{c}").alias(c) for c in ("own", "node", "label")])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b, own, node, label in batch.itertuples(index=False):
+                own, node, label = (np.asarray(x, np.int64) for x in (own, node, label))
+                left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+                unlike = label[left][:, None] != label[right][None, :]
+                i, j = np.nonzero(np.triu(unlike) if a == b else unlike)
+                one, two = node[left[i]], node[right[j]]
+                yield pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)})
+
+    return cells.select("a", "b", "own", "node", "label").mapInPandas(meet, "a bigint, b bigint")
+
+
 def near_duplicate_groups(
     docs: DataFrame,
     size: int = 5,
     similarity: float = 0.8,
     bands: int = BANDS,
     rows: int = ROWS,
+    block: int = 256,
 ) -> DataFrame:
     """(doc_id, group_id, digest) of every document; a group is named by its smallest doc_id.
 
     Documents are in a group if their word sequences are equal, or if they are
     connected by pairs whose ``size``-word shingles have at least the
     ``similarity``. Candidates share one of ``bands`` min-hash keys of shingles
-    (0.9996 of the pairs at 0.8). In each bucket of a key, nodes are
-    compared with one leader, twice.
+    (0.9996 of the pairs at 0.8). In each bucket of a key, nodes are first
+    compared with one leader, twice; then every two that no verified links
+    connect yet are compared with one another.
     """
 
     @F.pandas_udf("digest binary, prints array<bigint>, sketch binary")
@@ -314,15 +347,19 @@ def near_duplicate_groups(
     )
     members = nodes.select("node", F.posexplode("prints").alias("band", "key"))
     links, placed = None, _labelled(members, None)
-    for turn in range(STARS):
+    for turn in range(STARS + 1):
         mixed = _leaders(placed, turn)
         if mixed.isEmpty():
             break
-        near = placed.join(mixed, ["band", "key"]).filter("label <> first_label")
-        pairs = near.select(*_ordered("node", "first"))
+        if turn < STARS:
+            near = placed.join(mixed, ["band", "key"]).filter("label <> first_label")
+            pairs = near.select(*_ordered("node", "first"))
+        else:
+            pairs = _unlike_pairs(placed, mixed, block)
         found = _judged(settle(pairs.distinct()), nodes, similarity)
         links = found if links is None else links.union(found)
-        placed = _labelled(members, links)
+        if turn < STARS:
+            placed = _labelled(members, links)
     named = nodes.select("digest", "node")
     if links is None:
         named = named.withColumn("group_id", F.col("node"))

@@ -71,3 +71,18 @@ def test_added_and_cut_blocks_share_a_group(make_docs):
             rows.append((10 * i + j, edited(rng, kind, 0.85, base)))
     got = groups(make_docs, rows)
     assert got == brute_groups(rows) and all(g % 10 == 0 for g in got.values())
+
+
+def test_every_pair_of_a_bucket_is_compared(make_docs):
+    rng, rows = random.Random(5), []
+    template = [f"t{i}" for i in range(150)]
+    for i in range(14):  # a family that is alike and yet below 0.8
+        rows.append((i, template + [f"own{i}-{j}" for j in range(60)]))
+    for i in range(14, 40):  # near copies of a few of them
+        words = list(rows[rng.randrange(3, 14)][1])
+        words[rng.randrange(150, 210)] = f"new{i}"
+        rows.append((i, words))
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 14
+    for block in (256, 5):
+        assert groups(make_docs, rows, bands=20, rows=1, block=block) == want
