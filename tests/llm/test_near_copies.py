@@ -86,3 +86,14 @@ def test_every_pair_of_a_bucket_is_compared(make_docs):
     assert len(set(want.values())) == 14
     for block in (256, 5):
         assert groups(make_docs, rows, bands=20, rows=1, block=block) == want
+
+
+def test_a_permuted_text_hides_no_near_copies(make_docs):
+    rng, rows = random.Random(6), []
+    for i in range(0, 40, 10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        shuffled = rng.sample(words, len(words))
+        rows += [(i, shuffled), (i + 1, words), (i + 2, words[100:] + words[:100])]
+    got = groups(make_docs, rows)
+    assert got == brute_groups(rows)
+    assert all(got[i] == i and got[i + 1] == got[i + 2] == i + 1 for i in range(0, 40, 10))
