@@ -8,6 +8,7 @@ and Spark deals the pieces into the planned places.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -52,12 +53,13 @@ class Encoder:
 
     The merge rules never cross a single space between two words, so words are
     encoded once and joined. A text with other white space beside a space is
-    encoded in one go.
+    encoded in one go. A text is cut at the ``added`` tokens, leftmost and then
+    longest first, which have ids of their own.
     """
 
     _wide = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, added: dict[str, int] | None = None):
         import base64
 
         import tiktoken
@@ -69,8 +71,20 @@ class Encoder:
         )
         self._encode = coder.encode_ordinary
         self._words = WordCache(self._encode)
+        self._added = {token: struct.pack("<I", n) for token, n in (added or {}).items()}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
 
     def __call__(self, text: str) -> bytes:
+        if not any(token in text for token in self._added):
+            return self._ordinary(text)
+        first, *rest = self._marks.split(text)  # ordinary text and added tokens in turn
+        found = [self._ordinary(first)]
+        for token, after in zip(rest[::2], rest[1::2], strict=True):
+            found += (self._added[token], self._ordinary(after))
+        return b"".join(found)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         if self._wide.search(text):
@@ -81,6 +95,16 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids) + b"".join(map(self._words.__getitem__, rest))
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Ids of the added tokens in a tokenizer's JSON, which stand for themselves anywhere in a text."""
+    with open(vocabulary, encoding="utf-8") as source:
+        found = json.load(source).get("added_tokens") or []
+    for token in found:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} has a rule that is not supported")
+    return {token["content"]: token["id"] for token in found}
+
+
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of the ids; of several pieces only the first may be shorter."""
     total = len(ids) // 4
@@ -94,15 +118,19 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
 def token_pieces(
     docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None
 ) -> DataFrame:
-    """Every document as pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Every document as pieces (doc_id, piece, start, length, ids_crc32).
+
+    A rank file of one's own has no added tokens.
+    """
     import public_tokenizers
 
     ranks = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    added = {} if tokenizer else added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     pattern, last = public_tokenizers.PATTERN, struct.pack("<I", end)
 
     @F.pandas_udf(f"array<struct<{_PIECES}>>")
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = Encoder(ranks, pattern)
+        encode = Encoder(ranks, pattern, added)
         for texts in batches:
             yield pd.Series(
                 [

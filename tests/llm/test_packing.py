@@ -54,6 +54,26 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids(tokenizer, text), repr(text)
 
 
+def test_added_tokens_have_their_ids(make_docs):
+    unchanged = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark, rng = "<|endoftext|>", random.Random(11)
+    texts = AWKWARD + [f"a {mark} b", mark, mark * 3, f" {mark}", f"{mark} ", f"a{mark}b", f"<|{mark}|>"]
+    pieces = [mark, "the", " ", "  ", "\n", "<|endof", "text|>", "é", " x"]
+    texts += ["".join(rng.choices(pieces, k=12)) for _ in range(200)]
+    encode = packing.Encoder(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
+    )
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids(unchanged, text), repr(text)
+    assert ids(unchanged, f"a {mark} b") == [64, 220, 50256, 275]
+    want = {i: ids(unchanged, t) + [2] for i, t in enumerate(texts)}
+    got = packing.token_pieces(make_docs(list(enumerate(texts)))).collect()
+    crc = {i: zlib.crc32(np.array(n, "<u4").tobytes()) for i, n in want.items()}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(n), crc[i]) for i, n in want.items()}
+
+
 def test_fullest_is_the_best_there_is():
     rng = random.Random(3)
     for _ in range(60):
