@@ -249,6 +249,7 @@ def _index_shard(size: int):
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         """Index the shard's segments in corpus order, then stream them through the index."""
         shard = shard.sort_values(["doc_id", "start"], kind="stable")
+        documents, starts = shard["doc_id"].to_numpy(), shard["start"].to_numpy()
         parts = [np.asarray(w, np.int64) for w in shard["words"]]
         kinds, flat = np.unique(np.concatenate(parts), return_inverse=True)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -267,9 +268,14 @@ def _index_shard(size: int):
             matched, lo, hi = index.matches(text[here[:, None] + np.arange(size)])
             full = np.flatnonzero((matched == size) & (hi - lo > 1))
             if len(full):
-                again[low + full] = index.earliest(lo[full], hi[full]) < here[full]
+                # a repeated row stands in the index again, at the same place in the corpus
+                found = index.earliest(lo[full], hi[full])
+                first = np.searchsorted(begins, found, "right") - 1
+                offset = found - begins[first]
+                own, at = owner[low + full], nth[low + full]
+                sooner = (documents[first] == documents[own]) & (starts[first] + offset < starts[own] + at)
+                again[low + full] = (documents[first] < documents[own]) | sooner
         hit = np.flatnonzero(again)
-        documents, starts = shard["doc_id"].to_numpy(), shard["start"].to_numpy()
         return pd.DataFrame(
             {
                 "doc_id": documents[owner[hit]],

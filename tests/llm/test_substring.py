@@ -89,6 +89,14 @@ def test_nulls_repeated_rows_and_nothing(make_docs):
     )
 
 
+def test_a_repeated_row_beside_another_text_keeps_all(make_docs):
+    words = [f"w{i}" for i in range(60)]
+    other = ["x"] + words[10:45] + ["y"] * 3
+    docs = make_docs([(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(other))])
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.dedup_report(docs).collect())
+    assert got == [(1, 60, 0), (1, 60, 0), (2, 39, 35)]
+
+
 def test_white_space_stays(make_docs):
     text = " ".join(f"w{i}" for i in range(25))
     docs = make_docs([(1, text), (2, f"  head\t and\n{text}\n tail "), (3, "  a\n b ")])
