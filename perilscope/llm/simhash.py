@@ -238,20 +238,72 @@ def likeness(left: bytes, right: bytes) -> float:
     return float(np.isin(both, union, assume_unique=True).sum() / len(union))
 
 
-def _judged(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sketches have the similarity."""
+def verdict(left: bytes, right: bytes, similarity: float) -> bool | None:
+    """Whether two sketches' sets have the similarity; None within five standard errors of it."""
+    found = likeness(left, right)
+    margin = 5 * (similarity * (1 - similarity) / SKETCH) ** 0.5
+    if max(len(left), len(right)) == 4 * SKETCH and abs(found - similarity) < margin:
+        return None
+    return found >= similarity
+
+
+def whole_likeness(left: bytes, right: bytes) -> float:
+    """Jaccard similarity of two whole sets of 64-bit hashes."""
+    a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _judged(
+    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float
+) -> DataFrame:
+    """The (a, b) of ``pairs`` that have the similarity, those in doubt by their whole shingle sets."""
+
+    @F.pandas_udf("boolean")
+    def by_sketch(left: pd.Series, right: pd.Series) -> pd.Series:
+        both = zip(left, right, strict=True)
+        return pd.Series([verdict(a, b, similarity) for a, b in both], dtype=object)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                rows = []
+                for node, text in batch[start : start + 1000].itertuples(index=False):
+                    words = words_of(text if isinstance(text, str) else "")
+                    shingles = np.unique(shingle_hashes(words, size)).tobytes()
+                    rows.append((node, hashlib.md5(b" ".join(words)).digest(), shingles))
+                yield pd.DataFrame(rows, columns=["node", "digest", "shingles"])
 
     @F.pandas_udf("double")
-    def alikeness(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([likeness(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
+    def by_set(left: pd.Series, right: pd.Series) -> pd.Series:
+        both = zip(left, right, strict=True)
+        return pd.Series([whole_likeness(a, b) for a, b in both], dtype=float)
 
     sketches = nodes.select("node", "sketch")
-    return settle(
+    seen = settle(
         pairs.join(sketches.toDF("a", "left"), "a")
         .join(sketches.toDF("b", "right"), "b")
-        .filter(alikeness("left", "right") >= similarity)
+        .select("a", "b", by_sketch("left", "right").alias("near"))
+    )
+    sure, doubt = seen.filter("near").select("a", "b"), seen.filter("near IS NULL").select("a", "b")
+    ids = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")
+    )
+    sets = settle(
+        texts.join(ids, "node", "left_semi")
+        .mapInPandas(whole, "node bigint, digest binary, shingles binary")
+        .join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
+        .dropDuplicates(["node", "digest"])
+        .select("node", "shingles")
+    )
+    exact = (
+        doubt.join(sets.toDF("a", "left"), "a")
+        .join(sets.toDF("b", "right"), "b")
+        .filter(by_set("left", "right") >= similarity)
         .select("a", "b")
     )
+    return settle(sure.union(exact).distinct())
 
 
 def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -356,7 +408,7 @@ def near_duplicate_groups(
             pairs = near.select(*_ordered("node", "first"))
         else:
             pairs = _unlike_pairs(placed, mixed, block)
-        found = _judged(settle(pairs.distinct()), nodes, similarity)
+        found = _judged(settle(pairs.distinct()), nodes, docs, size, similarity)
         links = found if links is None else links.union(found)
         if turn < STARS:
             placed = _labelled(members, links)

@@ -97,3 +97,14 @@ def test_a_permuted_text_hides_no_near_copies(make_docs):
     got = groups(make_docs, rows)
     assert got == brute_groups(rows)
     assert all(got[i] == i and got[i + 1] == got[i + 2] == i + 1 for i in range(0, 40, 10))
+
+
+def test_long_texts_at_the_threshold_are_decided_exactly(make_docs):
+    rows = []
+    for i in range(24):
+        base = [f"b{i}-{j}" for j in range(1004)]
+        more = [f"m{i}-{j}" for j in range(250 + (i % 2) * 2)]  # 0.8 exactly, and just below
+        rows += [(10 * i, base), (10 * i + 1, base + more)]
+    got = groups(make_docs, rows)
+    assert got == brute_groups(rows)
+    assert [got[10 * i + 1] == 10 * i for i in range(24)] == [i % 2 == 0 for i in range(24)]
