@@ -11,7 +11,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -22,16 +23,20 @@ from pyspark.sql import functions as F
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark q s "
     "samp small span strike strong sub sup time tt u var wbr ruby rt rp picture source track area "
-    "map embed param col base link meta".split()
+    "map embed param col base link meta math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle "
+    "mpadded menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none "
+    "mtable mtr mtd semantics".split()
 )
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr keygen frame".split()
 )
 SKIPPED = frozenset(
-    "script style noscript template svg math canvas object iframe select textarea button head "
+    "script style noscript template svg canvas object iframe select textarea head "
     "title audio video datalist applet noframes".split()
 )
 RAW = frozenset("script style textarea title iframe noframes noscript".split())
+#: Second forms of a formula, left out within its block.
+NOTES = frozenset({"annotation", "annotation-xml"})
 CLOSES = {
     "li": frozenset({"li"}),
     "dt": frozenset({"dt", "dd"}),
@@ -44,19 +49,19 @@ CLOSES = {
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
 #: Elements and roles whose text is hardly ever content, and those that hold it.
-APART = frozenset("nav footer aside form menu dialog fieldset search".split())
+APART = frozenset("nav footer aside form menu dialog fieldset search button".split())
 APART_ROLES = frozenset(
     "navigation banner contentinfo complementary search alert alertdialog dialog form menu "
     "menubar toolbar tablist".split()
 )
 MAIN = frozenset({"article", "main"})
 _AGAINST = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|"
+    r"(?:^|[\s_-])(ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|"
     r"notice\w*|notification\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|"
     r"paywall|share\w*|sharing|social\w*|sidebar\w*|side|aside|rail|related\w*|recommend\w*|"
     r"comment\w*|disqus|respond|repl(?:y|ies)|discussion|menu\w*|nav\w*|breadcrumb\w*|"
     r"foot(?:er)?|footer\w*|masthead|topbar|toolbar|widget\w*|login|signin|signup|register|"
-    r"search\w*|pag(?:er|ination)|tags?|copyright|disclaimer|skip|hidden|print-only)(?:$|[\s_-])"
+    r"search\w*|pag(?:er|ination)|tags?|copyright|disclaimer|skip|hidden|print-only)(?=$|[\s_-])"
 )
 _FOR = re.compile(
     r"(?:^|[\s_-])(?:article\w*|post|content|entry|story|main|body|text|prose)(?:$|[\s_-])"
@@ -92,7 +97,8 @@ class Element:
     depth: int
     main: bool = False
     apart: bool = False
-    against: bool = False
+    hints: frozenset[str] = frozenset()  # words against content in its own class and id
+    hinted: Element | None = None  # the nearest with such words, itself or above
     helps: bool = False
     skipped: bool = False
 
@@ -103,12 +109,13 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    against: bool = False
 
 
 def _element(name: str, attributes: str, parent: Element | None) -> Element:
     made = Element(name, parent, parent.depth + 1 if parent else 0)
     if parent:
-        made.main, made.apart, made.against = parent.main, parent.apart, parent.against
+        made.main, made.apart, made.hinted = parent.main, parent.apart, parent.hinted
         made.helps, made.skipped = parent.helps, parent.skipped
     made.skipped = made.skipped or name in SKIPPED
     made.apart = made.apart or name in APART or (name == "header" and not made.main)
@@ -122,7 +129,8 @@ def _element(name: str, attributes: str, parent: Element | None) -> Element:
         made.main = made.main or role == "main" or found.get("itemprop") == "articlebody"
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         if names and name not in ("html", "body"):
-            made.against = made.against or bool(_AGAINST.search(names))
+            made.hints = frozenset(_AGAINST.findall(names))
+            made.hinted = made if made.hints else made.hinted
             made.helps = made.helps or bool(_FOR.search(names))
         style = found.get("style", "").replace(" ", "")
         made.apart = made.apart or "hidden" in found or "display:none" in style
@@ -163,6 +171,11 @@ def blocks_of(page: str) -> list[Block]:
         name = (token[2] or token[5] or "").lower()
         if not name:
             continue
+        if name in NOTES:
+            if not (token[1] or token[4]):
+                close = re.compile(rf"</{name}\s*>|</(?:semantics|math)\b", re.I).search(page, at)
+                at = close.start() if close else at
+            continue
         if token[1] or token[4]:  # an end
             if name == "a":
                 links = max(0, links - 1)
@@ -202,16 +215,50 @@ def blocks_of(page: str) -> list[Block]:
         stack.append(_element(name, token[3] or token[6] or "", stack[-1]))
         block = Block(stack[-1])
     end()
+    _weigh_hints(found)
     return found
 
 
+def _above(element: Element) -> Iterator[Element]:
+    """Elements with hints, from the nearest on."""
+    at = element.hinted
+    while at is not None:
+        yield at
+        at = at.parent.hinted if at.parent else None
+
+
+def _weigh_hints(found: list[Block]) -> None:
+    """Mark blocks that the class or id of an element above speaks against.
+
+    An element, or all with one word, that holds over half of the text that
+    is not apart is a wrapper and speaks against nothing; unless the page has
+    a paragraph in its article or main that no hint is about.
+    """
+    texts = [b for b in found if not b.element.apart]
+    half = sum(len(b.text) for b in texts) / 2
+    if any(b.element.main and not b.element.hinted and b.text.count(" ") >= 20 for b in texts):
+        half = math.inf
+    held: Counter[int] = Counter()
+    for b in texts:
+        for e in _above(b.element):
+            held[id(e)] += len(b.text)
+    spread: Counter[str] = Counter()
+    for b in texts:
+        near = [e.hints for e in _above(b.element) if held[id(e)] <= half]
+        for word in frozenset().union(*near):
+            spread[word] += len(b.text)
+    for b in found:
+        near = [e.hints for e in _above(b.element) if held[id(e)] <= half]
+        b.against = any(spread[word] <= half for word in frozenset().union(*near))
+
+
 def content_odds(block: Block) -> float:
     """The classifier: log odds that a block is content."""
     where, words = block.element, block.text.split()
     odds = WEIGHTS["bias"] + WEIGHTS["words"] * math.log1p(len(words))
     odds += WEIGHTS["links"] * min(1.0, block.linked / len(block.text))
     odds += WEIGHTS["main"] * where.main + WEIGHTS["apart"] * where.apart
-    odds += WEIGHTS["against"] * where.against + WEIGHTS["for"] * where.helps
+    odds += WEIGHTS["against"] * block.against + WEIGHTS["for"] * where.helps
     odds += WEIGHTS["sentence"] * (block.text[-1] in ".!?:;\"'”»…")
     odds += WEIGHTS["heading"] * (where.name in HEADINGS)
     odds += WEIGHTS["bare"] * (where.name == "")

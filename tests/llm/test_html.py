@@ -40,6 +40,34 @@ def test_page_without_article():
     assert html_text.main_text(page).count("\n") == 4
 
 
+WORDY = " ".join(f"word{i}" for i in range(60)) + "."
+
+
+def test_wrappers_with_layout_words_hold_content():
+    texts = [WORDY.replace("word", f"w{i}x") for i in range(4)]
+    side = '<div class="sidebar"><p>A text about the author and their many other works.</p></div>'
+    plain = "".join(f"<p>{t}</p>" for t in texts)
+    built = "".join(f'<div class="elementor-widget-container"><p>{t}</p></div>' for t in texts)
+    for body in (f"{plain}{side}", f"<article><h2>Short</h2>{plain}</article>{side}"):
+        page = f'<body><div class="layout sidebar-right">{body}</div></body>'
+        lines = html_text.main_text(page).split("\n")
+        assert [x for x in lines if x != "Short"] == texts
+        assert ("Short" in lines) == ("Short" in page)
+    assert html_text.main_text(f"<body>{built}{side}</body>").split("\n") == texts
+
+
+def test_many_comments_are_no_wrapper():
+    comments = "".join(f'<div class="comment"><p>{WORDY}</p></div>' for _ in range(9))
+    page = f'<article><p>{WORDY} The end.</p></article><div class="comments">{comments}</div>'
+    assert html_text.main_text(page) == f"{WORDY} The end."
+
+
+def test_formulas_stay_in_their_paragraph():
+    formula = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='tex'>a=1</annotation></semantics></math>"
+    page = f"<article><p>As {formula} holds, it follows. <button>Copy</button></article>"
+    assert html_text.main_text(page) == "As a=1 holds, it follows."
+
+
 def test_broken_pages():
     assert html_text.main_text("") == ""
     assert html_text.main_text("just text, and a few words more.") == "just text, and a few words more."
