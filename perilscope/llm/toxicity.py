@@ -34,6 +34,8 @@ SAMPLE_ROWS = 8_000
 #: Saved bytes from which a window counts, one count for each.
 THRESHOLDS = (2, 3, 4, 6, 8, 11, 16)
 ORDINARY_BYTES, TOXIC_BYTES = 131_072, 65_536
+#: UTF-16 bytes of ordinary text that its dictionary is trained on, about, from all over the sample.
+ORDINARY_SAMPLE = 8_000_000
 CACHED_WORDS = 300_000
 PREDICT_FROM = 0.7
 
@@ -170,7 +172,22 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train(texts: list[str], labels: np.ndarray, draws: np.ndarray) -> Model:
+def _ordinary_windows(texts: list[np.ndarray], names: list[str], room: int) -> list[bytes]:
+    """Windows of 12 words from all over the texts, of about ``room`` bytes together."""
+    sizes = np.fromiter((2 * len(n) + 2 for n in names), np.int64, len(names))
+    share = min(1.0, room / max(1, sum(int(sizes[w].sum()) for w in texts)))
+    taken, passed = [], 0
+    for w in texts:
+        for i in range(0, len(w), 12):
+            passed += 1
+            if int(passed * share) > int((passed - 1) * share):
+                taken.append(_wide(" " + " ".join(names[n] for n in w[i : i + 12]) + " "))
+    return taken
+
+
+def train(
+    texts: list[str], labels: np.ndarray, draws: np.ndarray, ordinary_sample: int = ORDINARY_SAMPLE
+) -> Model:
     """Dictionaries from the texts with a draw under 0.7, calibration on the others.
 
     Without both labels the model is their share alone (a half without rows).
@@ -193,13 +210,7 @@ def train(texts: list[str], labels: np.ndarray, draws: np.ndarray) -> Model:
     # each kind of window once for every four times it occurs, so rare ones are learnt too
     windows = [f" {x} " for x, n in sorted(kinds.items()) for _ in range(1 + n // 4)]
     bad = [_wide("".join(windows[i : i + 8])) for i in range(0, len(windows), 8)]
-    good, room = [], 8_000_000
-    for w in ordinary:
-        if room <= 0:
-            break
-        for i in range(0, len(w), 12):
-            good.append(_wide(" " + " ".join(names[n] for n in w[i : i + 12]) + " "))
-            room -= len(good[-1])
+    good = _ordinary_windows(ordinary, names, ordinary_sample)
     first = next((w[:6] for w in ordinary if len(w) >= 6), [])
     lead = _wide(" " + " ".join(names[n] for n in first) + " ")
     plain = _dictionary(good, ORDINARY_BYTES, 128)

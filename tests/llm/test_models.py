@@ -99,3 +99,13 @@ def test_score_columns_and_odd_rows(spark, make_docs):
         assert score(docs.filter("false"), marks).collect() == []
         nothing = score(docs, marks.filter("false")).collect()
         assert {round(r.score, 6) for r in nothing} == {0.5}
+
+
+def test_ordinary_text_comes_from_the_whole_sample():
+    names = [f"word{i}" for i in range(40)]
+    texts = [np.zeros(60_000, np.int64), *[np.full(240, i) for i in range(1, 40)]]
+    taken = toxicity._ordinary_windows(texts, names, 200_000)
+    kinds = {w.decode("utf-16-le").split()[0] for w in taken}
+    assert kinds == set(names)
+    assert 0.9 * 200_000 <= sum(map(len, taken)) <= 1.1 * 200_000
+    assert len(toxicity._ordinary_windows(texts, names, 10**9)) == 5000 + 39 * 20
