@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from perilscope.llm import (
+    clustering,
     html_text,
     merkle,
     mixing,
@@ -72,6 +73,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), labels)
 
 
+def op13_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings in 16 clusters after three rounds."""
+    return clustering.cluster_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op13_clustering": op13_clustering,
 }
 
 ORACLES = {
@@ -90,4 +97,5 @@ ORACLES = {
     "op2_sharding": sql.SHARDING,
     "op7_fingerprints": sql.FINGERPRINTS,
     "op9_mixing": sql.MIXING,
+    "op13_clustering": sql.CLUSTERING,
 }

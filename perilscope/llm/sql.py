@@ -145,3 +145,50 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
     vec_id, score
 FROM scored QUALIFY rank <= 20
 """
+
+
+def _clustering(rounds: int = 3, clusters: int = 16) -> str:
+    def nearest(name: str, centroids: str) -> str:
+        return f"""{name} AS (
+    SELECT vec_id, v, cluster, d FROM (
+        SELECT k.vec_id, k.v, c.cluster,
+            cast(list_dot_product(k.v, k.v) - 2 * list_dot_product(k.v, c.c)
+                + list_dot_product(c.c, c.c) AS BIGINT) AS d
+        FROM kept k CROSS JOIN {centroids} c
+    ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1
+)"""
+
+    steps = []
+    for i in range(rounds):
+        steps.append(nearest(f"a{i}", f"c{i}"))
+        steps.append(f"""m{i} AS (
+    SELECT cluster, list(floor(s / n) ORDER BY i) AS c FROM (
+        SELECT cluster, i, sum(v[i]) AS s, count(*) AS n
+        FROM a{i} CROSS JOIN (SELECT unnest(range(1, 65)) AS i) t GROUP BY cluster, i
+    ) GROUP BY cluster
+),
+c{i + 1} AS (
+    SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m ON o.cluster = m.cluster
+)""")
+    steps.append(nearest("final", f"c{rounds}"))
+    return f"""
+WITH kept AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, c FROM (
+        SELECT sha256('1:' || cast(vec_id AS VARCHAR)) AS h, v AS c FROM kept ORDER BY 1 LIMIT {clusters}
+    )
+),
+{(',' + chr(10)).join(steps)}
+SELECT f.vec_id, cast(f.cluster AS INTEGER) AS cluster, f.d AS distance,
+    cast(sum(f.d) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia,
+    cast(sum(f.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c.c, lambda x: cast(x AS BIGINT)), ',')) AS centroid_sha256
+FROM final f JOIN c{rounds} c ON f.cluster = c.cluster
+"""
+
+
+CLUSTERING = _clustering()
