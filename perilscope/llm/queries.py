@@ -15,6 +15,7 @@ from perilscope.llm import (
     simhash,
     sql,
     substring,
+    token_files,
     topk,
     toxicity,
 )
@@ -73,6 +74,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), labels)
 
 
+def op12_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token ids in ORC files, read back from them."""
+    return token_files.token_report(table(spark, folder, "documents"))
+
+
 def op13_clustering(spark: SparkSession, folder: str) -> DataFrame:
     """All embeddings in 16 clusters after three rounds."""
     return clustering.cluster_vectors(table(spark, folder, "embeddings"))
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_tokens": op12_tokens,
     "op13_clustering": op13_clustering,
 }
 
