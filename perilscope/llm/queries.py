@@ -13,6 +13,7 @@ from perilscope.llm import (
     quality,
     sharding,
     simhash,
+    spelling,
     sql,
     substring,
     token_files,
@@ -74,6 +75,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), labels)
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """All words of all documents with their near words, form and root."""
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 def op12_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token ids in ORC files, read back from them."""
     return token_files.token_report(table(spark, folder, "documents"))
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
     "op12_tokens": op12_tokens,
     "op13_clustering": op13_clustering,
 }
@@ -104,5 +111,6 @@ ORACLES = {
     "op2_sharding": sql.SHARDING,
     "op7_fingerprints": sql.FINGERPRINTS,
     "op9_mixing": sql.MIXING,
+    "op11_spelling": sql.SPELLING,
     "op13_clustering": sql.CLUSTERING,
 }

@@ -192,3 +192,68 @@ FROM final f JOIN c{rounds} c ON f.cluster = c.cluster
 
 
 CLUSTERING = _clustering()
+
+# Near words share what is left when one code point is taken out at a place.
+SPELLING = """
+WITH RECURSIVE
+steps(k, c, n) AS (
+    SELECT i, i, 0 FROM range(256) t(i)
+    UNION ALL
+    SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1
+    FROM steps WHERE n < 8
+),
+crc AS (SELECT list(c ORDER BY k) AS tab FROM steps WHERE n = 8),
+runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[a-z\u00C0-\u00FF]+')) AS run
+        FROM documents
+    ) GROUP BY doc_id, run
+),
+hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(
+            regexp_extract_all(hex(encode(coalesce(cast(doc_id AS VARCHAR), '') || ':' || run)), '..'),
+            lambda h: cast('0x' || h AS BIGINT))),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+    FROM runs, crc
+),
+words AS (
+    SELECT word, cast(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 97 = 0
+            THEN left(run, cast(h % length(run) AS BIGINT)) || substr(run, cast(h % length(run) + 2 AS BIGINT))
+            ELSE run END AS word
+        FROM hashed
+    ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+cuts AS (
+    SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+),
+near AS (
+    SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b
+        ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION
+    SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION
+    SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+),
+best AS (
+    SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word
+),
+found AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+        CASE WHEN b.most >= 2 * w.n THEN b.most END AS form_n,
+        CASE WHEN b.most >= 2 * w.n THEN (
+            SELECT min(x.other) FROM near x WHERE x.word = w.word AND x.n = b.most) END AS form
+    FROM words w LEFT JOIN best b ON w.word = b.word
+),
+walk AS (
+    SELECT word, word AS root, form AS nxt FROM found
+    UNION ALL
+    SELECT k.word, f.word, f.form FROM walk k JOIN found f ON k.nxt = f.word
+)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n
+FROM found f JOIN walk k ON f.word = k.word AND k.nxt IS NULL
+"""
