@@ -16,7 +16,6 @@ cells that its searches enter. A cell's task grows the rest of the tree.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,8 +38,8 @@ CELL, LEAF, SAMPLE = 4096, 32, 200_000
 #: Different words that a task counts before it hands them on, and queries it looks up together.
 _COUNTED, _TOGETHER = 200_000, 8192
 
-# In UTF-8, U+00C0 to U+00FF are the byte C3 and one of 80 to BF.
-_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
+# Letters by their byte in Latin-1, A to Z lowered; all else is a blank.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 192 else 32 for c in range(256))
 _ASCII, _TIMES, _OTHERS = 26, 4, 64
 _PLACES = _ASCII * _TIMES + _OTHERS
 _WORDS64 = -(-_PLACES // 64)
@@ -52,17 +51,17 @@ _SEARCHES = ((0, 1, 1), (1, 0, 1), (-1, 1, 0))
 
 
 def runs_of(doc_id: int | None, text: str) -> Counter:
-    """The runs of letters in a text, A to Z lowered, some with a code point taken out, counted."""
-    found = Counter(_RUN.findall(text.encode("utf-8", "surrogatepass").lower()))
+    """The runs of letters in a text, A to Z lowered, some with a code point taken out; in Latin-1, counted."""
+    found = Counter(text.encode("latin-1", "replace").translate(_LETTERS).split())
     start = zlib.crc32(b"%s:" % (b"" if doc_id is None else str(doc_id).encode()))
-    marked = [(run, h) for run in found if not (h := zlib.crc32(run, start)) % DAMAGED]
-    for run, h in marked:
-        letters = run.decode()
-        place = h % len(letters)
-        times = found.pop(run)
-        marked_out = (letters[:place] + letters[place + 1 :]).encode()
-        # A run may come out as another run of the text that is itself still to be changed.
-        found[b"\x00" + marked_out] += times
+    marked = []
+    for run in found:
+        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
+        if not h % DAMAGED:
+            marked.append((run, h % len(run)))
+    taken = [(run[:place] + run[place + 1 :], found.pop(run)) for run, place in marked]
+    for word, n in taken:
+        found[word] += n
     return found
 
 
@@ -71,26 +70,26 @@ def vocabulary(docs: DataFrame, shortest: int = SHORTEST, fewest: int = FEWEST)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            columns = [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())]
+            words = [word.decode("latin-1") for word in held]
+            columns = [pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
-        held: Counter = Counter()
+        held: dict[bytes, int] = {}
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                for run, n in runs_of(doc_id.as_py(), text.as_py() or "").items():
-                    word = run.lstrip(b"\x00")
-                    if len(word) - word.count(b"\xc3") >= shortest:
-                        held[word] += n
+                for word, n in runs_of(doc_id.as_py(), text.as_py() or "").items():
+                    if len(word) >= shortest:
+                        held[word] = held.get(word, 0) + n
                 if len(held) >= _COUNTED:
                     yield rows()
-                    held = Counter()
+                    held = {}
         yield rows()
 
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    counted = texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= fewest).select(F.col("word").cast("string").alias("word"), "n")
+    counted = texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= fewest)
 
 
 # ---- letter counts and trees ----------------------------------------------
@@ -122,6 +121,10 @@ def signs(points: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
+def _bits(marks: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(marks).sum(axis=1, dtype=np.int16)
+
+
 class LetterTree:
     """A k-d tree over letter counts; a node asks whether a letter occurs t times or more."""
 
@@ -188,21 +191,25 @@ class Cell:
         self.words, self.counts = words, counts
         self.letters = letters(words)
         self.signs = signs(self.letters)
+        self.sizes = _bits(self.signs)
         self.tree = LetterTree(self.signs, leaf)
 
     def near(self, words: list[str], fewer: int, more: int) -> tuple[np.ndarray, np.ndarray]:
         """(i, j): words i, all of a length, that are one edit from the cell's word j."""
         asked = letters(words)
         marks = signs(asked)
+        sizes = _bits(marks)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for leaf, here in self.tree.search(marks, fewer, more):
             inside = self.tree.leaves[leaf]
             for at in range(0, len(inside), 64):  # a leaf of equal counts may be large
                 some = inside[at : at + 64]
-                q, p = marks[here][:, None], self.signs[some][None]
-                less = np.bitwise_count(q & ~p).sum(axis=2, dtype=np.int64)
-                extra = np.bitwise_count(p & ~q).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero((less <= fewer) & (extra <= more))
+                q, p = marks[here], self.signs[some]
+                common = np.zeros((len(here), len(some)), np.int16)
+                for k in range(_WORDS64):
+                    common += np.bitwise_count(q[:, k, None] & p[:, k])
+                close = (common >= sizes[here, None] - fewer) & (common >= self.sizes[some] - more)
+                i, j = np.nonzero(close)
                 i, j = here[i], some[j]
                 block = max(1, (1 << 24) // max(1, asked.shape[1]))
                 for start in range(0, len(i), block):
