@@ -26,7 +26,7 @@ BUCKET = 4096
 SKETCH = 256
 #: Min-hash keys of a text, and the min-hashes in each.
 BANDS, ROWS = 20, 5
-#: Rounds that compare a bucket with one leader, before all unconnected pairs are compared.
+#: Rounds that compare a bucket with one leader, before nodes left apart are looked at more closely.
 STARS = 2
 #: Odd multipliers that make other hashes of a hash.
 _MULTIPLIERS = np.random.default_rng(42).integers(0, 2**64, 4096, np.uint64) | np.uint64(1)
@@ -254,15 +254,8 @@ def whole_likeness(left: bytes, right: bytes) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _judged(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float
-) -> DataFrame:
-    """The (a, b) of ``pairs`` that have the similarity, those in doubt by their whole shingle sets."""
-
-    @F.pandas_udf("boolean")
-    def by_sketch(left: pd.Series, right: pd.Series) -> pd.Series:
-        both = zip(left, right, strict=True)
-        return pd.Series([verdict(a, b, similarity) for a, b in both], dtype=object)
+def _whole_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the different shingle hashes of the whole texts of the nodes ``ids``, as bytes."""
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,6 +267,28 @@ def _judged(
                     rows.append((node, hashlib.md5(b" ".join(words)).digest(), shingles))
                 yield pd.DataFrame(rows, columns=["node", "digest", "shingles"])
 
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")
+    )
+    return settle(
+        texts.join(ids, "node", "left_semi")
+        .mapInPandas(whole, "node bigint, digest binary, shingles binary")
+        .join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
+        .dropDuplicates(["node", "digest"])
+        .select("node", "shingles")
+    )
+
+
+def _judged(
+    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float
+) -> DataFrame:
+    """The (a, b) of ``pairs`` that have the similarity, those in doubt by their whole shingle sets."""
+
+    @F.pandas_udf("boolean")
+    def by_sketch(left: pd.Series, right: pd.Series) -> pd.Series:
+        both = zip(left, right, strict=True)
+        return pd.Series([verdict(a, b, similarity) for a, b in both], dtype=object)
+
     @F.pandas_udf("double")
     def by_set(left: pd.Series, right: pd.Series) -> pd.Series:
         both = zip(left, right, strict=True)
@@ -287,16 +302,7 @@ def _judged(
     )
     sure, doubt = seen.filter("near").select("a", "b"), seen.filter("near IS NULL").select("a", "b")
     ids = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")
-    )
-    sets = settle(
-        texts.join(ids, "node", "left_semi")
-        .mapInPandas(whole, "node bigint, digest binary, shingles binary")
-        .join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
-        .dropDuplicates(["node", "digest"])
-        .select("node", "shingles")
-    )
+    sets = _whole_sets(ids, nodes, docs, size)
     exact = (
         doubt.join(sets.toDF("a", "left"), "a")
         .join(sets.toDF("b", "right"), "b")
@@ -311,18 +317,18 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return members.withColumn("label", F.col("node"))
     found = members.join(components(links), "node", "left")
-    return settle(found.select("band", "key", "node", F.coalesce("component", "node").alias("label")))
+    return settle(found.select(*members.columns, F.coalesce("component", "node").alias("label")))
 
 
 def _leaders(placed: DataFrame, turn: int) -> DataFrame:
-    """A node of each bucket that holds several labels, another one each turn, and the bucket's size."""
+    """A node of each bucket that holds several labels, another one each turn."""
     order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
     found = placed.groupBy("band", "key").agg(
-        F.min(order).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")
+        F.min(order).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi")
     )
     return settle(
         found.filter("lo <> hi").select(
-            "band", "key", F.col("top.node").alias("first"), F.col("top.label").alias("first_label"), "n"
+            "band", "key", F.col("top.node").alias("first"), F.col("top.label").alias("first_label")
         )
     )
 
@@ -331,35 +337,165 @@ def _ordered(a: Column | str, b: Column | str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _unlike_pairs(placed: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
-    """All pairs of a bucket's nodes that have different labels.
+# ---- nodes that leaders leave apart ----------------------------------------
+
 
-    A bucket is cut into slices of about ``block`` nodes, and every two slices
-    meet in a cell of their own.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, reach): the rarest shingles of each node, those that another node has too.
+
+    Shingles are put in order of how many nodes have them, the rarest first.
+    Two sets of the similarity have one of their first n - ceil(similarity * n)
+    + 1 shingles in common. If the first that they have in common stands at
+    place i, at most n - i are: ``reach`` is how large the other set can then be.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, packed in batch.itertuples(index=False):
+                hashes = np.frombuffer(packed, np.int64)
+                for start in range(0, len(hashes), 100_000):
+                    some = hashes[start : start + 100_000]
+                    yield pd.DataFrame({"node": node, "n": len(hashes), "key": some})
+
+    rows = settle(sets.mapInPandas(spread, "node bigint, n bigint, key bigint"))
+    often = settle(rows.groupBy("key").count().filter("count > 1"))
+    held = (
+        rows.join(often, "key")
+        .groupBy("node", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("common"))
+        .withColumn("alone", F.col("n") - F.size("common"))
+        .withColumn("most", F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - F.col("alone"))
+        .filter("most > 0")
+    )
+    placed = held.select(
+        "node",
+        "n",
+        "alone",
+        F.posexplode(F.expr("slice(common, 1, CAST(most AS INT))")).alias("place", "shingle"),
+    )
+    rest = F.col("n") - F.col("alone") - F.col("place")
+    reach = F.floor(rest * ((1 + similarity) / similarity) + 1e-9) - F.col("n")
+    return settle(placed.select(F.col("shingle.key").alias("key"), "node", "n", reach.alias("reach")))
+
+
+def _first_by_reach(placed: DataFrame, turn: int) -> DataFrame:
+    """Of each key with several labels the node that reaches furthest for its size; later any node."""
+    far = -F.col("reach") / F.col("n") if turn == 0 else F.lit(0.0)
+    order = F.struct(far.alias("far"), F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "label", "n", "reach")
+    found = placed.groupBy("key").agg(
+        F.min(order).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    return settle(
+        found.filter("lo <> hi").select(
+            "key",
+            F.col("top.node").alias("first"),
+            F.col("top.label").alias("first_label"),
+            F.col("top.n").alias("other_n"),
+            F.col("top.reach").alias("other_reach"),
+        )
+    )
+
+
+def _live_cells(placed: DataFrame) -> DataFrame:
+    """(key, one, two): classes of a key's nodes that may hold pairs in reach with different labels.
+
+    A class is a range of sizes and reaches, 2 % wide; so a key has a bounded
+    number of them, however many nodes it has.
     """
-    sliced = (
-        placed.join(mixed.select("band", "key", "n"), ["band", "key"])
-        .withColumn("s", F.ceil(F.col("n") / block).cast("int"))
-        .withColumn("own", F.expr("CAST(pmod(xxhash64(node, 'slice'), s) AS INT)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
-        .select("band", "key", *_ordered("own", "other"), "own", "node", "label")
+    classes = placed.groupBy("key", "class").agg(
+        F.min("n").alias("n"), F.max("reach").alias("reach"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    gathered = classes.groupBy("key").agg(
+        F.collect_list(F.struct("class", "n", "reach", "lo", "hi")).alias("c"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
     )
-    cells = sliced.groupBy("band", "key", "a", "b").agg(
-        F.collect_list(F.struct("own", "node", "label")).alias("m")
+    fields = ("class", "n", "reach", "lo", "hi")
+    listed = gathered.filter("lo <> hi").select("key", *[F.col(f"c.{f}").alias(f) for f in fields])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, *columns in batch.itertuples(index=False):
+                name, n, reach, lo, hi = (np.asarray(x, np.int64) for x in columns)
+                for at in range(len(n)):
+                    rest = slice(at, None)
+                    live = (n[at] <= reach[rest]) & (n[rest] <= reach[at])
+                    live &= (lo[at] != hi[rest]) | (hi[at] != lo[rest])
+                    two = name[rest][live]
+                    if len(two):
+                        yield pd.DataFrame({"key": key, "one": name[at], "two": two})
+
+    return settle(listed.mapInPandas(meet, "key bigint, one bigint, two bigint"))
+
+
+def _unlike_in_reach(placed: DataFrame, block: int) -> DataFrame:
+    """(a, b): nodes of a key that are in reach of one another and have different labels.
+
+    Only classes that may hold such pairs meet, in slices of about ``block`` nodes.
+    """
+    bins = 1 / np.log(1.02)
+    size, far = (F.floor(F.log(F.col(c).cast("double")) * bins) for c in ("n", "reach"))
+    placed = settle(placed.withColumn("class", size * 100_000 + far))
+    cells = _live_cells(placed)
+    slices = placed.groupBy("key", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("s"))
+    sliced = placed.join(slices, ["key", "class"]).withColumn("own", F.expr("CAST(pmod(xxhash64(node, 'slice'), s) AS INT)"))
+    cells = (
+        cells.join(slices.toDF("key", "one", "s_one"), ["key", "one"])
+        .join(slices.toDF("key", "two", "s_two"), ["key", "two"])
+        .withColumn("i", F.explode(F.expr("sequence(0, s_one - 1)")))
+        .withColumn("j", F.explode(F.expr("sequence(0, s_two - 1)")))
+        .filter("one <> two OR i <= j")
+        .withColumn("cell", F.xxhash64("key", "one", "two", "i", "j"))
     )
-    cells = cells.select("a", "b", *[F.col(f"m.{c}").alias(c) for c in ("own", "node", "label")])
+    sides = [
+        sliced.join(
+            cells.select("key", F.col(name).alias("class"), F.col(at).alias("own"), "cell"), ["key", "class", "own"]
+        ).select("cell", F.lit(name == "two").alias("right"), "node", "label", "n", "reach")
+        for name, at in (("one", "i"), ("two", "j"))
+    ]
+    fields = ("right", "node", "label", "n", "reach")
+    gathered = sides[0].union(sides[1]).groupBy("cell").agg(F.collect_list(F.struct(*fields)).alias("m"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b, own, node, label in batch.itertuples(index=False):
-                own, node, label = (np.asarray(x, np.int64) for x in (own, node, label))
-                left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-                unlike = label[left][:, None] != label[right][None, :]
-                i, j = np.nonzero(np.triu(unlike) if a == b else unlike)
-                one, two = node[left[i]], node[right[j]]
+            for columns in batch.itertuples(index=False):
+                right, node, label, n, reach = (np.asarray(x, np.int64) for x in columns)
+                x, y = np.flatnonzero(right == 0), np.flatnonzero(right == 1)
+                close = (n[x][:, None] <= reach[y]) & (n[y] <= reach[x][:, None])
+                i, j = np.nonzero(close & (label[x][:, None] != label[y]))
+                one, two = node[x[i]], node[y[j]]
                 yield pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)})
 
-    return cells.select("a", "b", "own", "node", "label").mapInPandas(meet, "a bigint, b bigint")
+    listed = gathered.select(*[F.col(f"m.{f}").alias(f) for f in fields])
+    return listed.mapInPandas(meet, "a bigint, b bigint")
+
+
+def _links_by_prefix(
+    stuck: DataFrame, links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float, block: int
+) -> DataFrame:
+    """``links`` and those still missing among the nodes ``stuck``, by an exact prefix filter.
+
+    The texts of a family that is just below the similarity differ in rare
+    shingles; these come first, so such texts are out of one another's reach
+    wherever they meet. Nodes of a shingle are compared with the one that
+    reaches furthest, then with another one, then any two in reach that no
+    links connect yet.
+    """
+    members = _prefixes(_whole_sets(stuck, nodes, docs, size), similarity)
+    for turn in range(STARS + 1):
+        placed = _labelled(members, links)
+        if turn < STARS:
+            mixed = _first_by_reach(placed, turn)
+            if mixed.isEmpty():
+                break
+            near = placed.join(mixed, "key").filter(
+                "label <> first_label AND n <= other_reach AND other_n <= reach"
+            )
+            pairs = near.select(*_ordered("node", "first"))
+        else:
+            pairs = _unlike_in_reach(placed, block)
+        links = links.union(_judged(settle(pairs.distinct()), nodes, docs, size, similarity))
+    return links
 
 
 def near_duplicate_groups(
@@ -375,9 +511,9 @@ def near_duplicate_groups(
     Documents are in a group if their word sequences are equal, or if they are
     connected by pairs whose ``size``-word shingles have at least the
     ``similarity``. Candidates share one of ``bands`` min-hash keys of shingles
-    (0.9996 of the pairs at 0.8). In each bucket of a key, nodes are first
-    compared with one leader, twice; then every two that no verified links
-    connect yet are compared with one another.
+    (0.9996 of the pairs at 0.8). In each bucket of a key, nodes are compared
+    with one leader, twice. Nodes of buckets that verified links do not connect
+    yet go through an exact prefix filter on their whole shingle sets.
     """
 
     @F.pandas_udf("digest binary, prints array<bigint>, sketch binary")
@@ -403,15 +539,14 @@ def near_duplicate_groups(
         mixed = _leaders(placed, turn)
         if mixed.isEmpty():
             break
-        if turn < STARS:
-            near = placed.join(mixed, ["band", "key"]).filter("label <> first_label")
-            pairs = near.select(*_ordered("node", "first"))
-        else:
-            pairs = _unlike_pairs(placed, mixed, block)
-        found = _judged(settle(pairs.distinct()), nodes, docs, size, similarity)
+        if turn == STARS:
+            stuck = settle(placed.join(mixed.select("band", "key"), ["band", "key"]).select("node").distinct())
+            links = _links_by_prefix(stuck, links, nodes, docs, size, similarity, block)
+            break
+        near = placed.join(mixed, ["band", "key"]).filter("label <> first_label")
+        found = _judged(settle(near.select(*_ordered("node", "first")).distinct()), nodes, docs, size, similarity)
         links = found if links is None else links.union(found)
-        if turn < STARS:
-            placed = _labelled(members, links)
+        placed = _labelled(members, links)
     named = nodes.select("digest", "node")
     if links is None:
         named = named.withColumn("group_id", F.col("node"))

@@ -108,3 +108,37 @@ def test_long_texts_at_the_threshold_are_decided_exactly(make_docs):
     got = groups(make_docs, rows)
     assert got == brute_groups(rows)
     assert [got[10 * i + 1] == 10 * i for i in range(24)] == [i % 2 == 0 for i in range(24)]
+
+
+def test_a_template_family_below_the_threshold_makes_few_pairs(make_docs, monkeypatch):
+    rng, rows = random.Random(8), []
+    template = [f"t{i}" for i in range(150)]
+    for i in range(300):  # like one another by 0.60 to 0.79; some have a near copy
+        own = [f"own{i}-{j}" for j in range(rng.randrange(20, 40))]
+        rows.append((i, template + own))
+        if i % 10 == 0:
+            rows.append((1000 + i, template + own[:-1]))
+    judged, judge = [], simhash._judged
+
+    def counted(pairs, *rest):
+        judged.append(pairs.count())
+        return judge(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_judged", counted)
+    assert groups(make_docs, rows) == brute_groups(rows)
+    assert sum(judged) < 10 * len(rows)  # all pairs are 160 times as many as texts
+    assert simhash.STARS + 1 <= len(judged)
+
+
+def test_the_prefix_filter_finds_every_pair(spark):
+    rng = random.Random(9)
+    pool = [f"p{i}" for i in range(60)]
+    rows = [(i, [rng.choice(pool) for _ in range(rng.randrange(1, 12))] + pool[:40]) for i in range(60)]
+    sets = {i: shingles(w) for i, w in rows}
+    packed = [(i, np.unique(simhash.shingle_hashes(simhash.words_of(" ".join(w)), 5)).tobytes()) for i, w in rows]
+    kept = simhash._prefixes(spark.createDataFrame(packed, "node bigint, shingles binary"), 0.8)
+    for block in (256, 3):
+        found = simhash._unlike_in_reach(kept.withColumn("label", kept.node), block)
+        found = {tuple(r) for r in found.collect()}
+        near = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        assert near <= found and all(a > b for a, b in found)

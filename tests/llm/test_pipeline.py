@@ -79,4 +79,4 @@ def test_pipeline_on_odd_rows(spark, tmp_path, make_docs):
 def test_names():
     assert importlib.util.find_spec("corpus_pipeline") is not None
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
