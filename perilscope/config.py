@@ -59,6 +59,7 @@ class IntegritySettings:
     max_iter: int = 2000
     tol: float = 1e-6
     estimator: Any = None
+    strict: bool = False
 
     def __post_init__(self) -> None:
         if self.n_splits < 2:

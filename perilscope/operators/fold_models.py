@@ -4,21 +4,24 @@ The input is one table, ``(dataset_id, y, fold, x)``. Model i of a dataset is
 trained on that dataset's rows outside fold i, and its rows in fold i are what
 it scores. Rows are packed once into dense blocks, which Spark keeps, so that a
 pass moves bytes instead of converting rows. Each pass over the blocks sums the
-loss, gradient and curvature of all models in the tasks that hold the rows;
-Spark adds the partial sums, and the driver takes one damped step per model. A
-handful of passes serve all datasets and folds together, where separate fits
-would need a few dozen passes each. The sums do not depend on how rows are
-spread, so a dataset that holds most rows needs no special care.
-
-A step is Newton's where the whole curvature is small enough to send; a model
-of more than ``NEWTON_PARAMETERS`` sends the curvature's diagonal and takes
-limited-memory quasi-Newton steps. Objective, stopping rule and limit of passes
-are the same, and each dataset goes by its own width. What reaches the driver
-is bounded: datasets are handled in waves whose sums fit ``WAVE_CELLS``.
+loss, gradient and curvature of all models in the tasks that hold the rows.
+Spark adds the partial sums, and the task that has a model's sums takes its
+damped step there and then. The driver sees a model's parameters and the state
+of its search, never its curvature. A handful of passes serve all datasets and
+folds together, where separate fits would need a few dozen passes each. The
+sums do not depend on how rows are spread, so a dataset that holds most rows
+needs no special care.
+
+There is one method at any width. Curvature is sent in diagonal blocks of at
+most ``CURVATURE_BLOCK`` parameters. They scale a limited-memory quasi-Newton
+step, which learns from past steps what lies between the blocks. Where one block
+is all there is, nothing does, and the step is Newton's. Datasets are handled in
+waves whose sums fit ``WAVE_CELLS`` in a task.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,16 +37,9 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WAVE_CELLS = 2_000_000
-NEWTON_PARAMETERS = 512
-_MEMORY = 10
-
-
-class InfiniteFeature(ValueError):
-    """A feature, by its place, with an infinite value in a dataset."""
-
-    def __init__(self, dataset: str, feature: int, name: str | None = None):
-        super().__init__(f"infinite value in feature {name or feature} of dataset {dataset!r}")
-        self.dataset, self.feature = dataset, feature
+CURVATURE_BLOCK = 512
+#: Past steps that a search keeps for every block beyond the first, and at most.
+_STEPS_A_BLOCK, _STEPS = 5, 10
 
 
 @dataclass
@@ -57,6 +53,7 @@ class DatasetModels:
     theta: np.ndarray  # (k, rows, d + 1); the last column is the intercept
     present: np.ndarray  # (k, n_classes) classes among the training rows
     unfinished: int = 0  # models still moving when the passes ran out
+    failed: bool = False  # the loss is not a number
 
 
 def parameter_rows(n_classes: int) -> int:
@@ -64,11 +61,15 @@ def parameter_rows(n_classes: int) -> int:
     return 1 if n_classes == 2 else n_classes
 
 
-def sent_cells(parameters: float) -> float:
-    """Numbers that a model of so many parameters sends in one pass."""
-    if parameters <= NEWTON_PARAMETERS:
-        return 1 + parameters + parameters**2
-    return 1 + 2 * parameters
+def _curvature_blocks(parameters: int) -> list[tuple[int, int]]:
+    return [
+        (lo, min(lo + CURVATURE_BLOCK, parameters)) for lo in range(0, parameters, CURVATURE_BLOCK)
+    ]
+
+
+def sent_cells(parameters: int) -> int:
+    """Numbers that a task holds and sends for a model of so many parameters in one pass."""
+    return 1 + parameters + sum((hi - lo) ** 2 for lo, hi in _curvature_blocks(parameters))
 
 
 def _plain(models: dict[str, DatasetModels]) -> dict[str, SimpleNamespace]:
@@ -95,21 +96,31 @@ def _probabilities(models: DatasetModels, i: int, z: np.ndarray) -> np.ndarray:
 
 
 def _sums(
-    models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray, whole: bool
+    models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray, blocks: list[tuple[int, int]]
 ) -> np.ndarray:
-    """Loss, gradient and curvature (or its diagonal) of model i over some training rows."""
+    """Loss, gradient and the curvature's diagonal ``blocks`` of model i over some training rows."""
     z = _design(models, i, x)
     p = _probabilities(models, i, z)
     loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum()
     free = [1] if models.n_classes == 2 else list(range(models.n_classes))
     gradient = [((p[:, c] - (y == c)) @ z) for c in free]
-    if not whole:
-        diagonal = [(p[:, c] * (1 - p[:, c])) @ z**2 for c in free]
-        return np.concatenate([[loss], *gradient, *diagonal])
-    curvature = [
-        [(z * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ z for b in free] for a in free
+    curvature = [_curvature(z, p[:, free], lo, hi).ravel() for lo, hi in blocks]
+    return np.concatenate([[loss], *gradient, *curvature])
+
+
+def _curvature(z: np.ndarray, p: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Second derivatives of the loss by the parameters lo..hi-1, which go class by class."""
+    width = z.shape[1]
+    parts = [
+        (c, z[:, max(0, lo - c * width) : min(width, hi - c * width)])
+        for c in range(lo // width, (hi - 1) // width + 1)
     ]
-    return np.concatenate([[loss], np.concatenate(gradient), np.block(curvature).ravel()])
+    return np.block(
+        [
+            [(za * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ zb for b, zb in parts]
+            for a, za in parts
+        ]
+    )
 
 
 def _columns(batch: pa.RecordBatch, width: int):
@@ -221,7 +232,7 @@ def to_run_blocks(rows: DataFrame, runs: list[str], width: int) -> DataFrame:
     return rows.select("ys", "folds", "x").mapInArrow(in_task, _BLOCK_SCHEMA)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int):
+def unpacked_blocks(batches: Iterator[pa.RecordBatch], width: int):
     """Unpack (dataset_id, fold, x, y) from block rows; shared blocks come once for each run."""
     for batch in batches:
         for name, fold, x, y, runs in zip(*(batch.column(c) for c in _BLOCK_NAMES)):
@@ -244,7 +255,7 @@ def block_shape(blocks: DataFrame, width: int) -> DataFrame:
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict = {}
-        for name, fold, _, y in _blocks(batches, width):
+        for name, fold, _, y in unpacked_blocks(batches, width):
             for c, n in zip(*(v.tolist() for v in np.unique(y, return_counts=True))):
                 counts[(name, fold, c)] = counts.get((name, fold, c), 0) + n
         yield pa.RecordBatch.from_arrays(
@@ -264,20 +275,20 @@ def block_shape(blocks: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _block_sums(
-    blocks: DataFrame, width: int, payload, vectors: Callable
-) -> dict[tuple[str, int], np.ndarray]:
-    """One pass: {(dataset_id, key): sum of the vectors that ``vectors`` makes of each block}.
+_KEYS = ["dataset_id", "key"]
+_SUMS = "dataset_id string, key int, sums array<double>"
 
-    ``vectors(payload, name, fold, x, y)`` yields (key, vector). Tasks add up
-    what they can, Spark adds the tasks' sums.
+
+def _partial_sums(blocks: DataFrame, width: int, shared, vectors: Callable) -> DataFrame:
+    """(dataset_id, key, sums): what a task's blocks add up to, equal keys in one task and in a row.
+
+    ``vectors(payload, name, fold, x, y)`` yields (key, vector) of a block.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(payload)
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = shared.value
         sums: dict = {}
-        for name, fold, x, y in _blocks(batches, width):
+        for name, fold, x, y in unpacked_blocks(batches, width):
             for key, vector in vectors(given, name, fold, x, y):
                 held = sums.get((name, key))
                 sums[(name, key)] = vector if held is None else held + vector
@@ -291,26 +302,12 @@ def _block_sums(
                 names=["dataset_id", "key", "sums"],
             )
 
-    layout = "dataset_id string, key int, sums array<double>"
-    partial = blocks.mapInArrow(in_task, layout)
-    keys = ["dataset_id", "key"]
-    total = (
-        partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added, layout).toArrow()
-    )
-    shared.destroy()
-    return {
-        (name.as_py(), key.as_py()): sums.values.to_numpy(zero_copy_only=False)
-        for name, key, sums in zip(*(total[c] for c in total.column_names))
-    }
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the arrays of equal (dataset, key), which follow one another; one is held at a time."""
+    partial = blocks.mapInArrow(in_task, _SUMS)
+    return partial.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
 
-    def row(key: tuple, sums: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([sums])]
-        return pa.RecordBatch.from_arrays(columns, names=["dataset_id", "key", "sums"])
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(dataset, key, sum) of arrays whose equal keys follow one another; one is held at a time."""
     held: tuple | None = None
     total = None
     for batch in batches:
@@ -320,16 +317,36 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = total + values
                 continue
             if held is not None:
-                yield row(held, total)
+                yield (*held, total)
             held, total = (name.as_py(), key.as_py()), values
     if held is not None:
-        yield row(held, total)
+        yield (*held, total)
+
+
+def _block_sums(
+    blocks: DataFrame, width: int, payload, vectors: Callable
+) -> dict[tuple[str, int], np.ndarray]:
+    """One pass: {(dataset_id, key): sum of the vectors that ``vectors`` makes of each block}."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, key, total in _totals(batches):
+            columns = [pa.array([name]), pa.array([key], pa.int32()), pa.array([total])]
+            yield pa.RecordBatch.from_arrays(columns, names=["dataset_id", "key", "sums"])
+
+    shared = blocks.sparkSession.sparkContext.broadcast(payload)
+    total = _partial_sums(blocks, width, shared, vectors).mapInArrow(added, _SUMS).toArrow()
+    shared.destroy()
+    return {
+        (name.as_py(), key.as_py()): sums.values.to_numpy(zero_copy_only=False)
+        for name, key, sums in zip(*(total[c] for c in total.column_names))
+    }
 
 
 def block_moments(
     blocks: DataFrame, names: list[str], width: int
-) -> dict[tuple[str, int], np.ndarray]:
-    """{(dataset_id, fold): (width, 3) array of count, mean and variance of the present values}.
+) -> tuple[dict[tuple[str, int], np.ndarray], dict[str, int]]:
+    """{(dataset_id, fold): (width, 3) array of count, mean and variance of the present values},
+    and {dataset_id: a feature with an infinite value}.
 
     Squares are summed about each dataset's own mean, so nothing cancels.
     """
@@ -340,9 +357,11 @@ def block_moments(
         yield fold, np.concatenate([there.sum(axis=0), total, np.isinf(x).sum(axis=0)])
 
     first = _block_sums(blocks, width, None, plain)
+    infinite: dict[str, int] = {}
     for (name, _), v in first.items():
         if v[2 * width :].any():
-            raise InfiniteFeature(name, int(np.flatnonzero(v[2 * width :])[0]))
+            place = int(np.flatnonzero(v[2 * width :])[0])
+            infinite[name] = min(place, infinite.get(name, place))
     first = {k: v[: 2 * width] for k, v in first.items()}
     centres = {}
     for name in names:
@@ -350,7 +369,7 @@ def block_moments(
         centres[name] = total[width:] / np.maximum(total[:width], 1.0)
 
     def squares(given, name, fold, x, y):
-        yield fold, np.nansum((x - given[name]) ** 2, axis=0)
+        yield fold, np.nansum(np.where(np.isfinite(x), x - given[name], 0.0) ** 2, axis=0)
 
     second = _block_sums(blocks, width, centres, squares)
     moments = {}
@@ -362,77 +381,40 @@ def block_moments(
         moments[(name, fold)] = np.column_stack(
             [v[:width], np.where(v[:width] > 0, mean, 0.0), np.where(v[:width] > 0, variance, 0.0)]
         )
-    return moments
+    return moments, infinite
 
 
-def _pass_over(blocks: DataFrame, models: dict[str, DatasetModels], active, width: int):
-    """One pass: {(dataset_id, model): summed statistics} for the active models."""
-    most = NEWTON_PARAMETERS
+def _step(state: dict | None, theta: np.ndarray, objective: float, gradient: np.ndarray, bends):
+    """The state of a search after a pass: where it was, its direction, and how much of it to go.
+
+    ``bends`` are (lo, hi, curvature) of the blocks. A step that falls too
+    little is halved; else the direction is worked out anew.
+    """
+    if state is not None:
+        at, before, slope = state["at"], state["objective"], float(state["gradient"] @ state["direction"])
+        if objective > before + 1e-4 * state["part"] * slope + 1e-10 * (1.0 + abs(before)):
+            return state | {"part": state["part"] / 2.0}
+    pairs = [] if state is None else state["pairs"]
+    keep = min(_STEPS, _STEPS_A_BLOCK * (len(bends) - 1))
+    if state is not None and keep:
+        moved, bent = theta - at, gradient - state["gradient"]
+        if moved @ bent > 1e-12 * np.linalg.norm(moved) * np.linalg.norm(bent):
+            pairs = [*pairs, (moved, bent)][-keep:]
+    rest, shares = gradient.copy(), []
+    for moved, bent in reversed(pairs):
+        share = (moved @ rest) / (moved @ bent)
+        rest -= share * bent
+        shares.append(share)
+    for lo, hi, bend in bends:
+        rest[lo:hi] = np.linalg.lstsq(bend, rest[lo:hi], rcond=None)[0]
+    for (moved, bent), share in zip(pairs, reversed(shares), strict=True):
+        rest += moved * (share - (bent @ rest) / (moved @ bent))
+    return {
+        "at": theta, "objective": objective, "gradient": gradient, "direction": -rest, "part": 1.0, "pairs": pairs
+    }
 
-    def training(given, name, fold, x, y):
-        current, wanted = given
-        for i in wanted.get(name, ()):
-            if i != fold:
-                whole = current[name].theta[i].size <= most
-                yield i, _sums(current[name], i, x, y, whole)
-
-    return _block_sums(blocks, width, (_plain(models), active), training)
-
-
-class _Newton:
-    """Damped Newton steps: a step that overshoots is halved from where it started."""
-
-    def __init__(self) -> None:
-        self.before: tuple | None = None  # theta, objective, step
-
-    def step(self, theta, objective, gradient, curvature) -> tuple[np.ndarray, np.ndarray]:
-        """The next theta, and the step there."""
-        before, n = self.before, theta.size
-        if before and objective > before[1] + 1e-10 * (1.0 + abs(before[1])):
-            self.before = (before[0], before[1], before[2] / 2.0)
-        else:
-            full = np.linalg.lstsq(curvature.reshape(n, n), gradient, rcond=None)[0]
-            self.before = (theta.copy(), objective, -full.reshape(theta.shape))
-        return self.before[0] + self.before[2], self.before[2]
-
-
-class _LimitedMemory:
-    """Quasi-Newton steps from the last changes of the gradient, scaled by the diagonal."""
-
-    def __init__(self) -> None:
-        self.at: tuple | None = None  # theta, objective, gradient
-        self.direction: np.ndarray | None = None
-        self.part = 1.0
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def step(self, theta, objective, gradient, diagonal) -> tuple[np.ndarray, np.ndarray]:
-        if self.at is not None:
-            fall = 1e-4 * self.part * float(self.at[2] @ self.direction)
-            if objective > self.at[1] + fall + 1e-10 * (1.0 + abs(self.at[1])):
-                self.part /= 2.0
-                return self._next()
-            moved = theta.ravel() - self.at[0].ravel()
-            bent = gradient - self.at[2]
-            if moved @ bent > 1e-12 * np.linalg.norm(moved) * np.linalg.norm(bent):
-                self.pairs = [*self.pairs[1 - _MEMORY :], (moved, bent)]
-        self.at, self.part = (theta.copy(), objective, gradient), 1.0
-        self.direction = -self._solved(gradient, np.maximum(diagonal, 1e-8))
-        return self._next()
-
-    def _next(self) -> tuple[np.ndarray, np.ndarray]:
-        step = self.part * self.direction.reshape(self.at[0].shape)
-        return self.at[0] + step, step
-
-    def _solved(self, gradient: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        rest, shares = gradient.copy(), []
-        for moved, bent in reversed(self.pairs):
-            share = (moved @ rest) / (moved @ bent)
-            rest -= share * bent
-            shares.append(share)
-        rest /= diagonal
-        for (moved, bent), share in zip(self.pairs, reversed(shares), strict=True):
-            rest += moved * (share - (bent @ rest) / (moved @ bent))
-        return rest
+
+_STEPPED = "dataset_id string, model int, theta binary, state binary, finished boolean, failed boolean"
 
 
 def fit_models(
@@ -446,32 +428,68 @@ def fit_models(
 
     A model is done when its step is below ``tol`` times its largest weight
     (plus 1). Models still moving after ``max_iter`` passes are counted in
-    their dataset's ``unfinished``; the others are not held up.
+    their dataset's ``unfinished``; the others are not held up. A dataset whose
+    loss is not a number is ``failed``.
     """
     width = next(iter(models.values())).fill.shape[1]
     active = {name: list(range(len(m.theta))) for name, m in models.items()}
-    searches: dict = {}
+    states: dict[tuple[str, int], bytes] = {}
+
+    def training(given, name, fold, x, y):
+        current, wanted, _ = given
+        for i in wanted.get(name, ()):
+            if i != fold:
+                spans = _curvature_blocks(current[name].theta[i].size)
+                yield i, _sums(current[name], i, x, y, spans)
+
     for _ in range(max_iter):
-        found = _pass_over(blocks, models, active, width)
-        still: dict = {}
-        for (name, i), stats in found.items():
-            theta = models[name].theta[i]
-            n = theta.size
-            if not np.isfinite(stats[0]):
-                raise ValueError(f"dataset {name!r} has a feature that is missing or infinite")
-            weight = np.ones_like(theta) / inverse_penalty
-            weight[:, -1] = 0.0
-            objective = stats[0] + 0.5 * (weight * theta**2).sum()
-            gradient = stats[1 : 1 + n] + (weight * theta).ravel()
-            bend, newton = stats[1 + n :], n <= NEWTON_PARAMETERS
-            bend = bend + (np.diag(weight.ravel()).ravel() if newton else weight.ravel())
-            search = searches.get((name, i))
-            if search is None:
-                search = searches[(name, i)] = _Newton() if newton else _LimitedMemory()
-            models[name].theta[i], step = search.step(theta, objective, gradient, bend)
-            if np.abs(step).max() > tol * (1.0 + np.abs(theta).max()):
-                still.setdefault(name, []).append(i)
-        active = still
+        payload = ({n: m for n, m in _plain(models).items() if n in active}, active, states)
+        shared = blocks.sparkSession.sparkContext.broadcast(payload)
+
+        def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, _, kept = shared.value  # noqa: B023 - used within the pass
+            for name, i, sums in _totals(batches):
+                theta = current[name].theta[i].ravel()
+                n, finite = theta.size, bool(np.isfinite(sums[0]))
+                state, after, finished = None, theta, True
+                if finite:
+                    weight = np.ones_like(current[name].theta[i]) / inverse_penalty
+                    weight[:, -1] = 0.0
+                    weight = weight.ravel()
+                    objective = sums[0] + 0.5 * (weight * theta**2).sum()
+                    bends, at = [], 1 + n
+                    for lo, hi in _curvature_blocks(n):
+                        bend = sums[at : at + (hi - lo) ** 2].reshape(hi - lo, hi - lo)
+                        bends.append((lo, hi, bend + np.diag(weight[lo:hi])))
+                        at += (hi - lo) ** 2
+                    before = pickle.loads(kept[(name, i)]) if (name, i) in kept else None
+                    state = _step(before, theta, objective, sums[1 : 1 + n] + weight * theta, bends)
+                    step = state["part"] * state["direction"]
+                    after = state["at"] + step
+                    finished = bool(np.abs(step).max() <= tol * (1.0 + np.abs(theta).max()))
+                columns = [
+                    pa.array([name]),
+                    pa.array([i], pa.int32()),
+                    pa.array([after.tobytes()], pa.binary()),
+                    pa.array([b"" if finished else pickle.dumps(state)], pa.binary()),
+                    pa.array([finished]),
+                    pa.array([not finite]),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["dataset_id", "model", "theta", "state", "finished", "failed"]
+                )
+
+        found = _partial_sums(blocks, width, shared, training).mapInArrow(stepped, _STEPPED).toArrow()
+        shared.destroy()
+        active, states = {}, {}
+        for row in found.to_pylist():
+            name, i = row["dataset_id"], row["model"]
+            own = models[name]
+            own.theta[i] = np.frombuffer(row["theta"]).reshape(own.theta[i].shape)
+            own.failed |= row["failed"]
+            if not row["finished"]:
+                active.setdefault(name, []).append(i)
+                states[(name, i)] = row["state"]
         if not active:
             break
     for name, m in models.items():
@@ -486,7 +504,7 @@ def block_scores(blocks: DataFrame, models: dict[str, DatasetModels], width: int
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = shared.value
         sums: dict = {}
-        for name, fold, x, y in _blocks(batches, width):
+        for name, fold, x, y in unpacked_blocks(batches, width):
             if fold < 0 or name not in current:
                 continue
             p = _probabilities(current[name], fold, _design(current[name], fold, x))
@@ -515,7 +533,7 @@ def run_test_scores(blocks: DataFrame, models: dict[str, DatasetModels], width:
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = shared.value
-        for name, fold, x, y in _blocks(batches, width):
+        for name, fold, x, y in unpacked_blocks(batches, width):
             if fold == 0 and name in current:
                 p = _probabilities(current[name], 0, _design(current[name], 0, x))[:, -1]
                 columns = [pa.array([name] * len(y)), pa.array(y, pa.int32()), pa.array(p)]
@@ -528,7 +546,8 @@ def score_held_out(matrix: DataFrame, models: dict[str, DatasetModels], width: i
     """Rows that some model holds out, with ``p_assigned`` and ``p_last`` in place of ``x``.
 
     ``p_assigned`` is the probability of the row's own label, ``p_last`` that
-    of the highest class code (class 1 of two).
+    of the highest class code (class 1 of two). Both are null for the rows of a
+    dataset without models.
     """
     shared = matrix.sparkSession.sparkContext.broadcast(_plain(models))
     kept = [f for f in matrix.schema.fields if f.name != "x"]
@@ -541,16 +560,16 @@ def score_held_out(matrix: DataFrame, models: dict[str, DatasetModels], width: i
             last = np.full(batch.num_rows, np.nan)
             codes, names, x, y, fold = _columns(batch, width)
             for code, i, rows in _groups(codes, fold):
-                models_here = current[names[code]]
+                models_here = current.get(names[code])
+                if models_here is None:
+                    continue
                 p = _probabilities(models_here, i, _design(models_here, i, x[rows]))
                 assigned[rows] = p[np.arange(len(p)), y[rows]]
                 last[rows] = p[:, -1]
-            if np.isnan(assigned).any():
-                raise ValueError("a held-out row has no probability: is a feature missing?")
             columns = [batch.column(f.name) for f in kept]
+            scores = [pa.array(p, from_pandas=True) for p in (assigned, last)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(assigned), pa.array(last)],
-                names=[f.name for f in kept] + ["p_assigned", "p_last"],
+                [*columns, *scores], names=[f.name for f in kept] + ["p_assigned", "p_last"]
             )
 
     held = matrix.filter(F.col("fold") >= 0)

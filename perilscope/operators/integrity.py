@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -16,11 +15,9 @@ from pyspark.sql import functions as F
 
 from perilscope.config import IntegritySettings, SafetyConfig
 from perilscope.functions.numeric import clamp01, missing_to_null, numeric_columns
-from perilscope.operators import medians as md
 from perilscope.operators.fold_models import (
     WAVE_CELLS,
     DatasetModels,
-    InfiniteFeature,
     block_moments,
     block_scores,
     block_shape,
@@ -32,6 +29,7 @@ from perilscope.operators.fold_models import (
     to_blocks,
     to_run_blocks,
 )
+from perilscope.operators.medians import block_medians
 from perilscope.operators.sampling import assign_folds
 from perilscope.operators.small import checked_broadcast
 from perilscope.schemas import CONTENT_ORIGIN, dataset_id, explode_proxies, proxy_struct
@@ -112,32 +110,6 @@ def build_matrix(
 # ---- fold-wise imputation and standardisation -----------------------------
 
 
-def fold_medians(matrix: DataFrame, k: int, features: Sequence[int], bracketed: bool) -> DataFrame:
-    """Per (dataset, model, feature): the median over the rows outside the model's fold."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(j).alias("feature"), F.get("x", F.lit(j)).alias("value"))
-            for j in features
-        ]
-    )
-    outside = F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda i: i != F.col("fold"))
-    values = matrix.select("dataset_id", "fold", F.inline(pairs)).filter("value IS NOT NULL")
-    keys = ["dataset_id", "model", "feature"]
-    if bracketed:
-        spread = values.select("dataset_id", F.explode(outside).alias("model"), "feature", "value")
-        return md.exact_medians(spread, keys, "value", bracketed=True)
-    # Equal values of a fold are counted before they are handed to the fold's models.
-    counts = values.groupBy("dataset_id", "fold", "feature", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    spread = counts.select(
-        "dataset_id", F.explode(outside).alias("model"), "feature", "value", "n"
-    )
-    return spread.groupBy(*keys).agg(
-        F.percentile("value", F.lit(0.5), F.col("n")).alias("median")
-    )
-
-
 def _pooled(counts: np.ndarray, means: np.ndarray, variances: np.ndarray):
     """Count, mean and population variance of several groups taken together (axis 0)."""
     total = counts.sum(axis=0)
@@ -148,30 +120,30 @@ def _pooled(counts: np.ndarray, means: np.ndarray, variances: np.ndarray):
 
 
 def _starting_models(
-    matrix: DataFrame, blocks: DataFrame, shape: DataFrame, k: int, width: int, preprocess: bool
-) -> dict[str, DatasetModels]:
-    """Each model's imputation and scaling from its own training rows, and zero weights."""
+    blocks: DataFrame, shape: DataFrame, k: int, width: int, preprocess: bool, features: Sequence[str] | None
+) -> tuple[dict[str, DatasetModels], dict[str, str]]:
+    """Each model's imputation and scaling from its own training rows, and zero weights.
+
+    Also the datasets that no models can be fitted to, and why.
+    """
     cells: dict[str, list] = {}
     for row in shape.toLocalIterator():
         cells.setdefault(row["dataset_id"], []).append(row)
-    single = sorted(d for d, rows in cells.items() if len({r["y"] for r in rows}) < 2)
-    if single:
-        raise ValueError(f"label has a single class in dataset(s) {single[:5]}")
-    small = sorted(d for d, rows in cells.items() if k > 1 and _too_small(rows, k))
-    if small:
-        raise ValueError(
-            f"dataset(s) {small[:5]} are too small for {k} folds: no class has that many rows,"
-            " or some fold leaves none to train on"
-        )
-
-    models = {}
+    models, errors = {}, {}
     for name, rows in cells.items():
+        if len({r["y"] for r in rows}) < 2:
+            errors[name] = "label has a single class"
+            continue
+        if k > 1 and _too_small(rows, k):
+            errors[name] = f"too small for {k} folds"
+            continue
         n_classes = max(r["y"] for r in rows) + 1
         present = np.zeros((k, n_classes), dtype=bool)
         for i in range(k):
             present[i, [r["y"] for r in rows if r["fold"] != i]] = True
         if not present.any(axis=1).all():
-            raise ValueError(f"dataset {name!r} has a fold that leaves no rows to train on")
+            errors[name] = "a fold leaves no rows to train on"
+            continue
         models[name] = DatasetModels(
             n_classes,
             fill=np.zeros((k, width)),
@@ -181,8 +153,10 @@ def _starting_models(
             present=present,
         )
     if preprocess and models:
-        _fit_preparation(matrix, blocks, models, cells, k, width)
-    return models
+        for name, place in _fit_preparation(blocks, models, cells, k, width).items():
+            del models[name]
+            errors[name] = f"infinite value in feature {features[place] if features else place}"
+    return models, errors
 
 
 def _too_small(rows, k: int) -> bool:
@@ -193,25 +167,27 @@ def _too_small(rows, k: int) -> bool:
     return max(classes.values()) < k or len({r["fold"] for r in rows}) < 2
 
 
-def _fit_preparation(
-    matrix: DataFrame, blocks: DataFrame, models, cells, k: int, width: int
-) -> None:
-    """Set fill, shift and scale of every model; the rows are read only if values are missing."""
+def _fit_preparation(blocks: DataFrame, models, cells, k: int, width: int) -> dict[str, int]:
+    """Set fill, shift and scale of every model; medians are looked for only where values are missing.
+
+    Returns the datasets with an infinite value, and the feature that has it.
+    """
     sizes: dict = {}
     for name, rows in cells.items():
         for r in rows:
             sizes[(name, r["fold"])] = sizes.get((name, r["fold"]), 0) + r["n"]
     moments: dict[str, dict] = {name: {} for name in models}
     gaps: set[int] = set()
-    for (name, fold), m in block_moments(blocks, list(models), width).items():
+    found, infinite = block_moments(blocks, list(cells), width)
+    for (name, fold), m in found.items():
+        if name not in models:
+            continue
         moments[name][fold] = m
         gaps |= set(np.flatnonzero(m[:, 0] < sizes[(name, fold)]).tolist())
 
     medians: dict = {}
     if gaps:
-        largest = max(sum(r["n"] for r in rows) for rows in cells.values())
-        found = fold_medians(matrix, k, sorted(gaps), largest > md.MAP_ROWS).toArrow().to_pylist()
-        medians = {(r["dataset_id"], r["model"], r["feature"]): r["median"] for r in found}
+        medians = block_medians(blocks, width, k, sorted(gaps))
 
     for name, model in models.items():
         for i in range(k):
@@ -230,6 +206,7 @@ def _fit_preparation(
             sd = np.sqrt(variance)
             model.shift[i] = mean
             model.scale[i] = 1.0 / np.where(sd > 1e-12 * (1.0 + np.abs(mean)), sd, 1.0)
+    return {name: place for name, place in infinite.items() if name in models}
 
 
 def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFrame:
@@ -242,8 +219,9 @@ def fold_scaling(matrix: DataFrame, k: int, features: Sequence[str]) -> DataFram
     waves = _plan_waves(shape, k, len(features))
     parts = []
     for number in range(waves):
-        rows, packed, cells = (_wave(df, number, waves) for df in (matrix, blocks, shape))
-        models = _starting_models(rows, packed, cells, k, len(features), True)
+        packed, cells = (_wave(df, number, waves) for df in (blocks, shape))
+        models, errors = _starting_models(packed, cells, k, len(features), True, features)
+        _refuse(errors)
         found = [
             (name, i, f, float(m.fill[i, j]), float(m.shift[i, j]), float(1.0 / m.scale[i, j]))
             for name, m in models.items()
@@ -334,8 +312,11 @@ def _fitted_waves(
     k: int,
     settings: IntegritySettings,
     runs: list[str] | None = None,
-) -> Iterator[tuple[DataFrame, DataFrame | None, dict[str, DatasetModels]]]:
-    """(rows, blocks, models) per wave. Blocks are None where the user's own classifier fits.
+    features: Sequence[str] | None = None,
+) -> Iterator[tuple[DataFrame, DataFrame | None, dict[str, DatasetModels], dict[str, str]]]:
+    """(rows, blocks, models, errors) per wave. Blocks are None where the user's own classifier fits.
+
+    ``errors`` holds the datasets that have no models, and why; the others go on.
 
     The blocks stay persisted until the caller asks for the next wave. With
     ``runs`` the rows are shared by many runs (see ``to_run_blocks``): every
@@ -353,15 +334,18 @@ def _fitted_waves(
             cut = waves > 1 and not runs
             if cut:  # else every pass of a wave would go through all blocks
                 packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
-            models = _starting_models(
-                rows, packed, _wave(shape, number, waves), k, width, settings.preprocess
+            models, errors = _starting_models(
+                packed, _wave(shape, number, waves), k, width, settings.preprocess, features
             )
-            if models:
-                if settings.estimator is None:
-                    fit_models(
-                        packed, models, settings.inverse_penalty, settings.max_iter, settings.tol
-                    )
-                yield rows, None if settings.estimator is not None else packed, models
+            if models and settings.estimator is None:
+                fit_models(
+                    packed, models, settings.inverse_penalty, settings.max_iter, settings.tol
+                )
+                for name in [name for name, m in models.items() if m.failed]:
+                    del models[name]
+                    errors[name] = "a feature is missing or infinite"
+            if models or errors:
+                yield rows, None if settings.estimator is not None else packed, models, errors
             if cut:
                 packed.unpersist()
     finally:
@@ -372,18 +356,41 @@ def _estimated(part: DataFrame, models, k: int, width: int, settings: IntegrityS
     return _with_estimator(part, models, k, width, settings.estimator)
 
 
+def _refuse(errors: dict[str, str]) -> None:
+    if errors:
+        named = "; ".join(f"dataset {name!r}: {errors[name]}" for name in sorted(errors)[:5])
+        raise ValueError(f"{len(errors)} dataset(s) cannot be scored: {named}")
+
+
 def held_out_probabilities(
-    matrix: DataFrame, width: int, k: int, settings: IntegritySettings
+    matrix: DataFrame,
+    width: int,
+    k: int,
+    settings: IntegritySettings,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every held-out row with the probability of its own label, ``x`` left out."""
-    parts = []
-    for part, blocks, models in _fitted_waves(matrix, width, k, settings):
-        if blocks is None:
-            parts.append(_estimated(part, models, k, width, settings))
-        else:
+    """Every held-out row with the probability of its own label, ``x`` left out.
+
+    The probability is null in datasets that no models can be fitted to; with
+    ``settings.strict`` these are an error, after the others are done.
+    """
+    parts, refused = [], {}
+    for part, blocks, models, errors in _fitted_waves(matrix, width, k, settings, features=features):
+        refused |= errors
+        if blocks is not None:
             parts.append(score_held_out(part, models, width))
+            continue
+        if models:
+            parts.append(_estimated(part, models, k, width, settings))
+        if errors:
+            bad = part.sparkSession.createDataFrame([(n,) for n in errors], "dataset_id string")
+            nothing = F.lit(None).cast("double")
+            left = part.join(checked_broadcast(bad), "dataset_id", "left_semi").drop("x")
+            parts.append(left.withColumns({"p_assigned": nothing, "p_last": nothing}))
     if not parts:
         raise ValueError("no labelled rows")
+    if settings.strict:
+        _refuse(refused)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -391,29 +398,45 @@ def shared_test_scores(
     rows: DataFrame, runs: list[str], width: int, settings: IntegritySettings
 ) -> DataFrame:
     """(dataset_id, y, p1) of each run's test rows (fold 0), from a model of its others (fold -1)."""
-    parts = [
-        cut_lineage(run_test_scores(blocks, models, width))
-        for _, blocks, models in _fitted_waves(rows, width, 1, settings, runs)
-    ]
+    parts = []
+    for _, blocks, models, errors in _fitted_waves(rows, width, 1, settings, runs):
+        _refuse(errors)
+        parts.append(cut_lineage(run_test_scores(blocks, models, width)))
     if not parts:
         raise ValueError("no labelled rows")
     return reduce(DataFrame.unionByName, parts)
 
 
+_STATES = "dataset_id string, n_unfinished int, error string"
+
+
 def held_out_scores(
     matrix: DataFrame,
     width: int,
     k: int,
     settings: IntegritySettings,
     runs: list[str] | None = None,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(dataset_id, score, n_rows, n_unfinished): the mean of 1 - P(assigned label) per dataset.
+    """(dataset_id, score, n_rows, n_unfinished, error): the mean of 1 - P(assigned label) per dataset.
 
     ``n_unfinished`` counts models that had not converged when the passes ran
-    out. One small row per dataset, written out so that nothing larger is kept.
+    out. A dataset that no models can be fitted to has only ``error``; the
+    others are scored all the same, and only then does ``settings.strict``
+    raise. One small row per dataset, written out so that nothing larger is kept.
     """
-    parts = []
-    for part, blocks, models in _fitted_waves(matrix, width, k, settings, runs):
+    parts, refused = [], {}
+    for part, blocks, models, errors in _fitted_waves(matrix, width, k, settings, runs, features):
+        refused |= errors
+        state = part.sparkSession.createDataFrame(
+            [(name, m.unfinished, None) for name, m in models.items()]
+            + [(name, None, why) for name, why in errors.items()],
+            _STATES,
+        )
+        if not models:
+            nothing = {"score": F.lit(None).cast("double"), "n_rows": F.lit(None).cast("bigint")}
+            parts.append(cut_lineage(state.withColumns(nothing)))
+            continue
         if blocks is None:
             scores = (
                 _estimated(part, models, k, width, settings)
@@ -425,23 +448,14 @@ def held_out_scores(
             )
         else:
             scores = block_scores(blocks, models, width)
-        state = part.sparkSession.createDataFrame(
-            [(name, m.unfinished) for name, m in models.items()],
-            "dataset_id string, n_unfinished int",
-        )
-        parts.append(cut_lineage(scores.join(state, "dataset_id")))
+        parts.append(cut_lineage(state.join(scores, "dataset_id", "left")))
     if not parts:
         raise ValueError("no labelled rows")
-    return reduce(DataFrame.unionByName, parts)
-
-
-@contextmanager
-def _naming(features: Sequence[str]) -> Iterator[None]:
-    """Errors about a feature's place name the feature."""
-    try:
-        yield
-    except InfiniteFeature as error:
-        raise InfiniteFeature(error.dataset, error.feature, features[error.feature]) from None
+    if settings.strict:
+        _refuse(refused)
+    return reduce(DataFrame.unionByName, parts).select(
+        "dataset_id", "score", "n_rows", "n_unfinished", "error"
+    )
 
 
 # ---- the proxy ------------------------------------------------------------
@@ -465,8 +479,7 @@ def integrity_stats(records: DataFrame, config: SafetyConfig) -> DataFrame | Non
     matrix = build_matrix(
         records, config.label_column, features, config.dataset_column, settings, _keys(config)
     )
-    with _naming(features):
-        scores = held_out_scores(matrix, len(features), settings.n_splits, settings)
+    scores = held_out_scores(matrix, len(features), settings.n_splits, settings, features=features)
     nulls = records.groupBy(dataset_id(config.dataset_column)).agg(
         F.count_if(F.col(config.label_column).isNull()).alias("n_null_labels")
     )
@@ -478,6 +491,7 @@ def integrity_stats(records: DataFrame, config: SafetyConfig) -> DataFrame | Non
             "n_unfinished",
             F.lit(len(features)).alias("n_features"),
             "n_null_labels",
+            "error",
         ).alias(_STATS),
     )
 
@@ -490,7 +504,7 @@ def integrity_struct() -> Column:
         clamp01(s["score"]),
         applicable=F.coalesce(s["n_rows"] > 0, F.lit(False)),
         raw={"score": s["score"]},
-        reason=F.when(s["n_rows"].isNull(), F.lit("no labelled rows")),
+        reason=F.coalesce(s["error"], F.when(s["n_rows"].isNull(), F.lit("no labelled rows"))),
         details={
             "n_features": s["n_features"],
             "n_rows": s["n_rows"],
@@ -501,7 +515,12 @@ def integrity_struct() -> Column:
 
 
 def label_integrity(records: DataFrame, config: SafetyConfig) -> DataFrame:
-    """Proxy results for label integrity, one row per dataset."""
+    """Proxy results for label integrity, one row per dataset.
+
+    A dataset that cannot be scored (one class, too few rows for the folds, an
+    infinite feature) does not apply, with the reason; ``config.integrity.strict``
+    makes it an error once the others are scored.
+    """
     reason = None
     if config.label_column is None or config.label_column not in records.columns:
         reason = "no label column"
@@ -522,6 +541,7 @@ def label_integrity(records: DataFrame, config: SafetyConfig) -> DataFrame:
 def row_suspicion(records: DataFrame, config: SafetyConfig) -> DataFrame:
     """Key columns, code and ``suspicion`` = 1 - P(assigned label) of every labelled row.
 
+    Null in datasets that no models can be fitted to (see ``held_out_probabilities``).
     The most suspicious rows are ``.orderBy(desc("suspicion")).limit(n)``.
     """
     settings = config.integrity
@@ -537,8 +557,7 @@ def row_suspicion(records: DataFrame, config: SafetyConfig) -> DataFrame:
     matrix = build_matrix(
         records, config.label_column, features, config.dataset_column, settings, keys, keep=keys
     )
-    with _naming(features):
-        scored = held_out_probabilities(matrix, len(features), settings.n_splits, settings)
+    scored = held_out_probabilities(matrix, len(features), settings.n_splits, settings, features)
     return scored.select(
         "dataset_id", *keys, "y", "fold", (F.lit(1.0) - F.col("p_assigned")).alias("suspicion")
     )

@@ -189,7 +189,7 @@ def _noise_runs(
         [(name, p, s) for name, (p, s) in grid.items()],
         "dataset_id string, injected_p double, seed int",
     )
-    plain = IntegritySettings(preprocess=False, n_splits=n_splits)
+    plain = IntegritySettings(preprocess=False, n_splits=n_splits, strict=True)
     proxies = held_out_scores(
         drawn.select(ys, F.array(*held).alias("folds"), "x"), width, n_splits, plain, names
     ).select("dataset_id", F.col("score").alias("proxy_noise"))

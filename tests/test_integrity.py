@@ -63,43 +63,114 @@ def test_agrees_with_spark_ml(spark, gaps):
 
 
 @pytest.mark.parametrize("gaps", [False, True])
-def test_wide_models_find_the_same_minimum(spark, monkeypatch, gaps):
+def test_curvature_in_parts_finds_the_same_minimum(spark, monkeypatch, gaps):
     frame = noisy(spark, flip=0.1, gaps=gaps)
     mine = scores(frame, config())["d"]
-    monkeypatch.setattr(fold_models, "NEWTON_PARAMETERS", 1)
+    monkeypatch.setattr(fold_models, "CURVATURE_BLOCK", 1)
     assert scores(frame, config())["d"] == pytest.approx(mine, abs=1e-6)
 
 
 @pytest.mark.parametrize("most", [1, 512])
 def test_too_few_passes_are_recorded_at_any_width(spark, monkeypatch, most):
-    monkeypatch.setattr(fold_models, "NEWTON_PARAMETERS", most)
+    monkeypatch.setattr(fold_models, "CURVATURE_BLOCK", most)
     row = label_integrity(noisy(spark, flip=0.1), config(max_iter=1)).first()
     assert row["details"]["n_unfinished"] == "5" and 0 < row["score"] < 1
     row = label_integrity(noisy(spark, flip=0.1), config()).first()
     assert row["details"]["n_unfinished"] == "0"
 
 
-def test_only_the_wide_dataset_takes_the_wide_steps(spark, monkeypatch):
+def test_narrow_and_wide_datasets_go_together(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [("wide", i, float(a), float(b), i % 7) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
     frame = noisy(spark, "small", flip=0.1).unionByName(spark.createDataFrame(rows, SCHEMA))
     whole = scores(frame, config())
-    monkeypatch.setattr(fold_models, "NEWTON_PARAMETERS", 10)  # 7 classes have 21 parameters
-    assert scores(frame, config()) == pytest.approx(whole, abs=1e-5)
+    for most in (10, 4):  # 7 classes have 21 parameters; blocks end within a class
+        monkeypatch.setattr(fold_models, "CURVATURE_BLOCK", most)
+        assert scores(frame, config()) == pytest.approx(whole, abs=1e-5)
+
+
+def test_the_driver_sees_no_curvature(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    columns = [f"f{i}" for i in range(60)]
+    values = rng.normal(size=(500, 60))
+    label = (values[:, :5].sum(axis=1) + rng.normal(size=500) > 0).astype(int)
+    rows = [("d", i, int(y), *map(float, x)) for i, (y, x) in enumerate(zip(label, values))]
+    names = ", ".join(f"{c} double" for c in columns)
+    frame = spark.createDataFrame(rows, f"dataset_id string, id long, y int, {names}")
+    seen, arrow = [], type(frame).toArrow
+
+    def counted(df):
+        table = arrow(df)
+        seen.append(table.nbytes)
+        return table
+
+    monkeypatch.setattr(type(frame), "toArrow", counted)
+    found = scores(frame, config(feature_columns=tuple(columns)))["d"]
+    assert 0 < found < 0.5
+    assert max(seen) < 5 * 61 * 8 * 20  # the curvature of 5 models is 5 * 61 * 61 * 8
+
+
+def test_blocks_of_curvature_reach_the_minimum_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    columns = [f"f{i}" for i in range(20)]
+    shared = rng.normal(size=(400, 1))
+    values = shared + 0.5 * rng.normal(size=(400, 20))  # correlated across the blocks
+    label = (values[:, 3] - values[:, 17] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    rows = [("d", i, int(y), *map(float, x)) for i, (y, x) in enumerate(zip(label, values))]
+    names = ", ".join(f"{c} double" for c in columns)
+    frame = spark.createDataFrame(rows, f"dataset_id string, id long, y int, {names}")
+    wanted = config(feature_columns=tuple(columns))
+    whole = scores(frame, wanted)["d"]
+    monkeypatch.setattr(fold_models, "CURVATURE_BLOCK", 7)
+    assert scores(frame, wanted)["d"] == pytest.approx(whole, abs=1e-6)
+
+
+def mixed(spark):
+    """Two good datasets among bad ones: too small, of one class, with an infinite feature."""
+    few = spark.createDataFrame([("tiny", i, float(i), 0.0, i % 2) for i in range(4)], SCHEMA)
+    flat = noisy(spark, "flat", n=200).withColumn("y", F.lit(1))
+    endless = noisy(spark, "endless", n=200).withColumn(
+        "x2", F.when(F.col("id") == 3, float("inf")).otherwise(F.col("x2"))
+    )
+    good = noisy(spark, "good"), noisy(spark, "gaps", flip=0.2, gaps=True)
+    frame = good[0]
+    for other in (good[1], few, flat, endless):
+        frame = frame.unionByName(other)
+    return frame, good
 
 
-def test_datasets_too_small_for_the_folds_are_an_error(spark):
-    few = spark.createDataFrame([("tiny", i, float(i), 0.0, i % 2) for i in range(4)], SCHEMA)
-    frame = noisy(spark, "good").unionByName(few)
-    for run in (label_integrity, row_suspicion):
-        with pytest.raises(ValueError, match="tiny"):
-            run(frame, config())
+REASONS = {"tiny": "too small for 5 folds", "flat": "label has a single class", "endless": "infinite value in feature x2"}
+
+
+@pytest.mark.parametrize("waves", [False, True])
+def test_bad_datasets_are_rows_and_the_others_are_scored(spark, monkeypatch, waves):
+    frame, good = mixed(spark)
+    alone = scores(good[0], config()) | scores(good[1], config())
+    if waves:
+        monkeypatch.setattr(integrity, "WAVE_CELLS", 100)
+    found = {r["dataset_id"]: r for r in label_integrity(frame, config()).collect()}
+    assert {d: r["reason"] for d, r in found.items() if not r["applicable"]} == REASONS
+    assert {d: r["score"] for d, r in found.items() if r["applicable"]} == pytest.approx(alone, abs=1e-9)
+    assert all(found[d]["score"] is None or not found[d]["applicable"] for d in REASONS)
+    with pytest.raises(ValueError, match="3 dataset.*endless.*flat.*tiny" if not waves else "cannot be scored"):
+        label_integrity(frame, config(strict=True))
+
+
+def test_rows_of_bad_datasets_have_no_suspicion(spark):
+    frame, _ = mixed(spark)
+    found = row_suspicion(frame, config())
+    null = {r["dataset_id"] for r in found.filter("suspicion IS NULL").collect()}
+    known = {r["dataset_id"] for r in found.filter("suspicion IS NOT NULL").collect()}
+    assert null == set(REASONS) and known == {"good", "gaps"}
+    assert found.count() == frame.count()
+    with pytest.raises(ValueError, match="tiny"):
+        row_suspicion(frame, config(strict=True))
 
 
-def test_infinite_features_are_named(spark):
-    frame = noisy(spark, n=200).withColumn("x2", F.when(F.col("id") == 3, float("inf")).otherwise(F.col("x2")))
-    with pytest.raises(ValueError, match="x2"):
-        label_integrity(frame, config())
+def test_only_bad_datasets(spark):
+    few = spark.createDataFrame([("tiny", i, float(i), 0.0, i % 2) for i in range(4)], SCHEMA)
+    row = label_integrity(few, config()).first()
+    assert not row["applicable"] and row["reason"] == REASONS["tiny"]
 
 
 def test_no_named_features_means_all(spark):
@@ -167,10 +238,10 @@ def test_nan_counts_as_missing(spark):
     assert scores(with_nan, config())["d"] == pytest.approx(scores(frame, config())["d"])
 
 
-def test_single_class_is_an_error_that_names_the_dataset(spark):
+def test_single_class_names_the_dataset(spark):
     frame = noisy(spark, "good").unionByName(noisy(spark, "flat").withColumn("y", F.lit(1)))
     with pytest.raises(ValueError, match="flat"):
-        label_integrity(frame, config())
+        label_integrity(frame, config(strict=True))
 
 
 def test_not_applicable(spark):
@@ -223,23 +294,43 @@ def test_own_probabilities(spark):
     assert row["score"] == pytest.approx(0.25) and row["n_rows"] == 2
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 50, 1001])
-def test_bracketed_medians_are_exact(spark, n):
-    rng = np.random.default_rng(n)
-    rows = [(k, float(v)) for k in "ab" for v in np.round(rng.normal(size=n), 2 if k == "a" else 6)]
-    frame = spark.createDataFrame(rows + [("a", None)], "k string, v double")
-    plain = {r["k"]: r["median"] for r in medians.exact_medians(frame, ["k"], "v").collect()}
-    found = medians.exact_medians(frame, ["k"], "v", bracketed=True).collect()
-    assert {r["k"]: r["median"] for r in found} == pytest.approx(plain)
-    for k in "ab":
-        assert plain[k] == pytest.approx(np.median([v for x, v in rows if x == k]))
+def packed(spark, rows, width):
+    layout = "dataset_id string, y int, fold int, x array<double>"
+    return fold_models.to_blocks(spark.createDataFrame(rows, layout).repartition(3), width)
 
 
-def test_bracketed_medians_are_used_above_the_row_limit(spark, monkeypatch):
-    frame = noisy(spark, n=200, gaps=True)
-    before = scores(frame, config())["d"]
-    monkeypatch.setattr(medians, "MAP_ROWS", 10)
-    assert scores(frame, config())["d"] == pytest.approx(before, abs=1e-12)
+@pytest.mark.parametrize("n", [1, 2, 5, 1000])
+def test_medians_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    odd = [0.0, -0.0, 1e-320, -1e308, 1e308, float("inf"), -float("inf"), 5.0, -5.0]
+    rows = []
+    for d in "ab":
+        for i in range(n):
+            x = [round(float(rng.normal()), 1), float(rng.normal()) * 1e6, float(rng.choice(odd)), None, None]
+            if rng.random() < 0.3:
+                x[0] = None
+            if d == "a" and i == 0:
+                x[4] = 7.0
+            rows.append((d, 0, int(rng.integers(-1, 3)), x))
+    found = medians.block_medians(packed(spark, rows, 5), 5, 3, range(5))
+    want = {}
+    for d in "ab":
+        for i in range(3):
+            for j in range(5):
+                values = [r[3][j] for r in rows if r[0] == d and r[2] != i and r[3][j] is not None]
+                if values:
+                    with np.errstate(invalid="ignore"):
+                        want[(d, i, j)] = float(np.median(values))
+    assert found.keys() == want.keys()
+    for key, value in want.items():
+        assert found[key] == pytest.approx(value, rel=1e-15, nan_ok=True), key
+
+
+def test_order_of_bits_is_that_of_values():
+    values = np.array([-np.inf, -1e308, -1.0, -1e-320, -0.0, 0.0, 1e-320, 1.0, 1e308, np.inf])
+    keys = medians.in_order(values)
+    assert (np.diff(keys.astype(object)) > 0).all()
+    assert (medians.from_order(keys) == values).all()
 
 
 def test_block_buffer_flushes(spark, monkeypatch):

@@ -185,16 +185,6 @@ def test_long_resamples_are_drawn_in_parts(spark, monkeypatch):
     assert parts["ci_low"] == pytest.approx(whole["ci_low"]) and parts["n"] == whole["n"]
 
 
-def test_a_missed_bracket_is_widened(spark, monkeypatch):
-    from perilscope.operators import medians
-
-    monkeypatch.setattr(medians, "_ACCURACY", 2)
-    rows = spark.createDataFrame([(k, float(i * i % 997)) for k in "ab" for i in range(600)], "k string, v double")
-    found = {r["k"]: r["median"] for r in medians.exact_medians(rows, ["k"], "v", bracketed=True).collect()}
-    want = {r["k"]: r["median"] for r in medians.exact_medians(rows, ["k"], "v").collect()}
-    assert found == want
-
-
 def test_broadcasts_are_limited_in_bytes_too(spark, monkeypatch):
     from perilscope.operators import small
 
