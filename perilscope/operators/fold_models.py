@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WAVE_CELLS = 2_000_000
-CURVATURE_BLOCK = 512
+CURVATURE_BLOCK = 64
 #: Past steps that a search keeps for every block beyond the first, and at most.
 _STEPS_A_BLOCK, _STEPS = 5, 10
 
@@ -111,16 +111,20 @@ def _sums(
 def _curvature(z: np.ndarray, p: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """Second derivatives of the loss by the parameters lo..hi-1, which go class by class."""
     width = z.shape[1]
-    parts = [
-        (c, z[:, max(0, lo - c * width) : min(width, hi - c * width)])
-        for c in range(lo // width, (hi - 1) // width + 1)
-    ]
-    return np.block(
-        [
-            [(za * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ zb for b, zb in parts]
-            for a, za in parts
-        ]
-    )
+    parts = []  # class, its first and last column, and where they stand in the block
+    for c in range(lo // width, (hi - 1) // width + 1):
+        first, last = max(0, lo - c * width), min(width, hi - c * width)
+        parts.append((c, first, last, c * width + first - lo, c * width + last - lo))
+    total = np.zeros((hi - lo, hi - lo))
+    if len(parts) > 1:  # between classes
+        for at in range(0, len(z), 4096):
+            some, shares = z[at : at + 4096], p[at : at + 4096]
+            weighed = np.hstack([some[:, f:t] * shares[:, [c]] for c, f, t, _, _ in parts])
+            total -= weighed.T @ weighed
+    for c, f, t, here, there in parts:  # within a class
+        own = z[:, f:t]
+        total[here:there, here:there] = (own * (p[:, c] * (1 - p[:, c]))[:, None]).T @ own
+    return total
 
 
 def _columns(batch: pa.RecordBatch, width: int):
@@ -276,7 +280,7 @@ def block_shape(blocks: DataFrame, width: int) -> DataFrame:
 
 
 _KEYS = ["dataset_id", "key"]
-_SUMS = "dataset_id string, key int, sums array<double>"
+_SUMS = "dataset_id string, key int, sums binary"
 
 
 def _partial_sums(blocks: DataFrame, width: int, shared, vectors: Callable) -> DataFrame:
@@ -297,7 +301,7 @@ def _partial_sums(blocks: DataFrame, width: int, shared, vectors: Callable) -> D
                 [
                     pa.array([name for name, _ in sums], pa.string()),
                     pa.array([key for _, key in sums], pa.int32()),
-                    pa.array(list(sums.values()), pa.list_(pa.float64())),
+                    pa.array([v.tobytes() for v in sums.values()], pa.binary()),
                 ],
                 names=["dataset_id", "key", "sums"],
             )
@@ -312,7 +316,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.nd
     total = None
     for batch in batches:
         for name, key, sums in zip(*(batch.column(c) for c in ("dataset_id", "key", "sums"))):
-            values = sums.values.to_numpy(zero_copy_only=False)
+            values = np.frombuffer(sums.as_buffer())
             if held == (name.as_py(), key.as_py()):
                 total = total + values
                 continue
@@ -330,14 +334,14 @@ def _block_sums(
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, key, total in _totals(batches):
-            columns = [pa.array([name]), pa.array([key], pa.int32()), pa.array([total])]
+            columns = [pa.array([name]), pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["dataset_id", "key", "sums"])
 
     shared = blocks.sparkSession.sparkContext.broadcast(payload)
     total = _partial_sums(blocks, width, shared, vectors).mapInArrow(added, _SUMS).toArrow()
     shared.destroy()
     return {
-        (name.as_py(), key.as_py()): sums.values.to_numpy(zero_copy_only=False)
+        (name.as_py(), key.as_py()): np.frombuffer(sums.as_buffer())
         for name, key, sums in zip(*(total[c] for c in total.column_names))
     }
 

@@ -315,6 +315,55 @@ _CLASSES = 80
 _CONSTANTS = [f"c{i}" for i in range(9)]
 
 
+@query(
+    "label_integrity_mixed",
+    f"""WITH {NOISY_CTE}, {newton_sql(_PASSES)},
+    held AS (SELECT dataset_id, high, 1 / (1 + exp(-(t0 + t1 * z1 + t2 * z2))) AS p
+      FROM z JOIN theta{_PASSES} USING (dataset_id, m) WHERE fold = m),
+    bad AS (
+      SELECT 'flat' AS dataset_id, 1 AS high, count(*) AS n FROM noisy WHERE dataset_id = 'A'
+      UNION ALL
+      SELECT 'tiny', high, count(*) FROM noisy WHERE l_orderkey = 1 AND l_linenumber <= 4 GROUP BY high)
+    SELECT dataset_id, true AS applicable, CAST(NULL AS VARCHAR) AS reason,
+      {sql.r6('avg(1 - CASE WHEN high = 1 THEN p ELSE 1 - p END)')} AS score FROM held GROUP BY 1
+    UNION ALL
+    SELECT dataset_id, false, CASE WHEN count(*) < 2 THEN 'label has a single class'
+        WHEN max(n) < 5 THEN 'too small for 5 folds' END, NULL
+    FROM bad WHERE n > 0 GROUP BY 1""",
+)
+def label_integrity_mixed(spark, folder):
+    """Good datasets beside one of a single class and one too small: these are rows with a reason."""
+    lines = noisy_lines(spark, folder)
+    flat = lines.filter("dataset_id = 'A'").withColumns({"dataset_id": F.lit("flat"), "high": F.lit(1)})
+    tiny = lines.filter("l_orderkey = 1 AND l_linenumber <= 4").withColumn("dataset_id", F.lit("tiny"))
+    config = SafetyConfig(
+        label_column="high", feature_columns=("price", "discount"), key_columns=sql.LINE_KEYS
+    )
+    found = integrity.label_integrity(lines.unionByName(flat).unionByName(tiny), config)
+    return found.select("dataset_id", "applicable", "reason", r6("score").alias("score"))
+
+
+@query("label_integrity_wide", None)
+def label_integrity_wide(spark, folder):
+    """550 parameters a model over features that vary: the curvature comes in several blocks."""
+    lines = table(spark, folder, "lineitem")
+    features = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    rows = lines.select(
+        *_KEYS,
+        F.col("l_returnflag").alias("dataset_id"),
+        (F.floor(F.col("l_extendedprice") / 700) % 110).alias("label"),
+        *[F.col(c).cast("double").alias(c) for c in features],
+    )
+    config = SafetyConfig(label_column="label", feature_columns=features, key_columns=sql.LINE_KEYS)
+    found = integrity.label_integrity(rows, config)
+    return found.select(
+        "dataset_id",
+        F.round("score", 4).alias("score"),
+        F.col("details.n_rows").cast("bigint").alias("n_rows"),
+        F.col("details.n_unfinished").cast("bigint").alias("n_unfinished"),
+    )
+
+
 @query(
     "label_integrity_many_classes",
     f"""WITH rows AS (SELECT l_returnflag AS dataset_id, l_suppkey % {_CLASSES} AS label,
