@@ -254,16 +254,23 @@ def whole_likeness(left: bytes, right: bytes) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _whole_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the different shingle hashes of the whole texts of the nodes ``ids``, as bytes."""
+def _whole_sets(
+    ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, packed: bool = True
+) -> DataFrame:
+    """(node, shingles): the different shingle hashes of the whole texts of the nodes ``ids``.
+
+    As bytes, or unless ``packed`` as an array that needs no Python to be taken apart.
+    """
+    kind = "binary" if packed else "array<bigint>"
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 1000):
+            for start in range(0, len(batch), 250):
                 rows = []
-                for node, text in batch[start : start + 1000].itertuples(index=False):
+                for node, text in batch[start : start + 250].itertuples(index=False):
                     words = words_of(text if isinstance(text, str) else "")
-                    shingles = np.unique(shingle_hashes(words, size)).tobytes()
+                    shingles = np.unique(shingle_hashes(words, size))
+                    shingles = shingles.tobytes() if packed else shingles.view(np.int64)
                     rows.append((node, hashlib.md5(b" ".join(words)).digest(), shingles))
                 yield pd.DataFrame(rows, columns=["node", "digest", "shingles"])
 
@@ -272,7 +279,7 @@ def _whole_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     )
     return settle(
         texts.join(ids, "node", "left_semi")
-        .mapInPandas(whole, "node bigint, digest binary, shingles binary")
+        .mapInPandas(whole, f"node bigint, digest binary, shingles {kind}")
         .join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
         .dropDuplicates(["node", "digest"])
         .select("node", "shingles")
@@ -348,16 +355,7 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     + 1 shingles in common. If the first that they have in common stands at
     place i, at most n - i are: ``reach`` is how large the other set can then be.
     """
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for node, packed in batch.itertuples(index=False):
-                hashes = np.frombuffer(packed, np.int64)
-                for start in range(0, len(hashes), 100_000):
-                    some = hashes[start : start + 100_000]
-                    yield pd.DataFrame({"node": node, "n": len(hashes), "key": some})
-
-    rows = settle(sets.mapInPandas(spread, "node bigint, n bigint, key bigint"))
+    rows = sets.select("node", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("key"))
     often = settle(rows.groupBy("key").count().filter("count > 1"))
     held = (
         rows.join(often, "key")
@@ -481,7 +479,7 @@ def _links_by_prefix(
     reaches furthest, then with another one, then any two in reach that no
     links connect yet.
     """
-    members = _prefixes(_whole_sets(stuck, nodes, docs, size), similarity)
+    members = _prefixes(_whole_sets(stuck, nodes, docs, size, packed=False), similarity)
     for turn in range(STARS + 1):
         placed = _labelled(members, links)
         if turn < STARS:

@@ -135,8 +135,9 @@ def test_the_prefix_filter_finds_every_pair(spark):
     pool = [f"p{i}" for i in range(60)]
     rows = [(i, [rng.choice(pool) for _ in range(rng.randrange(1, 12))] + pool[:40]) for i in range(60)]
     sets = {i: shingles(w) for i, w in rows}
-    packed = [(i, np.unique(simhash.shingle_hashes(simhash.words_of(" ".join(w)), 5)).tobytes()) for i, w in rows]
-    kept = simhash._prefixes(spark.createDataFrame(packed, "node bigint, shingles binary"), 0.8)
+    hashes = lambda w: np.unique(simhash.shingle_hashes(simhash.words_of(" ".join(w)), 5))
+    listed = [(i, hashes(w).view(np.int64).tolist()) for i, w in rows]
+    kept = simhash._prefixes(spark.createDataFrame(listed, "node bigint, shingles array<bigint>"), 0.8)
     for block in (256, 3):
         found = simhash._unlike_in_reach(kept.withColumn("label", kept.node), block)
         found = {tuple(r) for r in found.collect()}
