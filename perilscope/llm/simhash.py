@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -263,23 +264,36 @@ def _whole_sets(
     """
     kind = "binary" if packed else "array<bigint>"
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are taken one by one; a batch goes out at a megabyte of hashes."""
+
+        def columns() -> pa.RecordBatch:
+            shingles = pa.array([h.tobytes() if packed else h.view(np.int64) for h in sets], kind)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), shingles],
+                names=["node", "digest", "shingles"],
+            )
+
+        kind = pa.binary() if packed else pa.list_(pa.int64())
+        ids, digests, sets = [], [], []
         for batch in batches:
-            for start in range(0, len(batch), 250):
-                rows = []
-                for node, text in batch[start : start + 250].itertuples(index=False):
-                    words = words_of(text if isinstance(text, str) else "")
-                    shingles = np.unique(shingle_hashes(words, size))
-                    shingles = shingles.tobytes() if packed else shingles.view(np.int64)
-                    rows.append((node, hashlib.md5(b" ".join(words)).digest(), shingles))
-                yield pd.DataFrame(rows, columns=["node", "digest", "shingles"])
+            for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
+                words = words_of(text.as_py() or "")
+                ids.append(node.as_py())
+                digests.append(hashlib.md5(b" ".join(words)).digest())
+                sets.append(np.unique(shingle_hashes(words, size)))
+                if sum(map(len, sets)) >= 1 << 17 or len(sets) >= 250:
+                    yield columns()
+                    ids, digests, sets = [], [], []
+        if ids:
+            yield columns()
 
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")
     )
     return settle(
         texts.join(ids, "node", "left_semi")
-        .mapInPandas(whole, f"node bigint, digest binary, shingles {kind}")
+        .mapInArrow(whole, f"node bigint, digest binary, shingles {kind}")
         .join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
         .dropDuplicates(["node", "digest"])
         .select("node", "shingles")
