@@ -19,7 +19,12 @@ from perilscope.operators.mixing import dose_mix
 from perilscope.operators.models import boosted_tree_scores, logistic_scores
 from perilscope.operators.text_harm import flag_texts
 from perilscope.session import cut_lineage
-from perilscope.sources.measurements import append_measurements, finished_runs, pending_runs
+from perilscope.sources.measurements import (
+    append_measurements,
+    finished_runs,
+    pending_runs,
+    read_runs,
+)
 
 TEXT_DOSES = (0.0, 0.025, 0.05, 0.1, 0.2, 0.4)
 NOISE_DOSES = (0.0, 0.05, 0.1, 0.2, 0.4)
@@ -55,14 +60,14 @@ def _through_sink(
 ) -> DataFrame:
     """Measure what the sink lacks, a dose at a time, appending each; then all that was asked for.
 
-    A run that was cut off before its append leaves nothing behind.
+    A run that was cut off before its commit is measured again, and stands there once.
     """
     for dose, open_ in _pending(spark, sink, doses, seeds, len(models)).items():
         rows = pending_runs(measure([dose], open_), *sink, ["injected_p", "seed", "model"])
         append_measurements(rows, *sink)
     wanted = [(round(float(p) * 1e9), int(s), m) for p in doses for s in seeds for m in models]
     grid = spark.createDataFrame(wanted, "_dose bigint, seed int, model string")
-    rows = spark.read.parquet(sink[0]).filter(F.col("arm") == sink[1]).drop("arm")
+    rows = read_runs(spark, *sink)
     keyed = rows.withColumn("_dose", F.bround(F.col("injected_p") * 1e9, 0).cast("bigint"))
     return keyed.join(F.broadcast(grid), ["_dose", "seed", "model"], "left_semi").drop("_dose")
 

@@ -49,8 +49,29 @@ def slice_name(prefix: str = "mix"):
 
 
 def append_measurements(rows: DataFrame, path: str, arm: str) -> None:
-    """Append finished runs under ``arm=…``; earlier runs are never rewritten."""
-    rows.withColumn("arm", F.lit(arm)).write.mode("append").partitionBy("arm").parquet(path)
+    """Commit finished runs under ``arm=…/run=…``, a partition for each run.
+
+    Partitions that the rows name are replaced, all others stay. So an attempt
+    that is repeated, wholly or from where it was killed, leaves every run once.
+    Runs are named by dose, seed and, where there is one, model.
+    """
+    run = slice_name("run")
+    if "model" in rows.columns:
+        run = F.concat(run, F.lit("_"), F.coalesce(F.col("model").cast("string"), F.lit("")))
+    named = rows.withColumn("arm", F.lit(arm)).withColumn("run", F.coalesce(run, F.lit("run")))
+    (
+        # Rows of a run in one file; there is a row or so to each.
+        named.repartition("run")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("arm", "run")
+        .parquet(path)
+    )
+
+
+def read_runs(spark: SparkSession, path: str, arm: str) -> DataFrame:
+    """The committed rows of an arm, as they were given."""
+    return spark.read.parquet(path).filter(F.col("arm") == arm).drop("arm", "run")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

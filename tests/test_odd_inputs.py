@@ -1,5 +1,6 @@
 """Inputs that once gave wrong or partial answers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,43 @@ def test_poisson_bootstrap_is_close_to_the_plain_one(spark):
         bootstrap_correlation(rows, "x", "y", ["id"], method="normal")
 
 
+def test_poisson_weights_are_poisson():
+    from perilscope.operators.statistics import poisson_weights
+
+    keys = np.random.default_rng(0).integers(0, 2**63, 4000).astype(np.uint64)
+    weights = poisson_weights(keys, np.arange(50))
+    assert weights.mean() == pytest.approx(1, abs=0.01) and weights.var() == pytest.approx(1, abs=0.02)
+    assert (weights == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
+    assert abs(np.corrcoef(weights, rowvar=False) - np.eye(50)).max() < 0.08
+    assert (poisson_weights(keys[:5], np.arange(7, 9)) == weights[:5, 7:9]).all()
+
+
+def test_poisson_resamples_against_plain_sums(spark, monkeypatch):
+    """Many series, one without a name, sums handed on early and in chunks: as point by point."""
+    import hashlib
+
+    from perilscope.operators import statistics
+
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i % 5}" if i % 5 else None, i, float(rng.normal()), float(rng.normal())) for i in range(200)]
+    frame = spark.createDataFrame(rows, "s string, id int, x double, y double").repartition(3)
+    centre = lambda v: v - v.mean()
+    want = {}
+    for name in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == name]
+        text = [f"3|{name or ''}|{r[1]}" for r in mine]
+        keys = np.array([int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in text], np.uint64)
+        x, y = centre(np.array([r[2] for r in mine])), centre(np.array([r[3] for r in mine]))
+        for rep, w in enumerate(statistics.poisson_weights(keys, np.arange(20)).T):
+            want[name, rep] = np.corrcoef(np.repeat(x, w.astype(int)), np.repeat(y, w.astype(int)))[0, 1]
+    monkeypatch.setattr(statistics, "_REPLICATES", 6)
+    for held in (1 << 20, 1):
+        monkeypatch.setattr(statistics, "_HELD_BYTES", held)
+        found = statistics._poisson_resamples(frame.withColumnsRenamed({"x": "_x", "y": "_y"}), ["id"], ["s"], 20, 3)
+        got = {(r["s"], r["_rep"]): r["_r"] for r in found.collect()}
+        assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-9)
+
+
 def test_long_resamples_are_drawn_in_parts(spark, monkeypatch):
     from perilscope.operators import statistics
 

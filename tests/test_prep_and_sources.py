@@ -18,6 +18,7 @@ from perilscope.sources.measurements import (
     append_measurements,
     export_csv,
     pending_runs,
+    read_runs,
     read_measurements,
     slice_keys,
     slice_name,
@@ -108,6 +109,22 @@ def test_sink_resumes(spark, tmp_path):
     assert spark.read.parquet(path).filter("arm = 'text'").count() == 4
 
 
+def test_sink_keeps_every_run_once(spark, tmp_path):
+    """A killed commit leaves some runs behind; its repetition and other arms change no other run."""
+    path = str(tmp_path / "measurements")
+    rows = spark.createDataFrame(
+        [(p, s, m, p + s) for p in (0.0, 0.1) for s in (0, 1) for m in ("a/b", "c", None)],
+        "injected_p double, seed int, model string, v double",
+    )
+    append_measurements(rows.filter("seed = 0"), path, "x")
+    append_measurements(rows.filter("seed = 0 AND injected_p = 0.1").withColumn("v", F.lit(9.0)), path, "y")
+    append_measurements(rows.withColumn("v", F.col("v") + 1), path, "x")
+    found = read_runs(spark, path, "x")
+    assert found.columns == rows.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.withColumn("v", F.col("v") + 1).collect()))
+    assert {r["v"] for r in read_runs(spark, path, "y").collect()} == {9.0}
+
+
 def test_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "outcome")
     rows = spark.createDataFrame([(0.025, 3, 0.5, 0.25, 139.2)], TEXT_OUTCOME)

@@ -24,13 +24,14 @@ from perilscope.operators.statistics import (
     sign_verdict,
 )
 from perilscope.plans import reports
-from perilscope.session import checkpoint_folder
+from perilscope.session import checkpoint_folder, cut_lineage
 from perilscope.sources.measurements import (
     TEXT_CALIBRATION,
     append_measurements,
     export_csv,
     pending_runs,
     read_measurements,
+    read_runs,
     slice_keys,
     slice_name,
 )
@@ -194,6 +195,35 @@ def bootstrap_ci(spark, folder):
     )
 
 
+#: Rounds over a long series; every one of them weighs every order line.
+_LONG_ROUNDS = 200
+_LINE_SERIES = """series AS (SELECT l_returnflag AS outcome, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+      l_quantity::DOUBLE AS density, l_discount::DOUBLE * l_quantity::DOUBLE AS value FROM lineitem)"""
+
+
+@query(
+    "bootstrap_long_series",
+    f"""WITH {_LINE_SERIES}, {sql.poisson_cte(_LONG_ROUNDS, *sql.LINE_KEYS)}
+    SELECT outcome, {sql.r6('r')} AS r, {sql.r6('lo')} AS ci_low, {sql.r6('hi')} AS ci_high, n,
+      reps::BIGINT AS n_replicates FROM obs JOIN ci USING (outcome)""",
+)
+def bootstrap_long_series(spark, folder):
+    """Poisson resamples of all order lines: quantity against the discount's worth."""
+    quantity = F.col("l_quantity").cast("double")
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("outcome"),
+        *sql.LINE_KEYS,
+        quantity.alias("density"),
+        (F.col("l_discount").cast("double") * quantity).alias("value"),
+    )
+    found = bootstrap_correlation(
+        lines, "density", "value", sql.LINE_KEYS, ["outcome"], _LONG_ROUNDS, method="poisson"
+    )
+    return found.select(
+        "outcome", *[r6(c).alias(c) for c in ("r", "ci_low", "ci_high")], "n", "n_replicates"
+    )
+
+
 @query(
     "ci_verdict",
     f"""WITH {_M}, {sql.bootstrap_cte(_BOOTSTRAP_ROUNDS)}
@@ -304,6 +334,32 @@ def resume_runs(spark, folder):
     return left.unionByName(done).select(*keys, "pending", r6("density").alias("density"))
 
 
+@query(
+    "resume_study",
+    f"""WITH {_M} SELECT injected_p, seed::INT AS seed, {sql.r6('density')} AS density,
+      {sql.r6('harm_rate')} AS harm_rate, CASE WHEN seed < 3 THEN 1 ELSE 2 END AS attempt,
+      1::BIGINT AS n_rows FROM measured""",
+)
+def resume_study(spark, folder):
+    """A study killed after three seeds, one commit of it repeated, then run to its end.
+
+    Every run carries the attempt that measured it: the second one measures
+    what the first has not finished, and nothing else.
+    """
+    sink = (f"{checkpoint_folder(spark)}/study-{uuid4().hex}", "text")
+    first = sql.MIX_SEEDS[:3]
+    mix_measurements(spark, folder, first, sink, attempt=1)
+    repeated = read_runs(spark, *sink).filter(F.col("seed") == first[0])
+    append_measurements(cut_lineage(repeated), *sink)
+    found = mix_measurements(spark, folder, sql.MIX_SEEDS, sink, attempt=2)
+    return found.groupBy("injected_p", "seed").agg(
+        r6(F.max("density")).alias("density"),
+        r6(F.max("harm_rate")).alias("harm_rate"),
+        F.max("attempt").cast("int").alias("attempt"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+
+
 def _calibration(spark, folder):
     return mix_measurements(spark, folder).select(
         "injected_p", "seed", F.col("density").alias("harm_content_density")

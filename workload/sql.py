@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 AS_OF = "2024-06-01"
 TERMS = ("license", "token")
 LANGUAGES = ("en", "de", "fr", "es", "it")
@@ -216,3 +218,39 @@ def bootstrap_cte(rounds: int, keys=("injected_p", "seed")) -> str:
     ci AS (SELECT outcome, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi,
       count(r) AS reps FROM rs WHERE r IS NOT NULL GROUP BY 1),
     obs AS (SELECT outcome, {pearson('density', 'value')} AS r, count(*) AS n FROM series GROUP BY 1)"""
+
+
+def poisson_cte(rounds: int, *keys: str) -> str:
+    """``obs`` and ``ci`` of every outcome in ``series``, resampled by Poisson(1) weights.
+
+    A weight counts the steps of the distribution that a 64-bit draw reaches;
+    the draw is the splitmix64 finaliser of the point's md5 and the round.
+    """
+    steps, total, term = [], 0.0, math.exp(-1.0)
+    for k in range(12):
+        total += term
+        term /= k + 1
+        steps.append(f"(z >= {int(total * 2**64)}::UBIGINT)::INT")
+
+    def mixed(z: str, shift: int, factor: int) -> str:
+        return f"((xor({z}, {z} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {2**64}::UHUGEINT)::UBIGINT"
+
+    text = f"concat_ws('|', {', '.join(['0', 'outcome', *keys])})"
+    return f"""
+    points AS (SELECT outcome, density, value,
+      ('0x' || substr(md5({text}), 1, 16))::UBIGINT AS h FROM series),
+    z0 AS (SELECT outcome, density, value, rep,
+      ((h::UHUGEINT + (rep + 1)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % {2**64}::UHUGEINT)::UBIGINT AS z
+      FROM points CROSS JOIN (SELECT unnest(range({rounds})) AS rep)),
+    z1 AS (SELECT * REPLACE ({mixed('z', 30, 0xBF58476D1CE4E5B9)} AS z) FROM z0),
+    z2 AS (SELECT * REPLACE ({mixed('z', 27, 0x94D049BB133111EB)} AS z) FROM z1),
+    z3 AS (SELECT * REPLACE (xor(z, z >> 31) AS z) FROM z2),
+    ws AS (SELECT outcome, rep, density - avg(density) OVER (PARTITION BY outcome) AS x,
+      value - avg(value) OVER (PARTITION BY outcome) AS y, {' + '.join(steps)} AS w FROM z3),
+    ms AS (SELECT outcome, rep, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my,
+      sum(w * x * x) / sum(w) AS xx, sum(w * y * y) / sum(w) AS yy, sum(w * x * y) / sum(w) AS xy
+      FROM ws GROUP BY 1, 2),
+    ci AS (SELECT outcome, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, count(r) AS reps
+      FROM (SELECT outcome, (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS r FROM ms)
+      GROUP BY 1),
+    obs AS (SELECT outcome, {pearson('density', 'value')} AS r, count(*) AS n FROM series GROUP BY 1)"""

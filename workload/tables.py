@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,8 +94,18 @@ def mix_rows(spark: SparkSession, folder: str) -> int:
     return table(spark, folder, "labels").count() // sql.MIX_SHARE
 
 
-def mix_measurements(spark: SparkSession, folder: str) -> DataFrame:
-    """(injected_p, seed, density, harm_rate, mean_length) of every mix of labelled documents."""
+def mix_measurements(
+    spark: SparkSession,
+    folder: str,
+    seeds: Sequence[int] = sql.MIX_SEEDS,
+    sink: tuple[str, str] | None = None,
+    attempt: int | None = None,
+) -> DataFrame:
+    """(injected_p, seed, density, harm_rate, mean_length) of every mix of labelled documents.
+
+    With an ``attempt`` every mix also says which attempt measured it.
+    """
+    marks = {} if attempt is None else {"attempt": F.lit(attempt)}
     docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
     pool = labelled_pool(spark, folder).join(docs, "doc_id")
     return text_calibration(
@@ -102,12 +114,14 @@ def mix_measurements(spark: SparkSession, folder: str) -> DataFrame:
         "label",
         ["doc_id"],
         sql.MIX_DOSES,
-        sql.MIX_SEEDS,
+        seeds,
         mix_rows(spark, folder),
         outcomes={
             "harm_rate": 1 - F.col("quality"),
             "mean_length": F.col("n_chars") / 1000,
+            **marks,
         },
+        sink=sink,
     ).withColumnRenamed("harm_content_density", "density")
 
 
