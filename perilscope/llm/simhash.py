@@ -248,33 +248,25 @@ def verdict(left: bytes, right: bytes, similarity: float) -> bool | None:
     return found >= similarity
 
 
-def whole_likeness(left: bytes, right: bytes) -> float:
-    """Jaccard similarity of two whole sets of 64-bit hashes."""
-    a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def _shared(left: Column, right: Column) -> Column:
+    """Jaccard similarity of two whole sets of hashes, as arrays without repeats."""
+    both = F.size(F.array_intersect(left, right))
+    return both / F.greatest(F.lit(1), F.size(left) + F.size(right) - both)
 
 
-def _whole_sets(
-    ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, packed: bool = True
-) -> DataFrame:
-    """(node, shingles): the different shingle hashes of the whole texts of the nodes ``ids``.
-
-    As bytes, or unless ``packed`` as an array that needs no Python to be taken apart.
-    """
-    kind = "binary" if packed else "array<bigint>"
+def _whole_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the different shingle hashes of the whole texts of the nodes ``ids``."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts are taken one by one; a batch goes out at a megabyte of hashes."""
 
         def columns() -> pa.RecordBatch:
-            shingles = pa.array([h.tobytes() if packed else h.view(np.int64) for h in sets], kind)
+            shingles = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), shingles],
                 names=["node", "digest", "shingles"],
             )
 
-        kind = pa.binary() if packed else pa.list_(pa.int64())
         ids, digests, sets = [], [], []
         for batch in batches:
             for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
@@ -293,7 +285,7 @@ def _whole_sets(
     )
     return settle(
         texts.join(ids, "node", "left_semi")
-        .mapInArrow(whole, f"node bigint, digest binary, shingles {kind}")
+        .mapInArrow(whole, "node bigint, digest binary, shingles array<bigint>")
         .join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
         .dropDuplicates(["node", "digest"])
         .select("node", "shingles")
@@ -310,11 +302,6 @@ def _judged(
         both = zip(left, right, strict=True)
         return pd.Series([verdict(a, b, similarity) for a, b in both], dtype=object)
 
-    @F.pandas_udf("double")
-    def by_set(left: pd.Series, right: pd.Series) -> pd.Series:
-        both = zip(left, right, strict=True)
-        return pd.Series([whole_likeness(a, b) for a, b in both], dtype=float)
-
     sketches = nodes.select("node", "sketch")
     seen = settle(
         pairs.join(sketches.toDF("a", "left"), "a")
@@ -327,7 +314,7 @@ def _judged(
     exact = (
         doubt.join(sets.toDF("a", "left"), "a")
         .join(sets.toDF("b", "right"), "b")
-        .filter(by_set("left", "right") >= similarity)
+        .filter(_shared(F.col("left"), F.col("right")) >= similarity)
         .select("a", "b")
     )
     return settle(sure.union(exact).distinct())
@@ -493,7 +480,7 @@ def _links_by_prefix(
     reaches furthest, then with another one, then any two in reach that no
     links connect yet.
     """
-    members = _prefixes(_whole_sets(stuck, nodes, docs, size, packed=False), similarity)
+    members = _prefixes(_whole_sets(stuck, nodes, docs, size), similarity)
     for turn in range(STARS + 1):
         placed = _labelled(members, links)
         if turn < STARS:
@@ -528,16 +515,23 @@ def near_duplicate_groups(
     yet go through an exact prefix filter on their whole shingle sets.
     """
 
-    @F.pandas_udf("digest binary, prints array<bigint>, sketch binary")
-    def described(texts: pd.Series) -> pd.DataFrame:
-        found = [describe(t if isinstance(t, str) else "", size, bands, rows) for t in texts]
-        return pd.DataFrame(found, columns=["digest", "prints", "sketch"])
+    kinds = {"digest": pa.binary(), "prints": pa.list_(pa.int64()), "sketch": pa.binary()}
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are taken one by one, and 500 go out at a time."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [describe(t.as_py() or "", size, bands, rows) for t in part.column("text")]
+                columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *columns], names=["doc_id", *kinds]
+                )
 
     marked = settle(
         docs.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"),
-            described(F.col("text").cast("string")).alias("d"),
-        ).select("doc_id", "d.*")
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+        ).mapInArrow(described, "doc_id bigint, digest binary, prints array<bigint>, sketch binary")
     )
     nodes = settle(
         marked.filter("doc_id IS NOT NULL")
