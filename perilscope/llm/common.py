@@ -30,6 +30,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python ``rows`` at a time, unless the session has a setting of its own.
+
+    Spark's default is 10,000 rows, whatever their length; a batch of whole
+    texts is held more than once in the executor and again in Python.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(rows))
+
+
 def slices_for(rows: int, per_slice: int = 1000, most: int = 10_000) -> int:
     """Hash-range slices that each group is cut into.
 
