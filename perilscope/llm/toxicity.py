@@ -128,15 +128,19 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _best_cut(raw: np.ndarray, labels: np.ndarray) -> float:
-    """The value from which on predicting toxic gives the best F1, half way to the next below."""
+def _best_cut(raw: np.ndarray, labels: np.ndarray) -> float | None:
+    """The value from which on predicting toxic gives the best F1, half way to the next below.
+
+    None where that is every row: then no value tells the two apart.
+    """
     order = np.argsort(-raw, kind="stable")
     values, hits = raw[order], labels[order].cumsum()
     ends = np.flatnonzero(np.append(values[1:] != values[:-1], True))  # equal values go together
     f1 = 2 * hits[ends] / (ends + 1 + labels.sum())
     at = ends[int(f1.argmax())]
-    below = values[at + 1] if at + 1 < len(values) else values[at] - 1.0
-    return float(values[at] + below) / 2
+    if at + 1 == len(values):
+        return None
+    return float(values[at] + values[at + 1]) / 2
 
 
 def _contexts(texts: list[np.ndarray], size: int) -> np.ndarray:
@@ -225,9 +229,11 @@ def train(
         return Model(plain, special, lead, constant)
     rows = np.stack([_counts([names[n] for n in ids[i]], savings) for i in fitted])
     weights = _logistic(rows, labels[fitted])
-    # the calibrated cut is where a score reaches the threshold of a prediction
+    # the calibrated cut is where a score reaches the threshold of a prediction; without one
+    # the fitted chances stay, which are the share of toxic texts where nothing was saved
     cut = _best_cut(rows @ weights, labels[fitted])
-    weights[-1] += math.log(PREDICT_FROM / (1 - PREDICT_FROM)) - cut
+    if cut is not None:
+        weights[-1] += math.log(PREDICT_FROM / (1 - PREDICT_FROM)) - cut
     return Model(plain, special, lead, weights)
 
 
@@ -262,7 +268,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
     Null and empty texts save nothing and get the calibrated chance of that.
     Without labels every score is a half; with one label only, about that
-    label. Repeated rows are scored each; other columns are not read.
+    label; where no words tell the labels apart, about the share of toxic
+    texts. Repeated rows are scored each; other columns are not read.
     """
     model = fit_toxicity(docs, labels, rows)
     scored = docs.select("doc_id", held_out().alias("held_out"), toxicity_score(model).alias("score"))

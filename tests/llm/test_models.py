@@ -86,6 +86,19 @@ def test_toxicity_without_both_labels():
     assert toxicity.scores(model, pd.Series(["any"]), savings)[0] < 0.01
 
 
+def test_toxicity_where_nothing_tells_the_labels_apart():
+    rng = random.Random(5)
+    words = [a + b for a in "bdfgklmnprst" for b in ("ora", "ine", "ule")]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(1000)]
+    labels = np.array([float(i % 5 == 0) for i in range(1000)])
+    model = toxicity.train(texts, labels, np.random.default_rng(0).random(1000))
+    savings = toxicity.Savings(model.ordinary, model.toxic, model.lead)
+    found = toxicity.scores(model, pd.Series([*texts[:100], "", None]), savings)
+    assert (found < 0.5).all() and found.mean() == pytest.approx(0.2, abs=0.08)
+    assert toxicity._best_cut(np.zeros(4), np.array([1.0, 0, 0, 1])) is None
+    assert toxicity._best_cut(np.array([3.0, 1, 0, 2]), np.array([1.0, 0, 0, 1])) == 1.5
+
+
 def test_score_columns_and_odd_rows(spark, make_docs):
     texts, labels = texts_with_insults(600, 3)
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (None, "x"), (0, texts[0])]
