@@ -37,3 +37,40 @@ def uniform_int(n: int | Column, seed, *keys: str | Column) -> Column:
     """A whole number in 0..n-1."""
     bound = n if isinstance(n, Column) else F.lit(n)
     return F.floor(uniform(seed, *keys) * bound).cast("bigint")
+
+
+#: Rounds of a permutation; twice the bits of the largest size in sight and more.
+ROUNDS = 64
+# A prime below 2^31, so that products of two remainders fit a bigint.
+_PRIME = 2147483647
+
+
+def order_keys(seed, *tags: str | Column) -> Column:
+    """The round keys of one permutation, for ``permuted``: work them out once per order."""
+
+    def key(round_: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", *[_text(p) for p in (seed, *tags)], round_).cast("binary"))
+
+        def part(start: int, digits: int) -> Column:
+            return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
+
+        return F.struct(part(1, 13).alias("k"), part(14, 7).alias("a"), (part(21, 7) + 1).alias("b"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), key)
+
+
+def permuted(position: Column, size: Column, keys: Column) -> Column:
+    """Where a seeded permutation of 0..size-1 puts ``position``; arithmetic only, for any size.
+
+    Every round is a swap-or-not step: a position and its mirror image about
+    the round's key change places or both stay, by a bit that they share. So
+    each round, and all of them together, hit every position once.
+    """
+
+    def step(x: Column, key: Column) -> Column:
+        mirror = (key["k"] % size + size - x) % size
+        mixed = (F.greatest(x, mirror) % _PRIME + key["a"]) % _PRIME * key["b"] % _PRIME
+        mixed = mixed.bitwiseXOR(F.shiftright(mixed, 13)) * F.lit(48271) % _PRIME
+        return F.when(F.shiftright(mixed, 9) % 2 == 1, mirror).otherwise(x)
+
+    return F.aggregate(keys, position.cast("bigint"), step)

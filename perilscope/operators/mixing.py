@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilscope.functions.draws import uniform, uniform_int
+from perilscope.functions.draws import order_keys, permuted, uniform, uniform_int
 from perilscope.operators.sampling import draw_ranks
 from perilscope.session import partitions_for
 
@@ -46,6 +46,29 @@ def _need_structs(needs: Sequence[tuple[float, int, int]], label: str) -> Column
     return F.when(F.col(label) == 1, pairs(1)).otherwise(pairs(0))
 
 
+def _picks(spark: SparkSession, wanted: Sequence[tuple]) -> DataFrame:
+    """(_dose, code, seed, draw_no, draw_rank): the pool numbers that mixes take.
+
+    ``wanted`` holds (dose, label, records, pool size, seed). Without a dose the
+    numbers are the first of a permutation, for all doses; else independent draws.
+    """
+    grid = spark.createDataFrame(
+        wanted, "_dose double, code int, need bigint, pool bigint, seed int"
+    )
+    total = sum(n for _, _, n, _, _ in wanted)
+    numbered = (
+        grid.withColumn("_keys", order_keys(F.col("seed"), F.col("code")))
+        .withColumn("_from", F.explode(F.sequence(F.lit(1), "need", F.lit(_CHUNK))))
+        .repartition(partitions_for(spark, total))
+        .withColumn("_to", F.least(F.col("_from") + F.lit(_CHUNK - 1), "need"))
+        .withColumn("draw_no", F.explode(F.sequence("_from", "_to")))
+    )
+    at = F.when(
+        F.col("_dose").isNull(), permuted(F.col("draw_no") - 1, F.col("pool"), F.col("_keys"))
+    ).otherwise(uniform_int(F.col("pool"), F.col("seed"), "code", "draw_no"))
+    return numbered.select("_dose", "code", "seed", "draw_no", (at + 1).alias("draw_rank"))
+
+
 def dose_mix(
     pool: DataFrame,
     label: str,
@@ -60,8 +83,12 @@ def dose_mix(
     label 0. All doses of a seed share one ranking, so smaller doses nest in
     larger ones. Where a mix needs more records than a label has, that part of
     the mix is drawn with replacement. ``mix_order`` shuffles each mix; sort by
-    it only when the order itself is wanted. The pool is read more than once,
-    so it should be narrow.
+    it only when the order itself is wanted.
+
+    The pool is numbered once, whatever the number of seeds; which numbers a
+    mix takes is arithmetic (a seeded permutation, or draws), so only the
+    records that mixes take are multiplied. The pool is read twice, so it
+    should be narrow.
     """
     needs = _needs(doses, rows_per_slice)
     two = pool.filter(F.col(label).isin(0, 1))
@@ -71,50 +98,24 @@ def dose_mix(
     empty = {n[1] for n in needs if n[2] > 0 and not sizes.get(n[1], 0)}
     if empty:
         raise ValueError(f"no records with label {sorted(empty)} to draw from")
-
-    def deepest(code: int) -> int:
-        """Ranks needed: the largest plain need, or the whole pool to draw from with replacement."""
-        if any(n[1] == code for n in short):
-            return sizes[code]
-        return max((n[2] for n in plain if n[1] == code), default=0)
-
-    keep = F.when(F.col(label) == 1, F.lit(deepest(1))).otherwise(F.lit(deepest(0)))
-    all_seeds = F.array(*[F.lit(int(s)) for s in seeds])
-    drawn = two.withColumn("seed", F.explode(all_seeds)).withColumn(
-        "_draw", uniform(F.col("seed"), *keys)
+    deepest = [(None, code, max((n[2] for n in plain if n[1] == code), default=0)) for code in (0, 1)]
+    wanted = [
+        (p, code, n, sizes[code], int(s)) for p, code, n in deepest + short if n for s in seeds
+    ]
+    picks = _picks(pool.sparkSession, wanted).withColumn(
+        label, F.col("code").cast(pool.schema[label].dataType)
     )
-    ranked = draw_ranks(drawn, "_draw", keys, ("seed", label), keep=keep).drop("_draw")
-    mixed = (
-        ranked.withColumn("_w", F.explode(_need_structs(plain, label)))
-        .filter(F.col("draw_rank") <= F.col("_w.need"))
-        .select("_w.injected_p", "seed", F.col("draw_rank").alias("draw_no"), *pool.columns)
+    drawn = two.withColumn("_draw", uniform("pool", *keys))
+    indexed = draw_ranks(drawn, "_draw", keys, (label,)).drop("_draw")
+    mixed = picks.drop("code").join(indexed, [label, "draw_rank"])
+    serves = F.filter(_need_structs(plain, label), lambda w: F.col("draw_no") <= w["need"])
+    own = F.col("_dose")
+    into = F.when(own.isNotNull(), F.array(own)).otherwise(
+        F.transform(serves, lambda w: w["injected_p"])
     )
-    if short:
-        total = len(seeds) * sum(n for _, _, n in short)
-        grid = pool.sparkSession.createDataFrame(
-            [(p, code, n, sizes[code], int(s)) for p, code, n in short for s in seeds],
-            "injected_p double, code int, need bigint, pool bigint, seed int",
-        )
-        picks = (
-            grid.withColumn("_from", F.explode(F.sequence(F.lit(1), "need", F.lit(_CHUNK))))
-            .repartition(partitions_for(pool.sparkSession, total))
-            .withColumn("_to", F.least(F.col("_from") + F.lit(_CHUNK - 1), "need"))
-            .withColumn("draw_no", F.explode(F.sequence("_from", "_to")))
-            .select(
-                "injected_p",
-                "seed",
-                F.col("code").cast(pool.schema[label].dataType).alias(label),
-                "draw_no",
-                (uniform_int(F.col("pool"), F.col("seed"), "code", "draw_no") + 1).alias(
-                    "draw_rank"
-                ),
-            )
-        )
-        again = picks.join(ranked, ["seed", label, "draw_rank"]).select(
-            "injected_p", "seed", "draw_no", *pool.columns
-        )
-        mixed = mixed.unionByName(again)
-    return mixed.withColumn("mix_order", uniform("mix", "seed", *keys, "draw_no"))
+    return mixed.select(
+        F.explode(into).alias("injected_p"), "seed", "draw_no", *pool.columns
+    ).withColumn("mix_order", uniform("mix", "seed", *keys, "draw_no"))
 
 
 def flip_labels(

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from perilscope.functions.draws import uniform, uniform_int
+from perilscope.functions.draws import order_keys, permuted, uniform, uniform_int
 from perilscope.operators import small
 from perilscope.operators.mixing import binarise_at, binarise_equal, dose_mix, flip_labels
 from perilscope.operators.sampling import (
@@ -120,6 +120,32 @@ def test_mix_sizes_nesting_and_seeds(spark):
     assert toxic(0.25, 0) != toxic(0.25, 1)
 
 
+def test_permutation_hits_every_position_once_and_spreads(spark):
+    sizes = [1, 2, 3, 7, 64, 1000]
+    rows = spark.createDataFrame([(n, s) for n in sizes for s in range(40)], "n long, s int")
+    keyed = rows.withColumn("k", order_keys(F.col("s"), F.lit(1))).repartition(4)
+    at = keyed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    found = {}
+    for r in at.select("n", "s", "i", permuted(F.col("i"), F.col("n"), F.col("k")).alias("to")).collect():
+        found.setdefault((r.n, r.s), {})[r.i] = r.to
+    for (n, _), places in found.items():
+        assert sorted(places.values()) == list(range(n)) and len(places) == n
+    # where a position goes, and how far apart neighbours go, looks like chance
+    deciles, steps = [0] * 10, [0] * 10
+    for s in range(40):
+        places = found[(1000, s)]
+        for i in range(0, 1000, 5):
+            deciles[places[i] // 100] += 1
+            steps[(places[i + 1] - places[i]) % 1000 // 100] += 1
+        assert 50 < sum(places[i] < 500 for i in range(150)) < 100
+    for counts in (deciles, steps):
+        assert sum((c - 800) ** 2 / 800 for c in counts) < 28  # chi-square, 9 degrees, p = 0.001
+    assert len({tuple(found[(64, s)].values()) for s in range(40)}) == 40
+    far = rows.limit(1).select(F.lit(3 * 10**12).alias("n"), order_keys(9).alias("k")).repartition(1)
+    high = far.select(permuted(F.col("n") - 1, F.col("n"), F.col("k")).alias("to")).first().to
+    assert 0 <= high < 3 * 10**12
+
+
 def test_mix_draws_with_replacement_where_the_pool_is_short(spark):
     mixes = dose_mix(pool(spark), "label", ["id"], (0.1, 0.5), (0, 1), 200).collect()
     for p, s in ((0.1, 0), (0.1, 1), (0.5, 0), (0.5, 1)):
@@ -129,7 +155,7 @@ def test_mix_draws_with_replacement_where_the_pool_is_short(spark):
         if p == 0.5:  # 100 from a pool of 40
             assert len(set(toxic)) < len(toxic)
             assert toxic and sorted(toxic) == sorted(
-                sorted(range(40), key=lambda i: (u(s, i), i))[int(u(s, 1, k) * 40)]
+                sorted(range(40), key=lambda i: (u("pool", i), i))[int(u(s, 1, k) * 40)]
                 for k in range(1, 101)
             )
         else:

@@ -12,6 +12,7 @@ MIX_DOSES = (0.0, 0.025, 0.05, 0.1, 0.2, 0.4)
 MIX_SEEDS = (0, 1, 2, 3, 4)
 #: A mix takes a quarter as many records as the pool holds.
 MIX_SHARE = 4
+ORDER_ROUNDS = 64
 LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -131,6 +132,23 @@ def long_scores_cte(datasets: str, dataset: str) -> str:
     )"""
 
 
+def _hex(digest: str, start: int, digits: int) -> str:
+    return f"('0x' || substr({digest}, {start}, {digits}))::BIGINT"
+
+
+def swap_or_not(position: str, size: str, keys: str) -> str:
+    """Where the permutation with these round keys puts a position of 0..size-1."""
+    prime = 2147483647
+    mirror = f"((key.k % {size} + {size} - acc.x) % {size})"
+    mixed = f"((greatest(acc.x, {mirror}) % {prime} + key.a) % {prime} * key.b % {prime})"
+    bit = f"(((xor({mixed}, {mixed} >> 13) * 48271) % {prime}) >> 9) % 2"
+    start = f"[{{'x': ({position})::BIGINT, 'k': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT}}]"
+    return (
+        f"list_reduce({start} || {keys}, lambda acc, key: {{'x': CASE WHEN {bit} = 1 THEN {mirror} "
+        "ELSE acc.x END, 'k': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT}).x"
+    )
+
+
 def mix_cte(rows_per_slice: int | None = None, doses=MIX_DOSES, seeds=MIX_SEEDS) -> str:
     """``mix``: (injected_p, seed, draw_no, label, doc_id) over labelled documents.
 
@@ -152,15 +170,27 @@ def mix_cte(rows_per_slice: int | None = None, doses=MIX_DOSES, seeds=MIX_SEEDS)
         FROM (VALUES {doses_list}) d(injected_p), (SELECT ({rows})::BIGINT AS n))
       CROSS JOIN (VALUES (0), (1)) l(label)),
     seeds AS (SELECT unnest([{', '.join(map(str, seeds))}]) AS seed),
-    ranked AS (
-      SELECT seed, p.*, row_number() OVER (
-        PARTITION BY seed, label ORDER BY {u('seed', 'doc_id')}, doc_id) AS rk
-      FROM pool p CROSS JOIN seeds
-    ),
+    indexed AS (
+      SELECT p.*, row_number() OVER (PARTITION BY label ORDER BY {u("'pool'", 'doc_id')}, doc_id) AS rk
+      FROM pool p),
+    digests AS (
+      SELECT seed, label, r, md5(concat_ws('|', seed, label, r)) AS d
+      FROM seeds CROSS JOIN (VALUES (0), (1)) l(label) CROSS JOIN (SELECT unnest(range({ORDER_ROUNDS})) AS r)),
+    rounds AS (
+      SELECT seed, label, list({{'x': 0::BIGINT, 'k': {_hex('d', 1, 13)}, 'a': {_hex('d', 14, 7)},
+        'b': {_hex('d', 21, 7)} + 1}} ORDER BY r) AS keys
+      FROM digests GROUP BY 1, 2),
+    draws AS (
+      SELECT s.seed, g.label, g.pool_n, keys, unnest(range(1, g.need + 1)) AS draw_no
+      FROM (SELECT label, pool_n, max(need) AS need FROM grid JOIN sizes USING (label)
+        WHERE need <= pool_n GROUP BY 1, 2) g
+      CROSS JOIN seeds s JOIN rounds k ON k.seed = s.seed AND k.label = g.label),
+    ordered AS (
+      SELECT seed, label, draw_no, {swap_or_not('draw_no - 1', 'pool_n', 'keys')} + 1 AS rk FROM draws),
     mix AS (
-      SELECT injected_p, seed, rk AS draw_no, label, doc_id, quality
-      FROM ranked JOIN grid USING (label) JOIN sizes USING (label)
-      WHERE need <= pool_n AND rk <= need
+      SELECT injected_p, seed, draw_no, label, doc_id, quality
+      FROM ordered JOIN indexed USING (label, rk) JOIN grid USING (label) JOIN sizes USING (label)
+      WHERE need <= pool_n AND draw_no <= need
       UNION ALL
       SELECT injected_p, seed, draw_no, label, doc_id, quality
       FROM (
@@ -169,7 +199,7 @@ def mix_cte(rows_per_slice: int | None = None, doses=MIX_DOSES, seeds=MIX_SEEDS)
         FROM (SELECT g.injected_p, g.label, s.seed, z.pool_n,
                 unnest(range(1, g.need + 1)) AS i
               FROM grid g JOIN sizes z USING (label) CROSS JOIN seeds s WHERE g.need > z.pool_n)
-      ) JOIN ranked USING (seed, label, rk)
+      ) JOIN indexed USING (label, rk)
     )"""
 
 
