@@ -68,6 +68,38 @@ def test_word_and_term_rules_agree_with_unicode_regular_expressions(spark):
         ], rule.name
 
 
+MANY = sorted({a + b + c for a in "abcdefghik" for b in ("ra", "ra-", "r a", "i", "ill") for c in ("", "st", "s+", "ss")})
+
+
+@pytest.mark.parametrize("most", [60, 60_000])
+def test_long_lists_match_what_a_plain_alternation_matches(spark, monkeypatch, most):
+    monkeypatch.setattr(tx.prefix_patterns, "__defaults__", (most,))
+    words = [*LEXICON, *MANY, "skill", "KillS", "über", "ÜBERALL", "ſtraße"]
+    texts = [
+        *SAMPLES, "xx fra-s+ yy", "xfra-s+", "(GR ASS)", "gr a", "gr as", "bi", "bist", "abistx", "ÜBER all",
+        "überall", "STRASSE", "ſtraſſe", "ſtraße", "Straße", "kills", "killss", "kill+", "HıSS", "e\u0301ill", "illé",
+    ]
+    frame = one_column(spark, [*texts, None])
+    for found, edge in ((tx.contains_word, r"\b"), (tx.contains_term, "")):
+        plain = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)
+        want = truth(frame, F.col("text").rlike(f"(?iU){edge}(?:{plain}){edge}"))
+        got = truth(frame, found(F.col("text"), words))
+        assert got == want and 5 < sum(want) < len(texts)
+    assert (len(tx.prefix_patterns(MANY)) > 5) == (most == 60)
+    assert all(len(p.encode()) <= 60 for p in tx.prefix_patterns(MANY, 60))
+
+
+def test_ten_thousand_terms_are_a_few_patterns():
+    terms = [f"{i * 7919 % 100_000:05d}" for i in range(10_000)]
+    patterns = tx.prefix_patterns(terms)
+    assert len(patterns) <= 2 and all(len(p.encode()) <= tx.PATTERN_BYTES for p in patterns)
+    found = [re.compile(p) for p in patterns]
+    for i in range(0, 100_000, 37):
+        digits = f"{i:05d}"
+        assert any(p.fullmatch(digits) for p in found) == (digits in terms)
+    assert tx.prefix_patterns(["a", "", "ab"]) == ["(?:a(?:b)?)?"]
+
+
 def test_terms_are_literal_and_may_be_any_script(spark):
     frame = one_column(spark, ["a+b", "aab", "ÜBER", "über", "c.d", "cxd"])
     assert truth(frame, tx.contains_term(F.col("text"), ["a+b", "c.d"])) == [
