@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -282,6 +284,37 @@ def physical_harm(spark, folder):
     return found.select("dataset_id", r6("score").alias("score"))
 
 
+#: Syllables; every three of them make a word and a term, 10,648 of each.
+_SYLLABLES = "al an ar as at ed en er ha in is it le nd on or ou re sh st th ti".split()
+
+
+def _of_three(shape: str) -> tuple[str, ...]:
+    return tuple(shape.format(*abc) for abc in itertools.product(_SYLLABLES, repeat=3))
+
+
+@query(
+    "harm_long_lists",
+    rf"""WITH syllables AS (SELECT unnest({_SYLLABLES}) AS s),
+    threes AS (SELECT a.s AS a, b.s AS b, c.s AS c FROM syllables a, syllables b, syllables c),
+    texts AS (SELECT source || '|' || lang AS dataset_id, doc_id, lower(text) AS low
+      FROM documents WHERE regexp_matches(text, '\S')),
+    words AS (SELECT doc_id,
+      unnest(regexp_extract_all(low, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')) AS w FROM texts),
+    toxic AS (SELECT DISTINCT doc_id FROM words WHERE w IN (SELECT a || b || c FROM threes)),
+    pieces AS (SELECT doc_id, string_split(low, ', ') AS p FROM texts),
+    cuts AS (SELECT doc_id, unnest(list_transform(range(1, len(p)),
+      lambda i: right(p[i], 4) || ', ' || left(p[i + 1], 2))) AS cut FROM pieces),
+    dual AS (SELECT DISTINCT doc_id FROM cuts WHERE cut IN (SELECT a || b || ', ' || c FROM threes))
+    SELECT dataset_id, {sql.r6('avg((doc_id IN (SELECT doc_id FROM toxic))::INT)')} AS toxic,
+      {sql.r6('avg((doc_id IN (SELECT doc_id FROM dual))::INT)')} AS dual_use
+    FROM texts GROUP BY 1""",
+)
+def harm_long_lists(spark, folder):
+    config = text_config(lexicon=_of_three("{}{}{}"), dual_use_terms=_of_three("{}{}, {}"))
+    stats = text_harm.text_stats(doc_sets(spark, folder), config)
+    return stats.select("dataset_id", r6("_text_toxic").alias("toxic"), r6("_text_dual_use").alias("dual_use"))
+
+
 # ---- edge cases -----------------------------------------------------------
 
 
