@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from perilscope.functions.numeric import numeric_columns
 from perilscope.operators.models import TEXT_SCORE, fit_text_scorer, score_texts
+from perilscope.operators import prep
 from perilscope.operators.prep import (
     INFREQUENT,
     design_matrix,
@@ -62,6 +63,42 @@ def test_category_cap_and_ties(spark):
     assert whole.values["v"] == ["a", "b", "c", "d"] and not whole.pooled["v"]
 
 
+def test_leading_values_of_long_columns_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(prep, "TRACKED", 256)
+    monkeypatch.setattr(prep, "CANDIDATES", 40)
+    counted = []
+    real = prep.category_counts
+
+    def counts(df, columns, only=None):
+        counted.append((list(columns), only is not None))
+        return real(df, columns, only)
+
+    monkeypatch.setattr(prep, "category_counts", counts)
+    # heavy: 12 frequent values (two tied at the cap) and thousands of single ones
+    frame = spark.range(24_000).repartition(7).selectExpr(
+        "CASE WHEN id < 12000 THEN concat('h', CASE WHEN id % 12 = 5 THEN 6 ELSE id % 12 END)"
+        " WHEN id % 50 > 0 THEN concat('rare', id) END AS heavy",
+        "concat('u', id) AS single",
+        "concat('s', id % 5) AS short",
+        "CAST(null AS string) AS nothing",
+        "CAST(id % 300 AS int) AS flat",
+    )
+    names = frame.columns
+    found = fit_categories(frame, names, max_categories=8)
+    assert counted[0] == (names, True) and counted[1:] == [(["single", "flat"], False)]
+    plain = {
+        (r["feature"], r["value"]): r["n"] for r in real(frame, names).collect()
+    }
+    for c in names:
+        mine = sorted(((n, v) for (f, v), n in plain.items() if f == c), reverse=True)
+        cap = 8 if len(mine) <= 8 else 7
+        assert found.values[c] == sorted(v for _, v in mine[:cap])
+        assert found.pooled[c] == (len(mine) > 8)
+        if mine:
+            assert found.fill[c] == min(v for n, v in mine if n == mine[0][0])
+    assert "nothing" not in found.fill
+
+
 def test_unknown_category_is_all_zeros(spark):
     fitted = fit_categories(spark.createDataFrame([("a",), ("b",)], "v string"), ["v"])
     other = spark.createDataFrame([("z",), (None,)], "v string")

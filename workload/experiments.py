@@ -200,6 +200,29 @@ def prep_categorical(spark, folder):
     )
 
 
+_KINDS_CTE = f"""
+    kinds AS (
+      SELECT CASE WHEN {u("'kind'", *_KEYS)} < 0.5 THEN concat_ws('-', l_returnflag, l_linenumber, (l_quantity::INT % 2))
+        ELSE concat_ws('-', l_orderkey, l_partkey) END AS kind FROM lineitem)"""
+
+
+@query(
+    "prep_many_values",
+    f"""WITH {_KINDS_CTE},
+    counts AS (SELECT kind, count(*) AS n FROM kinds GROUP BY 1),
+    kept AS (SELECT kind FROM counts ORDER BY n DESC, kind DESC LIMIT 19)
+    SELECT CASE WHEN kind IN (SELECT kind FROM kept) THEN kind ELSE '__other__' END AS bucket,
+      sum(n)::BIGINT AS n FROM counts GROUP BY 1""",
+)
+def prep_many_values(spark, folder):
+    """Half the lines have a common kind, the others one that hardly another line has."""
+    often = F.concat_ws("-", "l_returnflag", "l_linenumber", F.col("l_quantity").cast("int") % 2)
+    kind = F.when(uniform("kind", *_KEYS) < 0.5, often).otherwise(F.concat_ws("-", "l_orderkey", "l_partkey"))
+    kinds = table(spark, folder, "lineitem").select(kind.alias("kind"))
+    bucket = fit_categories(kinds, ["kind"]).bucket("kind")
+    return kinds.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "design_matrix",
     f"""WITH {_PARTS_CTE},
