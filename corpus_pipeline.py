@@ -30,9 +30,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8)."""
+    """One document of each group that SimHash links: fingerprints of three-word shingles, 2 bits or fewer apart."""
     bounded_batches(spark)
-    return simhash.near_deduplicated(docs)
+    return simhash.simhash_deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

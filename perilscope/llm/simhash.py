@@ -570,8 +570,19 @@ def near_deduplicated(docs: DataFrame, **how) -> DataFrame:
     the smallest hash stays. Rows with a null id have no group; they all stay.
     Null, empty and blank texts are one group.
     """
-    groups = near_duplicate_groups(docs, **how)
-    firsts = groups.filter("doc_id = group_id").select(F.col("group_id").alias("__first")).distinct()
+    return _first_of_each(docs, near_duplicate_groups(docs, **how), "group_id")
+
+
+def simhash_deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """One document of each component of linked SimHash fingerprints (see ``simhash_components``).
+
+    Columns, repeated ids and null ids are treated as in ``near_deduplicated``.
+    """
+    return _first_of_each(docs, simhash_components(docs, **how), "component_id")
+
+
+def _first_of_each(docs: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    firsts = groups.filter(F.col("doc_id") == F.col(group)).select(F.col(group).alias("__first")).distinct()
     kept = docs.join(settle(firsts), F.col("doc_id").cast("bigint") == F.col("__first"))
     in_turn = Window.partitionBy("__first").orderBy(F.xxhash64("text"))
     single = kept.withColumn("__turn", F.row_number().over(in_turn)).filter("__turn = 1")
