@@ -324,6 +324,9 @@ def _fitted_waves(
     """
     if runs and (settings.preprocess or settings.estimator is not None):
         raise ValueError("shared rows must be prepared, and fitted by the built-in model")
+    if settings.estimator is not None:
+        # Every fit and every scoring reads the rows: draws and codes are worked out once.
+        matrix = cut_lineage(matrix)
     blocks, shape = _packed(matrix, width, runs)
     try:
         waves = _plan_waves(shape, k, width)
