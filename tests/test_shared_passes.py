@@ -65,3 +65,30 @@ def test_wide_models_send_no_more_than_twice_their_parameters():
     np.testing.assert_allclose(sums[1:551].reshape(110, 5), (p - np.eye(110)[y]).T @ z, atol=1e-6)
     ((lo, hi, bend),) = fold_models._sampled_bends(wide, 0, np.full(5000, 1), x, sums[551:])
     np.testing.assert_allclose(bend, fold_models._curvature(z, p, lo, hi), rtol=1e-6, atol=1e-6)
+
+
+def test_partitions_of_shared_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(fold_models, "_RUN_BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(fold_models, "RUN_PART_BYTES", 100_000)
+    runs = [f"r{i}" for i in range(25)]
+    rows = spark.range(0, 16_000, 1, 1).selectExpr(
+        "array_repeat(cast(id % 2 as int), 25) ys",
+        "array_repeat(if(id % 4 = 0, -9, cast(id % 5 as int)), 25) folds",
+        "array(cast(id as double), 1D) x",
+    )
+    monkeypatch.setattr(spark.sparkContext.__class__, "defaultParallelism", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        blocks = fold_models.spread_run_blocks(fold_models.to_run_blocks(rows, runs, 2), 2)
+        part = "spark_partition_id() part", "length(x) + length(y) held", "length(x) div 16 n"
+        held = blocks.selectExpr(*part).groupBy("part").sum("held", "n").collect()
+        assert sum(r[2] for r in held) == 16_000
+        assert len(held) >= 10 and max(r[1] for r in held) <= 3 * 100_000  # one part of 1 MB before
+        sides = fold_models.block_shape(fold_models.as_test_sides(blocks, 2), 2)
+        assert sorted((r.fold, r.n) for r in sides.filter("dataset_id = 'r3' and y = 0").collect()) == [
+            (-1, 4000),
+            (0, 4000),
+        ]
+        blocks.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
