@@ -69,6 +69,12 @@ def _picks(spark: SparkSession, wanted: Sequence[tuple]) -> DataFrame:
     return numbered.select("_dose", "code", "seed", "draw_no", (at + 1).alias("draw_rank"))
 
 
+def number_pool(pool: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """The pool's records with label 0 or 1, and each one's number, ``draw_rank``, in its label."""
+    drawn = pool.filter(F.col(label).isin(0, 1)).withColumn("_draw", uniform("pool", *keys))
+    return draw_ranks(drawn, "_draw", keys, (label,)).drop("_draw")
+
+
 def dose_mix(
     pool: DataFrame,
     label: str,
@@ -88,8 +94,9 @@ def dose_mix(
     The pool is numbered once, whatever the number of seeds; which numbers a
     mix takes is arithmetic (a seeded permutation, or draws), so only the
     records that mixes take are multiplied. The pool is read twice, so it
-    should be narrow.
+    should be narrow. One from ``number_pool`` is not numbered again.
     """
+    columns = [c for c in pool.columns if c != "draw_rank"]
     needs = _needs(doses, rows_per_slice)
     two = pool.filter(F.col(label).isin(0, 1))
     sizes = {r[label]: r["count"] for r in two.groupBy(label).count().collect()}
@@ -105,8 +112,7 @@ def dose_mix(
     picks = _picks(pool.sparkSession, wanted).withColumn(
         label, F.col("code").cast(pool.schema[label].dataType)
     )
-    drawn = two.withColumn("_draw", uniform("pool", *keys))
-    indexed = draw_ranks(drawn, "_draw", keys, (label,)).drop("_draw")
+    indexed = two if "draw_rank" in pool.columns else number_pool(pool, label, keys)
     mixed = picks.drop("code").join(indexed, [label, "draw_rank"])
     serves = F.filter(_need_structs(plain, label), lambda w: F.col("draw_no") <= w["need"])
     own = F.col("_dose")
@@ -114,7 +120,7 @@ def dose_mix(
         F.transform(serves, lambda w: w["injected_p"])
     )
     return mixed.select(
-        F.explode(into).alias("injected_p"), "seed", "draw_no", *pool.columns
+        F.explode(into).alias("injected_p"), "seed", "draw_no", *columns
     ).withColumn("mix_order", uniform("mix", "seed", *keys, "draw_no"))
 
 

@@ -22,7 +22,7 @@ from perilscope.operators.fold_models import (
 )
 from perilscope.operators.integrity import held_out_scores
 from perilscope.operators.metrics import balanced_accuracy, calibration_error, roc_auc
-from perilscope.operators.mixing import dose_mix
+from perilscope.operators.mixing import dose_mix, number_pool
 from perilscope.operators.models import boosted_tree_scores, logistic_scores
 from perilscope.operators.text_harm import flag_texts
 from perilscope.session import cut_lineage
@@ -109,8 +109,12 @@ def text_calibration(
         *kept, "is_text", "is_toxic", "is_pii"
     )
     spark = pool.sparkSession
-    if sink is None or _pending(spark, sink, doses, seeds, 1):
+    left = doses if sink is None else _pending(spark, sink, doses, seeds, 1)
+    if left:
         flags = cut_lineage(flags)
+    if sink is not None and len(left) > 1:
+        # Every dose is a job of its own: they share the numbers of the pool.
+        flags = cut_lineage(number_pool(flags, label, keys))
 
     def share(flag: str) -> Column:
         return F.avg(F.when(F.col("is_text"), F.col(flag).cast("double")))

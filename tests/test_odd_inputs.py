@@ -136,6 +136,18 @@ def test_text_study_resumes(spark, tmp_path, monkeypatch):
     )
 
 
+def test_text_study_numbers_its_pool_once(spark, tmp_path, monkeypatch):
+    from perilscope.operators import mixing
+
+    numbered, real = [], mixing.number_pool
+    for module in (mixing, studies):
+        monkeypatch.setattr(module, "number_pool", lambda *a: numbered.append(a) or real(*a), raising=False)
+    config = SafetyConfig(text_column="text", key_columns=("id",))
+    sink = (str(tmp_path / "once"), "t")
+    found = studies.text_calibration(pool(spark), config, "y", ["id"], (0.0, 0.2, 0.4), (0, 1), 50, sink=sink)
+    assert len(found.collect()) == 6 and len(numbered) == 1  # once a dose before
+
+
 def test_noise_study_resumes_and_shares_rows(spark, tmp_path, monkeypatch):
     rows = spark.range(400).select(
         "id",
