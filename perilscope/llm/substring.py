@@ -402,7 +402,9 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -
             result.append(text[:head] + kept if kept else None)
         return pd.Series(result, dtype=object)
 
+    # nondeterministic in name only: else the filter below cuts every text once more, in workers of its own
+    cut_once = cut.asNondeterministic()
     joined = docs.join(ranges, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
-    done = joined.withColumn("__text", cut("text", "__ranges"))
+    done = joined.withColumn("__text", cut_once("text", "__ranges"))
     left = done.filter("__text IS NOT NULL OR text IS NULL")
     return left.withColumn("text", F.col("__text")).select(*docs.columns)

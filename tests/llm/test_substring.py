@@ -104,6 +104,16 @@ def test_white_space_stays(make_docs):
     assert kept == {1: text, 2: "  head\t and\ntail ", 3: "  a\n b "}
 
 
+def test_texts_are_cut_once(make_docs):
+    text = " ".join(f"w{i}" for i in range(25))
+    docs = make_docs([(1, text), (2, text + " tail"), (3, text), (4, None), (5, "few words")])
+    left = substring.without_repeats(docs)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    kept = {r.doc_id: r.text for r in left.collect()}
+    assert kept == {1: text, 2: "tail", 4: None, 5: "few words"}
+
+
 def test_index_finds_every_occurrence():
     rng = np.random.default_rng(7)
     for symbols in (2, 3, 50):
