@@ -13,11 +13,12 @@ sums do not depend on how rows are spread, so a dataset that holds most rows
 needs no special care.
 
 Curvature of up to ``CURVATURE_BLOCK`` parameters is summed over all rows, and
-the step is Newton's. Wider models sum the gradient and the curvature's diagonal
-over all rows; what lies beside the diagonal is worked out, where the step is
-taken, on a bounded sample of rows and scaled to the summed diagonal. It only
-shapes the steps of a limited-memory quasi-Newton search: the minimum is that of
-all rows. Models of two classes on rows that many runs share are evaluated
+the step is Newton's. Wider models sum the gradient over all rows, and in their
+first pass the curvature's diagonal; what lies beside the diagonal is worked
+out, where the step is taken, on a bounded sample of rows and scaled to all by
+the summed diagonal. It only shapes the steps of a limited-memory quasi-Newton
+search, which begins at the minimum that the sample and the classes' sums over
+all rows give: where it ends, the minimum, is that of all rows. Models of two classes on rows that many runs share are evaluated
 together, in a few matrix products. Datasets are handled in waves whose sums fit
 ``WAVE_CELLS`` in a task.
 """
@@ -48,8 +49,12 @@ _SAMPLED_BLOCK = 1024
 SAMPLE_ROWS, _SAMPLE_BYTES = 16_000, 32 << 20
 #: Past steps that a wide model's search keeps.
 _STEPS = 10
-#: Numbers of a temporary array in a pass.
-_CHUNK = 1 << 18
+#: Steps on the sample at most, and the step, of the largest weight, that ends them: passes over all rows go on from there.
+_START_STEPS, _START_TOL = 30, 1e-2
+#: Numbers of a temporary array in a pass, and of a wide model's, which it goes through several times.
+_CHUNK, _WIDE_CHUNK = 1 << 18, 1 << 16
+#: Sizes of a logit whose exponential, and a sum of these, fit a double.
+_SAFE_LOGIT = 300.0
 
 
 @dataclass
@@ -105,19 +110,71 @@ def _probabilities(models: DatasetModels, i: int, z: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _chunks(n: int, numbers: int) -> Iterator[slice]:
-    """Rows 0..n-1 in parts that hold about ``_CHUNK`` numbers, so many a row."""
-    rows = max(16, min(8192, _CHUNK // max(1, numbers)))
+def _chunks(n: int, numbers: int, held: int = _CHUNK) -> Iterator[slice]:
+    """Rows 0..n-1 in parts that hold about ``held`` numbers, so many a row."""
+    rows = max(16, min(8192, held // max(1, numbers)))
     for at in range(0, n, rows):
         yield slice(at, min(n, at + rows))
 
 
-def _sums(models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Loss, gradient and curvature of model i over some training rows; of a wide one the diagonal."""
+def _label_sums(models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of the prepared training rows by class; the last column has the rows' number."""
+    total = np.zeros((models.n_classes, x.shape[1] + 1))
+    for rows in _chunks(len(y), x.shape[1] + 1):
+        z = _design(models, i, x[rows])
+        for j in range(z.shape[1]):
+            total[:, j] += np.bincount(y[rows], z[:, j], models.n_classes)
+    return total
+
+
+def _exponentials(models: DatasetModels, i: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the exponentials of the logits less a number, their sum, and the number."""
+    theta = models.theta[i]
+    logits = z @ theta.T
+    if models.n_classes == 2:
+        logits = np.hstack([np.zeros_like(logits), logits])
+    less = np.zeros(len(z))
+    if not (np.abs(z).max(axis=0) @ np.abs(theta).max(axis=0) < _SAFE_LOGIT):
+        less = logits[:, models.present[i]].max(axis=1)
+        logits -= less[:, None]
+    np.exp(logits, out=logits)
+    if not models.present[i].all():
+        logits[:, ~models.present[i]] = 0.0
+    return logits, logits @ np.ones(models.n_classes), less
+
+
+def _wide_sums(
+    models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray | None, diagonal: bool
+) -> tuple[float, np.ndarray, np.ndarray | None]:
+    """Loss, gradient and, if wanted, the curvature's diagonal of a wide model; without ``y`` less the labels' parts."""
+    theta = models.theta[i]
+    first = models.n_classes - len(theta)
+    loss, gradient = 0.0, np.zeros(theta.shape)
+    curvature = np.zeros(theta.shape) if diagonal else None
+    for rows in _chunks(len(x), max(models.n_classes, theta.shape[1]), _WIDE_CHUNK):
+        z = _design(models, i, x[rows])
+        e, total, less = _exponentials(models, i, z)
+        loss += float(np.log(total).sum() + less.sum())
+        gradient += e[:, first:].T @ (z / total[:, None])
+        if diagonal:
+            e /= total[:, None]
+            curvature += (e * (1.0 - e))[:, first:].T @ (z * z)
+    if y is not None:
+        labels = _label_sums(models, i, x, y)[first:]
+        loss -= float((theta * labels).sum())
+        gradient -= labels
+    return loss, gradient, curvature
+
+
+def _sums(models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Loss, gradient and curvature of model i over some training rows; of a wide one the diagonal, if wanted."""
     shape = models.theta[i].shape
-    wide, two = _is_wide(models.theta[i].size), models.n_classes == 2
+    if _is_wide(models.theta[i].size):
+        loss, gradient, curvature = _wide_sums(models, i, x, y, diagonal)
+        return np.concatenate([[loss], gradient.ravel(), *([curvature.ravel()] if diagonal else [])])
+    two = models.n_classes == 2
     loss, gradient = 0.0, np.zeros(shape)
-    curvature = np.zeros(shape if wide else (gradient.size, gradient.size))
+    curvature = np.zeros((gradient.size, gradient.size))
     for rows in _chunks(len(y), max(models.n_classes, shape[1])):
         z, own = _design(models, i, x[rows]), y[rows]
         p = _probabilities(models, i, z)
@@ -129,19 +186,17 @@ def _sums(models: DatasetModels, i: int, x: np.ndarray, y: np.ndarray) -> np.nda
             gradient += p.T @ z
             for j in range(shape[1]):
                 gradient[:, j] -= np.bincount(own, z[:, j], models.n_classes)
-        if wide:
-            curvature += (p * (1 - p)).T @ (z * z)
-        else:
-            curvature += _curvature(z, p, 0, gradient.size)
+        curvature += _curvature(z, p, 0, gradient.size)
     return np.concatenate([[loss], gradient.ravel(), curvature.ravel()])
 
 
 def _sums_of_runs(
-    current: dict, wanted: dict, x: np.ndarray, names: list[str], ys: np.ndarray, folds: np.ndarray
+    current: dict, wanted: dict, x: np.ndarray, names: list[str], ys: np.ndarray, folds: np.ndarray, begun=()
 ) -> Iterator[tuple[str, int, np.ndarray]]:
     """``_sums`` of every run's models over rows that the runs share, as (run, model, sums).
 
-    Shared rows are not prepared run by run, so all models see one design.
+    Shared rows are not prepared run by run, so all models see one design. ``begun`` are
+    the models that have been through a pass.
     """
     together = []
     for run, name in enumerate(names):
@@ -152,7 +207,7 @@ def _sums_of_runs(
                 continue
             at = (folds[run] != i) & (folds[run] != NO_PART)
             if at.any():
-                yield name, i, _sums(m, i, x[at], ys[run][at].astype(np.int32))
+                yield name, i, _sums(m, i, x[at], ys[run][at].astype(np.int32), (name, i) not in begun)
     if not together:
         return
     runs = np.array([run for run, _, _ in together])
@@ -579,24 +634,46 @@ def _sampled_rows(blocks: DataFrame, width: int, models: dict[str, DatasetModels
     }
 
 
-def _sampled_bends(
-    models: DatasetModels, i: int, fold: np.ndarray, x: np.ndarray, diagonal: np.ndarray
-) -> list[tuple[int, int, np.ndarray]]:
-    """(lo, hi, curvature) of a wide model: the sample's, scaled to the ``diagonal`` of all rows."""
-    z = _design(models, i, x[fold != i])
+def _bends(models: DatasetModels, i: int, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(lo, hi, curvature) of a wide model over some rows, in blocks of parameters."""
+    z = _design(models, i, x)
     p = _probabilities(models, i, z)
     if models.n_classes == 2:
         p = p[:, 1:]
-    bends = []
-    for lo in range(0, len(diagonal), _SAMPLED_BLOCK):
-        hi = min(lo + _SAMPLED_BLOCK, len(diagonal))
-        bend, own = _curvature(z, p, lo, hi), diagonal[lo:hi]
-        there = np.diag(bend)
-        scale = np.sqrt(np.where(there > 0, own / np.where(there > 0, there, 1.0), 0.0))
-        bend = bend * scale[:, None] * scale
-        np.fill_diagonal(bend, own)
-        bends.append((lo, hi, bend))
-    return bends
+    n = models.theta[i].size
+    for lo in range(0, n, _SAMPLED_BLOCK):
+        hi = min(lo + _SAMPLED_BLOCK, n)
+        yield lo, hi, _curvature(z, p, lo, hi)
+
+
+def _sample_share(models: DatasetModels, i: int, x: np.ndarray, diagonal: np.ndarray) -> tuple[float, np.ndarray]:
+    """How often the sample's curvature is that of all rows, and what of their ``diagonal`` it lacks.
+
+    One number for all parameters: curvature that a common change of all
+    classes' weights does not have would else appear in it. Only parameters of
+    which the sample has next to nothing get the rest on the diagonal.
+    """
+    z = _design(models, i, x)
+    p = _probabilities(models, i, z)[:, models.n_classes - len(models.theta[i]) :]
+    there = (p * (1.0 - p)).T @ (z * z)
+    free = there[:, -1].sum()
+    more = diagonal.reshape(there.shape)[:, -1].sum() / free if free > 0 else 1.0
+    there = more * there.ravel()
+    return more, np.where(diagonal > 4.0 * there, diagonal - there, 0.0)
+
+
+def _sampled_bends(
+    models: DatasetModels,
+    i: int,
+    fold: np.ndarray,
+    x: np.ndarray,
+    diagonal: np.ndarray,
+    share: tuple[float, np.ndarray] | None = None,
+) -> list[tuple[int, int, np.ndarray]]:
+    """(lo, hi, curvature) of a wide model: the sample's, as much as ``share`` or the ``diagonal`` of all rows says."""
+    x = x[fold != i]
+    more, lacking = share or _sample_share(models, i, x, diagonal)
+    return [(lo, hi, more * bend + np.diag(lacking[lo:hi])) for lo, hi, bend in _bends(models, i, x)]
 
 
 def _solved(bend: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -638,6 +715,87 @@ def _step(
     }
 
 
+def _penalty(models: DatasetModels, i: int, inverse_penalty: float) -> np.ndarray:
+    """Of each parameter; the intercepts are free."""
+    weight = np.ones_like(models.theta[i]) / inverse_penalty
+    weight[:, -1] = 0.0
+    return weight.ravel()
+
+
+def _sample_minimum(
+    models: DatasetModels, i: int, x: np.ndarray, sums: np.ndarray, weight: np.ndarray
+) -> np.ndarray:
+    """Where the search over all training rows of a wide model begins; ``sums`` are theirs by class.
+
+    What the loss holds besides these is the sample's, as often as the rows are
+    more. So a class without a row in the sample has its share all the same.
+    The classes' means are moved to the sample's: what all classes have in
+    common would else be made up for by weights that hardly cost anything.
+    """
+    own = SimpleNamespace(**vars(models))
+    own.theta = models.theta.copy()
+    start, state = models.theta[i].ravel(), None
+    theta = start
+    if not len(x):
+        return start
+    total = sums.sum(axis=0)
+    more = total[-1] / len(x)
+    off = total / total[-1] - _design(models, i, x).mean(axis=0)
+    labels = (sums - sums[:, -1:] * off)[models.n_classes - len(models.theta[i]) :].ravel()
+    for _ in range(_START_STEPS):
+        own.theta[i] = theta.reshape(own.theta[i].shape)
+        loss, gradient, _ = _wide_sums(own, i, x, None, False)
+        objective = more * loss - labels @ theta + 0.5 * (weight * theta**2).sum()
+        if not np.isfinite(objective):
+            return start if state is None else state["at"]
+
+        def bends():
+            return [(lo, hi, more * bend + np.diag(weight[lo:hi])) for lo, hi, bend in _bends(own, i, x)]
+
+        slope = more * gradient.ravel() - labels + weight * theta
+        state = _step(state, theta, objective, slope, bends, _STEPS)
+        step = state["part"] * state["direction"]
+        theta = state["at"] + step
+        if np.abs(step).max() <= _START_TOL * (1.0 + np.abs(theta).max()):
+            break
+    return theta
+
+
+def _start_wide(blocks: DataFrame, models: dict[str, DatasetModels], sample: dict, inverse_penalty: float) -> None:
+    """Set the weights of wide models to the sample's minimum."""
+    width = next(iter(models.values())).fill.shape[1]
+    plain = _plain(models)
+
+    def classes(given, name, fold, x, y):
+        for i in range(len(given[name].theta) if name in given else 0):
+            if i != fold:
+                yield i, _label_sums(given[name], i, x, y)
+
+    labels = _block_sums(blocks, width, plain, lambda *of: ((i, v.ravel()) for i, v in classes(*of)))
+    keys = list(labels)
+    context = blocks.sparkSession.sparkContext
+    shared = context.broadcast((plain, sample, labels, keys))
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sampled, sums, names = shared.value
+        for at in (at for batch in batches for at in batch.column(0).to_pylist()):
+            name, i = names[at]
+            fold, x = sampled[name]
+            own = current[name]
+            weight = _penalty(own, i, inverse_penalty)
+            by_class = sums[(name, i)].reshape(own.n_classes, -1)
+            theta = _sample_minimum(own, i, x[fold != i], by_class, weight)
+            columns = [pa.array([name]), pa.array([i], pa.int32()), pa.array([theta.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["dataset_id", "key", "sums"])
+
+    parts = max(1, min(len(keys), 4 * context.defaultParallelism))
+    numbers = blocks.sparkSession.range(0, len(keys), 1, parts)
+    for row in numbers.mapInArrow(in_task, _SUMS).toArrow().to_pylist():
+        theta = models[row["dataset_id"]].theta
+        theta[row["key"]] = np.frombuffer(row["sums"]).reshape(theta[row["key"]].shape)
+    shared.destroy()
+
+
 _STEPPED = "dataset_id string, model int, theta binary, state binary, finished boolean, failed boolean"
 
 
@@ -664,16 +822,17 @@ def fit_models(
     if wide:
         counts = block_shape(blocks, width).groupBy("dataset_id").agg(F.sum("n").alias("n")).toArrow().to_pylist()
         sample = _sampled_rows(blocks, width, wide, {r["dataset_id"]: r["n"] for r in counts})
+        _start_wide(blocks, wide, sample, inverse_penalty)
     sampled = blocks.sparkSession.sparkContext.broadcast(sample)
 
     def training(given, name, fold, x, y):
-        current, wanted, _ = given
+        current, wanted, kept = given
         for i in wanted.get(name, ()):
             if i != fold:
-                yield i, _sums(current[name], i, x, y)
+                yield i, _sums(current[name], i, x, y, (name, i) not in kept)
 
     def training_runs(given, x, runs, ys, folds):
-        yield from _sums_of_runs(given[0], given[1], x, runs, ys, folds)
+        yield from _sums_of_runs(given[0], given[1], x, runs, ys, folds, given[2])
 
     for _ in range(max_iter):
         payload = ({n: m for n, m in _plain(models).items() if n in active}, active, states)
@@ -686,22 +845,25 @@ def fit_models(
                 n, finite = theta.size, bool(np.isfinite(sums[0]))
                 state, after, finished = None, theta, True
                 if finite:
-                    weight = np.ones_like(current[name].theta[i]) / inverse_penalty
-                    weight[:, -1] = 0.0
-                    weight = weight.ravel()
+                    weight = _penalty(current[name], i, inverse_penalty)
+                    before = pickle.loads(kept[(name, i)]) if (name, i) in kept else None
+                    rest, share = sums[1 + n :], None
+                    if _is_wide(n):  # the diagonal is summed once; what it tells stays with the search
+                        fold, x = sampled.value[name]
+                        share = before["share"] if before else _sample_share(current[name], i, x[fold != i], rest)
                     objective = sums[0] + 0.5 * (weight * theta**2).sum()
 
                     def bends():
-                        rest = sums[1 + n :]  # noqa: B023 - used within the turn
-                        if _is_wide(n):  # noqa: B023
-                            found = _sampled_bends(current[name], i, *sampled.value[name], rest)  # noqa: B023
+                        if _is_wide(n):  # noqa: B023 - used within the turn
+                            found = _sampled_bends(current[name], i, fold, x, rest, share)  # noqa: B023
                         else:
                             found = [(0, n, rest.reshape(n, n))]  # noqa: B023
                         return [(lo, hi, bend + np.diag(weight[lo:hi])) for lo, hi, bend in found]  # noqa: B023
 
-                    before = pickle.loads(kept[(name, i)]) if (name, i) in kept else None
                     slope = sums[1 : 1 + n] + weight * theta
                     state = _step(before, theta, objective, slope, bends, _STEPS if _is_wide(n) else 0)
+                    if _is_wide(n):
+                        state["share"] = share
                     step = state["part"] * state["direction"]
                     after = state["at"] + step
                     finished = bool(np.abs(step).max() <= tol * (1.0 + np.abs(theta).max()))

@@ -92,3 +92,39 @@ def test_partitions_of_shared_rows_are_bounded(spark, monkeypatch):
         blocks.unpersist()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_wide_search_ends_after_few_passes_at_the_minimum_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(fold_models, "SAMPLE_ROWS", 3000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 4))
+    y = ((x[:, 0] * 6 + rng.normal(size=len(x)) * 9).astype(int) % 40).astype(np.int32)
+    y[np.isin(y, [7, 8])] = 9  # two classes with one row: the sample need not have any
+    y[:2] = [7, 8]
+    rows = list(zip(["d"] * len(x), y.tolist(), (np.arange(len(x)) % 2).tolist(), x.tolist()))
+    frame = spark.createDataFrame(rows, "dataset_id string, y int, fold int, x array<double>").repartition(3)
+    start = models(rng, 40, 4, k=2)
+    start.theta[:] = 0.0
+    start.present[:] = [[c in y[np.arange(len(y)) % 2 != i] for c in range(40)] for i in range(2)]
+    blocks = fold_models.to_blocks(frame, 4)
+    found = fold_models.fit_models(blocks, {"d": start}, max_iter=8)["d"]
+    assert found.unfinished == 0
+    for i in range(2):
+        some = np.arange(len(y)) % 2 != i
+        slope = fold_models._sums(found, i, x[some], y[some])[1:201]
+        slope += fold_models._penalty(found, i, 1.0) * found.theta[i].ravel()
+        assert np.abs(slope).max() < 1e-3
+
+
+def test_wide_sums_of_far_and_absent_classes():
+    rng = np.random.default_rng(6)
+    wide = models(rng, 30, 4)
+    wide.theta[0] *= 2000.0  # exponentials beyond a double
+    wide.present[0, 3] = False
+    x, y = rng.normal(size=(900, 4)), rng.choice([0, 1, 29], 900).astype(np.int32)
+    loss, gradient, diagonal = fold_models._wide_sums(wide, 0, x, y, True)
+    z = fold_models._design(wide, 0, x)
+    p = fold_models._probabilities(wide, 0, z)
+    np.testing.assert_allclose(gradient, (p - np.eye(30)[y]).T @ z, atol=1e-6)
+    np.testing.assert_allclose(diagonal, (p * (1 - p)).T @ (z * z), atol=1e-6)
+    assert np.isfinite(loss) and not gradient[3].any()
