@@ -1,6 +1,7 @@
 """Passes over many runs and over wide models: sizes held, and sums against plain ones."""
 
 import numpy as np
+import pyarrow as pa
 
 from perilscope.operators import fold_models
 from perilscope.operators.fold_models import NO_PART, DatasetModels
@@ -128,3 +129,41 @@ def test_wide_sums_of_far_and_absent_classes():
     np.testing.assert_allclose(gradient, (p - np.eye(30)[y]).T @ z, atol=1e-6)
     np.testing.assert_allclose(diagonal, (p * (1 - p)).T @ (z * z), atol=1e-6)
     assert np.isfinite(loss) and not gradient[3].any()
+
+
+def test_blocks_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(fold_models, "_BATCH_BYTES", 100_000)
+    monkeypatch.setattr(fold_models, "_RUN_BLOCK_BYTES", 20_000)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)  # earlier tests pack blocks too
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # blocks are packed from whole batches
+    rows = spark.range(0, 16_000, 1, 1).selectExpr(
+        "array_repeat(cast(id % 2 as int), 25) ys", "array_repeat(0, 25) folds", "array(cast(id as double), 1D) x"
+    )
+    try:
+        blocks = fold_models.to_run_blocks(rows, [f"r{i}" for i in range(25)], 2).persist()
+        assert blocks.count() > 25
+
+        def sizes(batches):
+            for batch in batches:
+                held = sum(len(v.as_buffer()) for c in ("x", "y") for v in batch.column(c))
+                yield pa.RecordBatch.from_arrays([pa.array([held])], names=["held"])
+
+        found = [r.held for r in blocks.mapInArrow(sizes, "held bigint").collect()]
+        blocks.unpersist()
+        assert sum(found) == 16_000 * 66
+        assert max(found) < 200_000  # all in one batch before
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_test_scores_are_as_few_files_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(fold_models, "_FILES_A_CORE", 1)
+    rows = spark.range(0, 900, 1, 90).selectExpr(
+        "array(cast(id % 2 as int)) ys", "array(cast(id % 3 as int) - 1) folds", "array(cast(id as double), 1D) x"
+    )
+    blocks = fold_models.to_run_blocks(rows, ["r"], 2)
+    found = fold_models.run_test_scores(blocks, {"r": models(np.random.default_rng(7), 2, 2, k=1)}, 2)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism  # 90 before
+    assert found.count() == 300
